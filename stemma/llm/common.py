@@ -161,3 +161,8 @@ def signed(x: np.ndarray) -> np.ndarray:
 
 def text_or_empty(c: str | Column) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
+
+
+def text_key(c: str | Column) -> Column:
+    """64-bit key of a text; null counts as empty."""
+    return F.xxhash64(text_or_empty(c)).alias("text_hash")

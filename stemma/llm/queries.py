@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from stemma.llm import mixing
+from stemma.llm import mixing, quality
 
 QUERIES = {
+    "op3_quality": quality.op3_quality,
     "op4_mixing": mixing.op4_mixing,
 }
 
 ORACLE_SQL = {
+    "op3_quality": quality.ORACLE,
     "op4_mixing": mixing.ORACLE,
 }
