@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from stemma.llm import mixing, quality
+from stemma.llm import mixing, quality, token_store, warc
 
 QUERIES = {
     "op3_quality": quality.op3_quality,
     "op4_mixing": mixing.op4_mixing,
+    "op6_warc": warc.op6_warc,
+    "op9_tokens": token_store.op9_tokens,
 }
 
 ORACLE_SQL = {
     "op3_quality": quality.ORACLE,
     "op4_mixing": mixing.ORACLE,
+    "op6_warc": warc.ORACLE,
 }
