@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from stemma.llm import mixing, quality, token_store, warc
+from stemma.llm import jaccard_join, mixing, quality, token_store, warc
 
 QUERIES = {
+    "op2_jaccard_join": jaccard_join.op2_jaccard_join,
     "op3_quality": quality.op3_quality,
     "op4_mixing": mixing.op4_mixing,
     "op6_warc": warc.op6_warc,
@@ -12,6 +13,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_jaccard_join": jaccard_join.ORACLE,
     "op3_quality": quality.ORACLE,
     "op4_mixing": mixing.ORACLE,
     "op6_warc": warc.ORACLE,
