@@ -165,4 +165,4 @@ def text_or_empty(c: str | Column) -> Column:
 
 def text_key(c: str | Column) -> Column:
     """64-bit key of a text; null counts as empty."""
-    return F.xxhash64(text_or_empty(c)).alias("text_hash")
+    return F.xxhash64(text_or_empty(c))

@@ -159,19 +159,9 @@ def _sets(k: int, percent: int):
 def _members(k: int):
     def run(batches):
         for batch in batches:
-            cluster, node, copies = (batch.column(i) for i in range(3))
-            texts = batch.column(3).to_pylist()
+            ids, texts = batch.columns[:3], batch.column(3).to_pylist()
             for lo, hi in _slices(texts):
-                sets = [shingle_set(t, k) for t in texts[lo:hi]]
-                points = [np.bincount((s >> np.uint64(32)).astype(np.int64) % GROUPS, minlength=GROUPS).astype(np.int32) for s in sets]
-                ends = (np.arange(len(sets) + 1) * GROUPS).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        cluster.slice(lo, hi - lo), node.slice(lo, hi - lo), copies.slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()),
-                        pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(points))), pa.array([s.tobytes() for s in sets], pa.binary()),
-                    ],
-                    names=["cluster", "node", "copies", "n", "point", "shingles"],
-                )
+                yield members_batch(*[c.slice(lo, hi - lo) for c in ids], [shingle_set(t, k) for t in texts[lo:hi]])
 
     return run
 
@@ -304,6 +294,39 @@ def leaf_pairs(leaves: DataFrame, percent: int) -> DataFrame:
     return a.join(b, (F.col("a.cluster") == F.col("b.cluster")) & fits).select(F.col("a.leaf").alias("leaf_a"), F.col("b.leaf").alias("leaf_b"))
 
 
+def route(keys: DataFrame) -> DataFrame:
+    """Clusters (node, cluster) of the nodes that share a key, from rows (node, key)."""
+    cells = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key", "low")
+    routes = keys.join(cells, "key").where("node != low").select(F.col("low").alias("src"), F.col("node").alias("dst")).distinct()
+    return connected_components(routes).select("node", F.col("component").alias("cluster"))
+
+
+def verified_links(members: DataFrame, percent: int) -> DataFrame:
+    """Links within clusters: forest edges (u, v), and each linked set's count (u, null, links)."""
+    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = ["cluster", "n", *[F.col("point")[i] for i in range(4)], "node"]
+    leaves = materialize(members.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_pack, LEAVES), "leaves")
+    body = ["nodes", "copies", "sizes", "points", "shingles"]
+    side = lambda s: leaves.select(F.col("leaf").alias(f"leaf_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in body])
+    rows = leaf_pairs(leaves, percent).join(side("a"), "leaf_a").join(side("b"), "leaf_b")
+    found = rows.select((F.col("leaf_a") == F.col("leaf_b")).alias("same"), *[f"{c}_a" for c in body], *[f"{c}_b" for c in body])
+    return materialize(found.mapInArrow(_compare(percent), LINKS), "links")
+
+
+def point_of(s: np.ndarray) -> np.ndarray:
+    """Counts of a set's shingles in GROUPS groups."""
+    return np.bincount((s >> np.uint64(32)).astype(np.int64) % GROUPS, minlength=GROUPS).astype(np.int32)
+
+
+def members_batch(cluster, node, copies, sets: list[np.ndarray]) -> pa.RecordBatch:
+    ends = (np.arange(len(sets) + 1) * GROUPS).astype(np.int32)
+    points = np.concatenate([point_of(s) for s in sets]) if sets else np.empty(0, np.int32)
+    return pa.RecordBatch.from_arrays(
+        [cluster, node, copies, pa.array([len(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(points)), pa.array([s.tobytes() for s in sets], pa.binary())],
+        names=["cluster", "node", "copies", "n", "point", "shingles"],
+    )
+
+
 def _fetch(texts: DataFrame, chosen: DataFrame, k: int) -> DataFrame:
     """Shingles and points of the chosen sets, from the text of one document of each.
 
@@ -322,28 +345,17 @@ def jaccard_classes(docs: DataFrame, k: int = K, percent: int = PERCENT) -> Data
 
     component_id is the smallest doc_id reachable by links; n_links counts the other
     documents that a document links with, copies included."""
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     sets = materialize(texts.withColumn("text_key", text_key("text")).mapInArrow(_sets(k, percent), SETS), "sets")
     filled = sets.where("node IS NOT NULL")
     nodes = materialize(filled.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("text_key").alias("text_key"), F.count("*").alias("copies")), "nodes")
 
-    keys = sets.select("node", F.explode("keys").alias("key"))
-    cells = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key", "low")
-    routes = keys.join(cells, "key").where("node != low").select(F.col("low").alias("src"), F.col("node").alias("dst")).distinct()
-    clusters = connected_components(routes).select("node", F.col("component").alias("cluster"))
+    clusters = route(sets.select("node", F.explode("keys").alias("key")))
 
     inside = clusters.join(nodes, "node").select("cluster", "node", "copies", "text_key")
     picks = filled.select("node", "text_key", "doc_id").join(inside, ["node", "text_key"]).groupBy("cluster", "node", "copies", "text_key").agg(F.min("doc_id").alias("pick"))
     members = materialize(_fetch(texts, materialize(picks, "picks"), k), "members")
-    order = ["cluster", "n", *[F.col("point")[i] for i in range(4)], "node"]
-    leaves = materialize(members.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_pack, LEAVES), "leaves")
-    body = ["nodes", "copies", "sizes", "points", "shingles"]
-    side = lambda s: leaves.select(F.col("leaf").alias(f"leaf_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in body])
-    rows = leaf_pairs(leaves, percent).join(side("a"), "leaf_a").join(side("b"), "leaf_b")
-    found = rows.select((F.col("leaf_a") == F.col("leaf_b")).alias("same"), *[f"{c}_a" for c in body], *[f"{c}_b" for c in body])
-    links = materialize(found.mapInArrow(_compare(percent), LINKS), "links")
-
+    links = verified_links(members, percent)
     classes = connected_components(links.where("v IS NOT NULL"), "u", "v")
     first = classes.join(nodes, "node").groupBy("component").agg(F.min("first").alias("class_first"))
     counts = links.where("v IS NULL").groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("links"))

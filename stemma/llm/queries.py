@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from stemma.llm import jaccard_join, mixing, quality, token_store, warc
+from stemma.llm import jaccard_join, mixing, paragraphs, quality, token_store, warc
 
 QUERIES = {
+    "op1_paragraphs": paragraphs.op1_paragraphs,
     "op2_jaccard_join": jaccard_join.op2_jaccard_join,
     "op3_quality": quality.op3_quality,
     "op4_mixing": mixing.op4_mixing,
