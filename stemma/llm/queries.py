@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stemma.llm import jaccard_join, mixing, paragraphs, parsing, quality, token_store, warc
+from stemma.llm import decontaminate, jaccard_join, mixing, paragraphs, parsing, quality, token_store, warc
 
 QUERIES = {
     "op1_paragraphs": paragraphs.op1_paragraphs,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_mixing": mixing.op4_mixing,
     "op6_warc": warc.op6_warc,
     "op9_tokens": token_store.op9_tokens,
+    "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_parsing": parsing.op8_parsing,
 }
 
