@@ -42,7 +42,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    MADE.append(path := f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return path
+
+
+#: Folders made by this process, oldest first; ``drop_folders`` removes those no longer read.
+MADE: list[str] = []
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -50,7 +55,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.shared_path = path
+    return back
+
+
+def drop_folders(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders of the shared folder that nothing reads any more."""
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        if path in MADE:
+            MADE.remove(path)
 
 
 def filesystem(uri: str):
@@ -87,7 +103,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         linked = large.join(low, "u")
         small = linked.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        e = materialize(small.where("u != v").distinct(), "cc")
+        old, e = e, materialize(small.where("u != v").distinct(), "cc")
+        drop_folders(e.sparkSession, [old.shared_path])
         after = _checksum(e)
         if after == before:
             break

@@ -341,7 +341,7 @@ def _fetch(texts: DataFrame, chosen: DataFrame, k: int) -> DataFrame:
 
 
 def jaccard_classes(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
-    """Rows (doc_id, n_shingles, component_id, n_links), one per row of ``docs`` (doc_id, text).
+    """Rows (doc_id, text_key, n_shingles, component_id, n_links), one per row of ``docs`` (doc_id, text).
 
     component_id is the smallest doc_id reachable by links; n_links counts the other
     documents that a document links with, copies included."""
@@ -364,12 +364,28 @@ def jaccard_classes(docs: DataFrame, k: int = K, percent: int = PERCENT) -> Data
         "node", F.coalesce("class_first", "first").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
     )
     return sets.join(final, "node", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
+        "doc_id", "text_key", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
     )
 
 
+def keep_one(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
+    """One row of ``docs`` for each class: that of the smallest doc_id, columns unchanged.
+
+    Among texts of one doc_id the one of the smallest key stays; rows without a doc_id
+    stay unless a row with one is in their class."""
+    classes = materialize(jaccard_classes(docs, k, percent).select("doc_id", "text_key", "component_id"), "classes")
+    first = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    stay = first.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("text_key").alias("text_key")).union(first.where("doc_id IS NULL").select("doc_id", "text_key").distinct())
+    stay = stay.select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_text"))
+    keyed = docs.withColumn("_key", text_key("text"))
+    kept = keyed.join(stay, (F.col("_key") == F.col("_text")) & F.col("doc_id").eqNullSafe(F.col("_doc")), "left_semi")
+    if not classes.groupBy("doc_id", "text_key").count().where("count > 1").isEmpty():  # repeated rows
+        kept = kept.dropDuplicates(["doc_id", "_key"])
+    return kept.drop("_key")
+
+
 def op2_jaccard_join(spark, sf_dir: str) -> DataFrame:
-    return jaccard_classes(table(spark, sf_dir, "documents"))
+    return jaccard_classes(table(spark, sf_dir, "documents")).drop("text_key")
 
 
 PAIRS = r"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from stemma.llm import decontaminate, jaccard_join, mixing, paragraphs, parsing, quality, token_store, warc
 
 QUERIES = {
@@ -13,6 +14,7 @@ QUERIES = {
     "op9_tokens": token_store.op9_tokens,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_parsing": parsing.op8_parsing,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL = {
@@ -21,3 +23,6 @@ ORACLE_SQL = {
     "op4_mixing": mixing.ORACLE,
     "op6_warc": warc.ORACLE,
 }
+
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
