@@ -284,11 +284,11 @@ def _reader(batches):
 def read_tokens(files: DataFrame) -> DataFrame:
     """Documents of the files with start, the ids of all documents before them.
 
-    The running sum over files takes one row per file."""
+    The running sum over files, and what is broadcast, have one row per file."""
     w = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = files.select("part", F.coalesce(F.sum("ids").over(w), F.lit(0)).alias("base"))
     rows = files.select("path", "part").repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path").mapInArrow(_reader, ROWS)
-    return rows.join(bases, "part").select("path", "part", "seq", "doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
+    return rows.join(F.broadcast(bases), "part").select("path", "part", "seq", "doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
