@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from stemma.llm import decontaminate, jaccard_join, mixing, paragraphs, parsing, quality, token_store, warc
+from stemma.llm import chat, decontaminate, jaccard_join, line_templates, mixing, paragraphs, parsing, quality, token_store, warc
 
 QUERIES = {
     "op1_paragraphs": paragraphs.op1_paragraphs,
@@ -12,12 +12,16 @@ QUERIES = {
     "op4_mixing": mixing.op4_mixing,
     "op6_warc": warc.op6_warc,
     "op9_tokens": token_store.op9_tokens,
+    "op5_chat": chat.op5_chat,
+    "op10_line_templates": line_templates.op10_line_templates,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_parsing": parsing.op8_parsing,
     "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL = {
+    "op5_chat": chat.ORACLE,
+    "op10_line_templates": line_templates.ORACLE,
     "op2_jaccard_join": jaccard_join.ORACLE,
     "op3_quality": quality.ORACLE,
     "op4_mixing": mixing.ORACLE,
