@@ -1,6 +1,6 @@
 """Loads every module of queries."""
 
-from stemma.plans import aggregates, filters, joins  # noqa: F401
+from stemma.plans import aggregates, filters, joins, ordered  # noqa: F401
 from stemma.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
