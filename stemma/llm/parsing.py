@@ -9,7 +9,9 @@ hash is its trigger. Windows that follow one another with one trigger form a phr
 the bytes that they cover. So every window lies in one phrase, at a place relative to its
 trigger that only its own bytes decide, and equal windows have equal triggers. The parse
 is one narrow row per phrase: trigger hash, phrase hash, place.
-*Dictionary.* Spark sorts the parse by trigger, phrase and place. Equal phrases become
+*Dictionary.* Phrases that repeat within a batch of texts are settled where they are
+parsed, so that a phrase however frequent sends one row a batch. Spark sorts the rest by
+trigger, phrase and place. Equal phrases become
 neighbours in corpus order; all but the first are repeats with all their windows. The
 first ones are the dictionary. A dictionary phrase that shares its trigger with no other
 is new throughout.
@@ -46,7 +48,7 @@ _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 NULL_ID = -(1 << 63)
 
-PARSE = "trigger long, phrase long, doc long, place long"
+PARSE = "trigger long, phrase long, doc long, place long, copy boolean"
 SORTED = "trigger long, doc long, place long, copy boolean"
 REPEATS = "doc long, place long, n int"
 #: place = number of the text under its doc_id (24 bits), first byte (32 bits), windows (7 bits)
@@ -155,10 +157,24 @@ def _parse(batches):
             offset = np.array([at for _, at, _ in part], np.int64)
             start = first - (limits - sizes)[which] + offset[which]
             owner = index[which]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(signed(trigger)), pa.array(signed(phrase)), pa.array(docs[owner]), pa.array(pack(numbers[owner].astype(np.int64), start, count))],
-                names=["trigger", "phrase", "doc", "place"],
-            )
+            doc, place = docs[owner], pack(numbers[owner].astype(np.int64), start, count)
+            copy = copies_here(trigger, phrase, doc, place)
+            # a copy is settled: its row travels under a hash of its place, not with its trigger
+            deal = np.where(copy, mix(doc.view(np.uint64) + mix(place.view(np.uint64))), trigger)
+            yield pa.RecordBatch.from_arrays([pa.array(signed(deal)), pa.array(signed(phrase)), pa.array(doc), pa.array(place), pa.array(copy)], names=[f.split()[0] for f in PARSE.split(", ")])
+
+
+def copies_here(trigger, phrase, doc, place) -> np.ndarray:
+    """Rows that repeat an earlier phrase of the same batch of texts."""
+    key = mix(trigger + mix(phrase))
+    order = np.lexsort((place, doc, key))
+    k, d, p = key[order], doc[order], place[order]
+    new = np.ones(len(k), bool)
+    new[1:] = k[1:] != k[:-1]
+    first = np.flatnonzero(new)[np.cumsum(new) - 1]
+    copy = np.zeros(len(k), bool)
+    copy[order] = (d != d[first]) | (p != p[first])
+    return copy
 
 
 def _neighbours(batches):
@@ -170,7 +186,11 @@ def _neighbours(batches):
         return pa.RecordBatch.from_arrays([pa.array(trigger), pa.array(doc), pa.array(place), pa.array(copy)], names=["trigger", "doc", "place", "copy"])
 
     for batch in batches:
-        t, q, d, p = (np.asarray(c) for c in batch.columns)
+        settled = batch.column(4).to_numpy(zero_copy_only=False)
+        t, q, d, p = (np.asarray(c) for c in batch.columns[:4])
+        if settled.any():
+            yield out(t[settled], d[settled], p[settled], np.ones(int(settled.sum()), bool))
+            t, q, d, p = (x[~settled] for x in (t, q, d, p))
         if not len(t):
             continue
         new = np.ones(len(t), bool)
