@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 #: Digits, multipliers and section signs of Chinese numerals.
 DIGITS = {"〇": 0, "零": 0, "一": 1, "二": 2, "兩": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9}
@@ -30,6 +31,6 @@ def numeral_value(text: str | None) -> int | None:
     return total + section + digit
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def numeral_value_udf(s: pd.Series) -> pd.Series:
     return s.map(numeral_value).astype("Int64")
