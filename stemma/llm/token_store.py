@@ -247,7 +247,10 @@ def shared_dictionary(docs: DataFrame, tokenizer: str, size: int = DICT_BYTES) -
     import zstandard as zstd
 
     short = docs.select("doc_id", "text").where((F.length("text") > 0) & (F.length("text") <= SAMPLE_CHARS))
-    sample = short.orderBy(F.xxhash64("text"), "doc_id").limit(SAMPLE_DOCS).select("text").collect()
+    # a cut of the hash leaves about twice the sample, so that no task sends many texts
+    place = F.pmod(F.xxhash64("text"), F.lit(1 << 40))
+    cut = min(1 << 40, 2 * SAMPLE_DOCS * (1 << 40) // max(1, docs.count()))
+    sample = short.where(place < cut).orderBy(place, "doc_id").limit(SAMPLE_DOCS).select("text").collect()
     arrays = [x.astype("<u4").tobytes() for x in encoder(tokenizer).encode([r.text for r in sample])]
     try:
         return zstd.train_dictionary(size, arrays).as_bytes()
