@@ -172,9 +172,10 @@ def review_status_counts(units: DataFrame) -> DataFrame:
 def cardinality_audit(links: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     """One row: left ids with several rights, rights with several lefts, and ids without a partner."""
     l2r, r2l = links.groupBy("l").agg(F.count_distinct("r").alias("n")), links.groupBy("r").agg(F.count_distinct("l").alias("n"))
-    a = left.join(l2r, "l", "left").agg(F.count_if(F.col("n") > 1).alias("one_to_many"), F.count_if(F.col("n").isNull()).alias("left_alone"))
-    b = right.join(r2l, "r", "left").agg(F.count_if(F.col("n") > 1).alias("many_to_one"), F.count_if(F.col("n").isNull()).alias("right_alone"))
-    return a.crossJoin(b)  # one row each
+    several, alone, none = (F.col("n") > 1).cast("int"), F.col("n").isNull().cast("int"), F.lit(0)
+    a = left.join(l2r, "l", "left").select(several.alias("one_to_many"), alone.alias("left_alone"), none.alias("many_to_one"), none.alias("right_alone"))
+    b = right.join(r2l, "r", "left").select(none, none, several, alone)
+    return a.union(b).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in a.columns])
 
 
 def quality_verdict(missing: Column, total: Column, untranslated: Column) -> Column:
