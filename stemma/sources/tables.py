@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_local: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; a local folder only where it is unset and all runs in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -16,8 +19,9 @@ def shared_folder(spark: SparkSession) -> str:
         return found.rstrip("/")
     if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    spark.conf.set("spark.checkpoint.dir", made := "file://" + tempfile.mkdtemp(prefix="stemma-"))
-    return made
+    if not _local:
+        _local.append("file://" + tempfile.mkdtemp(prefix="stemma-"))
+    return _local[0]
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
