@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # --- the shared folder -----------------------------------------------------
 
 
+_local: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
@@ -35,9 +39,9 @@ def shared_dir(spark: SparkSession) -> str:
     if found:
         return found.rstrip("/")
     if spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
-        made = "file://" + tempfile.mkdtemp(prefix="stemma-")
-        spark.conf.set("spark.checkpoint.dir", made)
-        return made
+        if not _local:
+            _local.append("file://" + tempfile.mkdtemp(prefix="stemma-"))
+        return _local[0]
     raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
 
 
@@ -135,7 +139,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """64-bit hashes of words, kept for reuse within a worker up to a bound."""
 
-    LIMIT = 400_000
+    LIMIT = 200_000
 
     def __missing__(self, word: bytes) -> int:
         h = self[word] = xxhash.xxh3_64_intdigest(word)
@@ -150,6 +154,20 @@ class WordHashes(dict):
 HASHES = WordHashes()
 
 
+def release_memory() -> None:
+    """Give back what earlier tasks of this worker left: workers serve many operators in turn."""
+    import ctypes
+    import gc
+
+    HASHES.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not every C library has it
+        pass
+
+
 def words(text: str | None, lower: bool = False) -> list[bytes]:
     """Words of a text in UTF-8; ``lower`` folds A-Z only."""
     if not text:

@@ -26,10 +26,11 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stemma.llm.common import filesystem, materialize, new_folder, table, text_or_empty
+from stemma.llm.common import filesystem, materialize, new_folder, release_memory, table, text_or_empty
 
 MAGIC = b"TOKZ0001"
 END_ID = 0
@@ -57,16 +58,17 @@ class ChunkEncoder:
 
     This tokenizer cuts a text before each single space, whatever follows, so a text
     without two spaces in a row has the ids of its chunks one after another. Texts with
-    runs of spaces (or a NUL) go to the library whole. Beyond ``LIMIT`` kept chunks the first
-    ``STAY`` remain: those seen first are the frequent ones."""
+    runs of spaces (or a NUL) go to the library whole. Beyond ``limit`` kept chunks the first
+    four sevenths remain: those seen first are the frequent ones."""
 
-    LIMIT, STAY = 1_000_000, 400_000
+    LIMIT = 700_000
     #: Chunks in one text given to the library, and texts in one call.
     JOIN, CALL = 100, 500
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, limit: int = LIMIT):
         from tokenizers import Tokenizer
 
+        self.limit, self.stay = limit, limit * 4 // 7
         self.tokenizer = Tokenizer.from_file(path)
         self.mark = "<|endoftext|>"
         self.mark_id = self.tokenizer.token_to_id(self.mark)
@@ -115,9 +117,9 @@ class ChunkEncoder:
         self.at.update(zip(keys, range(first, first + len(keys)), strict=True))
 
     def _trim(self) -> None:
-        if len(self.at) > self.LIMIT:
-            self.at = {k: i for k, i in self.at.items() if i < self.STAY}
-            self.used = int(self.starts[self.STAY - 1] + self.sizes[self.STAY - 1])
+        if len(self.at) > self.limit:
+            self.at = {k: i for k, i in self.at.items() if i < self.stay}
+            self.used = int(self.starts[self.stay - 1] + self.sizes[self.stay - 1])
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         self._trim()
@@ -152,32 +154,35 @@ class ChunkEncoder:
 _ENCODERS: dict[str, ChunkEncoder] = {}
 
 
-def encoder(path: str) -> ChunkEncoder:
+def encoder(path: str, limit: int = ChunkEncoder.LIMIT) -> ChunkEncoder:
+    """The worker's encoder for a tokenizer, kept from task to task."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = ChunkEncoder(path)
+        _ENCODERS[path] = ChunkEncoder(path, limit)
+    _ENCODERS[path].limit, _ENCODERS[path].stay = limit, limit * 4 // 7
     return _ENCODERS[path]
 
 
 # --- files ---------------------------------------------------------------------
 
 
-def _slices(texts: list, most: int = 4_000_000):
-    """Ranges of texts of about ``most`` characters, one text at least."""
+def _slices(texts: pa.Array, most: int = 1_500_000):
+    """Parts of an array of texts of about ``most`` bytes, one text at least."""
     begin, held = 0, 0
-    for i, t in enumerate(texts):
-        if i > begin and held + len(t or "") > most:
+    for i, n in enumerate(pc.binary_length(texts).to_pylist()):
+        if i > begin and held + n > most:
             yield begin, i
             begin, held = i, 0
-        held += len(t or "")
-    if texts:
+        held += n
+    if len(texts):
         yield begin, len(texts)
 
 
-def _writer(folder: str, tokenizer: str, dictionary: bytes):
+def _writer(folder: str, tokenizer: str, dictionary: bytes, keep: int):
     def write(batches):
         import zstandard as zstd
         from pyspark import TaskContext
 
+        release_memory()
         fs, root = filesystem(folder)
         fs.create_dir(root, recursive=True)
         task = TaskContext.get()
@@ -186,14 +191,14 @@ def _writer(folder: str, tokenizer: str, dictionary: bytes):
         packer = zstd.ZstdCompressor(level=LEVEL, dict_data=d, write_checksum=True)
         out, at, index, total = None, 0, [], 0
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            ids, texts = batch.column(0).to_pylist(), batch.column(1)
             for lo, hi in _slices(texts):
                 if out is None:
                     out = fs.open_output_stream(f"{root}/{name}")
                     head = MAGIC + hashlib.sha256(dictionary).digest() + struct.pack("<I", len(dictionary)) + dictionary
                     out.write(head)
                     at = len(head)
-                for doc_id, x in zip(ids[lo:hi], encoder(tokenizer).encode(texts[lo:hi]), strict=True):
+                for doc_id, x in zip(ids[lo:hi], encoder(tokenizer, keep).encode(texts.slice(lo, hi - lo).to_pylist()), strict=True):
                     frame = packer.compress(x.astype("<u4").tobytes())
                     out.write(frame)
                     index.append((doc_id or 0, doc_id is None, at, len(frame), len(x)))
@@ -258,8 +263,10 @@ def shared_dictionary(docs: DataFrame, tokenizer: str, size: int = DICT_BYTES) -
         return b"".join(arrays)[-size:] or b"\0" * 8
 
 
-def write_tokens(docs: DataFrame, tokenizer: str | None = None, folder: str | None = None) -> DataFrame:
-    """Encode and write ``docs`` (doc_id, text); one row per file (path, part, documents, ids)."""
+def write_tokens(docs: DataFrame, tokenizer: str | None = None, folder: str | None = None, keep: int = ChunkEncoder.LIMIT) -> DataFrame:
+    """Encode and write ``docs`` (doc_id, text); one row per file (path, part, documents, ids).
+
+    ``keep`` bounds the chunks whose ids a worker keeps (about 400 bytes each)."""
     tokenizer = tokenizer or default_tokenizer()
     spark = docs.sparkSession
     folder = folder or new_folder(spark, "tokens")
@@ -268,7 +275,7 @@ def write_tokens(docs: DataFrame, tokenizer: str | None = None, folder: str | No
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col("doc_id").asc_nulls_first(), F.col("tie").asc()]
     dealt = d.withColumn("tie", F.xxhash64("text")).repartitionByRange(n, *order).sortWithinPartitions(*order).drop("tie")
-    return materialize(dealt.mapInArrow(_writer(folder, tokenizer, dictionary), FILES), "token-files")
+    return materialize(dealt.mapInArrow(_writer(folder, tokenizer, dictionary, keep), FILES), "token-files")
 
 
 def _reader(batches):
