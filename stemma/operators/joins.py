@@ -59,14 +59,23 @@ def quote_to_source(quotes: DataFrame, sources: DataFrame, lengths: Sequence[int
 
     Candidates come from an equi-join on distinct n-grams, so no pair is tried in vain; score
     30, 18 or 10 for 12, 8 or 6 words, else 2."""
-    def grams(df, name):
-        def hashed(words, n):
-            return F.transform(T.word_ngrams(words, n), lambda g: F.struct(F.lit(n).alias("n"), F.xxhash64(g).alias("g")))
+    def grams(df, name, *sizes):
+        def hashed(h, n):
+            places = F.when(F.size(h) >= n, F.sequence(F.lit(1), F.size(h) - n + 1)).otherwise(F.array().cast("array<int>"))
+            return F.transform(places, lambda i: F.struct(F.lit(n).alias("n"), F.xxhash64(F.slice(h, i, n)).alias("g")))
 
-        every = T.let(F.col("words"), lambda w: F.flatten(F.array(*[hashed(w, n) for n in lengths])))
+        words = F.transform("words", lambda w: F.xxhash64(w))
+        every = T.let(words, lambda h: F.flatten(F.array(*[hashed(h, n) for n in sizes])))
         return df.select(F.col("id").alias(name), F.explode(every).alias("x")).select(name, "x.n", "x.g").distinct()
 
-    met = grams(sources, "source").join(grams(quotes, "quote"), ["n", "g"]).groupBy("quote", "source").agg(F.max("n").alias("longest"), F.count("*").alias("n_shared"))
+    # whoever shares a long n-gram shares a short one, so long ones are built for those only
+    least = min(lengths)
+    short = grams(sources, "source", least).join(grams(quotes, "quote", least), ["n", "g"])
+    met = short
+    if longer := [n for n in lengths if n > least]:
+        near = sources.join(short.select(F.col("source").alias("id")).distinct(), "id", "left_semi")
+        met = short.union(grams(near, "source", *longer).join(grams(quotes, "quote", *longer), ["n", "g"]))
+    met = met.groupBy("quote", "source").agg(F.max("n").alias("longest"), F.count("*").alias("n_shared"))
     score = F.when(F.col("longest") >= 12, 30).when(F.col("longest") >= 8, 18).when(F.col("longest") >= 6, 10).otherwise(2)
     met = met.withColumn("score", score).withColumn("confidence", F.when(score >= 30, "high").when(score >= 18, "medium").when(score >= 10, "review").otherwise("generic_only_rejected"))
     return top_per_key(met, ["quote"], [F.desc("score"), F.desc("n_shared"), "source"], k)
