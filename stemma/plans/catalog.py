@@ -1,6 +1,6 @@
 """Loads every module of queries."""
 
-from stemma.plans import aggregates, composites, filters, joins, ordered, texts  # noqa: F401
+from stemma.plans import aggregates, composites, extraction, filters, joins, ordered, streams, texts  # noqa: F401
 from stemma.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -15,7 +15,12 @@ def query(name: str, sql: str | None = None):
 
     def register(work):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return work(lambda table: spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+            def t(table: str) -> DataFrame:
+                return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+            t.spark = spark
+            t.path = lambda table: f"{sf_dir}/{table}.parquet"
+            return work(t)
 
         run.__doc__ = work.__doc__
         QUERIES[name] = run

@@ -48,3 +48,15 @@ def upsert_latest(table: str, key: str, order: list[str], ttl: str | None = None
         rows.write.mode("overwrite").parquet(f"{table}/v={batch_id}")
 
     return write
+
+
+def run_to_end(stream: DataFrame, folder: str, mode: str, write) -> int:
+    """Run a stream over what is there, batch by batch, through ``write``; returns the last batch's number."""
+    q = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/offsets").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return q.lastProgress["batchId"]
+
+
+def overwrite_versions(table: str):
+    """For ``foreachBatch`` of complete results: batch n is ``table/v=n``, so a repeated batch replaces itself."""
+    return lambda batch, n: batch.write.mode("overwrite").parquet(f"{table}/v={n}")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from stemma.functions import numerals
 from stemma.functions import text as T
-from stemma.operators import compare, diffs, graphs, intervals, joins, logs
+from stemma.operators import compare, diffs, extraction, graphs, intervals, joins, logs
 from stemma.sources import tables
 from stemma.streaming import logs as streams
 
@@ -265,3 +265,19 @@ def test_streams_agree_with_batches(spark, tmp_path):
     last = spark.read.parquet(f"{out}/v={q.lastProgress['batchId']}")
     assert rows(last, "user_id", "event_id") == rows(streams.latest(ev, "user_id", ["ts", "event_id"]), "user_id", "event_id")
     assert streams.sessions(ev, "1 hour").agg(F.sum("n")).first()[0] == ev.count()
+
+
+def test_sections_and_notes():
+    kinds = ["heading", "source", "translation", "mark", "procedure", "translation", "source", "mark", "translation", "mark", "heading"]
+    assert extraction.sections_of(kinds) == [
+        (0, "first"), (0, "continues"), (0, "continues"), (0, "continues"), (1, "procedure_after_mark"), (1, "continues"), (2, "source_after_translation"), (2, "continues"), (2, "continues"), (2, "continues"), (3, "heading"),
+    ]
+    assert extraction.sections_of(["translation", "mark"]) == [(0, "first"), (1, "mark_before_source")]
+    assert extraction.accepted_notes([2, 1, 5, 2, 2, 3]) == [False, True, False, True, False, True]
+
+
+def test_facts_block_conflicts_and_ground_no_cycle(spark):
+    a = spark.createDataFrame([("a", "k", "1", True), ("x", "k", "9", False), ("c", "k", "2", True)], "target string, facet string, value string, reviewed boolean")
+    rules = spark.createDataFrame([("a", "k", "b", "k"), ("b", "k", "d", "k"), ("x", "k", "y", "k"), ("y", "k", "x", "k"), ("d", "k", "c", "k")], "target string, facet string, to_target string, to_facet string")
+    got = {(r.target, r.value): (r.status, r.depth) for r in extraction.derive_facts(a, rules).collect()}
+    assert got == {("a", "1"): ("grounded", 0), ("b", "1"): ("grounded", 1), ("d", "1"): ("grounded", 2), ("c", "1"): ("conflict", None), ("c", "2"): ("conflict", None), ("x", "9"): ("ungrounded", None), ("y", "9"): ("ungrounded", None)}
