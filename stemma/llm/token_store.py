@@ -22,7 +22,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -61,7 +61,7 @@ class ChunkEncoder:
     runs of spaces (or a NUL) go to the library whole. Beyond ``limit`` kept chunks the first
     four sevenths remain: those seen first are the frequent ones."""
 
-    LIMIT = 700_000
+    LIMIT = 1_000_000
     #: Chunks in one text given to the library, and texts in one call.
     JOIN, CALL = 100, 500
 
@@ -94,9 +94,9 @@ class ChunkEncoder:
         keys = [k for k in keys if self.mark not in k] if odd else keys
         for i in range(0, len(keys), self.JOIN * self.CALL):
             part = keys[i : i + self.JOIN * self.CALL]
-            texts = [self._text(k) + self.mark for k in part]
+            texts = [(k[1:] if k[:1] == "\0" else " " + k) + self.mark for k in part]
             rows = self._library(["".join(texts[j : j + self.JOIN]) for j in range(0, len(texts), self.JOIN)])
-            ids = np.fromiter((x for row in rows for x in row), np.uint32, sum(map(len, rows)))
+            ids = np.fromiter(chain.from_iterable(rows), np.uint32, sum(map(len, rows)))
             cuts = np.flatnonzero(ids == self.mark_id)
             self._keep(part, ids[ids != self.mark_id], np.diff(cuts, prepend=-1) - 1)
         for k in odd:
