@@ -8,6 +8,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -176,6 +177,21 @@ def words(text: str | None, lower: bool = False) -> list[bytes]:
     return (b.lower() if lower else b).split()  # bytes split at exactly the six ASCII spaces
 
 
+def text_slices(texts: pa.Array, most: int = 1_000_000):
+    """(begin, texts) of the parts of an array with about ``most`` bytes, one text at least.
+
+    Tasks hold the words and hashes of one part at a time, not of a whole batch."""
+    begin, held = 0, 0
+    for i, n in enumerate(pc.binary_length(texts).to_pylist()):
+        n = n or 0
+        if i > begin and held + n > most:
+            yield begin, texts.slice(begin, i - begin).to_pylist()
+            begin, held = i, 0
+        held += n
+    if len(texts):
+        yield begin, texts.slice(begin).to_pylist()
+
+
 def shingle_hashes(w: np.ndarray, k: int) -> np.ndarray:
     """Hashes of the k-word shingles of one text's word hashes, in order, with repeats.
 

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stemma.llm.common import HASHES, connected_components, materialize, mix, shingle_hashes, signed, table, text_key, words
+from stemma.llm.common import HASHES, connected_components, materialize, mix, shingle_hashes, signed, table, text_key, text_slices, words
 
 K = 3
 PERCENT = 90
@@ -122,17 +122,6 @@ def shingle_set(text: str | None, k: int = K) -> np.ndarray:
     return np.unique(shingle_hashes(HASHES.of(w), k))
 
 
-def _slices(texts: list, most: int = 3_000_000):
-    begin, held = 0, 0
-    for i, t in enumerate(texts):
-        if i > begin and held > most:
-            yield begin, i
-            begin, held = i, 0
-        held += len(t or "")
-    if texts:
-        yield begin, len(texts)
-
-
 def _long_lists(parts: list[np.ndarray]) -> pa.ListArray:
     ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(signed(np.concatenate(parts) if parts else np.empty(0, np.uint64))))
@@ -142,14 +131,14 @@ def _sets(k: int, percent: int):
     def run(batches):
         levels = Levels(percent)
         for batch in batches:
-            ids, text_keys, texts = batch.column(0), batch.column(2), batch.column(1).to_pylist()
-            for lo, hi in _slices(texts):
-                sets = [shingle_set(t, k) for t in texts[lo:hi]]
+            ids, text_keys = batch.column(0), batch.column(2)
+            for lo, texts in text_slices(batch.column(1)):
+                sets = [shingle_set(t, k) for t in texts]
                 n = np.array([len(s) for s in sets], np.int64)
                 owner = np.repeat(np.arange(len(sets)), n)
                 node = _sums(owner, mix(np.concatenate(sets)), len(sets)) + mix(n.astype(np.uint64))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(lo, hi - lo), text_keys.slice(lo, hi - lo), pa.array(n), pa.array(signed(node), mask=n == 0), _long_lists(group_keys(sets, levels))],
+                    [ids.slice(lo, len(sets)), text_keys.slice(lo, len(sets)), pa.array(n), pa.array(signed(node), mask=n == 0), _long_lists(group_keys(sets, levels))],
                     names=["doc_id", "text_key", "n_shingles", "node", "keys"],
                 )
 
@@ -159,9 +148,8 @@ def _sets(k: int, percent: int):
 def _members(k: int):
     def run(batches):
         for batch in batches:
-            ids, texts = batch.columns[:3], batch.column(3).to_pylist()
-            for lo, hi in _slices(texts):
-                yield members_batch(*[c.slice(lo, hi - lo) for c in ids], [shingle_set(t, k) for t in texts[lo:hi]])
+            for lo, texts in text_slices(batch.column(3)):
+                yield members_batch(*[c.slice(lo, len(texts)) for c in batch.columns[:3]], [shingle_set(t, k) for t in texts])
 
     return run
 
@@ -363,7 +351,8 @@ def jaccard_classes(docs: DataFrame, k: int = K, percent: int = PERCENT) -> Data
     final = nodes.join(named, "node", "left").select(
         "node", F.coalesce("class_first", "first").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
     )
-    return sets.join(final, "node", "left").select(
+    # written first, so that Spark may split a set with very many copies in the join
+    return sets.join(materialize(final, "set-classes"), "node", "left").select(
         "doc_id", "text_key", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
     )
 
