@@ -244,7 +244,8 @@ def _reader(batches):
 
 def read_warc(archives: DataFrame) -> DataFrame:
     """Records of the archives in column ``path``; a revisit has no payload of its own."""
-    paths = archives.select("path").distinct()
+    n = int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    paths = archives.select("path").distinct().repartition(n, F.xxhash64("path"))  # a dealing of its own, so few paths still go to many tasks
     return paths.mapInArrow(_reader, RECORDS)
 
 
