@@ -118,7 +118,8 @@ def dropped_lines(docs: DataFrame, **how) -> DataFrame:
 
 
 def _by_text(docs: DataFrame, **how) -> DataFrame:
-    return dropped_lines(docs, **how).groupBy(F.col("text_key").alias("_text")).agg(F.sort_array(F.collect_list("number")).alias("dropped"), F.sum("n_tokens").alias("dropped_words"))
+    by = dropped_lines(docs, **how).groupBy(F.col("text_key").alias("_text")).agg(F.sort_array(F.collect_list("number")).alias("dropped"), F.sum("n_tokens").alias("dropped_words"))
+    return materialize(by, "dropped-lines")  # written first, so that Spark may split a text with very many copies in the join
 
 
 def drop_template_lines(docs: DataFrame, **how) -> DataFrame:
