@@ -3,25 +3,24 @@ r"""Benchmark decontamination: CGK embedding, bit-sampling LSH, exact edit dista
 An item leaks into a document when some passage lies within MAX_EDIT_PERCENT of the
 item's length in edits (of characters, after folding A-Z and joining words by one space).
 
-1. *Windows.* Passages as long as an item, at the places where a run of its words stands.
-   If edits touch at most a fifth of the words, at least ``W - 2 - 3 * (W // 5)`` of an
-   item's ``W - 2`` three-word runs are left, near one diagonal; places with fewer are no
-   windows. All texts are searched whole.
+1. *Windows.* An item of m letters with e edits keeps ``m - 3 - 4 * e`` of its four-letter
+   runs (shorter runs for short items), on diagonals that differ by e at most; places with
+   fewer are no windows, so none within the limit is lost. All texts are searched whole.
 2. *Embedding.* WALKS random walks (Chakraborty, Goldenberg, Koucky) read a window: at
    every step the letter at hand is put out and a hash of (walk, step, letter) decides
    whether to move on. Edit distance becomes Hamming distance.
 3. *LSH.* Every walk is sampled SAMPLES times at BITS of its steps, the same for all
-   windows of W words; equal samples join windows and items in Spark. ``recall`` says how
-   likely a pair with a given share of differing steps is found.
+   windows of about one size; equal samples join windows and items in Spark. ``recall``
+   says how likely a pair with a given share of differing steps is found.
 4. *Verification.* The least edit distance between the item and any part of the window
    with its surroundings, by a bit-parallel scan.
 
 Items are taken in blocks of BLOCK items in order of their hash, so what is broadcast is
-bounded: at most BLOCK items of at most ITEM_WORDS words and their keys; longer items are
-searched by their parts of ITEM_WORDS words, each under the item's id. Defined cases: null
-or blank items and texts match nothing; equal items each match; repeated rows give equal
-rows once; null ids are carried; empty tables give an empty result; other columns pass
-through ``decontaminate`` and are not carried by ``find_leaks``.
+bounded by BLOCK items and their keys. Items of over ITEM_WORDS words are searched by equal
+parts, but the whole item is verified. Defined cases: null or blank items and texts match
+nothing; items too short for an edit match whole words; equal items each match; repeated
+rows give equal rows once; null ids are carried; empty tables give an empty result; other
+columns pass through ``decontaminate`` and are not carried by ``find_leaks``.
 """
 
 from __future__ import annotations
@@ -32,17 +31,22 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stemma.llm.common import HASHES, materialize, mix, shingle_hashes, signed, table, text_key, text_slices, words
+from stemma.llm.common import materialize, mix, signed, table, text_key, text_slices, words
 
 MAX_EDIT_PERCENT = 20
-RUN = 3
 WALKS, SAMPLES, BITS = 8, 12, 4
 #: The bits of one sample lie within this many steps: walks that differ run together again for stretches.
 SPREAD = 40
 BLOCK = 2_000
 ITEM_WORDS = 400
 
-WINDOWS = "doc_id long, text_key long, size int, start int, window string, around string"
+#: Share of the letter runs that must be left which may be given up for not looking up common ones.
+DROPPED = 0.2
+#: Buckets of diagonals that one part of a text may span; longer runs of them are looked at in parts.
+LONGEST_RUN = 8
+
+WINDOWS = "doc_id long, text_key long, part long, size int, start int, window string, around string"
+KEYS = "id long, part long, key long"
 LEAKS = "doc_id long, text_key long, item_id long, start int, n_words int, distance int, length int"
 
 
@@ -54,90 +58,187 @@ def recall(differing: float) -> float:
 # --- windows -----------------------------------------------------------------
 
 
+def codes_of(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+
+
+def gram_slots(codes: np.ndarray, q: int) -> np.ndarray:
+    """A slot of 20 bits for each run of ``q`` letters; runs that share one only add to a count."""
+    h = codes[: max(0, len(codes) - q + 1)].copy()
+    for i in range(1, q):
+        h = h * np.uint32(0x9E3779B1) + codes[i : len(codes) - q + 1 + i]
+    h ^= h >> np.uint32(15)
+    h *= np.uint32(0x85EBCA6B)
+    return ((h ^ (h >> np.uint32(13))) >> np.uint32(12)).astype(np.int32)
+
+
+def gram_length(size: int, edits: int) -> int:
+    """Letters of a run, so that ``size - q + 1 - q * edits`` runs, more than none, must be left."""
+    return min(size, 4) if not edits else 4 if size >= 60 else 3 if size >= 12 else 2
+
+
+class ItemGroup:
+    """Places of the letter runs of items that share a run length and a band of diagonals.
+
+    Up to DROPPED of the runs that must be left are given up for the commonest runs of an
+    item, which are then not looked up: ``least`` counts the others."""
+
+    def __init__(self, texts: dict[int, str], q: int, shift: int, n: int, percent: int, common: np.ndarray):
+        self.q, self.shift, self.n, self.ids = q, shift, n, np.array(list(texts))
+        slots = [gram_slots(codes_of(t), q) for t in texts.values()]
+        self.size = np.array([len(t) for t in texts.values()], np.int64)
+        self.edits = self.size * percent // 100
+        self.need = self.size - q + 1 - q * self.edits
+        dropped = (self.need * DROPPED).astype(np.int64)
+        self.least = self.need - dropped
+        self.pad = int(self.size.max())
+        kept = [np.sort(np.argsort(common[x], kind="stable")[: len(x) - d]) for x, d in zip(slots, dropped.tolist(), strict=True)]
+        flat = np.concatenate([x[k] for x, k in zip(slots, kept, strict=True)])
+        order = np.argsort(flat, kind="stable")
+        found, first, count = np.unique(flat[order], return_index=True, return_counts=True)
+        self.row = np.full(1 << 20, -1, np.int32)
+        self.row[found] = np.arange(len(found))
+        self.first, self.count = first, count
+        self.item = np.repeat(np.arange(len(slots)), [len(k) for k in kept])[order]
+        self.offset = np.concatenate(kept)[order]
+        self.sorted = [(x[o], o) for x in slots for o in [np.argsort(x, kind="stable")]]
+
+    def cells(self, slots: np.ndarray):
+        """(item, first bucket, last first bucket) of bands of diagonals with enough runs of an item."""
+        row = self.row[slots]
+        at = np.flatnonzero(row >= 0)
+        row = row[at]
+        n = self.count[row]
+        which = np.repeat(self.first[row] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        width = ((len(slots) + self.pad) >> self.shift) + self.n + 2
+        cell = (self.item * width)[which] + ((np.repeat(at, n) + (self.pad - self.offset)[which]) >> self.shift)
+        count = np.bincount(cell, minlength=len(self.size) * width).astype(np.int32).reshape(-1, width)
+        last = width - self.n  # the last bucket of a row stays out of all bands, so no band goes on in the next row
+        total = count[:, :last].copy()
+        for i in range(1, self.n):
+            total += count[:, i : last + i]
+        enough = total >= self.least[:, None]
+        if not enough.any():
+            return
+        cover = np.zeros((len(self.size), width), bool)
+        for i in range(self.n):
+            cover[:, i : last + i] |= enough
+        inside = np.flatnonzero(cover.ravel()[cell])
+        which = which[inside]
+        item = self.item[which]
+        # each run of an item counts once in a band, however often a text repeats it: neighbours in one band count as one
+        key = np.unique((item * self.pad + self.offset[which]) * width + cell[inside] - item * width)
+        run, bucket = np.divmod(key, width)
+        row = run // self.pad * width
+        count = np.bincount(row + bucket, minlength=count.size).reshape(-1, width)
+        total = count[:, :last].copy()
+        for i in range(1, self.n):
+            total += count[:, i : last + i]
+        p = np.flatnonzero((run[1:] == run[:-1]) & (bucket[1:] - bucket[:-1] < self.n))
+        both = np.bincount(row[p] + np.maximum(0, bucket[p + 1] - self.n + 1), minlength=count.size) - np.bincount(row[p] + bucket[p] + 1, minlength=count.size)
+        total -= np.cumsum(both.reshape(-1, width), axis=1)[:, :last]
+        item, bucket = np.nonzero(total >= self.least[:, None])
+        if not len(item):
+            return
+        new = np.flatnonzero((np.diff(item, prepend=-1) != 0) | (np.diff(bucket, prepend=-9) != 1))
+        for lo, hi in zip(new.tolist(), [*new[1:].tolist(), len(item)], strict=True):
+            for b in range(lo, hi, LONGEST_RUN):
+                yield int(item[b]), int(bucket[b]), int(bucket[min(hi, b + LONGEST_RUN) - 1])
+
+    def starts(self, i: int, slots: np.ndarray) -> list[int]:
+        """Likely beginnings of item ``i`` in a part of a text, none where too few runs are in any band."""
+        have, order = self.sorted[i]
+        lo = np.searchsorted(have, slots)
+        at = np.flatnonzero(have[np.minimum(lo, len(have) - 1)] == slots)
+        lo = lo[at]
+        n = np.searchsorted(have, slots[at], side="right") - lo
+        offset = order[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
+        size, band = int(self.size[i]), int(self.edits[i]) + 1
+        if len(offset) < self.need[i]:
+            return []
+        width = len(slots) + size
+        run, place = np.divmod(np.sort(offset * width + np.repeat(at, n) - offset + size), width)
+        count = np.bincount(place, minlength=width)
+        p = np.flatnonzero((run[1:] == run[:-1]) & (place[1:] - place[:-1] < band))
+        both = np.bincount(np.maximum(0, place[p + 1] - band + 1), minlength=width + 1) - np.bincount(place[p] + 1, minlength=width + 1)
+        sums = np.cumsum(np.concatenate([[0], count]))
+        if (sums[np.minimum(np.arange(width) + band, width)] - sums[:-1] - np.cumsum(both)[:width]).max() < self.need[i]:
+            return []
+        best = {int(np.argmax(count))}
+        early = place[run < max(1, size // 3)]
+        if len(early):
+            best.add(int(np.argmax(np.bincount(early))))
+        return [x - size for x in sorted(best)]
+
+
 class ItemIndex:
-    """Places of the word runs of a block of items."""
+    """The letter runs of a block of items, in groups by run length and width of the band."""
 
-    def __init__(self, texts: list[str]):
-        item, offset, grams, sizes = [], [], [], []
-        self.runs = sorted({min(RUN, len(words(t))) for t in texts})
+    def __init__(self, texts: list[str], percent: int = MAX_EDIT_PERCENT):
+        kinds: dict[tuple, dict[int, str]] = {}
         for i, t in enumerate(texts):
-            w = words(t, lower=True)
-            sizes.append(len(w))
-            g = shingle_hashes(HASHES.of(w), RUN)
-            grams.append(g)
-            item.append(np.full(len(g), i))
-            offset.append(np.arange(len(g)))
-        g = np.concatenate(grams) if grams else np.empty(0, np.uint64)
-        order = np.argsort(g, kind="stable")
-        self.gram, self.first, self.count = np.unique(g[order], return_index=True, return_counts=True)
-        self.item = (np.concatenate(item) if item else np.empty(0, np.int64))[order]
-        self.offset = (np.concatenate(offset) if offset else np.empty(0, np.int64))[order]
-        self.size = np.array(sizes, np.int64)
-        self.slack = np.maximum(2, self.size // 5)
-        self.least = np.maximum(1, self.size - 2 - 3 * (self.size // 5))
-        self.maybe = np.zeros(1 << 20, bool)
-        self.maybe[(self.gram & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-
-    def hits(self, grams: np.ndarray):
-        """(position, item, offset) of every run of an item among these hashes."""
-        at = np.flatnonzero(self.maybe[(grams & np.uint64((1 << 20) - 1)).astype(np.int64)])
-        k = np.minimum(np.searchsorted(self.gram, grams[at]), len(self.gram) - 1)
-        same = self.gram[k] == grams[at]
-        at, k = at[same], k[same]
-        n = self.count[k]
-        which = np.repeat(self.first[k], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        return np.repeat(at, n), self.item[which], self.offset[which]
-
-
-def find_windows(texts: list[list[bytes]], index: ItemIndex):
-    """(text, words of the item, start) of the windows worth a look, each once."""
-    found = set()
-    if not len(index.gram):
-        return found
-    n = np.array([len(w) for w in texts], np.int64)
-    flat = HASHES.of([x for w in texts for x in w])
-    owner = np.repeat(np.arange(len(texts)), n)
-    begin = np.cumsum(n) - n
-    for run in index.runs:
-        if not 0 < run <= len(flat):
-            continue
-        grams = shingle_hashes(flat, run)
-        at, item, offset = index.hits(grams)
-        ok = (np.minimum(RUN, index.size[item]) == run) & (owner[at] == owner[at + run - 1])
-        at, item, offset = at[ok], item[ok], offset[ok]
-        if not len(at):
+            edits = len(t) * percent // 100
+            shift = max(1, (edits // 3).bit_length() - 1)
+            kinds.setdefault((gram_length(len(t), edits), shift, -(-edits // (1 << shift)) + 1), {})[i] = t
+        self.groups = []
+        for kind, mine in kinds.items():
+            common = np.zeros(1 << 20, np.int64)
+            for t in texts:
+                np.add.at(common, gram_slots(codes_of(t), kind[0]), 1)
+            self.groups.append(ItemGroup(mine, *kind, percent, common))
+
+
+def find_windows(texts: list[str], index: ItemIndex):
+    """(text, item, first word, begin, end, starts) of the parts of folded texts worth a look.
+
+    ``begin`` and ``end`` bound the letters in which the passage lies whole."""
+    codes = codes_of("\n".join(texts))  # folded texts hold no other line ends, and items none
+    stop = np.cumsum([len(t) + 1 for t in texts])
+    spaces = np.cumsum(codes == 32)
+    slots = {}
+    for g in index.groups:
+        if len(codes) < g.q:
             continue
-        text = owner[at]
-        diagonal = at - begin[text] - offset
-        bucket = np.floor_divide(diagonal, index.slack[item]) + (1 << 20)
-        cell = ((text * len(index.size) + item) << 22) | bucket
-        both, times = np.unique(np.stack([cell, diagonal]), axis=1, return_counts=True)
-        cells, head = np.unique(both[0], return_index=True)
-        total = np.add.reduceat(times, head)
-        after = np.where(np.diff(cells, append=-1) == 1, np.append(total[1:], 0), 0)
-        before = np.where(np.diff(cells, prepend=-9) == 1, np.append(0, total[:-1]), 0)
-        items = (cells >> 22) % len(index.size)
-        for c in np.flatnonzero(total + np.maximum(after, before) >= index.least[items]):
-            stop = head[c + 1] if c + 1 < len(head) else len(times)
-            best = head[c] + int(np.argmax(times[head[c] : stop]))
-            i = int(items[c])
-            found.add((int(cells[c] >> 22) // len(index.size), int(index.size[i]), max(0, int(both[1][best]))))
-    return found
-
-
-def _windows(items: list[str]):
+        if g.q not in slots:
+            slots[g.q] = gram_slots(codes, g.q)
+        for i, first, last in g.cells(slots[g.q]):
+            size, edits = int(g.size[i]), int(g.edits[i])
+            lo = max(0, (first << g.shift) - g.pad)
+            hi = min(len(codes), ((last + g.n) << g.shift) - g.pad + size)
+            for d in range(int(np.searchsorted(stop, lo, side="right")), len(texts)):
+                base = int(stop[d]) - len(texts[d]) - 1
+                if base >= hi:
+                    break
+                a, b = max(lo, base), min(hi, int(stop[d]) - 1)
+                if b - a < max(g.q, size - edits):
+                    continue
+                for s in g.starts(i, slots[g.q][a : b - g.q + 1]):
+                    at = max(a + s, base)
+                    if not edits and not ((at == base or codes[at - 1] == 32) and (at + size == stop[d] - 1 or codes[at + size] == 32)):
+                        continue  # of items too short for an edit only whole words are passages
+                    yield d, int(g.ids[i]), int(spaces[at] - (spaces[base - 1] if base else 0)), a - base, b - base, at - base
+
+
+def fold(text: str | None) -> str:
+    return b" ".join(words(text, lower=True)).decode("utf-8", "replace")
+
+
+def _windows(items: list[tuple[int, str, int, int]], percent: int):
+    """Windows of items (part, text, offset in the whole, letters of the whole)."""
+
     def run(batches):
-        index = ItemIndex(items)
+        index = ItemIndex([t for _, t, _, _ in items], percent)
+        types = [pa.int64()] * 3 + [pa.int32()] * 2 + [pa.string()] * 2
         for batch in batches:
-            for lo, texts in text_slices(batch.column(2)):
-                part, rows = [words(t, lower=True) for t in texts], []
+            for lo, texts in text_slices(batch.column(2), max(20_000, 50_000_000 // (len(items) + 50))):
+                part, rows = [fold(t) for t in texts], []
                 ids, keys = (batch.column(i).slice(lo, len(texts)).to_pylist() for i in (0, 1))
-                for d, size, start in sorted(find_windows(part, index)):
-                    slack = max(2, size // 5)
-                    text = lambda a, b, w=part[d]: b" ".join(w[a:b]).decode("utf-8", "replace")
-                    rows.append((ids[d], keys[d], size, start, text(start, start + size), text(max(0, start - slack), start + size + slack)))
+                for d, i, word, begin, end, at in find_windows(part, index):
+                    key, item, offset, whole = items[i]
+                    slack = 0 if whole == len(item) else whole * percent // 100
+                    around = part[d][max(0, begin - offset - slack) : end + whole - offset - len(item) + slack]
+                    rows.append((ids[d], keys[d], key, len(item), word, part[d][at : at + len(item)], around))
                 if rows:
-                    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(zip(*rows, strict=True), types, strict=True)], names=[f.split()[0] for f in WINDOWS.split(", ")])
 
     return run
@@ -146,44 +247,54 @@ def _windows(items: list[str]):
 # --- embedding and LSH ---------------------------------------------------------
 
 
+def size_class(size: np.ndarray) -> np.ndarray:
+    """Greatest step of a ladder (a tenth each) up to so many letters: windows of a class share their steps."""
+    ladder = np.unique((1.1 ** np.arange(250)).astype(np.int64))
+    return ladder[np.searchsorted(ladder, np.maximum(size, 1), side="right") - 1]
+
+
 def sample_keys(texts: list[str], size: int) -> np.ndarray:
-    """Keys (text, walk * SAMPLES + sample) of windows of ``size`` words."""
+    """Keys (text, walk * SAMPLES + sample) of windows of ``size`` letters or up to a tenth more.
+
+    A walk moves on at every other step, so two steps a letter read a window to its end."""
     rng = np.random.default_rng([size, WALKS, SAMPLES, BITS])
-    reach = max(4, 8 * size)  # steps from which samples are drawn; a walk moves on at every other step
+    reach = max(4, 2 * size)
     spread = min(SPREAD, reach)
     steps = rng.integers(0, reach - spread + 1, (WALKS, SAMPLES, 1)) + rng.integers(0, spread, (WALKS, SAMPLES, BITS))
     longest = max(map(len, texts), default=0) + 1
     chars = np.zeros((len(texts), longest), np.uint32)
     for i, t in enumerate(texts):
-        chars[i, : len(t)] = np.frombuffer(t.encode("utf-32-le", "replace"), np.uint32) + 1  # 0 is the end
+        chars[i, : len(t)] = codes_of(t) + 1  # 0 is the end
     out = np.empty((len(texts), WALKS * SAMPLES), np.uint64)
     rows = np.arange(len(texts))
     for walk in range(WALKS):
-        put = np.zeros((len(texts), reach), np.uint32)
+        put = np.zeros((reach, len(texts)), np.uint32)
         at = np.zeros(len(texts), np.int64)
         for step in range(int(steps[walk].max()) + 1):
             letter = chars[rows, at]
-            put[:, step] = letter
+            put[step] = letter
             coin = mix(letter.astype(np.uint64) + np.uint64((walk << 40) | (step << 24)))
             at = np.minimum(at + ((coin >> np.uint64(17)) & np.uint64(1)).astype(np.int64), longest - 1)
         for s in range(SAMPLES):
             key = np.full(len(texts), (size << 16) | (walk << 8) | s, np.uint64)
             for b in range(BITS):
-                key = mix(key) + put[:, steps[walk, s, b]].astype(np.uint64)
+                key = mix(key) + put[steps[walk, s, b]].astype(np.uint64)
             out[:, walk * SAMPLES + s] = mix(key)
     return out
 
 
 def _keys(batches):
-    """(id, key) of rows (id, size, window)."""
+    """(id, part, key) of rows (id, part, size, window)."""
     for batch in batches:
-        ids, size, text = np.asarray(batch.column(0)), np.asarray(batch.column(1)), batch.column(2).to_pylist()
+        ids, parts, size = (np.asarray(batch.column(i)) for i in range(3))
+        size, text = size_class(size), batch.column(3).to_pylist()
         for w in np.unique(size):
             which = np.flatnonzero(size == w)
             for lo in range(0, len(which), 2_000):
                 part = which[lo : lo + 2_000]
                 keys = sample_keys([text[i] for i in part], int(w))
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[part], keys.shape[1])), pa.array(signed(keys.ravel()))], names=["id", "key"])
+                cols = [pa.array(np.repeat(ids[part], keys.shape[1])), pa.array(np.repeat(parts[part], keys.shape[1])), pa.array(signed(keys.ravel()))]
+                yield pa.RecordBatch.from_arrays(cols, names=["id", "part", "key"])
 
 
 # --- verification --------------------------------------------------------------
@@ -225,10 +336,10 @@ def _verify(percent: int):
         types = [pa.int64(), pa.int64(), pa.int64(), *[pa.int32()] * 4]
         for batch in batches:
             rows = []
-            for doc_id, key, item_id, item, size, start, around in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc_id, key, item_id, item, start, around in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 d, _ = best_edit_distance(item, around)
                 if 100 * d <= percent * len(item):
-                    rows.append((doc_id, key, item_id, start, size, d, len(item)))
+                    rows.append((doc_id, key, item_id, start, item.count(" ") + 1, d, len(item)))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
@@ -238,16 +349,28 @@ def _verify(percent: int):
 # --- the operator ----------------------------------------------------------------
 
 
-def item_parts(rows) -> list[tuple]:
-    """(item_id, folded text) of items; items of over ITEM_WORDS words give their parts."""
+def whole_parts(rows) -> list[tuple]:
+    """(item_id, folded part, its first letter, folded item): items of over ITEM_WORDS words give equal parts.
+
+    If an item is within the limit, so is one of its parts."""
     out = []
     for item_id, text in rows:
         w = words(text, lower=True)
-        for lo in range(0, len(w), ITEM_WORDS):
-            out.append((item_id, b" ".join(w[lo : lo + ITEM_WORDS]).decode("utf-8", "replace")))
+        n = -(-len(w) // ITEM_WORDS)
+        ends = [len(w) * i // n for i in range(n + 1)] if n else []
+        whole, at = fold(text), 0
+        for lo, hi in zip(ends[:-1], ends[1:], strict=True):
+            part = b" ".join(w[lo:hi]).decode("utf-8", "replace")
+            out.append((item_id, part, at, whole))
+            at += len(part) + 1
     return out
 
 
+def item_parts(rows) -> list[tuple]:
+    """(item_id, folded text) of items; those of over ITEM_WORDS words give their parts."""
+    return [(i, part) for i, part, _, _ in whole_parts(rows)]
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, percent: int = MAX_EDIT_PERCENT, block: int = BLOCK) -> DataFrame:
     """Rows LEAKS: passages of ``docs`` (doc_id, text) within the limit of an item (item_id, text)."""
     spark = docs.sparkSession
@@ -257,17 +380,21 @@ def find_leaks(docs: DataFrame, items: DataFrame, percent: int = MAX_EDIT_PERCEN
     out = None
     for b in range(blocks):
         mine = asked.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b) if blocks > 1 else asked
-        parts = item_parts(mine.toLocalIterator())
+        parts, ids = {}, {}
+        for item_id, t, at, whole in whole_parts(mine.toLocalIterator()):
+            key = xxhash.xxh3_64_intdigest(f"{at}:{len(t)}:{whole}".encode("utf-8", "replace")) >> 1
+            parts[key] = (key, t, at, len(whole))
+            ids[key, item_id] = (key, item_id, whole)
         if not parts:
             continue
-        windows = materialize(texts.mapInArrow(_windows(sorted({t for _, t in parts})), WINDOWS), "windows").distinct()
-        windows = windows.withColumn("id", F.xxhash64("doc_id", "text_key", "size", "start"))
-        rows = [(xxhash.xxh3_64_intdigest(f"{i}:{t}".encode()) >> 1, i, t, len(t.split(" "))) for i, t in parts]
-        known = spark.createDataFrame(rows, "part long, item_id long, item string, item_size int")
-        item_keys = known.select("part", "item_size", "item").mapInArrow(_keys, "id long, key long").withColumnRenamed("id", "part")
-        met = windows.select("id", "size", "window").mapInArrow(_keys, "id long, key long").join(F.broadcast(item_keys), "key").select("id", "part").distinct()
-        checked = windows.join(met, "id").join(F.broadcast(known), "part")
-        found = checked.select("doc_id", "text_key", "item_id", "item", "size", "start", "around").mapInArrow(_verify(percent), LEAKS)
+        windows = materialize(texts.mapInArrow(_windows(sorted(parts.values()), percent), WINDOWS), "windows").distinct()
+        windows = windows.withColumn("id", F.xxhash64("doc_id", "text_key", "part", "start"))
+        known = spark.createDataFrame(list(ids.values()), "part long, item_id long, item string")
+        item_keys = spark.createDataFrame([(k, k, len(t), t) for k, t, _, _ in parts.values()], "id long, part long, size int, item string").mapInArrow(_keys, KEYS).select("part", "key")
+        met = windows.select("id", "part", "size", "window").mapInArrow(_keys, KEYS).join(F.broadcast(item_keys), ["part", "key"]).select("id", "part").distinct()
+        around = windows.select("id", "doc_id", "text_key", "part", "start", "around").distinct()
+        checked = around.join(met, ["id", "part"]).join(F.broadcast(known), "part")
+        found = checked.select("doc_id", "text_key", "item_id", "item", "start", "around").mapInArrow(_verify(percent), LEAKS)
         out = found if out is None else out.union(found)
     return materialize(out.distinct(), "leaks") if out is not None else spark.createDataFrame([], LEAKS)
 

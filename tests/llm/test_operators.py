@@ -352,3 +352,45 @@ def test_components(spark):
     got = {x.node: x.component for x in common.connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
     real = [(a, b) for a, b in edges if a is not None and a != b]
     assert got == classes_of({x for e in real for x in e}, real)
+
+
+def letters_changed(text, share, seed):
+    r, t = random.Random(seed), list(text)
+    for i in r.sample([i for i, c in enumerate(t) if c != " "], int(share * len(t))):
+        t[i] = r.choice([c for c in "abcdefghij" if c != t[i]])
+    return "".join(t)
+
+
+@pytest.mark.parametrize("share", [0.05, 0.1, 0.2])
+def test_leaks_with_letter_edits_are_found(make, spark, share):
+    items = [(i, prose(40, 6000 + i)) for i in range(100)]
+    rows = [(i, prose(60, 100 + i) + " " + letters_changed(t, share, i) + " " + prose(60, 300 + i), "s") for i, t in items]
+    rows += [(200 + i, prose(200, 9000 + i), "s") for i in range(20)]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(make(rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got <= {(i, i) for i in range(100)} and len(got) >= 98
+
+
+def test_letter_edits_in_every_fifth_letter_leave_a_window():
+    for i in range(20):
+        t = prose(40, 6500 + i)
+        e = len(t) * 20 // 100
+        changed = "".join("z" if j % 5 == 4 and j // 5 < e else c for j, c in enumerate(t))
+        host = prose(50, i) + " " + changed + " " + prose(50, 90 + i)
+        at = host.index(changed)
+        found = list(decontaminate.find_windows([prose(30, 2), host], decontaminate.ItemIndex([t])))
+        assert any(d == 1 and begin <= at and end >= at + len(changed) for d, _, _, begin, end, _ in found)
+
+
+def test_walks_read_windows_to_their_end():
+    head = [prose(40, 6800 + i)[:230] for i in range(50)]
+    changed = np.array([(decontaminate.sample_keys([t[:180] + "z" * 50], 230) != decontaminate.sample_keys([t], 230)).mean() for t in head])
+    assert changed.mean() > 0.1 and (changed > 0).all()
+
+
+def test_long_items_are_verified_whole(make, spark):
+    item = prose(400, 6) + " the"
+    whole = edited(item, 30, 1)
+    rows = [(1, "the " + prose(60, 1), "s"), (2, prose(30, 2) + " " + whole + " " + prose(30, 3), "s"), (3, " ".join(item.split()[:200]) + " " + prose(300, 4), "s")]
+    got = decontaminate.find_leaks(make(rows), spark.createDataFrame([(5, item)], "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id, r.length, r.n_words) for r in got} == {(2, 5, len(item), 401)}
+    assert {r.distance for r in got} == {decontaminate.best_edit_distance(item, rows[1][1])[0]}
