@@ -82,8 +82,8 @@ def _facts(batches):
         yield pa.RecordBatch.from_arrays([ids, hosts, text_hash, *cols, line_hash, line_words], names=[f.split()[0] for f in FACTS.split(", ")])
 
 
-def quality_verdicts(docs: DataFrame, max_share: float = MAX_SHARE, min_docs: int = MIN_DOCS, min_kept_share: float = MIN_KEPT_SHARE) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text, source): base figures and verdicts."""
+def _verdicts(docs: DataFrame, max_share: float = MAX_SHARE, min_docs: int = MIN_DOCS, min_kept_share: float = MIN_KEPT_SHARE) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text, source): base figures, verdicts, and the hashes of the lines over the limit."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), text_key("text"), F.col("text").cast("string"))
     facts = materialize(rows.mapInArrow(_facts, FACTS), "facts")
     hosts = facts.groupBy("host").agg(F.count_distinct("text_hash").alias("host_docs"))
@@ -97,8 +97,8 @@ def quality_verdicts(docs: DataFrame, max_share: float = MAX_SHARE, min_docs: in
     texts = facts.select("host", "text_hash", F.explode(F.arrays_zip("line_hash", "line_words")).alias("l")).select("host", "text_hash", F.col("l.line_hash").alias("line"), F.col("l.line_words").alias("n")).distinct()
     removed = (
         texts.join(frequent, (F.col("line") == F.col("_line")) & F.col("host").eqNullSafe(F.col("_host")))
-        .groupBy("host", "text_hash").agg(F.count("*").alias("lines"), F.sum("n").alias("words"))
-        .select(F.col("host").alias("_h"), F.col("text_hash").alias("_t"), "lines", "words")
+        .groupBy("host", "text_hash").agg(F.count("*").alias("lines"), F.sum("n").alias("words"), F.collect_list("line").alias("removed"))
+        .select(F.col("host").alias("_h"), F.col("text_hash").alias("_t"), "lines", "words", "removed")
     )
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return (
@@ -111,14 +111,38 @@ def quality_verdicts(docs: DataFrame, max_share: float = MAX_SHARE, min_docs: in
     )
 
 
+def quality_verdicts(docs: DataFrame, **limits) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text, source): base figures and verdicts."""
+    return _verdicts(docs, **limits).drop("removed")
+
+
+def cut_lines(text: str, removed: list[int]) -> str:
+    """``text`` without the lines of these (signed) hashes."""
+    gone = {h % (1 << 64) for h in removed}
+    lines = [x for x in text.encode("utf-8", "surrogatepass").split(b"\n") if not (w := x.split()) or xxhash.xxh3_64_intdigest(b" ".join(w).lower()) not in gone]
+    return b"\n".join(lines).decode("utf-8", "surrogatepass")
+
+
+def _cut(texts: pa.Array, removed: pa.Array) -> pa.Array:
+    return pa.array([None if r is None else cut_lines(t, r) for t, r in zip(texts.to_pylist(), removed.to_pylist(), strict=True)], pa.string())
+
+
 def quality_filter(docs: DataFrame, **limits) -> DataFrame:
-    """The rows of ``docs`` whose text and host the verdicts keep, columns unchanged.
+    """The rows of ``docs`` whose text and host the verdicts keep, without the lines over their host's limit.
 
-    Verdicts hang on (host, text) alone, and so are joined by their hashes; a document
-    with no kept verdict goes."""
-    kept = quality_verdicts(docs, **limits).where("kept").select(F.col("text_hash").alias("_t"), F.col("host").alias("_h")).distinct()
+    ``text``, and ``n_chars`` where there is one, change with the cut. Verdicts hang on
+    (host, text) alone, and so are joined by their hashes; a document with no kept verdict
+    goes."""
+    verdicts = _verdicts(docs, **limits).where("kept")
+    kept = verdicts.groupBy(F.col("text_hash").alias("_t"), F.col("host").alias("_h")).agg(F.first("removed").alias("_removed"))
     keyed = docs.withColumn("_key", text_key("text"))
-    return keyed.join(kept, (F.col("_key") == F.col("_t")) & F.col("source").eqNullSafe(F.col("_h")), "left_semi").drop("_key")
+    joined = keyed.join(kept, (F.col("_key") == F.col("_t")) & F.col("source").eqNullSafe(F.col("_h")))
+    cut = F.arrow_udf(_cut, "string")(F.when(F.col("_removed").isNotNull(), F.col("text")), F.col("_removed"))
+    joined = joined.withColumn("_cut", cut)
+    new = {"text": F.coalesce("_cut", "text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("_cut").isNull(), F.col("n_chars")).otherwise(F.length("_cut")).cast(docs.schema["n_chars"].dataType)
+    return joined.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
 
 
 def op3_quality(spark, sf_dir: str) -> DataFrame:

@@ -394,3 +394,11 @@ def test_long_items_are_verified_whole(make, spark):
     got = decontaminate.find_leaks(make(rows), spark.createDataFrame([(5, item)], "item_id long, text string")).collect()
     assert {(r.doc_id, r.item_id, r.length, r.n_words) for r in got} == {(2, 5, len(item), 401)}
     assert {r.distance for r in got} == {decontaminate.best_edit_distance(item, rows[1][1])[0]}
+
+
+def test_lines_over_the_limit_are_cut(make):
+    menu = "the  Menu line of this very host is here"
+    rows = [(i, prose(40, i) + "\n" + (menu.upper() if i % 2 else menu) + "\n\n" + prose(40, 500 + i), "h") for i in range(40)] + [(100, menu + "\n" + prose(70, 900), "other")]
+    got = {r.doc_id: r for r in quality.quality_filter(make(rows)).collect()}
+    assert all(got[i].text == prose(40, i) + "\n\n" + prose(40, 500 + i) and got[i].n_chars == len(got[i].text) for i in range(40))
+    assert got[100].text == rows[-1][1] and len(got) == len(rows)
