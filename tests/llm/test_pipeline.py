@@ -56,3 +56,14 @@ def test_stages_take_effect(spark, folder):
 def test_run_repeats_itself(spark, folder):
     digest = lambda: hashlib.sha256(repr(sorted(map(tuple, corpus_pipeline.run(spark, folder[0]).collect()))).encode()).hexdigest()
     assert digest() == digest()
+
+
+def test_near_copies_between_the_limits_go(spark, make, tmp_path):
+    base, rows = [prose(120, 30 + i) for i in range(8)], []
+    for i, t in enumerate(base):
+        w = t.split(" ")
+        w[40:45] = [f"other{j}x{i}" for j in range(5)]
+        rows += [(i, t, "s"), (100 + i, " ".join(w), "s")]
+        s3, s5 = ((len(shingles(t, k) & shingles(rows[-1][1], k)), len(shingles(t, k) | shingles(rows[-1][1], k))) for k in (3, 5))
+        assert 100 * s3[0] < 90 * s3[1] and 100 * s5[0] >= 80 * s5[1]
+    assert {r.doc_id for r in corpus_pipeline.near_copies(spark, make(rows), str(tmp_path)).collect()} == set(range(8))
