@@ -230,7 +230,7 @@ def _windows(items: list[tuple[int, str, int, int]], percent: int):
         index = ItemIndex([t for _, t, _, _ in items], percent)
         types = [pa.int64()] * 3 + [pa.int32()] * 2 + [pa.string()] * 2
         for batch in batches:
-            for lo, texts in text_slices(batch.column(2), max(20_000, 50_000_000 // (len(items) + 50))):
+            for lo, texts in text_slices(batch.column(2), max(20_000, 15_000_000 // (len(items) + 50))):
                 part, rows = [fold(t) for t in texts], []
                 ids, keys = (batch.column(i).slice(lo, len(texts)).to_pylist() for i in (0, 1))
                 for d, i, word, begin, end, at in find_windows(part, index):
@@ -267,18 +267,18 @@ def sample_keys(texts: list[str], size: int) -> np.ndarray:
         chars[i, : len(t)] = codes_of(t) + 1  # 0 is the end
     out = np.empty((len(texts), WALKS * SAMPLES), np.uint64)
     rows = np.arange(len(texts))
+    put = np.zeros((int(steps.max()) + 1, WALKS, len(texts)), np.uint32)
+    at = np.zeros((WALKS, len(texts)), np.int64)
+    walks = np.arange(WALKS, dtype=np.uint64)[:, None] << np.uint64(40)
+    for step in range(len(put)):
+        put[step] = letter = chars[rows, at]
+        coin = mix(letter.astype(np.uint64) + (walks | np.uint64(step << 24)))
+        at = np.minimum(at + ((coin >> np.uint64(17)) & np.uint64(1)).astype(np.int64), longest - 1)
     for walk in range(WALKS):
-        put = np.zeros((reach, len(texts)), np.uint32)
-        at = np.zeros(len(texts), np.int64)
-        for step in range(int(steps[walk].max()) + 1):
-            letter = chars[rows, at]
-            put[step] = letter
-            coin = mix(letter.astype(np.uint64) + np.uint64((walk << 40) | (step << 24)))
-            at = np.minimum(at + ((coin >> np.uint64(17)) & np.uint64(1)).astype(np.int64), longest - 1)
         for s in range(SAMPLES):
             key = np.full(len(texts), (size << 16) | (walk << 8) | s, np.uint64)
             for b in range(BITS):
-                key = mix(key) + put[steps[walk, s, b]].astype(np.uint64)
+                key = mix(key) + put[steps[walk, s, b], walk].astype(np.uint64)
             out[:, walk * SAMPLES + s] = mix(key)
     return out
 
@@ -290,8 +290,8 @@ def _keys(batches):
         size, text = size_class(size), batch.column(3).to_pylist()
         for w in np.unique(size):
             which = np.flatnonzero(size == w)
-            for lo in range(0, len(which), 2_000):
-                part = which[lo : lo + 2_000]
+            for lo in range(0, len(which), 500):
+                part = which[lo : lo + 500]
                 keys = sample_keys([text[i] for i in part], int(w))
                 cols = [pa.array(np.repeat(ids[part], keys.shape[1])), pa.array(np.repeat(parts[part], keys.shape[1])), pa.array(signed(keys.ravel()))]
                 yield pa.RecordBatch.from_arrays(cols, names=["id", "part", "key"])
