@@ -328,11 +328,8 @@ def _fetch(texts: DataFrame, chosen: DataFrame, k: int) -> DataFrame:
     return keyed.join(pick, same).select("cluster", F.col("_node").alias("node"), "copies", "text").mapInArrow(_members(k), MEMBERS)
 
 
-def jaccard_classes(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
-    """Rows (doc_id, text_key, n_shingles, component_id, n_links), one per row of ``docs`` (doc_id, text).
-
-    component_id is the smallest doc_id reachable by links; n_links counts the other
-    documents that a document links with, copies included."""
+def _classes(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The rows of ``jaccard_classes`` with their class, the least set of it; empty sets have none."""
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     sets = materialize(texts.withColumn("text_key", text_key("text")).mapInArrow(_sets(k, percent), SETS), "sets")
     filled = sets.where("node IS NOT NULL")
@@ -347,24 +344,33 @@ def jaccard_classes(docs: DataFrame, k: int = K, percent: int = PERCENT) -> Data
     classes = connected_components(links.where("v IS NOT NULL"), "u", "v")
     first = classes.join(nodes, "node").groupBy("component").agg(F.min("first").alias("class_first"))
     counts = links.where("v IS NULL").groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("links"))
-    named = classes.join(first, "component").join(counts, "node", "left").select("node", "class_first", "links")
+    named = classes.join(first, "component").join(counts, "node", "left").select("node", "component", "class_first", "links")
     final = nodes.join(named, "node", "left").select(
-        "node", F.coalesce("class_first", "first").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
+        "node", F.coalesce("class_first", "first").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("class")
     )
     # written first, so that Spark may split a set with very many copies in the join
     return sets.join(materialize(final, "set-classes"), "node", "left").select(
-        "doc_id", "text_key", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
+        "doc_id", "text_key", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "class"
     )
 
 
+def jaccard_classes(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
+    """Rows (doc_id, text_key, n_shingles, component_id, n_links), one per row of ``docs`` (doc_id, text).
+
+    component_id is the smallest doc_id reachable by links; n_links counts the other
+    documents that a document links with, copies included."""
+    return _classes(docs, k, percent).drop("class")
+
+
 def keep_one(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
     """One row of ``docs`` for each class: that of the smallest doc_id, columns unchanged.
 
-    Among texts of one doc_id the one of the smallest key stays; rows without a doc_id
-    stay unless a row with one is in their class."""
-    classes = materialize(jaccard_classes(docs, k, percent).select("doc_id", "text_key", "component_id"), "classes")
-    first = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    stay = first.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("text_key").alias("text_key")).union(first.where("doc_id IS NULL").select("doc_id", "text_key").distinct())
+    Among texts of one doc_id the one of the smallest key stays, rows without a doc_id come
+    last, and empty texts stay once for each doc_id and key."""
+    classes = materialize(_classes(docs, k, percent).select("doc_id", "text_key", "class"), "classes")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first")
+    stay = classes.where("class IS NOT NULL").groupBy("class").agg(first).select("first.doc_id", "first.text_key")
+    stay = stay.union(classes.where("class IS NULL").select("doc_id", "text_key").distinct())
     stay = stay.select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_text"))
     keyed = docs.withColumn("_key", text_key("text"))
     kept = keyed.join(stay, (F.col("_key") == F.col("_text")) & F.col("doc_id").eqNullSafe(F.col("_doc")), "left_semi")

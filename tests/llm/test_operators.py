@@ -402,3 +402,9 @@ def test_lines_over_the_limit_are_cut(make):
     got = {r.doc_id: r for r in quality.quality_filter(make(rows)).collect()}
     assert all(got[i].text == prose(40, i) + "\n\n" + prose(40, 500 + i) and got[i].n_chars == len(got[i].text) for i in range(40))
     assert got[100].text == rows[-1][1] and len(got) == len(rows)
+
+
+def test_unlinked_texts_of_one_id_both_stay(make):
+    one, two = prose(60, 71), prose(60, 72)
+    kept = jaccard_join.keep_one(make([(1, one, "s"), (1, two, "s"), (2, two, "s")])).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == sorted([(1, one), (1, two)])
