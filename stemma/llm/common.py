@@ -155,13 +155,23 @@ class WordHashes(dict):
 HASHES = WordHashes()
 
 
-def release_memory() -> None:
-    """Give back what earlier tasks of this worker left: workers serve many operators in turn."""
+#: What tasks of this worker keep for one another, by name: dictionaries that may be emptied.
+CACHES: dict[str, dict] = {"words": HASHES}
+_last = ""
+
+
+def begin_task(work: str) -> None:
+    """First call of every task: workers serve many operators in turn, so what tasks of other
+    work have kept is dropped, and freed memory goes back to the machine."""
     import ctypes
     import gc
 
-    HASHES.clear()
-    gc.collect()
+    global _last
+    if work != _last:
+        for kept in CACHES.values():
+            kept.clear()
+        gc.collect()
+        _last = work
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

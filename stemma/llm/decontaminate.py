@@ -3,9 +3,12 @@ r"""Benchmark decontamination: CGK embedding, bit-sampling LSH, exact edit dista
 An item leaks into a document when some passage lies within MAX_EDIT_PERCENT of the
 item's length in edits (of characters, after folding A-Z and joining words by one space).
 
-1. *Windows.* An item of m letters with e edits keeps ``m - 3 - 4 * e`` of its four-letter
-   runs (shorter runs for short items), on diagonals that differ by e at most; places with
-   fewer are no windows, so none within the limit is lost. All texts are searched whole.
+1. *Windows.* Items are indexed by pairs of neighbouring letter runs (two runs of four
+   letters, shorter ones for short items) that touch or have one letter between them, so a
+   letter changed, left out or put in does not hide a pair. Where pairs of one item gather
+   in a band of diagonals as wide as its edits, a window of the item's size is cut out. All
+   texts are searched whole; random edits in a fifth of the letters leave four times the
+   pairs that a band must hold (MIN_PAIRS of the letters).
 2. *Embedding.* WALKS random walks (Chakraborty, Goldenberg, Koucky) read a window: at
    every step the letter at hand is put out and a hash of (walk, step, letter) decides
    whether to move on. Edit distance becomes Hamming distance.
@@ -15,9 +18,10 @@ item's length in edits (of characters, after folding A-Z and joining words by on
 4. *Verification.* The least edit distance between the item and any part of the window
    with its surroundings, by a bit-parallel scan.
 
-Items are taken in blocks of BLOCK items in order of their hash, so what is broadcast is
-bounded by BLOCK items and their keys. Items of over ITEM_WORDS words are searched by equal
-parts, but the whole item is verified. Defined cases: null or blank items and texts match
+Items with equal texts are searched once. Items of over ITEM_WORDS words (or ITEM_LETTERS
+letters) are searched by equal parts, but verified whole. Parts are taken in blocks of about
+BLOCK, by hash, so what the driver and the tasks hold of them is bounded; verification joins
+the items' texts by shuffle. Defined cases: null or blank items and texts match
 nothing; items too short for an edit match whole words; equal items each match; repeated
 rows give equal rows once; null ids are carried; empty tables give an empty result; other
 columns pass through ``decontaminate`` and are not carried by ``find_leaks``.
@@ -25,30 +29,42 @@ columns pass through ``decontaminate`` and are not carried by ``find_leaks``.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stemma.llm.common import materialize, mix, signed, table, text_key, text_slices, words
+from stemma.llm.common import CACHES, begin_task, materialize, mix, signed, table, text_key, text_slices, words
 
 MAX_EDIT_PERCENT = 20
 WALKS, SAMPLES, BITS = 8, 12, 4
 #: The bits of one sample lie within this many steps: walks that differ run together again for stretches.
 SPREAD = 40
+#: Parts of items that are searched at once.
 BLOCK = 2_000
-ITEM_WORDS = 400
+ITEM_WORDS, ITEM_LETTERS = 400, 4_000
 
-#: Share of the letter runs that must be left which may be given up for not looking up common ones.
-DROPPED = 0.2
+#: Share of an item's letters that must begin a kept pair in one band of diagonals.
+MIN_PAIRS = 0.08
+#: (least letters, letters of a run, letters between the runs of a pair, share that must be kept).
+#: Items under 20 letters have pairs of single letters, of which any edits within the limit leave some.
+KINDS = [(60, 4, (0, 1), MIN_PAIRS), (20, 3, (0, 1), MIN_PAIRS), (0, 1, (0,), None)]
 #: Buckets of diagonals that one part of a text may span; longer runs of them are looked at in parts.
 LONGEST_RUN = 8
+#: Letters of texts that are searched at once, if the items are few; hits grow with their letters.
+STEP, HITS = 500_000, 40_000_000_000
 
-WINDOWS = "doc_id long, text_key long, part long, size int, start int, window string, around string"
+WINDOWS = "doc_id long, text_key long, item long, part long, size int, start int, window string, around string"
+PARTS = "item long, part long, at int, whole int, size int, text string"
+FOUND = "doc_id long, text_key long, item long, start int, n_words int, distance int, length int"
 KEYS = "id long, part long, key long"
 LEAKS = "doc_id long, text_key long, item_id long, start int, n_words int, distance int, length int"
 
+_INDEXES = CACHES.setdefault("leak indexes", {})
+
 
 def recall(differing: float) -> float:
     """Chance that a pair with this share of differing steps meets in some sample."""
@@ -62,182 +78,168 @@ def codes_of(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
 
 
-def gram_slots(codes: np.ndarray, q: int) -> np.ndarray:
-    """A slot of 20 bits for each run of ``q`` letters; runs that share one only add to a count."""
-    h = codes[: max(0, len(codes) - q + 1)].copy()
-    for i in range(1, q):
-        h = h * np.uint32(0x9E3779B1) + codes[i : len(codes) - q + 1 + i]
-    h ^= h >> np.uint32(15)
-    h *= np.uint32(0x85EBCA6B)
-    return ((h ^ (h >> np.uint32(13))) >> np.uint32(12)).astype(np.int32)
-
-
-def gram_length(size: int, edits: int) -> int:
-    """Letters of a run, so that ``size - q + 1 - q * edits`` runs, more than none, must be left."""
-    return min(size, 4) if not edits else 4 if size >= 60 else 3 if size >= 12 else 2
+def pair_hashes(codes: np.ndarray, half: int, gap: int) -> np.ndarray:
+    """A hash of two runs of ``half`` letters with ``gap`` letters between, for every place."""
+    n = len(codes) - 2 * half - gap + 1
+    if n <= 0:
+        return np.empty(0, np.uint32)
+    run = codes[: len(codes) - half + 1] * np.uint32(0x9E3779B1)
+    for i in range(1, half):
+        run = (run + codes[i : len(codes) - half + 1 + i]) * np.uint32(0x9E3779B1)
+    run ^= run >> np.uint32(15)
+    h = run[:n] * np.uint32(0x85EBCA6B) + run[half + gap : half + gap + n]
+    h ^= h >> np.uint32(16)
+    h *= np.uint32(0xC2B2AE35)
+    return h
 
 
 class ItemGroup:
-    """Places of the letter runs of items that share a run length and a band of diagonals.
+    """Places of the pairs of letter runs of items that share a run length.
 
-    Up to DROPPED of the runs that must be left are given up for the commonest runs of an
-    item, which are then not looked up: ``least`` counts the others."""
+    A pair is two neighbouring runs of ``half`` letters that touch or have one letter between
+    them, in the item or in the text: so one letter changed, left out or put in is passed over."""
 
-    def __init__(self, texts: dict[int, str], q: int, shift: int, n: int, percent: int, common: np.ndarray):
-        self.q, self.shift, self.n, self.ids = q, shift, n, np.array(list(texts))
-        slots = [gram_slots(codes_of(t), q) for t in texts.values()]
+    BITS = 22
+
+    def __init__(self, texts: dict[int, str], half: int, gaps: tuple, share: float | None, percent: int):
+        self.half, self.gaps, self.ids = half, gaps, np.array(list(texts))
         self.size = np.array([len(t) for t in texts.values()], np.int64)
         self.edits = self.size * percent // 100
-        self.need = self.size - q + 1 - q * self.edits
-        dropped = (self.need * DROPPED).astype(np.int64)
-        self.least = self.need - dropped
+        # the least of the runs of two letters that any such edits leave, or a share of the letters
+        self.need = self.size - 1 - 2 * self.edits if share is None else np.maximum(2, (share * self.size).astype(np.int64))
+        self.shift = np.array([max(2, int(e).bit_length()) for e in self.edits], np.int64)
         self.pad = int(self.size.max())
-        kept = [np.sort(np.argsort(common[x], kind="stable")[: len(x) - d]) for x, d in zip(slots, dropped.tolist(), strict=True)]
-        flat = np.concatenate([x[k] for x, k in zip(slots, kept, strict=True)])
-        order = np.argsort(flat, kind="stable")
-        found, first, count = np.unique(flat[order], return_index=True, return_counts=True)
-        self.row = np.full(1 << 20, -1, np.int32)
-        self.row[found] = np.arange(len(found))
-        self.first, self.count = first, count
-        self.item = np.repeat(np.arange(len(slots)), [len(k) for k in kept])[order]
-        self.offset = np.concatenate(kept)[order]
-        self.sorted = [(x[o], o) for x in slots for o in [np.argsort(x, kind="stable")]]
-
-    def cells(self, slots: np.ndarray):
-        """(item, first bucket, last first bucket) of bands of diagonals with enough runs of an item."""
-        row = self.row[slots]
-        at = np.flatnonzero(row >= 0)
-        row = row[at]
-        n = self.count[row]
-        which = np.repeat(self.first[row] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-        width = ((len(slots) + self.pad) >> self.shift) + self.n + 2
-        cell = (self.item * width)[which] + ((np.repeat(at, n) + (self.pad - self.offset)[which]) >> self.shift)
-        count = np.bincount(cell, minlength=len(self.size) * width).astype(np.int32).reshape(-1, width)
-        last = width - self.n  # the last bucket of a row stays out of all bands, so no band goes on in the next row
-        total = count[:, :last].copy()
-        for i in range(1, self.n):
-            total += count[:, i : last + i]
-        enough = total >= self.least[:, None]
-        if not enough.any():
+        self.overlap = 2 * int((self.size + self.edits).max())  # of the pieces of a long text
+        rows = [(k, i, np.arange(len(k))) for i, t in enumerate(texts.values()) for g in gaps for k in [pair_hashes(codes_of(t), half, g)]]
+        key = np.concatenate([k for k, _, _ in rows])
+        order = np.argsort(key, kind="stable")
+        self.key, self.first, self.count = np.unique(key[order], return_index=True, return_counts=True)
+        self.item = np.concatenate([np.full(len(k), i) for k, i, _ in rows])[order]
+        self.offset = np.concatenate([o for _, _, o in rows])[order]
+        self.known = np.zeros(1 << self.BITS, bool)
+        self.known[self.key >> np.uint32(32 - self.BITS)] = True
+
+    def places(self, codes: np.ndarray):
+        """(item, diagonals, offsets) of bands of diagonals that hold enough pairs of an item."""
+        low, wide = int(self.pad).bit_length(), int(self.shift.max())
+        width = ((len(codes) + self.pad) >> int(self.shift.min())) + 3
+        hits = []
+        for g in self.gaps:
+            h = pair_hashes(codes, self.half, g)
+            at = np.flatnonzero(self.known[h >> np.uint32(32 - self.BITS)])
+            row = np.searchsorted(self.key, h[at])
+            row[row == len(self.key)] = 0
+            same = self.key[row] == h[at]
+            at, row = at[same], row[same]
+            n = self.count[row]
+            which = np.repeat(self.first[row] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+            item = self.item[which]
+            diagonal = np.repeat(at, n) - self.offset[which] + self.pad
+            bucket, rest = diagonal >> self.shift[item], diagonal & ((1 << self.shift[item]) - 1)
+            hits.append((((item * width + bucket) << low | self.offset[which]) << wide) | rest)
+        hit = np.sort(np.concatenate(hits))
+        if not len(hit):
             return
-        cover = np.zeros((len(self.size), width), bool)
-        for i in range(self.n):
-            cover[:, i : last + i] |= enough
-        inside = np.flatnonzero(cover.ravel()[cell])
-        which = which[inside]
-        item = self.item[which]
-        # each run of an item counts once in a band, however often a text repeats it: neighbours in one band count as one
-        key = np.unique((item * self.pad + self.offset[which]) * width + cell[inside] - item * width)
-        run, bucket = np.divmod(key, width)
-        row = run // self.pad * width
-        count = np.bincount(row + bucket, minlength=count.size).reshape(-1, width)
-        total = count[:, :last].copy()
-        for i in range(1, self.n):
-            total += count[:, i : last + i]
-        p = np.flatnonzero((run[1:] == run[:-1]) & (bucket[1:] - bucket[:-1] < self.n))
-        both = np.bincount(row[p] + np.maximum(0, bucket[p + 1] - self.n + 1), minlength=count.size) - np.bincount(row[p] + bucket[p] + 1, minlength=count.size)
-        total -= np.cumsum(both.reshape(-1, width), axis=1)[:, :last]
-        item, bucket = np.nonzero(total >= self.least[:, None])
-        if not len(item):
+        cell = hit >> (low + wide)
+        head = np.flatnonzero(np.diff(cell, prepend=-1))
+        cells, n = cell[head], np.diff(head, append=len(cell))
+        both = n.copy()  # with the next bucket: a band is two buckets wide
+        next_ = np.flatnonzero(np.diff(cells) == 1)
+        both[next_] += n[next_ + 1]
+        good = np.flatnonzero(both >= self.need[cells // width])
+        if not len(good):
             return
-        new = np.flatnonzero((np.diff(item, prepend=-1) != 0) | (np.diff(bucket, prepend=-9) != 1))
-        for lo, hi in zip(new.tolist(), [*new[1:].tolist(), len(item)], strict=True):
-            for b in range(lo, hi, LONGEST_RUN):
-                yield int(item[b]), int(bucket[b]), int(bucket[min(hi, b + LONGEST_RUN) - 1])
-
-    def starts(self, i: int, slots: np.ndarray) -> list[int]:
-        """Likely beginnings of item ``i`` in a part of a text, none where too few runs are in any band."""
-        have, order = self.sorted[i]
-        lo = np.searchsorted(have, slots)
-        at = np.flatnonzero(have[np.minimum(lo, len(have) - 1)] == slots)
-        lo = lo[at]
-        n = np.searchsorted(have, slots[at], side="right") - lo
-        offset = order[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
-        size, band = int(self.size[i]), int(self.edits[i]) + 1
-        if len(offset) < self.need[i]:
-            return []
-        width = len(slots) + size
-        run, place = np.divmod(np.sort(offset * width + np.repeat(at, n) - offset + size), width)
-        count = np.bincount(place, minlength=width)
-        p = np.flatnonzero((run[1:] == run[:-1]) & (place[1:] - place[:-1] < band))
-        both = np.bincount(np.maximum(0, place[p + 1] - band + 1), minlength=width + 1) - np.bincount(place[p] + 1, minlength=width + 1)
-        sums = np.cumsum(np.concatenate([[0], count]))
-        if (sums[np.minimum(np.arange(width) + band, width)] - sums[:-1] - np.cumsum(both)[:width]).max() < self.need[i]:
-            return []
-        best = {int(np.argmax(count))}
-        early = place[run < max(1, size // 3)]
-        if len(early):
-            best.add(int(np.argmax(np.bincount(early))))
-        return [x - size for x in sorted(best)]
+        new = np.flatnonzero((np.diff(good, prepend=-9) != 1) | (np.diff(cells[good], prepend=-9) != 1))
+        for a, b in zip(new.tolist(), [*new[1:].tolist(), len(good)], strict=True):
+            for c in range(a, b, LONGEST_RUN):
+                lo, hi = good[c], good[min(b, c + LONGEST_RUN) - 1]
+                hi = hi + 1 if hi + 1 < len(cells) and cells[hi + 1] == cells[hi] + 1 else hi
+                mine = hit[head[lo] : head[hi] + n[hi]]
+                i, bucket = np.divmod(mine >> (low + wide), width)
+                i = int(i[0])
+                yield i, (bucket << self.shift[i]) + (mine & ((1 << wide) - 1)) - self.pad, (mine >> wide) & ((1 << low) - 1)
 
 
 class ItemIndex:
-    """The letter runs of a block of items, in groups by run length and width of the band."""
+    """The pairs of letter runs of a block of items, in groups by the length of the runs."""
 
     def __init__(self, texts: list[str], percent: int = MAX_EDIT_PERCENT):
+        self.exact: dict[str, list[int]] = {}  # too short for an edit
         kinds: dict[tuple, dict[int, str]] = {}
         for i, t in enumerate(texts):
-            edits = len(t) * percent // 100
-            shift = max(1, (edits // 3).bit_length() - 1)
-            kinds.setdefault((gram_length(len(t), edits), shift, -(-edits // (1 << shift)) + 1), {})[i] = t
-        self.groups = []
-        for kind, mine in kinds.items():
-            common = np.zeros(1 << 20, np.int64)
-            for t in texts:
-                np.add.at(common, gram_slots(codes_of(t), kind[0]), 1)
-            self.groups.append(ItemGroup(mine, *kind, percent, common))
+            if not len(t) * percent // 100:
+                self.exact.setdefault(t, []).append(i)
+            else:
+                kinds.setdefault(next(k[1:] for k in KINDS if len(t) >= k[0]), {})[i] = t
+        self.groups = [ItemGroup(mine, *kind, percent) for kind, mine in kinds.items()]
+        self.exact_words = sorted({t.count(" ") + 1 for t in self.exact})
+        self.step = min(STEP, max(20_000, HITS // (1 + sum(map(len, texts)))))
+
+
+def index_of(block: str, texts: list[str], percent: int) -> ItemIndex:
+    """The worker's index of a block, kept from task to task."""
+    if block not in _INDEXES:
+        _INDEXES.clear()
+        _INDEXES[block] = ItemIndex(texts, percent)
+    return _INDEXES[block]
 
 
 def find_windows(texts: list[str], index: ItemIndex):
-    """(text, item, first word, begin, end, starts) of the parts of folded texts worth a look.
+    """(text, item, first word, begin, end, start) of the parts of folded texts worth a look.
 
     ``begin`` and ``end`` bound the letters in which the passage lies whole."""
+    for d, t in enumerate(texts) if index.exact else ():
+        w = t.split(" ")
+        starts = np.cumsum([0, *(len(x) + 1 for x in w)])
+        for n in index.exact_words:
+            for k in range(len(w) - n + 1):
+                part = " ".join(w[k : k + n])
+                for i in index.exact.get(part, ()):
+                    yield d, i, k, int(starts[k]), int(starts[k]) + len(part), int(starts[k])
     codes = codes_of("\n".join(texts))  # folded texts hold no other line ends, and items none
     stop = np.cumsum([len(t) + 1 for t in texts])
-    spaces = np.cumsum(codes == 32)
-    slots = {}
-    for g in index.groups:
-        if len(codes) < g.q:
-            continue
-        if g.q not in slots:
-            slots[g.q] = gram_slots(codes, g.q)
-        for i, first, last in g.cells(slots[g.q]):
-            size, edits = int(g.size[i]), int(g.edits[i])
-            lo = max(0, (first << g.shift) - g.pad)
-            hi = min(len(codes), ((last + g.n) << g.shift) - g.pad + size)
-            for d in range(int(np.searchsorted(stop, lo, side="right")), len(texts)):
-                base = int(stop[d]) - len(texts[d]) - 1
-                if base >= hi:
-                    break
-                a, b = max(lo, base), min(hi, int(stop[d]) - 1)
-                if b - a < max(g.q, size - edits):
+    for g, lo in ((g, lo) for g in index.groups for lo in range(0, max(1, len(codes) - g.overlap), index.step)):
+        for i, diagonal, offset in g.places(codes[lo : lo + index.step + g.overlap]):
+            diagonal += lo
+            size, edits, need = int(g.size[i]), int(g.edits[i]), int(g.need[i])
+            owner = np.searchsorted(stop, diagonal + offset, side="right")
+            for d in np.unique(owner).tolist():
+                mine = owner == d
+                x, o = diagonal[mine], offset[mine]
+                if len(x) < need or len(np.unique(o)) < need:
                     continue
-                for s in g.starts(i, slots[g.q][a : b - g.q + 1]):
-                    at = max(a + s, base)
-                    if not edits and not ((at == base or codes[at - 1] == 32) and (at + size == stop[d] - 1 or codes[at + size] == 32)):
-                        continue  # of items too short for an edit only whole words are passages
-                    yield d, int(g.ids[i]), int(spaces[at] - (spaces[base - 1] if base else 0)), a - base, b - base, at - base
+                base, end = int(stop[d]) - len(texts[d]) - 1, int(stop[d]) - 1
+                begin, over = max(base, int(x.min()) - edits), min(end, int(x.max()) + size + edits)
+                least = int(x.min())
+                best = {least + int(np.argmax(np.bincount(x - least)))}
+                early = x[o < max(1, size // 3)]
+                if len(early):
+                    best.add(least + int(np.argmax(np.bincount(early - least))))
+                for s in sorted(best):
+                    at = min(max(s, base), end)
+                    yield d, int(g.ids[i]), texts[d].count(" ", 0, at - base), begin - base, over - base, at - base
 
 
 def fold(text: str | None) -> str:
     return b" ".join(words(text, lower=True)).decode("utf-8", "replace")
 
 
-def _windows(items: list[tuple[int, str, int, int]], percent: int):
-    """Windows of items (part, text, offset in the whole, letters of the whole)."""
+def _windows(items: list[tuple[int, int, int, int, str]], percent: int, block: str):
+    """Windows of rows (item, part, offset in the whole, letters of the whole, text of the part)."""
 
     def run(batches):
-        index = ItemIndex([t for _, t, _, _ in items], percent)
-        types = [pa.int64()] * 3 + [pa.int32()] * 2 + [pa.string()] * 2
+        begin_task("leak windows")
+        index = index_of(block, [x[4] for x in items], percent)
+        types = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.string()] * 2
         for batch in batches:
-            for lo, texts in text_slices(batch.column(2), max(20_000, 15_000_000 // (len(items) + 50))):
+            for lo, texts in text_slices(batch.column(2), index.step):
                 part, rows = [fold(t) for t in texts], []
                 ids, keys = (batch.column(i).slice(lo, len(texts)).to_pylist() for i in (0, 1))
                 for d, i, word, begin, end, at in find_windows(part, index):
-                    key, item, offset, whole = items[i]
-                    slack = 0 if whole == len(item) else whole * percent // 100
-                    around = part[d][max(0, begin - offset - slack) : end + whole - offset - len(item) + slack]
-                    rows.append((ids[d], keys[d], key, len(item), word, part[d][at : at + len(item)], around))
+                    item, key, offset, whole, text = items[i]
+                    slack = 0 if whole == len(text) else whole * percent // 100
+                    around = part[d][max(0, begin - offset - slack) : end + whole - offset - len(text) + slack]
+                    rows.append((ids[d], keys[d], item, key, len(text), word, part[d][at : at + len(text)], around))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(zip(*rows, strict=True), types, strict=True)], names=[f.split()[0] for f in WINDOWS.split(", ")])
 
@@ -285,6 +287,7 @@ def sample_keys(texts: list[str], size: int) -> np.ndarray:
 
 def _keys(batches):
     """(id, part, key) of rows (id, part, size, window)."""
+    begin_task("leak keys")
     for batch in batches:
         ids, parts, size = (np.asarray(batch.column(i)) for i in range(3))
         size, text = size_class(size), batch.column(3).to_pylist()
@@ -332,14 +335,15 @@ def best_edit_distance(item: str, text: str) -> tuple[int, int]:
 
 def _verify(percent: int):
     def run(batches):
-        names = [f.split()[0] for f in LEAKS.split(", ")]
+        begin_task("leak verification")
+        names = [f.split()[0] for f in FOUND.split(", ")]
         types = [pa.int64(), pa.int64(), pa.int64(), *[pa.int32()] * 4]
         for batch in batches:
             rows = []
-            for doc_id, key, item_id, item, start, around in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc_id, key, number, item, start, around in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 d, _ = best_edit_distance(item, around)
                 if 100 * d <= percent * len(item):
-                    rows.append((doc_id, key, item_id, start, item.count(" ") + 1, d, len(item)))
+                    rows.append((doc_id, key, number, start, item.count(" ") + 1, d, len(item)))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
@@ -350,7 +354,7 @@ def _verify(percent: int):
 
 
 def whole_parts(rows) -> list[tuple]:
-    """(item_id, folded part, its first letter, folded item): items of over ITEM_WORDS words give equal parts.
+    """(item_id, folded part, its first letter, folded item): long items give equal parts.
 
     If an item is within the limit, so is one of its parts."""
     out = []
@@ -361,42 +365,63 @@ def whole_parts(rows) -> list[tuple]:
         whole, at = fold(text), 0
         for lo, hi in zip(ends[:-1], ends[1:], strict=True):
             part = b" ".join(w[lo:hi]).decode("utf-8", "replace")
-            out.append((item_id, part, at, whole))
+            cuts = -(-len(part) // ITEM_LETTERS)  # more than one only where words are very long
+            for c in range(cuts):
+                a, b = len(part) * c // cuts, len(part) * (c + 1) // cuts
+                out.append((item_id, part[a:b], at + a, whole))
             at += len(part) + 1
     return out
 
 
 def item_parts(rows) -> list[tuple]:
-    """(item_id, folded text) of items; those of over ITEM_WORDS words give their parts."""
+    """(item_id, folded text) of items; long ones give their parts."""
     return [(i, part) for i, part, _, _ in whole_parts(rows)]
 
 
+def _folded(batches):
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fold(t) for t in batch.column(1).to_pylist()], pa.string())], names=["item", "folded"])
+
+
+def _parts(batches):
+    names = [f.split()[0] for f in PARTS.split(", ")]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
+    for batch in batches:
+        rows = []
+        for item, part, at, whole in whole_parts(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+            key = xxhash.xxh3_64_intdigest(f"{item}:{at}".encode()) >> 1
+            rows.append((item, key, at, len(whole), len(part), part))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, percent: int = MAX_EDIT_PERCENT, block: int = BLOCK) -> DataFrame:
     """Rows LEAKS: passages of ``docs`` (doc_id, text) within the limit of an item (item_id, text)."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long"), text_key("text").alias("text_key"), F.col("text").cast("string"))
-    asked = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
-    blocks = -(-asked.count() // block)
+    asked = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL").withColumn("item", text_key("text"))
+    once = asked.select("item", "text").distinct()
+    known = materialize(once.mapInArrow(_folded, "item long, folded string"), "leak-items")
+    parts = materialize(once.mapInArrow(_parts, PARTS), "leak-parts")
+    blocks = -(-parts.count() // block)
     out = None
     for b in range(blocks):
-        mine = asked.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b) if blocks > 1 else asked
-        parts, ids = {}, {}
-        for item_id, t, at, whole in whole_parts(mine.toLocalIterator()):
-            key = xxhash.xxh3_64_intdigest(f"{at}:{len(t)}:{whole}".encode("utf-8", "replace")) >> 1
-            parts[key] = (key, t, at, len(whole))
-            ids[key, item_id] = (key, item_id, whole)
-        if not parts:
+        mine = parts.where(F.pmod(F.xxhash64("part"), F.lit(blocks)) == b) if blocks > 1 else parts
+        rows = sorted((r.item, r.part, r["at"], r.whole, r.text) for r in mine.toLocalIterator())
+        if not rows:
             continue
-        windows = materialize(texts.mapInArrow(_windows(sorted(parts.values()), percent), WINDOWS), "windows").distinct()
+        windows = materialize(texts.mapInArrow(_windows(rows, percent, uuid.uuid4().hex), WINDOWS), "windows").distinct()
         windows = windows.withColumn("id", F.xxhash64("doc_id", "text_key", "part", "start"))
-        known = spark.createDataFrame(list(ids.values()), "part long, item_id long, item string")
-        item_keys = spark.createDataFrame([(k, k, len(t), t) for k, t, _, _ in parts.values()], "id long, part long, size int, item string").mapInArrow(_keys, KEYS).select("part", "key")
+        item_keys = mine.select(F.col("part").alias("id"), "part", "size", F.col("text").alias("window")).mapInArrow(_keys, KEYS).select("part", "key")
         met = windows.select("id", "part", "size", "window").mapInArrow(_keys, KEYS).join(F.broadcast(item_keys), ["part", "key"]).select("id", "part").distinct()
-        around = windows.select("id", "doc_id", "text_key", "part", "start", "around").distinct()
-        checked = around.join(met, ["id", "part"]).join(F.broadcast(known), "part")
-        found = checked.select("doc_id", "text_key", "item_id", "item", "start", "around").mapInArrow(_verify(percent), LEAKS)
+        around = windows.select("id", "doc_id", "text_key", "item", "part", "start", "around").distinct()
+        checked = around.join(met, ["id", "part"]).join(known, "item")
+        found = checked.select("doc_id", "text_key", "item", "folded", "start", "around").mapInArrow(_verify(percent), FOUND)
+        found = materialize(found.distinct(), "found-leaks")
         out = found if out is None else out.union(found)
-    return materialize(out.distinct(), "leaks") if out is not None else spark.createDataFrame([], LEAKS)
+    if out is None:
+        return spark.createDataFrame([], LEAKS)
+    return out.distinct().join(asked.select("item", "item_id"), "item").select("doc_id", "text_key", "item_id", "start", "n_words", "distance", "length")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, percent: int = MAX_EDIT_PERCENT) -> DataFrame:

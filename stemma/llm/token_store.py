@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stemma.llm.common import filesystem, materialize, new_folder, release_memory, table, text_or_empty
+from stemma.llm.common import CACHES, begin_task, filesystem, materialize, new_folder, table, text_or_empty
 
 MAGIC = b"TOKZ0001"
 END_ID = 0
@@ -151,7 +151,7 @@ class ChunkEncoder:
         return [end if x is None else np.concatenate([x, end]) for x in out]
 
 
-_ENCODERS: dict[str, ChunkEncoder] = {}
+_ENCODERS: dict[str, ChunkEncoder] = CACHES.setdefault("encoders", {})
 
 
 def encoder(path: str, limit: int = ChunkEncoder.LIMIT) -> ChunkEncoder:
@@ -182,7 +182,7 @@ def _writer(folder: str, tokenizer: str, dictionary: bytes, keep: int):
         import zstandard as zstd
         from pyspark import TaskContext
 
-        release_memory()
+        begin_task("tokens")
         fs, root = filesystem(folder)
         fs.create_dir(root, recursive=True)
         task = TaskContext.get()
