@@ -14,7 +14,7 @@ conversation's first message along replies. No conversation is ever collected.
 
 Defined cases: a null text is empty; rows equal in conv_id, turn, role and text are one
 message; messages with one turn follow one another by role and text hash; null turns come
-first; rows without a conv_id form one conversation; an empty table gives an empty result;
+first; rows without a conv_id form one conversation, which ``quotes_conv`` names by null; an empty table gives an empty result;
 other columns are not carried.
 """
 
@@ -53,9 +53,14 @@ def own_text(text: Column) -> Column:
 def messages(conversations: DataFrame) -> DataFrame:
     """Distinct messages with a key of their conversation and their position in it."""
     m = conversations.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text")).distinct()
-    m = m.withColumn("conv", F.coalesce(F.col("conv_id").cast("string"), F.lit("none")))
-    order = Window.partitionBy("conv").orderBy(F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.xxhash64("text"), "text")
-    return m.withColumn("position", (F.row_number().over(order) - 1).cast("long"))
+    m = m.withColumn("conv", F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("")))
+    # ranges of the order are numbered apart, so that a long conversation is dealt over many tasks
+    order = [F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.xxhash64("text").asc(), F.col("text").asc()]
+    n = int(conversations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = materialize(m.repartitionByRange(n, "conv", *order).withColumn("range", F.spark_partition_id()), "dealt-messages")
+    before = dealt.groupBy("conv", "range").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(Window.partitionBy("conv").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)))
+    numbered = dealt.withColumn("number", F.row_number().over(Window.partitionBy("conv", "range").orderBy(*order)) - 1)
+    return numbered.join(before.select("conv", "range", "before"), ["conv", "range"]).withColumn("position", (F.col("number") + F.coalesce("before", F.lit(0))).cast("long")).drop("range", "number", "before")
 
 
 def quotations(m: DataFrame) -> DataFrame:
@@ -92,7 +97,7 @@ def reply_links(m: DataFrame, q: DataFrame) -> DataFrame:
     return joined.select(
         "conv", "position", "conv_id", "turn", "role", own_text(F.col("text")).alias("content"), F.coalesce("v.source_position", previous).alias("reply_to"),
         F.coalesce("n_quoted", F.lit(0)).alias("n_quoted"), F.coalesce("n_linked", F.lit(0)).alias("n_linked"),
-        F.col("other.source_conv").alias("quotes_conv"), F.col("other.source_position").alias("quotes_position"),
+        F.when(F.col("other.source_conv") != "", F.substring("other.source_conv", 2, 1 << 20)).alias("quotes_conv"), F.col("other.source_position").alias("quotes_position"),
     )
 
 

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from stemma.llm.common import CACHES, begin_task, materialize, mix, signed, table, text_key, text_slices, words
 
 MAX_EDIT_PERCENT = 20
-WALKS, SAMPLES, BITS = 8, 12, 4
+WALKS, SAMPLES, BITS = 8, 24, 4
 #: The bits of one sample lie within this many steps: walks that differ run together again for stretches.
 SPREAD = 40
 #: Parts of items that are searched at once.
@@ -212,9 +212,9 @@ def find_windows(texts: list[str], index: ItemIndex):
                 begin, over = max(base, int(x.min()) - edits), min(end, int(x.max()) + size + edits)
                 least = int(x.min())
                 best = {least + int(np.argmax(np.bincount(x - least)))}
-                early = x[o < max(1, size // 3)]
-                if len(early):
-                    best.add(least + int(np.argmax(np.bincount(early - least))))
+                for third in (o < max(1, size // 3), o > size * 2 // 3):  # letters put in or left out shift the ends
+                    if third.any():
+                        best.add(least + int(np.argmax(np.bincount(x[third] - least))))
                 for s in sorted(best):
                     at = min(max(s, base), end)
                     yield d, int(g.ids[i]), texts[d].count(" ", 0, at - base), begin - base, over - base, at - base

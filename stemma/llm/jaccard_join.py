@@ -7,17 +7,21 @@ set and add no work) and loses no link:
 1. *Groups.* Sets fall into levels of size, each so narrow that linked sets lie in one
    level or in neighbours. In a level at most d shingles can differ between linked sets,
    so shingles are hashed into d + 1 + spare groups: ``spare + 1`` groups at least are
-   then equal in both. The hash of (level, group, its shingles) is a key. Groups of under
-   MIN_GROUP shingles give a key only in sets with more than ``spare`` of them.
+   then equal in both. A set leaves out the ``spare`` weakest of its groups, by an order
+   that hangs on a group's content alone (few shingles that are not common ones, then the
+   hash); the strongest of the equal groups is left out by neither. The hash of (level,
+   group, its shingles) is a key. Which shingles are common is learned from a bounded
+   sample; any list gives the same links, a good one keeps boilerplate from routing.
 2. *Routing.* Every key links its sets to the smallest of them (one row per set and key,
    never pairs), and the components of these links are clusters: every linked pair lies
    in one cluster.
 3. *R-tree.* In a cluster the counts of shingles in GROUPS groups are the points. Points
    are sorted by cluster, size and coordinates over all partitions and packed into leaves
-   with bounding boxes, so a large cluster spreads over many leaves and tasks. Two leaves
-   are compared only if the summed minima of their upper corners can reach the overlap
-   that their smallest sets need; in a pair of leaves the summed minima of coordinates
-   bound the overlap of two points.
+   with bounding boxes, and leaves into inner nodes with theirs, so a large cluster spreads
+   over many leaves and tasks. Two nodes, and then two of their leaves, are compared only
+   if the summed minima of their upper corners can reach the overlap that their smallest
+   sets need; in a pair of leaves the summed minima of coordinates bound the overlap of two
+   points.
 4. *Verification* counts the shingles that the surviving pairs share. A pair of leaves
    returns a spanning forest of its links and each set's number of links.
 5. Components of the forests are the classes.
@@ -35,23 +39,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stemma.llm.common import HASHES, connected_components, materialize, mix, shingle_hashes, signed, table, text_key, text_slices, words
+from stemma.llm.common import HASHES, begin_task, connected_components, materialize, mix, shingle_hashes, signed, table, text_key, text_slices, words
 
 K = 3
 PERCENT = 90
-MIN_GROUP = 3
+#: Share of d that is left out as the weakest groups.
+SPARE = 0.3
+#: Common shingles: in so large a share of a sample of at most so many texts, and at most so many of them.
+COMMON_SHARE, SAMPLE_TEXTS, MOST_COMMON = 0.001, 20_000, 100_000
 GROUPS = 32
+FAN = 32
 #: A leaf closes at this many points or bytes of shingles.
 LEAF_POINTS, LEAF_BYTES = 128, 1_500_000
+#: Columns of the matrices in which two leaves are compared.
+WIDE = 8_192
 #: Cluster members up to this many (three numbers each) are broadcast to fetch their texts.
 BROADCAST_MEMBERS = 500_000
+#: Shared keys up to this many (two numbers each) are broadcast to find the sets that have them.
+BROADCAST_KEYS = 2_000_000
 
 SETS = "doc_id long, text_key long, n_shingles long, node long, keys array<long>"
 MEMBERS = "cluster long, node long, copies long, n long, point array<int>, shingles binary"
-LEAVES = "cluster long, leaf long, low long, high long, corner array<int>, nodes binary, copies binary, sizes binary, points binary, shingles binary"
+LEAVES = "cluster long, inner long, leaf long, low long, high long, corner array<int>, nodes binary, copies binary, sizes binary, points binary, vocabulary binary, codes binary"
 LINKS = "u long, v long, links long"
 
 
+NONE = np.empty(0, np.uint64)
+
+
 class Levels:
     """Size levels for one threshold: bounds, and groups and spare groups of each level."""
 
@@ -63,7 +78,7 @@ class Levels:
         self.bounds = np.array(bounds, np.int64)
         most = self.bounds[1:] - 1
         d = (most + 100 * most // percent) * (100 - percent) // (100 + percent)
-        self.spare = 2 + d // 50
+        self.spare = 1 + (SPARE * d).astype(np.int64)
         self.groups = np.where(d > 0, d + 1 + self.spare, 0)  # with d = 0 only equal sets link
 
     def of(self, n: np.ndarray) -> np.ndarray:
@@ -81,18 +96,20 @@ def _sums(at: np.ndarray, x: np.ndarray, size: int) -> np.ndarray:
     return mix(low + mix(high))
 
 
-def group_keys(sets: list[np.ndarray], levels: Levels) -> list[np.ndarray]:
-    """Routing keys of every set, for its own level and the one below."""
+def group_keys(sets: list[np.ndarray], levels: Levels, common: np.ndarray = NONE) -> list[np.ndarray]:
+    """Routing keys of every set, for its own level and the one below; ``common`` is sorted."""
     n = np.array([len(s) for s in sets], np.int64)
     own = levels.of(n)
-    flat = np.concatenate(sets) if sets else np.empty(0, np.uint64)
+    flat = np.concatenate(sets) if sets else NONE
     owner = np.repeat(np.arange(len(sets)), n)
     mixed = mix(flat + np.uint64(0x5851F42D4C957F2D))
+    rare = np.ones(len(flat), bool)
+    if len(common):
+        rare = common[np.minimum(np.searchsorted(common, flat), len(common) - 1)] != flat
     found, of = [], []
     for step in (0, 1):
         level = own - step
         groups = np.where(level >= 0, levels.groups[level], 0)
-        spare = levels.spare[level]
         base = np.cumsum(groups) - groups
         live = groups[owner] > 0
         if not live.any():
@@ -100,17 +117,16 @@ def group_keys(sets: list[np.ndarray], levels: Levels) -> list[np.ndarray]:
         who, x = owner[live], mixed[live]
         at = base[who] + (flat[live] % groups[who].astype(np.uint64)).astype(np.int64)
         size = int(groups.sum())
-        count = np.bincount(at, minlength=size)
         doc = np.repeat(np.arange(len(sets)), groups)
         group = np.arange(size) - base[doc]
-        small = count < MIN_GROUP
-        sparse = np.bincount(doc, small, len(sets)) > spare
-        use = ~small | sparse[doc]
-        key = mix(_sums(at, x, size) + mix((level[doc] * 1_000_003 + group).astype(np.uint64)))
-        found.append(key[use])
+        strength = np.bincount(at, rare[live], size).astype(np.int64)
+        content = _sums(at, x, size)
+        order = np.lexsort((content, -strength, doc))
+        use = order[group < (groups - levels.spare[level])[doc]]  # ``group`` also counts the places within a set
+        found.append(mix(content[use] + mix((level[doc[use]] * 1_000_003 + group[use]).astype(np.uint64))))
         of.append(doc[use])
     if not found:
-        return [np.empty(0, np.uint64)] * len(sets)
+        return [NONE] * len(sets)
     keys, of = np.concatenate(found), np.concatenate(of)
     keys = keys[np.argsort(of, kind="stable")]
     ends = np.cumsum(np.bincount(of, minlength=len(sets)))
@@ -127,8 +143,9 @@ def _long_lists(parts: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(signed(np.concatenate(parts) if parts else np.empty(0, np.uint64))))
 
 
-def _sets(k: int, percent: int):
+def _sets(k: int, percent: int, common: np.ndarray):
     def run(batches):
+        begin_task("sets")
         levels = Levels(percent)
         for batch in batches:
             ids, text_keys = batch.column(0), batch.column(2)
@@ -138,15 +155,38 @@ def _sets(k: int, percent: int):
                 owner = np.repeat(np.arange(len(sets)), n)
                 node = _sums(owner, mix(np.concatenate(sets)), len(sets)) + mix(n.astype(np.uint64))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(lo, len(sets)), text_keys.slice(lo, len(sets)), pa.array(n), pa.array(signed(node), mask=n == 0), _long_lists(group_keys(sets, levels))],
+                    [ids.slice(lo, len(sets)), text_keys.slice(lo, len(sets)), pa.array(n), pa.array(signed(node), mask=n == 0), _long_lists(group_keys(sets, levels, common))],
                     names=["doc_id", "text_key", "n_shingles", "node", "keys"],
                 )
 
     return run
 
 
+def _shingles(k: int):
+    def run(batches):
+        begin_task("shingles")
+        for batch in batches:
+            for _, texts in text_slices(batch.column(0)):
+                flat = np.concatenate([shingle_set(t, k) for t in texts])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(flat))], names=["shingle"])
+
+    return run
+
+
+def common_shingles(texts: DataFrame, k: int) -> np.ndarray:
+    """Sorted hashes of shingles that many texts of the sample have; the sample is cut by the texts' hashes."""
+    span = 1 << 40
+    place = span if (n := texts.count()) <= SAMPLE_TEXTS else span * SAMPLE_TEXTS // n
+    sample = texts.where(F.pmod(text_key("text"), F.lit(span)) < place).select("text").distinct()
+    counts = sample.mapInArrow(_shingles(k), "shingle long").groupBy("shingle").count()
+    least = max(3, int(COMMON_SHARE * min(n, SAMPLE_TEXTS)))
+    rows = counts.where(F.col("count") >= least).orderBy(F.desc("count"), "shingle").limit(MOST_COMMON).select("shingle").collect()
+    return np.sort(np.array([r.shingle for r in rows], np.int64).view(np.uint64))
+
+
 def _members(k: int):
     def run(batches):
+        begin_task("members")
         for batch in batches:
             for lo, texts in text_slices(batch.column(3)):
                 yield members_batch(*[c.slice(lo, len(texts)) for c in batch.columns[:3]], [shingle_set(t, k) for t in texts])
@@ -161,65 +201,85 @@ def _pack(batches):
     def leaf(rows):
         cluster, nodes, copies, n, points, sets = zip(*rows, strict=True)
         p = np.array(points, np.int32)
+        # sets of a leaf are alike, so their shingles are told by numbers in a list of their own
+        vocabulary, codes = np.unique(np.frombuffer(b"".join(sets), np.uint64), return_inverse=True)
+        codes = codes.astype(np.uint16 if len(vocabulary) <= 1 << 16 else np.uint32)
         b = lambda x: np.array(x, np.int64).tobytes()
-        return [cluster[0], nodes[0], min(n), max(n), p.max(axis=0).tolist(), b(nodes), b(copies), b(n), p.tobytes(), b"".join(sets)]
+        return [cluster[0], nodes[0], min(n), max(n), p.max(axis=0).tolist(), b(nodes), b(copies), b(n), p.astype(np.uint32).tobytes(), vocabulary.tobytes(), codes.tobytes()]
 
     def batch_of(leaves):
-        types = [pa.int64()] * 4 + [pa.list_(pa.int32())] + [pa.binary()] * 5
+        types = [pa.int64()] * 5 + [pa.list_(pa.int32())] + [pa.binary()] * 6
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*leaves, strict=True), types, strict=True)], names=names)
 
+    begin_task("leaves")
     rows, held, done = [], 0, []
+    inner, cluster, of = None, None, 0
+
+    def close(rows):
+        """A leaf, under the inner node of its FAN neighbours."""
+        nonlocal inner, cluster, of
+        x = leaf(rows)
+        if x[0] != cluster or of == FAN:
+            inner, cluster, of = x[1], x[0], 0
+        of += 1
+        done.append([x[0], inner, *x[1:]])
+
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for row in (tuple(c[i].as_py() for c in batch.columns) for i in range(batch.num_rows)):
             if rows and row[:2] == rows[-1][:2]:
                 continue  # a repeated row
             if rows and (row[0] != rows[0][0] or len(rows) >= LEAF_POINTS or held + len(row[5]) > LEAF_BYTES):
-                done.append(leaf(rows))
+                close(rows)
                 rows, held = [], 0
             rows.append(row)
             held += len(row[5])
-        if done:
-            yield batch_of(done)
-            done = []
+            if len(done) >= 20:
+                yield batch_of(done)
+                done.clear()
     if rows:
-        yield batch_of([leaf(rows)])
+        close(rows)
+    if done:
+        yield batch_of(done)
 
 
-def _unpack(nodes, copies, sizes, points, shingles):
+def _unpack(nodes, copies, sizes, points, vocabulary, codes):
     n = np.frombuffer(sizes, np.int64)
-    return np.frombuffer(nodes, np.int64), np.frombuffer(copies, np.int64), n, np.frombuffer(points, np.int32).reshape(len(n), GROUPS), np.frombuffer(shingles, np.uint64), np.cumsum(n) - n
+    codes = np.frombuffer(codes, np.uint16 if len(codes) == 2 * int(n.sum()) else np.uint32)
+    flat = np.frombuffer(vocabulary, np.uint64)[codes]
+    return np.frombuffer(nodes, np.int64), np.frombuffer(copies, np.int64), n, np.frombuffer(points, np.uint32).reshape(len(n), GROUPS), flat, np.cumsum(n) - n
 
 
 def compare_leaves(a, b, same: bool, levels: Levels):
     """Linked index pairs of two unpacked leaves: bound by counts, then verified."""
-    _, _, na, pa_, sa, oa = a
-    _, _, nb, pb, sb, ob = b
-    vocabulary, code = np.unique(sb, return_inverse=True)
-    place = np.minimum(np.searchsorted(vocabulary, sa), len(vocabulary) - 1)
-    known = vocabulary[place] == sa
-    flag = np.zeros(len(vocabulary), bool)
-    left, right = [], []
-    for i in range(len(na)):
-        need = levels.needed(na[i] + nb)
-        ok = np.minimum(pa_[i], pb).sum(axis=1) >= need
-        ok &= (100 * np.minimum(na[i], nb) >= levels.percent * np.maximum(na[i], nb))
-        if same:
-            ok[: i + 1] = False
-        js = np.flatnonzero(ok)
-        if not len(js):
-            continue
-        mine = place[oa[i] : oa[i] + na[i]][known[oa[i] : oa[i] + na[i]]]
-        flag[mine] = True
-        if len(js) == len(nb):
-            shared = np.add.reduceat(flag[code], ob, dtype=np.int64)
-        else:
-            shared = np.array([np.count_nonzero(flag[code[ob[j] : ob[j] + nb[j]]]) for j in js])
-        flag[mine] = False
-        hit = js[100 * shared >= levels.percent * (na[i] + nb[js] - shared)]
-        left.append(np.full(len(hit), i))
-        right.append(hit)
-    empty = np.empty(0, np.int64)
-    return np.concatenate([empty, *left]).astype(np.int64), np.concatenate([empty, *right]).astype(np.int64)
+    _, _, na, pa_, sa, _ = a
+    _, _, nb, pb, sb, _ = b
+    ok = (100 * np.minimum.outer(na, nb) >= levels.percent * np.maximum.outer(na, nb))
+    if same:
+        ok = np.triu(ok, 1)
+    need = levels.needed(np.add.outer(na, nb))
+    for i in np.flatnonzero(ok.any(axis=1)).tolist():
+        js = np.flatnonzero(ok[i])
+        ok[i, js] = np.minimum(pa_[i], pb[js]).sum(axis=1) >= need[i, js]
+    rows, cols = np.flatnonzero(ok.any(axis=1)), np.flatnonzero(ok.any(axis=0))
+    if not len(rows):
+        return rows, cols
+    # shingles of the sets still in question, as 0 and 1 in a matrix over those that both sides have
+    fa, fb = np.isin(np.repeat(np.arange(len(na)), na), rows), np.isin(np.repeat(np.arange(len(nb)), nb), cols)
+    both = np.intersect1d(sa[fa], sb[fb])
+    shared = np.zeros((len(na), len(nb)), np.float32)
+    oa, ob = np.repeat(np.arange(len(na)), na), np.repeat(np.arange(len(nb)), nb)
+    for lo in range(0, len(both), WIDE):
+        part = both[lo : lo + WIDE]
+        m = []
+        for s, f, o, n in ((sa, fa, oa, na), (sb, fb, ob, nb)):
+            at = np.minimum(np.searchsorted(part, s), len(part) - 1)
+            hit = f & (part[at] == s)
+            x = np.zeros((len(n), len(part)), np.float32)
+            x[o[hit], at[hit]] = 1
+            m.append(x)
+        shared += m[0] @ m[1].T
+    shared = shared.astype(np.int64)
+    return np.nonzero(ok & (100 * shared >= levels.percent * (np.add.outer(na, nb) - shared)))
 
 
 def spanning_forest(u: np.ndarray, v: np.ndarray) -> list[tuple[int, int]]:
@@ -243,13 +303,14 @@ def spanning_forest(u: np.ndarray, v: np.ndarray) -> list[tuple[int, int]]:
 
 def _compare(percent: int):
     def run(batches):
+        begin_task("links")
         levels = Levels(percent)
         for batch in batches:
             u, v, links = [], [], []
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for row in (tuple(c[i].as_py() for c in batch.columns) for i in range(batch.num_rows)):
                 same = row[0]
-                a = _unpack(*row[1:6])
-                b = a if same else _unpack(*row[6:11])
+                a = _unpack(*row[1:7])
+                b = a if same else _unpack(*row[7:13])
                 i, j = compare_leaves(a, b, same, levels)
                 if not len(i):
                     continue
@@ -270,22 +331,32 @@ def _compare(percent: int):
 
 
 def leaf_pairs(leaves: DataFrame, percent: int) -> DataFrame:
-    """Pairs of leaves of one cluster whose boxes leave room for a link."""
-    side = leaves.select("cluster", "leaf", "low", "high", "corner")
+    """Pairs of leaves of one cluster whose boxes leave room for a link: pairs of inner nodes
+    first, and then the leaves of those, which are dealt over tasks by their nodes."""
+
+    def fits(a, b):
+        bound = F.aggregate(F.zip_with(f"{a}.corner", f"{b}.corner", lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda s, x: s + x)
+        near = (100 * F.col(f"{a}.high") >= percent * F.col(f"{b}.low")) & (100 * F.col(f"{b}.high") >= percent * F.col(f"{a}.low"))
+        return near & (bound * (100 + percent) >= percent * (F.col(f"{a}.low") + F.col(f"{b}.low")))
+
+    side = leaves.select("cluster", "inner", "leaf", "low", "high", "corner")
+    upper = F.array(*[F.max(F.col("corner")[i]) for i in range(GROUPS)])
+    inner = materialize(side.groupBy("cluster", "inner").agg(F.min("low").alias("low"), F.max("high").alias("high"), upper.alias("corner")), "inner-nodes")
+    a, b = inner.alias("a"), inner.alias("b")
+    pairs = a.join(b, (F.col("a.cluster") == F.col("b.cluster")) & (F.col("a.inner") <= F.col("b.inner")) & fits("a", "b"))
+    pairs = pairs.select(F.col("a.inner").alias("x"), F.col("b.inner").alias("y"))
     a, b = side.alias("a"), side.alias("b")
-    bound = F.aggregate(F.zip_with("a.corner", "b.corner", lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda s, x: s + x)
-    fits = (
-        (F.col("a.leaf") <= F.col("b.leaf"))
-        & (100 * F.col("a.high") >= percent * F.col("b.low")) & (100 * F.col("b.high") >= percent * F.col("a.low"))
-        & (bound * (100 + percent) >= percent * (F.col("a.low") + F.col("b.low")))
-    )
-    return a.join(b, (F.col("a.cluster") == F.col("b.cluster")) & fits).select(F.col("a.leaf").alias("leaf_a"), F.col("b.leaf").alias("leaf_b"))
+    both = pairs.join(a, F.col("x") == F.col("a.inner")).join(b, F.col("y") == F.col("b.inner"))
+    both = both.where(((F.col("x") != F.col("y")) | (F.col("a.leaf") <= F.col("b.leaf"))) & fits("a", "b"))
+    return both.select(F.col("a.leaf").alias("leaf_a"), F.col("b.leaf").alias("leaf_b"))
 
 
 def route(keys: DataFrame) -> DataFrame:
-    """Clusters (node, cluster) of the nodes that share a key, from rows (node, key)."""
-    cells = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key", "low")
-    routes = keys.join(cells, "key").where("node != low").select(F.col("low").alias("src"), F.col("node").alias("dst")).distinct()
+    """Clusters (node, cluster) of the nodes that share a key, from rows (node, key).
+
+    Few keys are shared, so they are broadcast up to BROADCAST_KEYS, and the rows stay where they are."""
+    cells = materialize(keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key", "low"), "cells")
+    routes = keys.join(F.broadcast(cells) if cells.count() <= BROADCAST_KEYS else cells, "key").where("node != low").select(F.col("low").alias("src"), F.col("node").alias("dst")).distinct()
     return connected_components(routes).select("node", F.col("component").alias("cluster"))
 
 
@@ -294,7 +365,7 @@ def verified_links(members: DataFrame, percent: int) -> DataFrame:
     n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["cluster", "n", *[F.col("point")[i] for i in range(4)], "node"]
     leaves = materialize(members.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_pack, LEAVES), "leaves")
-    body = ["nodes", "copies", "sizes", "points", "shingles"]
+    body = ["nodes", "copies", "sizes", "points", "vocabulary", "codes"]
     side = lambda s: leaves.select(F.col("leaf").alias(f"leaf_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in body])
     rows = leaf_pairs(leaves, percent).join(side("a"), "leaf_a").join(side("b"), "leaf_b")
     found = rows.select((F.col("leaf_a") == F.col("leaf_b")).alias("same"), *[f"{c}_a" for c in body], *[f"{c}_b" for c in body])
@@ -331,7 +402,7 @@ def _fetch(texts: DataFrame, chosen: DataFrame, k: int) -> DataFrame:
 def _classes(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """The rows of ``jaccard_classes`` with their class, the least set of it; empty sets have none."""
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    sets = materialize(texts.withColumn("text_key", text_key("text")).mapInArrow(_sets(k, percent), SETS), "sets")
+    sets = materialize(texts.withColumn("text_key", text_key("text")).mapInArrow(_sets(k, percent, common_shingles(texts, k)), SETS), "sets")
     filled = sets.where("node IS NOT NULL")
     nodes = materialize(filled.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("text_key").alias("text_key"), F.count("*").alias("copies")), "nodes")
 

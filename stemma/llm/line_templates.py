@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stemma.llm.common import materialize, table, text_key
+from stemma.llm.common import begin_task, materialize, table, text_key, text_slices
 
 MIN_TOKENS = 3
 DEPTH = 2
@@ -52,9 +52,10 @@ def leaf_of(tokens: list[bytes], depth: int) -> int:
 
 def _lines(min_tokens: int, depth: int):
     def run(batches):
-        for batch in batches:
+        begin_task("lines")
+        for batch, lo, texts in ((b, lo, texts) for b in batches for lo, texts in text_slices(b.column(1))):
             out = [[], [], [], [], []]
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for key, text in zip(batch.column(0).slice(lo, len(texts)).to_pylist(), texts, strict=True):
                 for i, line in enumerate((text or "").encode("utf-8", "surrogatepass").split(b"\n")):
                     t = masked(line)
                     if len(t) >= min_tokens:
@@ -68,9 +69,10 @@ def _lines(min_tokens: int, depth: int):
 
 
 def _tokens(batches):
-    for batch in batches:
+    begin_task("line tokens")
+    for batch, lo, texts in ((b, lo, texts) for b in batches for lo, texts in text_slices(b.column(0))):
         rows = []
-        for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for text, wanted in zip(texts, batch.column(1).slice(lo, len(texts)).to_pylist(), strict=True):
             lines = (text or "").encode("utf-8", "surrogatepass").split(b"\n")
             for w in wanted:
                 rows.append((w["leaf"], w["line"], w["n_docs"], [t.decode("utf-8", "replace") for t in masked(lines[w["number"]])]))

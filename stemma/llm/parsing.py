@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stemma.llm.common import materialize, mix, signed, table, text_key, text_or_empty
+from stemma.llm.common import begin_task, materialize, mix, signed, table, text_key, text_or_empty, text_slices
 
 WINDOW = 100
 TRIGGER = 32
@@ -144,9 +144,10 @@ def pieces(texts: list[bytes]):
 
 
 def _parse(batches):
-    for batch in batches:
-        docs, numbers = (np.asarray(batch.column(i)) for i in (0, 1))
-        texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(2).to_pylist()]
+    begin_task("parse")
+    for batch, lo, texts in ((b, lo, texts) for b in batches for lo, texts in text_slices(b.column(2), 8 * PIECE)):
+        docs, numbers = (np.asarray(batch.column(i).slice(lo, len(texts))) for i in (0, 1))
+        texts = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
         for part in pieces(texts):
             sizes = np.array([len(p) for _, _, p in part], np.int64)
             limits = np.cumsum(sizes)
@@ -180,6 +181,7 @@ def copies_here(trigger, phrase, doc, place) -> np.ndarray:
 def _neighbours(batches):
     """Over rows sorted by trigger, phrase, doc and place: copies of an earlier phrase, and
     first phrases whose trigger leads other phrases too. Keeps one row between batches."""
+    begin_task("neighbours")
     last = None  # the phrase at hand: trigger, phrase, first doc and place, whether its trigger led the phrase before
 
     def out(trigger, doc, place, copy):
@@ -222,6 +224,7 @@ def _phrases(batches):
     """The bytes of the wanted phrases of each text, as (trigger, doc, place, data)."""
     names = ["trigger", "doc", "place", "data"]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    begin_task("phrases")
     for batch in batches:
         rows, size = [], 0
         for doc, text, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -269,6 +272,7 @@ def _suffixes(batches):
     """Repeated windows among phrases of one trigger, from rows sorted by trigger, doc and place.
 
     Between batches only the keys of the windows seen of the trigger at hand are kept."""
+    begin_task("suffixes")
     current, seen = None, np.empty(0, np.uint64)
     for batch in batches:
         trigger, doc, place = (np.asarray(batch.column(i)) for i in range(3))
@@ -337,6 +341,7 @@ RESULT = "doc_id long, number long, n_bytes long, n_removed long, starts array<l
 
 def _cut(digest: bool):
     def run(batches):
+        begin_task("cut")
         for batch in batches:
             rows = []
             for doc, number, text, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):

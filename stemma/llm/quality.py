@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stemma.llm.common import HASHES, materialize, shingle_hashes, signed, table, text_key
+from stemma.llm.common import HASHES, begin_task, materialize, shingle_hashes, signed, table, text_key, text_slices
 
 SYMBOLS = b"#*$%&|<>"
 CONTINUATION = bytes(range(0x80, 0xC0))
@@ -71,8 +71,9 @@ def text_facts(text: str | None):
 
 
 def _facts(batches):
-    for batch in batches:
-        ids, hosts, text_hash, texts = *batch.columns[:3], batch.column(3).to_pylist()
+    begin_task("facts")
+    for whole, lo, texts in ((b, lo, texts) for b in batches for lo, texts in text_slices(b.column(3))):
+        ids, hosts, text_hash = (c.slice(lo, len(texts)) for c in whole.columns[:3])
         out = [text_facts(t) for t in texts]
         cols = [pa.array([x[i] for x in out], pa.int64()) for i in range(5)]
         hashes = np.array([h for x in out for h in x[5]], np.uint64)

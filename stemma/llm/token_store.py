@@ -53,12 +53,22 @@ def default_tokenizer() -> str:
 # --- encoding ----------------------------------------------------------------
 
 
+#: White space by the Unicode property White_Space: a space beside the first kind, or any of the second, keeps a text whole.
+_BESIDE = [pair for c in " \t\n\x0b\x0c\r" for pair in (c + " ", " " + c)]
+_WIDE = "\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
+def splits(text: str) -> bool:
+    """Whether the ids of a text are those of its space-led chunks."""
+    return not ("\0" in text or any(p in text for p in _BESIDE) or (not text.isascii() and any(c in text for c in _WIDE)))
+
+
 class ChunkEncoder:
     """The library's ids of whole texts, with the ids of every space-led chunk kept.
 
-    This tokenizer cuts a text before each single space, whatever follows, so a text
-    without two spaces in a row has the ids of its chunks one after another. Texts with
-    runs of spaces (or a NUL) go to the library whole. Beyond ``limit`` kept chunks the first
+    This tokenizer cuts a text before each single space between other signs, so a text in
+    which no space stands beside white space has the ids of its chunks one after another.
+    All other texts (and those with a NUL) go to the library whole. Beyond ``limit`` kept chunks the first
     four sevenths remain: those seen first are the frequent ones."""
 
     LIMIT = 1_000_000
@@ -124,8 +134,8 @@ class ChunkEncoder:
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         self._trim()
         out: list = [None] * len(texts)
-        plain = [i for i, t in enumerate(texts) if t and "  " not in t and "\0" not in t]
-        whole = [i for i, t in enumerate(texts) if t and ("  " in t or "\0" in t)]
+        plain = [i for i, t in enumerate(texts) if t and splits(t)]
+        whole = [i for i, t in enumerate(texts) if t and not splits(t)]
         chunks, ends = [], []
         for i in plain:
             pieces = texts[i].split(" ")

@@ -26,12 +26,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stemma.llm.common import filesystem, materialize, new_folder, table
+from stemma.llm.common import begin_task, filesystem, materialize, new_folder, table
 
 MIN_REVISIT_BYTES = 1000
 SAMPLE_BYTES = 2_000_000
 DICT_BYTES = 65_536
 LEVEL = 3
+#: Pages carry no time of capture; the mandatory date of their records is this unless one is given.
+DATE = "1970-01-01T00:00:00Z"
+#: Payloads with copies up to this many (a digest, an id and a url each) are broadcast to the pages.
+BROADCAST_PAYLOADS = 300_000
 
 #: Fixed values of the formats: Zstandard skippable frame and dictionary magic numbers.
 SKIPPABLE_MAGIC = 0x184D2A5D
@@ -50,32 +54,41 @@ def plan_records(pages: DataFrame, min_revisit_bytes: int = MIN_REVISIT_BYTES) -
     )
     big = F.col("payload_bytes") >= min_revisit_bytes
     last = (
-        p.where(big).groupBy("payload_digest").agg(F.max("page_id").alias("response_id"), F.count("*").alias("n"))
-        .where("n > 1").select(F.col("payload_digest").alias("_digest"), "response_id")
+        p.where(big).groupBy("payload_digest").agg(F.max(F.struct("page_id", "url")).alias("last"), F.count("*").alias("n"))
+        .where("n > 1").select(F.col("payload_digest").alias("_digest"), F.col("last.page_id").alias("response_id"), F.col("last.url").alias("response_url"))
     )
+    last = materialize(last, "copied-payloads")
+    if last.count() <= BROADCAST_PAYLOADS:  # so the pages' html stays where it is
+        last = F.broadcast(last)
     joined = p.join(last, F.col("payload_digest") == F.col("_digest"), "left")  # equal payloads are equally long
     revisit = F.col("response_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response_id"))
     return joined.select(
         "page_id", "url", "html", "payload_bytes", "payload_digest",
         F.when(revisit, "revisit").otherwise("response").alias("record_type"),
         F.when(revisit, F.col("response_id")).alias("refers_to"),
+        F.when(revisit, F.col("response_url")).alias("refers_to_url"),
     )
 
 
-def record_id(page_id: int | None) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>"
+def record_id(place: str) -> str:
+    """A record's id, from its archive and its number there: pages may share their ids."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, place)}>"
 
 
-def encode_record(page_id, url, payload: bytes, digest_hex: str, kind: str, refers_to, total: int) -> bytes:
+def one_line(url: str | None) -> str:
+    return (url or "").replace("\r", "%0D").replace("\n", "%0A")
+
+
+def encode_record(page_id, url, payload: bytes, digest_hex: str, kind: str, refers_to, total: int, refers_to_url: str | None = None, place: str = "", date: str = DATE) -> bytes:
     """One WARC/1.1 record: HTTP head, and the payload unless it is a revisit."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {total}\r\n\r\n".encode()
     block = http + (payload if kind == "response" else b"")
-    target = (url or "").replace("\r", "%0D").replace("\n", "%0A")
     head = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: {record_id(page_id)}",
-        f"WARC-Target-URI: {target}",
+        f"WARC-Record-ID: {record_id(place)}",
+        f"WARC-Date: {date}",
+        f"WARC-Target-URI: {one_line(url)}",
         f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(digest_hex)).decode()}",
         "Content-Type: application/http; msgtype=response",
         f"Content-Length: {len(block)}",
@@ -85,7 +98,8 @@ def encode_record(page_id, url, payload: bytes, digest_hex: str, kind: str, refe
     if refers_to is not None:
         head += [
             "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
-            f"WARC-Refers-To: {record_id(refers_to)}",
+            f"WARC-Refers-To-Target-URI: {one_line(refers_to_url)}",
+            f"WARC-Refers-To-Date: {date}",
             f"X-Refers-To-Page-ID: {refers_to}",
         ]
     return ("\r\n".join(head) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
@@ -152,15 +166,18 @@ class Archive:
         return [] if self.packer else self._begin()
 
 
-def _writer(folder: str):
+def _writer(folder: str, date: str):
     def write(batches):
         from pyspark import TaskContext
 
+        begin_task("archives")
+
         fs, root = filesystem(folder)
         fs.create_dir(root, recursive=True)
         task = TaskContext.get()
         name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}.warc.zst"
         archive = out = None
+        number = 0
 
         def rows(found):
             cols = list(zip(*found, strict=True))
@@ -175,9 +192,10 @@ def _writer(folder: str):
                 archive = Archive(out)
             found = []
             for i in range(batch.num_rows):
-                page_id, url, html, size, digest, kind, refers_to = (c[i].as_py() for c in batch.columns)
+                page_id, url, html, size, digest, kind, refers_to, refers_to_url = (c[i].as_py() for c in batch.columns)
                 payload = html.encode("utf-8", "surrogatepass") if kind == "response" else b""
-                found += archive.add(page_id, encode_record(page_id, url, payload, digest, kind, refers_to, size))
+                found += archive.add(page_id, encode_record(page_id, url, payload, digest, kind, refers_to, size, refers_to_url, f"{folder}/{name}:{number}", date))
+                number += 1
             if found:
                 yield rows(found)
         if out is not None:
@@ -189,9 +207,9 @@ def _writer(folder: str):
     return write
 
 
-def write_warc(records: DataFrame, folder: str) -> DataFrame:
+def write_warc(records: DataFrame, folder: str, date: str = DATE) -> DataFrame:
     """Archive planned records; returns the index (path, offset, bytes, page_id)."""
-    return materialize(records.mapInArrow(_writer(folder), INDEX), "warc-index")
+    return materialize(records.mapInArrow(_writer(folder, date), INDEX), "warc-index")
 
 
 def read_archive(data, start: int = 0):

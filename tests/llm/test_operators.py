@@ -408,3 +408,135 @@ def test_unlinked_texts_of_one_id_both_stay(make):
     one, two = prose(60, 71), prose(60, 72)
     kept = jaccard_join.keep_one(make([(1, one, "s"), (1, two, "s"), (2, two, "s")])).collect()
     assert sorted((r.doc_id, r.text) for r in kept) == sorted([(1, one), (1, two)])
+
+
+def letters_edited(text, share, kind, seed):
+    r, t = random.Random(seed), list(text)
+    for i in sorted(r.sample(range(len(t)), int(share * len(t))), reverse=True):
+        do = r.choice(["put", "drop", "change"]) if kind == "mixed" else kind
+        if do == "put":
+            t.insert(i, r.choice("abcdefghij"))
+        else:
+            t[i] = r.choice("abcdefghij") if do == "change" else ""
+    return "".join(t)
+
+
+@pytest.mark.parametrize("kind", ["put", "drop", "mixed"])
+@pytest.mark.parametrize("share", [0.08, 0.14, 0.19])
+def test_leaks_with_letters_put_in_and_left_out_are_found(make, spark, share, kind):
+    items = [(i, prose(R.randint(20, 60), 16000 + i)) for i in range(100)]
+    rows = [(i, prose(60, 100 + i) + " " + letters_edited(t, share, kind, i) + " " + prose(60, 300 + i), "s") for i, t in items]
+    rows += [(200 + i, prose(200, 9000 + i), "s") for i in range(20)]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(make(rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got <= {(i, i) for i in range(100)} and len(got) >= 95
+
+
+def test_leaks_odd_rows(make, spark):
+    item = prose(40, 31)
+    bench = spark.createDataFrame([(1, item, "x"), (2, item, "x"), (None, item, "x"), (3, "abc", "x"), (4, "w" * 9000, "x")], "item_id long, text string, part string")
+    rows = [(None, item, "s"), (1, prose(30, 4) + " " + item.upper(), "s"), (1, prose(30, 5), "s"), (2, "abc def", "s"), (3, "xabcx", "s"), (4, prose(9, 1) + " " + "w" * 9000, "s"), (5, "\n".join(prose(300, 50 + i) for i in range(800)) + "\n" + item, "s")]
+    docs = make(rows).withColumns({c: F.lit("mine") for c in ("part", "item", "key", "start", "item_id", "text_key")})
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, bench).collect()}
+    assert got == {(d, i) for d in (None, 1, 5) for i in (1, 2, None)} | {(2, 3), (4, 4)}
+    left = decontaminate.decontaminate(docs, bench)
+    assert sorted(r.text for r in left.collect()) == sorted([prose(30, 5), "xabcx"]) and left.columns == docs.columns and left.first()["part"] == "mine"
+
+
+def test_long_texts_are_searched_in_pieces():
+    item = prose(40, 31)
+    index = decontaminate.ItemIndex([item])
+    index.step = 3000
+    text = " ".join(prose(90, i) + " " + item for i in range(30))
+    at = {b for i in range(30) for b in [text.index(item, sum(len(prose(90, j)) + len(item) + 2 for j in range(i)))]}
+    found = list(decontaminate.find_windows([text], index))
+    assert {start for *_, start in found} == at
+
+
+def test_ids_of_white_space_equal_the_library():
+    e = token_store.ChunkEncoder(token_store.default_tokenizer())
+    r = random.Random(11)
+    signs = [*" \t\n\r\x0b\x0c\x1c\x1f\x85\xa0\u1680\u2003\u2028\u2029\u202f\u205f\u3000", "a", "\n", " ", " ", "é", ".", "ab", "1", "'s", "\u200b", "\ufeff"]
+    texts = ["".join(r.choice(signs) for _ in range(r.randint(1, 9))) for _ in range(100_000)]
+    want = [x.ids for x in e.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    got = [x[:-1].tolist() for lo in range(0, len(texts), 20_000) for x in e.encode(texts[lo : lo + 20_000])]
+    assert got == want
+
+
+def test_warc_records_keep_the_rules(spark):
+    pages = spark.createDataFrame(page_rows(), "page_id long, url string, html string").repartition(2)
+    seen = {}
+    for path in {r.path for r in warc.archive_pages(pages).collect()}:
+        fs, p = common.filesystem(path)
+        data = fs.open_input_stream(p).read()
+        import struct
+
+        import zstandard
+
+        magic, size = struct.unpack("<II", data[:8])
+        assert 0x184D2A50 <= magic <= 0x184D2A5F
+        d = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(data[8 : 8 + size]))
+        at = 8 + size
+        while at < len(data):
+            o = d.decompressobj()
+            raw = o.decompress(data[at:])
+            at = len(data) - len(o.unused_data)
+            head, _, rest = raw.partition(b"\r\n\r\n")
+            first, *lines = head.decode().split("\r\n")
+            fields = [x.split(": ", 1) for x in lines]
+            f = dict(fields)
+            assert first == "WARC/1.1" and len(f) == len(fields) and rest[int(f["Content-Length"]) :] == b"\r\n\r\n"
+            assert {"WARC-Record-ID", "WARC-Date", "WARC-Type", "Content-Length"} <= set(f) and f["WARC-Record-ID"] not in seen
+            assert (f["WARC-Type"] == "revisit") == ("WARC-Refers-To-Target-URI" in f) == ("WARC-Profile" in f)
+            seen[f["WARC-Record-ID"]] = f
+    assert len(seen) == len(page_rows())
+
+
+def test_a_conversation_called_none_is_its_own(spark):
+    df = spark.createDataFrame([("none", 0, "user", "first line"), (None, 1, "user", "> first line\nyes"), ("a", 2, "user", "> yes\nso")], "conv_id string, turn long, role string, text string")
+    got = {r.conv_id: r for r in chat.link_replies(df).collect()}
+    assert len(got) == 3 and all(r.position == 0 and r.reply_to is None for r in got.values())
+    assert got[None].quotes_conv == "none" and got["a"].quotes_conv is None and got["a"].quotes_position == 0
+
+
+def test_texts_over_a_slice(make):
+    long = "\n".join(prose(60, 40_000 + i) for i in range(5500))
+    assert len(long) > 1_000_000
+    rows = [(1, long, "s"), (2, long + "\nend of it", "s"), (3, prose(80, 3), "s")]
+    got = {r.doc_id: r for r in jaccard_join.jaccard_classes(make(rows)).collect()}
+    assert (got[1].component_id, got[2].component_id, got[3].component_id) == (1, 1, 3)
+    kept = {r.doc_id: r.text for r in paragraphs.dedup_paragraphs(make(rows)).collect()}
+    assert kept[1] == long and kept[2] == "end of it" and kept[3] == rows[2][1]
+    assert {r.doc_id: r.n_words for r in quality.quality_verdicts(make(rows)).collect()} == {1: 330_000, 2: 330_003, 3: 80}
+
+
+def test_passages_inside_longer_lines_are_found(make):
+    shared = [prose(n, 70_000 + n) for n in (55, 70, 120)]
+    rows = [(i, prose(60, 71_000 + i) + " " + shared[i % 3] + ("\n" if i % 2 else " ") + prose(45, 72_000 + i), "s") for i in range(30)]
+    rows += [(100 + i, prose(150, 73_000 + i), "s") for i in range(30)]  # clean
+    rows += [(200, "\n".join(" ".join(w) for w in np.array_split(shared[2].split(), 9)), "s"), (201, prose(200, 5).upper(), "s"), (202, prose(200, 5), "s"), (202, prose(200, 5), "s")]
+    by = {r.doc_id: r for r in paragraphs.removals_by_document(make(rows)).collect()}
+    assert set(by) == set(range(3, 30)) | {200, 202}
+    cut = {r.doc_id: r.text for r in paragraphs.cut_repeats(make(rows)).collect()}
+    assert cut[202] == "" and all(cut[i] == rows[i][1] for i in [0, 1, 2, *range(30, 60)] if i in cut)
+    for i in range(3, 30):
+        left = cut[i].split()
+        assert left[:54] == rows[i][1].split()[:54] and left[-39:] == rows[i][1].split()[-39:]
+        gone = len(rows[i][1].split()) - len(left)
+        assert gone == by[i].removed_words and 20 <= gone <= len(shared[i % 3].split()) + 12
+
+
+def test_passages_do_not_hang_on_neighbours():
+    texts = [prose(300, 80), "in " * 90 + prose(50, 81), prose(7, 82), "", prose(500, 80)]
+    w = [common.HASHES.of(common.words(t)) for t in texts]
+    together = paragraphs.passage_starts(np.concatenate(w), np.array([len(x) for x in w]))
+    at = np.cumsum([0, *(len(x) for x in w)])
+    for i, x in enumerate(w):
+        alone = paragraphs.passage_starts(x, np.array([len(x)]))
+        assert together[(together >= at[i]) & (together < at[i + 1])].tolist() == (alone + at[i]).tolist()
+        if len(x):
+            assert alone[0] == 0 and np.diff(alone, append=len(x)).max() < 2 * paragraphs.STRIDE
+
+
+def test_words_are_cut_with_the_space_after_them():
+    assert paragraphs.cut_words("a  b\nc é d\n", [(1, 3)]) == "a  é d\n"
+    assert paragraphs.cut_words("a b", [(0, 1), (1, 2)]) == ""
