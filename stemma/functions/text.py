@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 Col = str | Column
 
@@ -130,20 +132,56 @@ def ordered_subsequence(seq: Col, motif: Sequence[str]) -> Column:
     return F.aggregate(col(seq), F.lit(0), lambda i, x: F.when(x == F.get(m, i), i + 1).otherwise(i)) == len(motif)
 
 
-def lcs_length(a: Col, b: Col) -> Column:
-    """Length of a longest common subsequence, one row of the table at a time."""
-    b = col(b)
-    start = F.array_repeat(F.lit(0), F.size(b) + 1)
-
-    def row(above, x):
-        def cell(state, j):
-            value = F.when(F.get(b, j) == x, F.get(above, j) + 1).otherwise(F.greatest(F.get(above, j + 1), F.element_at(state, -1)))
-            return F.concat(state, F.array(value))
+@F.pandas_udf(IntegerType())
+def _lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
+    """The table's row as bits of one number: a step costs one addition, not a row of cells."""
+    out = []
+    for x, y in zip(a, b, strict=True):
+        where: dict = {}
+        for i, v in enumerate(x if x is not None else ()):
+            where[v] = where.get(v, 0) | 1 << i
+        n = 0 if x is None else len(x)
+        full = (1 << n) - 1
+        row = full
+        for v in y if y is not None else ():
+            hit = row & where.get(v, 0)
+            row = ((row + hit) | (row - hit)) & full
+        out.append(n - row.bit_count())
+    return pd.Series(out, dtype="int32")
 
-        columns = F.when(F.size(b) > 0, F.sequence(F.lit(0), F.size(b) - 1)).otherwise(F.array().cast("array<int>"))
-        return F.aggregate(columns, F.array(F.lit(0)), cell)
 
-    return F.element_at(F.aggregate(col(a), start, row), -1)
+def lcs_length(a: Col, b: Col) -> Column:
+    """Length of a longest common subsequence of two arrays; null arrays are empty."""
+    return _lcs_length(col(a), col(b))
+
+
+@F.pandas_udf(ArrayType(StructType([StructField("left", IntegerType()), StructField("right", IntegerType())])))
+def _lcs_pairs(a: pd.Series, b: pd.Series) -> pd.Series:
+    out = []
+    for x, y in zip(a, b, strict=True):
+        x, y = ([] if v is None else list(v) for v in (x, y))
+        table = [[0] * (len(y) + 1)]
+        for v in x:
+            row = [0]
+            for j, w in enumerate(y):
+                row.append(table[-1][j] + 1 if v == w else max(row[-1], table[-1][j + 1]))
+            table.append(row)
+        i, j, pairs = len(x), len(y), []
+        while i and j:
+            if x[i - 1] == y[j - 1]:
+                i, j = i - 1, j - 1
+                pairs.append({"left": i, "right": j})
+            elif table[i - 1][j] >= table[i][j - 1]:
+                i -= 1
+            else:
+                j -= 1
+        out.append(pairs[::-1])
+    return pd.Series(out)
+
+
+def lcs_pairs(a: Col, b: Col) -> Column:
+    """Places (left, right) of one longest common subsequence of two short arrays."""
+    return _lcs_pairs(col(a), col(b))
 
 
 def overlap_ratio(a: Col, b: Col) -> Column:
@@ -165,28 +203,38 @@ def useful_term(s: Col, stop: Sequence[str]) -> Column:
     return (F.length(col(s)) >= 2) & ~is_number(s) & ~col(s).isin(*stop)
 
 
-def all_occurrences(text: Col, needle: Col) -> Column:
-    """Positions from 0 of every occurrence, overlaps included.
+@F.pandas_udf(ArrayType(IntegerType()))
+def _occurrences(text: pd.Series, needle: pd.Series) -> pd.Series:
+    out = []
+    for t, n in zip(text, needle, strict=True):
+        places, at = [], t.find(n) if t and n else -1
+        while at >= 0:
+            places.append(at)
+            at = t.find(n, at + 1)
+        out.append(places)
+    return pd.Series(out)
+
 
-    The text is cut before every occurrence; the lengths of the pieces add up to the places."""
-    t, n = F.coalesce(col(text), F.lit("")), col(needle)
-    none = F.array().cast("array<int>")
+def all_occurrences(text: Col, needle: Col) -> Column:
+    """Positions from 0 of every occurrence, overlaps included, by one pass over the text."""
+    return _occurrences(F.coalesce(col(text), F.lit("")), col(needle))
 
-    def places(pieces):
-        first = F.when(F.startswith(t, n), F.array(F.lit(0))).otherwise(none)
-        inner = F.slice(pieces, 1, F.size(pieces) - 1)
-        state = F.aggregate(inner, F.struct(F.lit(0).alias("at"), none.alias("out")), lambda s, x: F.struct((s["at"] + F.length(x)).alias("at"), F.concat(s["out"], F.array(s["at"] + F.length(x))).alias("out")), lambda s: s["out"])
-        return F.concat(first, state)
 
-    found = let(F.split(t, F.concat(F.lit("(?=\\Q"), n, F.lit("\\E)")), -1), places)
-    return F.when((F.length(n) > 0) & F.contains(t, n), found).otherwise(none)
+@F.pandas_udf(ArrayType(IntegerType()))
+def _apart(positions: pd.Series, length: pd.Series) -> pd.Series:
+    out = []
+    for places, n in zip(positions, length, strict=True):
+        kept = []
+        for p in places if places is not None else ():
+            if not kept or p >= kept[-1] + n:
+                kept.append(int(p))
+        out.append(kept)
+    return pd.Series(out)
 
 
 def apart(positions: Col, length: Col) -> Column:
     """Of ascending positions those that do not overlap one taken before."""
-    n = col(length) if isinstance(length, (str, Column)) else F.lit(length)
-    empty = F.array().cast("array<int>")
-    return F.aggregate(col(positions), empty, lambda s, p: F.when((F.size(s) == 0) | (p >= F.element_at(s, -1) + n), F.concat(s, F.array(p))).otherwise(s))
+    return _apart(col(positions), col(length) if isinstance(length, (str, Column)) else F.lit(length))
 
 
 def year_in_range(year: Col, start: Col, end: Col) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stemma.functions import text as T
+from stemma.sources.tables import materialize
 
 
 def count_by(df: DataFrame, key: str) -> DataFrame:
@@ -18,14 +19,22 @@ def count_by(df: DataFrame, key: str) -> DataFrame:
 def top_terms(tokens: DataFrame, term: str, example: str, k: int, examples: int = 5) -> DataFrame:
     """The k most frequent terms (ties by term) with their smallest distinct example ids.
 
-    Counting and choosing come first, so ids are gathered for k terms only, and of those
-    only the first ``examples`` by rank."""
-    top = tokens.groupBy(term).agg(F.count("*").alias("n")).orderBy(F.desc("n"), term).limit(k)
-    pairs = tokens.select(term, example).join(F.broadcast(top.select(term)), term).distinct()
-    ranked = pairs.withColumn("r", F.row_number().over(Window.partitionBy(term).orderBy(example))).where(F.col("r") <= examples)
+    The tokens are read once, into counts of (term, example); ids are gathered for k terms only,
+    and of those only the first ``examples`` by rank."""
+    counts = materialize(tokens.groupBy(term, example).agg(F.count("*").alias("n")), "term-counts")
+    top = counts.groupBy(term).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), term).limit(k)
+    pairs = counts.select(term, example).join(F.broadcast(top.select(term)), term)
+    ranked = first_rows(pairs, term, example, examples)
     return top.join(ranked.groupBy(term).agg(F.sort_array(F.collect_list(example)).alias("examples")), term)
 
 
+def first_rows(df: DataFrame, key: str, order: str, n: int, salts: int = 64) -> DataFrame:
+    """The first n rows of every key: first of parts of a key, so a hot key is ranked by many tasks, then of those."""
+    for by in ([key, F.pmod(F.xxhash64(order), F.lit(salts))], [key]):
+        df = df.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(order))).where(F.col("_r") <= n).drop("_r")
+    return df
+
+
 def postings(docs: DataFrame, doc: str, text: str) -> DataFrame:
     """(token, doc) pairs of an inverted index, one row per pair: a list may not fit a row."""
     return docs.select(F.explode(F.array_distinct(T.tokens(text))).alias("token"), F.col(doc).alias("doc"))
@@ -49,9 +58,10 @@ def conditional_counts(df: DataFrame, predicates: dict[str, Column]) -> DataFram
 
 def template_aggregate(clauses: DataFrame, examples: int = 10) -> DataFrame:
     """Per template of (template, chunk): counts, specificity, whether it says too little, and examples."""
-    once = clauses.groupBy("template", "chunk").agg(F.count("*").alias("n"))
-    ranked = once.withColumn("r", F.row_number().over(Window.partitionBy("template").orderBy("chunk")))
-    out = ranked.groupBy("template").agg(F.sum("n").alias("n"), F.count("*").alias("n_chunks"), F.sort_array(F.collect_list(F.when(F.col("r") <= examples, F.col("chunk")))).alias("examples"))
+    once = materialize(clauses.groupBy("template", "chunk").agg(F.count("*").alias("n")), "template-chunks")
+    first = first_rows(once.select("template", "chunk"), "template", "chunk", examples).groupBy(F.col("template").alias("_template")).agg(F.sort_array(F.collect_list("chunk")).alias("examples"))
+    counts = once.groupBy("template").agg(F.sum("n").alias("n"), F.count("*").alias("n_chunks"))
+    out = counts.join(first, F.col("template").eqNullSafe(F.col("_template"))).drop("_template")
     return out.withColumn("specificity", T.specificity("template")).withColumn("overgeneral", F.col("specificity") < 2)
 
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType
 
 from stemma.functions import text as T
 from stemma.operators.topk import top_per_key
@@ -81,33 +82,54 @@ def replace_spans(docs: DataFrame, spans: DataFrame, doc: str, text: str, placeh
     return j.select(doc, F.when(F.col("spans").isNull(), F.col("text")).otherwise(whole).alias("text"), F.coalesce(archived, none).alias("archived"))
 
 
-def derive_facts(assertions: DataFrame, rules: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """Facts (target, facet, value) saturated over rules (target, facet, to_target, to_facet), with their proofs' least depth.
+def derive_facts(assertions: DataFrame, rules: DataFrame, rejected: DataFrame | None = None) -> DataFrame:
+    """Facts (target, facet, value, authority) saturated over Horn rules, with their proofs' number and least depth.
+
+    ``assertions``: target, facet, value, authority, reviewed. ``rules`` has a row per premise:
+    rule, target, facet, to_target, to_facet; a rule fires for each value and authority that all its
+    premises have. Without ``rule`` and ``authority`` every row is a rule and all have one authority. Reviewed assertions have depth 0. Where a target and facet get two values all of
+    them are blocked, and so are ``rejected`` facts (target, facet, value); blocked facts support
+    nothing. A fact without a proof from unblocked reviewed facts is ungrounded, so a cycle cannot
+    support itself. Both loops run until a round adds nothing."""
+    key = ["target", "facet", "value", "authority"]
+    if "authority" not in assertions.columns:
+        assertions = assertions.withColumn("authority", F.lit(""))
+    if "rule" not in rules.columns:  # every row is a rule of one premise
+        rules = rules.withColumn("rule", F.xxhash64(*rules.columns))
+    rules = materialize(rules.distinct(), "rules")
+    sizes = rules.groupBy("rule").agg(F.count("*").alias("needed"))
+    heads = rules.select("rule", "to_target", "to_facet").distinct().join(sizes, "rule")
+
+    def fired(frontier, facts):
+        """Heads of the rules that have a premise in the frontier and all of them among the facts."""
+        hit = frontier.join(rules, ["target", "facet"]).select("rule", "value", "authority").distinct()
+        met = hit.join(rules, "rule").join(facts.select(*key), key).groupBy("rule", "value", "authority").agg(F.count("*").alias("met"))
+        return met.join(heads, "rule").where("met = needed").select("rule", F.col("to_target").alias("target"), F.col("to_facet").alias("facet"), "value", "authority")
 
-    Reviewed assertions have depth 0. Where a target and facet get two values both are
-    blocked and support nothing; a fact without a proof from unblocked facts is ungrounded,
-    so a cycle cannot support itself."""
-    key = ["target", "facet", "value"]
     facts = materialize(assertions.select(*key).distinct(), "facts")
     frontier = facts
-    step = lambda df: df.join(rules, ["target", "facet"]).select(F.col("to_target").alias("target"), F.col("to_facet").alias("facet"), "value")
-    for _ in range(max_rounds):
-        new = materialize(step(frontier).distinct().join(facts, key, "left_anti"), "facts")
-        if new.isEmpty():
-            break
-        facts, frontier = facts.union(new), new
-    blocked = facts.groupBy("target", "facet").agg((F.min("value") != F.max("value")).alias("blocked"))
-    facts = materialize(facts.join(blocked, ["target", "facet"]), "facts")
-    usable = facts.where("NOT blocked").select(*key)
+    while not frontier.isEmpty():
+        frontier = materialize(fired(frontier, facts).select(*key).distinct().join(facts, key, "left_anti"), "new-facts")
+        facts = materialize(facts.union(frontier), "facts")
+    clash = facts.groupBy("target", "facet").agg((F.min("value") != F.max("value")).alias("clash"))
+    facts = facts.join(clash, ["target", "facet"])
+    if rejected is not None:
+        facts = facts.join(rejected.select("target", "facet", "value").distinct().withColumn("rejected", F.lit(True)), ["target", "facet", "value"], "left")
+    else:
+        facts = facts.withColumn("rejected", F.lit(None).cast("boolean"))
+    facts = materialize(facts, "facts")
+    usable = materialize(facts.where("NOT clash AND rejected IS NULL").select(*key), "usable")
+    proofs = fired(usable, usable).groupBy(*key).agg(F.count_distinct("rule").alias("n_proofs"))
     depth = materialize(assertions.where("reviewed").select(*key).distinct().join(usable, key, "left_semi").withColumn("depth", F.lit(0)), "depth")
-    frontier = depth
-    for n in range(1, max_rounds):
-        new = materialize(step(frontier.drop("depth")).distinct().join(usable, key, "left_semi").join(depth, key, "left_anti").withColumn("depth", F.lit(n)), "depth")
-        if new.isEmpty():
-            break
-        depth, frontier = depth.union(new), new
-    out = facts.join(depth, key, "left")
-    return out.select(*key, F.when(F.col("blocked"), "conflict").when(F.col("depth").isNull(), "ungrounded").otherwise("grounded").alias("status"), "depth")
+    frontier, n = depth, 0
+    while not frontier.isEmpty():
+        n += 1
+        new = fired(frontier.drop("depth"), depth).select(*key).distinct().join(usable, key, "left_semi").join(depth, key, "left_anti")
+        frontier = materialize(new.withColumn("depth", F.lit(n)), "new-depth")
+        depth = materialize(depth.union(frontier), "depth")
+    out = facts.join(depth, key, "left").join(proofs, key, "left")
+    status = F.when(F.col("clash"), "conflict").when(F.col("rejected"), "rejected").when(F.col("depth").isNull(), "ungrounded").otherwise("grounded")
+    return out.select(*key, status.alias("status"), "depth", F.coalesce("n_proofs", F.lit(0)).alias("n_proofs"))
 
 
 def sections_of(kinds: Sequence[str]) -> list[tuple[int, str]]:
@@ -156,24 +178,39 @@ def sectionize(lines: DataFrame, doc: str, order: str, kind: str) -> DataFrame:
     return parts.groupBy(doc, "part").applyInPandas(walk, schema)
 
 
-def accepted_notes(numbers: Sequence[int], start: int = 0) -> list[bool]:
-    """Which note numbers continue the sequence of those accepted before."""
+@F.pandas_udf(ArrayType(BooleanType()))
+def _accepted_pages(pages: pd.Series) -> pd.Series:
+    """Whether each page's closing run (first number, last number) continues the notes of the pages before."""
     out = []
-    for n in numbers:
-        out.append(n == start + 1)
-        start += out[-1]
-    return out
-
-
-def expected_suffix(notes: DataFrame, doc: str, order: str, number: str) -> DataFrame:
-    """Note candidates of a document with whether they are accepted, over all its pages in order."""
-
-    def walk(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        return pdf.assign(accepted=accepted_notes(list(pdf[number])))
-
-    types = dict(notes.dtypes)
-    return notes.groupBy(doc).applyInPandas(walk, ", ".join(f"`{c}` {types[c]}" for c in notes.columns) + ", accepted boolean")
+    for runs in pages:
+        expected, flags = 1, []
+        for r in runs:
+            flags.append(r["low"] <= expected <= r["high"])
+            expected = r["high"] + 1 if flags[-1] else expected
+        out.append(flags)
+    return pd.Series(out)
+
+
+def expected_suffix(notes: DataFrame, doc: str, page: str, order: str, number: str, highest: int = 10_000) -> DataFrame:
+    """Note candidates (doc, page, order, number) with whether they are accepted.
+
+    On a page only its closing run counts, numbers that rise by one up to the page's end; of it
+    those are notes that go on from the last note of the pages before. Windows find the runs; the
+    walk over a document's pages sees two numbers a page."""
+    back = Window.partitionBy(doc, page).orderBy(F.desc(order))
+    place = F.row_number().over(back)
+    last = F.first(number).over(back)
+    n = notes.withColumn("_last", last).withColumn("_off", (F.col(number) + place - 1 != F.col("_last")) | F.col(number).isNull() | (F.col("_last") > highest))
+    n = n.withColumn("_run", F.max("_off").over(back) == F.lit(False))
+    pages = n.where("_run").groupBy(doc, page).agg(F.min(number).alias("low"), F.max(number).alias("high"))
+    walk = pages.groupBy(doc).agg(F.sort_array(F.collect_list(F.struct(F.col(page).alias("page"), "low", "high"))).alias("pages"))
+    walk = walk.withColumn("ok", _accepted_pages("pages")).select(doc, F.explode(F.arrays_zip("pages", "ok")).alias("p"))
+    good = walk.where("p.ok").select(F.col(doc).alias("_doc"), F.col("p.pages.page").alias("_page"), F.col("p.pages.low").alias("_low"))
+    before = Window.partitionBy("_doc").orderBy("_page")
+    good = good.join(pages.select(F.col(doc).alias("_doc"), F.col(page).alias("_page"), "high"), ["_doc", "_page"])
+    good = good.withColumn("_from", F.coalesce(F.lag("high").over(before) + 1, F.lit(1))).drop("high", "_low")
+    j = n.join(good, (F.col(doc) == F.col("_doc")) & (F.col(page) == F.col("_page")), "left")
+    return j.select(*notes.columns, F.coalesce(F.col("_run") & (F.col(number) >= F.col("_from")), F.lit(False)).alias("accepted"))
 
 
 def span_text(text: Column, start: Column, end: Column) -> Column:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,9 +60,39 @@ def filter_pairs(pairs: DataFrame, sides: DataFrame, axis: str | None = None) ->
     return keep if axis is None else keep.where(F.exists("axes", lambda x: (x["axis"] == axis) & (x["matched_count"] > 0)))
 
 
-def in_page_scope(chunks: DataFrame, scopes: DataFrame) -> DataFrame:
-    """Chunks (first, last) that lie inside a scope (scope, low, high); scopes are a rule table."""
-    return chunks.join(F.broadcast(scopes), (F.col("first") >= F.col("low")) & (F.col("last") <= F.col("high")))
+def in_page_scope(chunks: DataFrame, scopes: DataFrame, width: int = 1000) -> DataFrame:
+    """Chunks (first, last) that lie inside a scope (scope, low, high): they meet in buckets of pages, by an equi-join."""
+    each = scopes.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("low") / width), F.floor(F.col("high") / width))))
+    met = chunks.withColumn("_bucket", F.floor(F.col("first") / width)).join(each, "_bucket")
+    return met.where((F.col("first") >= F.col("low")) & (F.col("last") <= F.col("high"))).drop("_bucket")
+
+
+@lru_cache(maxsize=4)
+def _automaton(lexicon: tuple[str, ...]):
+    import ahocorasick
+
+    a = ahocorasick.Automaton()
+    for term in lexicon:
+        a.add_word(term, term)
+    a.make_automaton()
+    return a
+
+
+def lexicon_hits(docs: DataFrame, doc: str, text: str, lexicon: Sequence[str]) -> DataFrame:
+    """(doc, term, first) of the terms of a lexicon that a text holds; one automaton a worker reads a text once."""
+    terms = tuple(sorted({x for x in lexicon if x}))
+
+    @F.pandas_udf("array<struct<term:string,first:int>>")
+    def hits(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            found: dict[str, int] = {}
+            for end, term in _automaton(terms).iter(t) if t and terms else ():
+                found.setdefault(term, end - len(term) + 1)
+            out.append([{"term": k, "first": v} for k, v in found.items()])
+        return pd.Series(out)
+
+    return docs.select(doc, F.explode(hits(text)).alias("hit")).select(doc, "hit.term", "hit.first")
 
 
 def literal_units(units: DataFrame, text: str, literal: str) -> DataFrame:

@@ -11,50 +11,66 @@ from pyspark.sql import functions as F
 from stemma.operators.intervals import overlapping
 from stemma.sources.tables import materialize
 
-MAX_ROUNDS = 200
+#: Hops that one round of a propagation takes, and rounds of peeling before a closure.
+HOPS, PEEL_ROUNDS = 8, 8
 
 
-def closure(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def closure(edges: DataFrame) -> DataFrame:
     """All (node, ancestor) reachable by (child, parent) edges; cycles are no trouble.
 
-    Paths double in length each round: pairs found so far are joined to one another."""
+    Paths double in length each round: pairs new in the last round are joined to all before and after."""
     found = materialize(edges.select(F.col("child").alias("node"), F.col("parent").alias("ancestor")).where("node IS NOT NULL AND ancestor IS NOT NULL").distinct(), "closure")
-    n = found.count()
-    for _ in range(max_rounds):
-        step = found.alias("a").join(found.alias("b"), F.col("a.ancestor") == F.col("b.node")).select("a.node", "b.ancestor")
-        found = materialize(found.union(step).distinct(), "closure")
-        more = found.count()
-        if more == n:
-            return found
-        n = more
-    raise RuntimeError(f"closure did not end in {max_rounds} rounds")
+    new = found
+    while not new.isEmpty():
+        chain = lambda a, b: a.alias("a").join(b.alias("b"), F.col("a.ancestor") == F.col("b.node")).select("a.node", "b.ancestor")
+        step = chain(new, found).union(chain(found, new)).distinct()
+        new = materialize(step.join(found, ["node", "ancestor"], "left_anti"), "closure")
+        found = materialize(found.union(new), "closure")
+    return found
 
 
 def on_cycles(edges: DataFrame) -> DataFrame:
-    """Nodes that reach themselves: every node on some cycle."""
-    return closure(edges).where("node = ancestor").select("node")
-
-
-def propagate_inactive(nodes: DataFrame, edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
-    """Nodes (id, active) and edges (child, parent): active nodes below an inactive one need review.
-
-    The frontier holds only nodes that fell in the last round."""
-    bad = materialize(nodes.where("NOT active").select("id"), "inactive")
-    frontier = bad
-    fallen = None
-    for _ in range(max_rounds):
-        hit = edges.join(frontier.withColumnRenamed("id", "parent"), "parent", "left_semi").select(F.col("child").alias("id")).distinct()
-        new = materialize(hit.join(bad, "id", "left_anti").join(nodes, "id", "left_semi"), "fallen")
-        if new.isEmpty():
+    """Nodes that reach themselves: every node on some cycle.
+
+    Edges out of nodes without parents and into nodes without children lie on no cycle and are
+    peeled off, as long as that takes few rounds; what is left is closed."""
+    left = materialize(edges.select("child", "parent").where("child IS NOT NULL AND parent IS NOT NULL").distinct(), "edges")
+    n = left.count()
+    for _ in range(PEEL_ROUNDS):
+        kept = left.join(left.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi").join(left.select(F.col("parent").alias("child")).distinct(), "child", "left_semi")
+        left = materialize(kept.select("child", "parent"), "edges")
+        before, n = n, left.count()
+        if n in (0, before):
+            break
+    return closure(left).where("node = ancestor").select("node")
+
+
+def propagate_inactive(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Nodes (id, active) and edges (child, parent): active nodes below an inactive one need review,
+    and so do those with a parent that does not exist.
+
+    The frontier holds only nodes that fell in the last round, and a round takes HOPS steps; it goes
+    on until a round adds nothing, however long the chains are."""
+    inner = materialize(edges.select("child", "parent").where("child IS NOT NULL AND parent IS NOT NULL").distinct(), "dependencies")
+    known = materialize(nodes.select("id", "active"), "nodes")
+    bad = materialize(known.where("NOT active").select("id"), "inactive")
+    lost = inner.join(known.select(F.col("id").alias("parent")), "parent", "left_anti").select(F.col("child").alias("id")).distinct()
+    frontier = materialize(lost.join(known.where("active"), "id", "left_semi"), "fallen")
+    seen = frontier
+    frontier = frontier.union(bad)
+    while True:
+        reach = frontier
+        for _ in range(HOPS):
+            below = inner.join(reach.withColumnRenamed("id", "parent"), "parent", "left_semi").select(F.col("child").alias("id"))
+            reach = reach.union(below).distinct()
+        new = reach.join(bad, "id", "left_anti").join(seen, "id", "left_anti").join(known, "id", "left_semi")
+        frontier = materialize(new, "fallen")
+        if frontier.isEmpty():
             break
-        bad = bad.union(new)
-        fallen = new if fallen is None else fallen.union(new)
-        frontier = new
-    out = nodes.select("id", F.when(F.col("active"), "active").otherwise("inactive").alias("status"))
-    if fallen is None:
-        return out
-    f = fallen.select(F.col("id").alias("fallen_id"))
-    return out.join(f, F.col("id") == F.col("fallen_id"), "left").select("id", F.when(F.col("fallen_id").isNotNull(), "needs_revalidation").otherwise(F.col("status")).alias("status"))
+        seen = materialize(seen.union(frontier), "seen")
+    f = seen.select(F.col("id").alias("fallen_id"))
+    status = F.when(~F.col("active"), "inactive").when(F.col("fallen_id").isNotNull(), "needs_revalidation").otherwise("active")
+    return known.join(f, F.col("id") == F.col("fallen_id"), "left").select("id", status.alias("status"))
 
 
 def artifact_freshness(artifacts: DataFrame, parents: DataFrame, units: DataFrame, current: DataFrame) -> DataFrame:
@@ -78,7 +94,7 @@ def graph_audit(events: DataFrame, ports: DataFrame, values: DataFrame, required
     writes = ports.where("direction = 'write'").select("event_id", "value_id", F.col("port").alias("written"))
     wrong = values.join(writes, (F.col("producer") == F.col("event_id")) & (values["value_id"] == writes["value_id"])).where("written != output_port").select(values["value_id"], "written")
     bare = events.where("n_sources = 0")
-    wanted = events.join(F.broadcast(required), "kind").select("event_id", "port")
+    wanted = events.join(required, "kind").select("event_id", "port")
     missing = wanted.join(ports.select("event_id", "port"), ["event_id", "port"], "left_anti")
     parts = [d(dangling, "dangling_read", "event_id", "value_id"), d(orphan, "missing_producer", "value_id", "producer"), d(wrong, "wrong_output_port", "value_id", "written"), d(bare, "missing_source", "event_id", "kind"), d(missing, "missing_port", "event_id", "port")]
     out = parts[0]
@@ -87,7 +103,7 @@ def graph_audit(events: DataFrame, ports: DataFrame, values: DataFrame, required
     return out
 
 
-def fixpoint_region(seeds: DataFrame, spans: DataFrame, doc: str, bucket: int = 256, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def fixpoint_region(seeds: DataFrame, spans: DataFrame, doc: str, bucket: int = 256, max_rounds: int = 10_000) -> DataFrame:
     """Spans (doc, id, start, end) reached from seed spans by overlaps, in rounds."""
     region = materialize(overlapping(spans, seeds, doc, bucket).select("doc", F.col("left_id").alias("id")).distinct(), "region")
     frontier = region

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stemma.sources.tables import materialize
+
 
 def _bucketed(df: DataFrame, side: str, doc: str, bucket: int, *keep: str) -> DataFrame:
     last = F.greatest(F.col("start"), F.col("end") - 1)
@@ -58,15 +60,19 @@ def char_coverage(docs: DataFrame, spans: DataFrame, doc: str, length: str) -> D
     return j.select(doc, length, z("covered").alias("covered"), z("ranges").alias("ranges"), gaps.alias("gaps"))
 
 
-def atomic_segments(spans: DataFrame, doc: str) -> DataFrame:
-    """Segments between all neighbouring boundaries, with the number of spans over each.
+def atomic_segments(docs: DataFrame, spans: DataFrame, doc: str, length: str, bucket: int = 256) -> DataFrame:
+    """Segments between all neighbouring boundaries of a text, its ends among them, with the ids of the spans over each.
 
-    A running sum of starts less ends; no join."""
-    edges = spans.select(doc, F.col("start").alias("at"), F.lit(1).alias("d")).union(spans.select(doc, "end", F.lit(-1)))
-    at = edges.groupBy(doc, "at").agg(F.sum("d").alias("d"))
-    w = Window.partitionBy(doc).orderBy("at")
-    s = at.withColumn("n_spans", F.sum("d").over(w)).withColumn("end", F.lead("at").over(w))
-    return s.where("end IS NOT NULL").select(doc, F.col("at").alias("start"), "end", "n_spans")
+    Spans (doc, id, start, end) that are empty or lie beyond the text do not count."""
+    s = spans.join(docs.select(doc, length), doc).where((F.col("start") >= 0) & (F.col("end") <= F.col(length)) & (F.col("start") < F.col("end"))).drop(length)
+    bounds = s.select(doc, F.explode(F.array(F.col("start").cast("long"), F.col("end").cast("long"))).alias("at"))
+    at = docs.where(F.col(length) > 0).select(doc, F.explode(F.array(F.lit(0).cast("long"), F.col(length).cast("long"))).alias("at")).union(bounds).distinct()
+    seg = at.withColumn("end", F.lead("at").over(Window.partitionBy(doc).orderBy("at"))).where("end IS NOT NULL").withColumnRenamed("at", "start")
+    seg = materialize(seg.withColumn("id", F.col("start")), "segments")
+    over = overlapping(seg, s, doc, bucket).groupBy(F.col("doc").alias("_doc"), F.col("left_id").alias("_at")).agg(F.sort_array(F.collect_list("right_id")).alias("spans"))
+    j = seg.join(over, (F.col(doc) == F.col("_doc")) & (F.col("id") == F.col("_at")), "left")
+    none = F.array().cast(f"array<{dict(spans.dtypes)['id']}>")
+    return j.select(doc, "start", "end", F.coalesce("spans", none).alias("spans"))
 
 
 def removed_text_accounting(spans: DataFrame, doc: str) -> DataFrame:

@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 from stemma.functions import text as T
 from stemma.operators.topk import top_per_key
+from stemma.sources.tables import materialize
+
+#: Distinct grams of the quotes up to this many (two numbers each) are broadcast to the sources.
+BROADCAST_GRAMS = 1_000_000
 
 
 def observation_records(obs: DataFrame, sites: DataFrame, calendars: DataFrame, sources: DataFrame) -> DataFrame:
@@ -37,28 +41,49 @@ def neighbors(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return out.unionByName(into).join(nodes.select(F.col("id").alias("other"), F.col("name").alias("other_name")), "other")
 
 
-def align_scored(left: DataFrame, right: DataFrame, k: int = 3) -> DataFrame:
+def align_scored(left: DataFrame, right: DataFrame, generic_terms: Sequence[str] = (), generic_ops: Sequence[str] = (), k: int = 3) -> DataFrame:
     """Scored candidates between items of one block (system, chapter), best k per left item.
 
-    Items: id, system, chapter, title, terms, constants, ops, place. Score: 16 for an equal
-    title, 6 per shared term, 4 per constant, 2 per operation, and up to 5 for a near place."""
-    a = left.select("system", "chapter", *[F.col(c).alias(f"l_{c}") for c in ("id", "title", "terms", "constants", "ops", "place")])
-    b = right.select("system", "chapter", *[F.col(c).alias(f"r_{c}") for c in ("id", "title", "terms", "constants", "ops", "place")])
+    Items: id, system, chapter, title, terms, constants, ops, place; right items also ``linked``, an
+    array of left ids. Score: 20 for an existing link, 16 if one title holds the other, 6 per shared
+    distinctive term, 4 per constant, 2 per operation that is not generic, and up to 5 for a near
+    place. Tiers ask for kinds of evidence, not for points."""
+    cols = ("id", "title", "terms", "constants", "ops", "place")
+    a = left.select("system", "chapter", *[F.col(c).alias(f"l_{c}") for c in cols])
+    b = right.select("system", "chapter", "linked", *[F.col(c).alias(f"r_{c}") for c in cols])
     j = a.join(b, ["system", "chapter"])
-    shared = lambda c: F.size(F.array_intersect(f"l_{c}", f"r_{c}"))
-    gap = F.abs(F.col("l_place") - F.col("r_place"))
-    title = F.when(F.col("l_title") == F.col("r_title"), 16).otherwise(0)
-    j = j.withColumn("n_terms", shared("terms")).withColumn("n_ops", shared("ops")).withColumn("gap", gap)
-    j = j.withColumn("score", title + 6 * F.col("n_terms") + 4 * shared("constants") + 2 * F.col("n_ops") + F.greatest(F.lit(0), 5 - gap)).where("score > 5")
-    tier = F.when((title == 0) & (F.col("n_terms") == 0), "generic_only").when(F.col("score") >= 22, "high").when(F.col("score") >= 14, "medium").otherwise("review")
-    return top_per_key(j.withColumn("tier", tier), ["l_id"], [F.desc("score"), "gap", "r_id"], k).select("l_id", "r_id", "score", "tier", "rank")
-
-
-def quote_to_source(quotes: DataFrame, sources: DataFrame, lengths: Sequence[int] = (12, 8, 6, 4), k: int = 3) -> DataFrame:
-    """Longest shared word n-gram of quotes and sources (id, words), best k sources per quote.
+    shared = lambda c: F.array_intersect(f"l_{c}", f"r_{c}")
+    without = lambda x, names: F.size(F.array_except(x, F.array(*map(F.lit, names)).cast("array<string>")))
+    title = (F.length("l_title") > 0) & (F.length("r_title") > 0) & (F.contains("l_title", F.col("r_title")) | F.contains("r_title", F.col("l_title")))
+    j = j.withColumns({
+        "link": F.array_contains("linked", F.col("l_id")), "titled": F.coalesce(title, F.lit(False)), "n_terms": without(shared("terms"), generic_terms), "n_generic": F.size(shared("terms")) - without(shared("terms"), generic_terms),
+        "n_constants": F.size(shared("constants")), "n_ops": without(shared("ops"), generic_ops), "gap": F.abs(F.col("l_place") - F.col("r_place")),
+    })
+    near = F.coalesce(F.greatest(F.lit(0), 5 - F.col("gap")), F.lit(0))
+    score = F.when(F.col("link"), 20).otherwise(0) + F.when(F.col("titled"), 16).otherwise(0) + 6 * F.col("n_terms") + 4 * F.col("n_constants") + 2 * F.col("n_ops") + near
+    j = j.withColumn("near", near).withColumn("score", score)
+    none = ~F.col("link") & ~F.col("titled") & (F.col("n_terms") + F.col("n_constants") + F.col("n_ops") == 0) & (F.col("n_generic") > 0)
+    more = (F.col("n_terms") > 0) | (F.col("n_constants") > 0) | (F.col("near") >= 2)
+    tier = (
+        F.when(F.col("link") | (F.col("titled") & more), "high")
+        .when(F.col("titled") | ((F.col("n_terms") > 0) & ((F.col("n_constants") > 0) | (F.col("near") >= 2))) | ((F.col("n_terms") >= 2) & (F.col("near") >= 1)), "medium")
+        .when(none, "generic_only").when(F.col("score") >= 5, "review")
+    )
+    j = j.withColumn("tier", tier).where("tier IS NOT NULL")
+    return top_per_key(j, ["l_id"], [F.desc("score"), "gap", "r_id"], k).select("l_id", "r_id", "score", "tier", "rank")
+
+
+def quote_to_source(quotes: DataFrame, sources: DataFrame, phrases: Sequence[str] = (), lengths: Sequence[int] = (18, 14, 12, 10, 8, 6, 4), k: int = 3) -> DataFrame:
+    """Best k sources per quote by what they share.
+
+    Both sides: id, words, place (0 to 1), constants; quotes also title, clauses and generic (clauses
+    that say nothing). Candidates share a word n-gram of the least length, by an equi-join: grams of
+    the quotes, which are few, are sent to the sources. Of a candidate's text are then asked: the
+    title (35), the longest distinctive clause (35 from ten letters, else 20), 10 for each distinctive
+    clause, 30, 18 or 10 for an n-gram of 12, 8 or 6 words, 6 a constant, 5 an operation phrase, and
+    up to 10 for a like place."""
+    least = min(lengths)
 
-    Candidates come from an equi-join on distinct n-grams, so no pair is tried in vain; score
-    30, 18 or 10 for 12, 8 or 6 words, else 2."""
     def grams(df, name, *sizes):
         def hashed(h, n):
             places = F.when(F.size(h) >= n, F.sequence(F.lit(1), F.size(h) - n + 1)).otherwise(F.array().cast("array<int>"))
@@ -68,17 +93,69 @@ def quote_to_source(quotes: DataFrame, sources: DataFrame, lengths: Sequence[int
         every = T.let(words, lambda h: F.flatten(F.array(*[hashed(h, n) for n in sizes])))
         return df.select(F.col("id").alias(name), F.explode(every).alias("x")).select(name, "x.n", "x.g").distinct()
 
-    # whoever shares a long n-gram shares a short one, so long ones are built for those only
-    least = min(lengths)
-    short = grams(sources, "source", least).join(grams(quotes, "quote", least), ["n", "g"])
+    asked = materialize(grams(quotes, "quote", least), "quote-grams")
+    few = asked.select("n", "g").distinct()
+    if few.count() <= BROADCAST_GRAMS:
+        few = F.broadcast(few)
+    short = materialize(grams(sources, "source", least).join(few, ["n", "g"], "left_semi").join(asked, ["n", "g"]), "met-grams")
     met = short
-    if longer := [n for n in lengths if n > least]:
+    if longer := [n for n in lengths if n > least]:  # whoever shares a long n-gram shares a short one
         near = sources.join(short.select(F.col("source").alias("id")).distinct(), "id", "left_semi")
-        met = short.union(grams(near, "source", *longer).join(grams(quotes, "quote", *longer), ["n", "g"]))
-    met = met.groupBy("quote", "source").agg(F.max("n").alias("longest"), F.count("*").alias("n_shared"))
-    score = F.when(F.col("longest") >= 12, 30).when(F.col("longest") >= 8, 18).when(F.col("longest") >= 6, 10).otherwise(2)
-    met = met.withColumn("score", score).withColumn("confidence", F.when(score >= 30, "high").when(score >= 18, "medium").when(score >= 10, "review").otherwise("generic_only_rejected"))
-    return top_per_key(met, ["quote"], [F.desc("score"), F.desc("n_shared"), "source"], k)
+        met = short.union(grams(near, "source", *longer).join(grams(quotes, "quote", *longer), ["n", "g"]).select(*short.columns))
+    pairs = met.groupBy("quote", "source").agg(F.max("n").alias("longest"), F.count("*").alias("n_shared"))
+    padded = lambda w: F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" "))
+    q = quotes.select(F.col("id").alias("quote"), padded("words").alias("q_text"), "title", "clauses", "generic", F.col("constants").alias("q_constants"), F.col("place").alias("q_place"))
+    s = sources.select(F.col("id").alias("source"), padded("words").alias("s_text"), F.col("constants").alias("s_constants"), F.col("place").alias("s_place"))
+    j = pairs.join(s, "source").join(q, "quote")
+    within = lambda x: F.contains("s_text", F.concat(F.lit(" "), x, F.lit(" ")))
+    own = F.filter(F.array_except("clauses", "generic"), lambda x: (x != "") & within(x))
+    ops = F.array(*map(F.lit, phrases)).cast("array<string>")
+    j = j.withColumns({
+        "titled": F.coalesce((F.length("title") > 0) & within(F.col("title")), F.lit(False)), "clauses_met": own, "n_generic": F.size(F.filter("generic", lambda x: (x != "") & within(x))),
+        "n_constants": F.size(F.array_intersect("q_constants", "s_constants")), "n_ops": F.size(F.filter(ops, lambda x: F.contains("q_text", F.concat(F.lit(" "), x, F.lit(" "))) & within(x))),
+    })
+    n, longest_clause = F.size("clauses_met"), F.coalesce(F.array_max(F.transform("clauses_met", lambda x: F.length(x))), F.lit(0))
+    place = F.greatest(F.lit(0), 10 - F.round(F.abs(F.col("q_place") - F.col("s_place")) * 20)).cast("int")
+    gram = F.when(F.col("longest") >= 12, 30).when(F.col("longest") >= 8, 18).when(F.col("longest") >= 6, 10).otherwise(0)
+    score = F.when(F.col("titled"), 35).otherwise(0) + F.when(longest_clause >= 10, 35).when(n > 0, 20).otherwise(0) + 10 * n + gram + 6 * F.col("n_constants") + 5 * F.col("n_ops") + place
+    nothing = ~F.col("titled") & (n == 0) & (F.col("n_constants") + F.col("n_ops") == 0) & (F.col("longest") < 6) & (F.col("n_generic") > 0)
+    confidence = (
+        F.when(nothing, "generic_only_rejected").when((F.col("titled") & ((n > 0) | (F.col("longest") >= 8))) | (n >= 2) | (F.col("longest") >= 12), "high")
+        .when((n > 0) | (F.col("longest") >= 8) | (F.col("titled") & (F.col("longest") >= 6)), "medium").when((F.col("n_generic") > 0) | (F.col("longest") >= 4), "review").otherwise("insufficient")
+    )
+    j = j.select("quote", "source", "longest", "n_shared", n.alias("n_clauses"), score.alias("score"), confidence.alias("confidence"))
+    return top_per_key(j, ["quote"], [F.desc("score"), F.desc("n_shared"), "source"], k)
+
+
+def source_alignment(anchors: DataFrame, spans: DataFrame, generic_ops: Sequence[str] = (), gap: int = 4, least: int = 16) -> DataFrame:
+    """Source spans of anchors: hinted ones, else those that match by title, else a unique stable lead.
+
+    ``anchors``: anchor, system, title, family, terms, ops, hints (array of spans), linked (array of
+    spans); ``spans``: span, system, title, family, terms, ops. Score: 8 family, 10 title, 4 a
+    distinctive term, 2 an operation, 6 an existing link. A span is a candidate by title, by a term,
+    or by family with an operation; candidates meet on these, not all with all."""
+    hinted = anchors.where(F.size("hints") > 0).select("anchor", F.explode("hints").alias("span"), F.lit(100).alias("score"), F.lit("manual").alias("status"))
+    a = anchors.where(F.size("hints") == 0)
+    side = lambda df, i: df.select("system", i, F.explode("terms").alias("x")).union(df.select("system", i, F.explode(F.transform(F.split("title", " "), lambda w: F.concat(F.lit("title:"), w))))).union(
+        df.where("family IS NOT NULL").select("system", i, F.explode(F.transform("ops", lambda o: F.concat(F.lit("family:"), F.col("family"), F.lit(":"), o))))
+    )
+    pairs = side(a, "anchor").join(side(spans, "span"), ["system", "x"]).select("anchor", "span").distinct()
+    cols = ("title", "family", "terms", "ops")
+    j = pairs.join(a.select("anchor", "linked", *[F.col(c).alias(f"a_{c}") for c in cols]), "anchor").join(spans.select("span", *[F.col(c).alias(f"s_{c}") for c in cols]), "span")
+    title = (F.length("a_title") > 0) & (F.length("s_title") > 0) & (F.contains("a_title", F.col("s_title")) | F.contains("s_title", F.col("a_title")))
+    family = F.coalesce(F.col("a_family") == F.col("s_family"), F.lit(False))
+    n_terms, n_ops = F.size(F.array_intersect("a_terms", "s_terms")), F.size(F.array_intersect("a_ops", "s_ops"))
+    j = j.withColumns({"titled": F.coalesce(title, F.lit(False)), "same": family, "n_terms": n_terms, "n_ops": n_ops})
+    j = j.where(F.col("titled") | (F.col("n_terms") > 0) | (F.col("same") & (F.col("n_ops") > 0)))
+    j = j.withColumn("score", F.when(F.col("same"), 8).otherwise(0) + F.when(F.col("titled"), 10).otherwise(0) + 4 * F.col("n_terms") + 2 * F.col("n_ops") + F.when(F.array_contains("linked", F.col("span")), 6).otherwise(0))
+    w = Window.partitionBy("anchor").orderBy(F.desc("score"), "span")
+    r = j.withColumn("r", F.row_number().over(w)).withColumn("next", F.lead("score").over(w)).withColumn("any_title", F.max(F.col("titled").cast("int")).over(Window.partitionBy("anchor")))
+    lead = (F.col("any_title") == 0) & (F.col("r") == 1) & F.col("same") & (F.col("n_terms") > 0) & (F.col("n_ops") > 0) & (F.col("score") >= least) & (F.col("next").isNull() | (F.col("score") - F.col("next") >= gap))
+    found = r.where(F.col("titled") | lead).select("anchor", "span", "score", F.lit("inferred").alias("status"))
+    out = hinted.union(found)
+    seen = r.select("anchor").distinct().withColumn("seen", F.lit(True))
+    rest = anchors.select("anchor").join(out.select("anchor").distinct(), "anchor", "left_anti").join(seen, "anchor", "left")
+    return out.union(rest.select("anchor", F.lit(None).cast(dict(spans.dtypes)["span"]), F.lit(None).cast("int"), F.when(F.col("seen"), "needs_review").otherwise("no_candidate")))
 
 
 def strongest_claim_for_term(terms: DataFrame, claims: DataFrame) -> DataFrame:
@@ -164,12 +241,27 @@ def greedy_input_matches(a: Column, b: Column) -> Column:
 
 
 def claims_to_steps(steps: DataFrame, claims: DataFrame, k: int = 5) -> DataFrame:
-    """Claims of a step's operation type, scored by system, inputs and modulus; best k, graded.
-
-    ``steps``: step_id, op, system, inputs (array), modulus; ``claims`` likewise with claim_id."""
-    s = steps.select("op", *[F.col(c).alias(f"s_{c}") for c in ("step_id", "system", "inputs", "modulus", "group")])
-    c = claims.select("op", *[F.col(c).alias(f"c_{c}") for c in ("claim_id", "system", "inputs", "modulus", "group")])
-    j = s.join(c, (s["op"] == c["op"]) & (F.col("s_group") == F.col("c_group"))).drop(c["op"])
-    score = 4 + F.when(F.col("s_system") == F.col("c_system"), 2).otherwise(-2) + 2 * greedy_input_matches(F.col("s_inputs"), F.col("c_inputs")) + F.when(F.col("s_modulus") == F.col("c_modulus"), 2).otherwise(0)
-    best = top_per_key(j.withColumn("score", score).where("score > 0"), ["s_step_id"], [F.desc("score"), "c_claim_id"], k)
-    return best.select(F.col("s_step_id").alias("step_id"), F.col("c_claim_id").alias("claim_id"), "score", "rank", F.when(F.col("score") >= 10, "direct").when(F.col("score") >= 6, "partial").otherwise("weak").alias("grade"))
+    """Claims of a step's operation type, scored by system, inputs, terms and modulus; best k, graded.
+
+    ``steps``: step_id, op, system, inputs (values), terms (arrays), modulus; ``claims`` likewise with
+    claim_id. Steps and claims that agree in all of these score alike, so distinct ones are scored, each
+    with its k smallest claims, and no pair of rows is."""
+    from stemma.operators.aggregates import first_rows
+
+    cols = ("op", "system", "inputs", "terms", "modulus")
+
+    def kinds(df, s, i):
+        df = df.select(F.col(i).alias(f"{s}_id"), "op", "system", F.array_sort("inputs").alias("inputs"), F.array_sort("terms").alias("terms"), "modulus").withColumn(f"{s}_kind", F.xxhash64(*cols))
+        df = materialize(df, f"{s}-kinds")
+        return df.select(f"{s}_id", f"{s}_kind"), df.groupBy(f"{s}_kind").agg(*[F.first(c).alias(c if c == "op" else f"{s}_{c}") for c in cols])
+
+    (s_ids, s), (c_ids, c) = kinds(steps, "s", "step_id"), kinds(claims, "c", "claim_id")
+    j = s.join(c, "op")
+    score = (
+        4 + F.when(F.col("s_system") == F.col("c_system"), 2).otherwise(-2) + 2 * greedy_input_matches(F.col("s_inputs"), F.col("c_inputs"))
+        + 2 * F.size(F.array_intersect("s_terms", "c_terms")) + F.when(F.col("s_modulus") == F.col("c_modulus"), 2).otherwise(0)
+    )
+    scored = j.select("s_kind", "c_kind", score.alias("score")).where("score > 0")
+    best = scored.join(first_rows(c_ids, "c_kind", "c_id", k), "c_kind")
+    best = top_per_key(best, ["s_kind"], [F.desc("score"), "c_id"], k)
+    return s_ids.join(best, "s_kind").select(F.col("s_id").alias("step_id"), F.col("c_id").alias("claim_id"), "score", "rank", F.when(F.col("score") >= 10, "direct").when(F.col("score") >= 6, "partial").otherwise("weak").alias("grade"))

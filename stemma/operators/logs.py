@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stemma.operators.graphs import on_cycles, propagate_inactive
@@ -108,15 +108,45 @@ def resolve_spans(spans: DataFrame, doc: str) -> DataFrame:
     return alone.union(crowded.groupBy(doc, "_group").applyInPandas(pick, schema))
 
 
-def apply_overlay(units: DataFrame, ops: DataFrame) -> DataFrame:
-    """Units (doc, id, pos, text, type) after set_type and merge operations (doc, target, seq, op, value).
+def _split_points(value: Column, text: Column) -> Column:
+    """Ends of the parts of a text by a list of boundaries like ``3,7``; null if they do not cut it into parts."""
+    points = F.array_sort(F.transform(F.split(value, ","), lambda x: x.try_cast("int")))
+    good = value.rlike("^[0-9]+(,[0-9]+)*$") & (F.size(F.array_distinct(points)) == F.size(points)) & (F.get(points, F.lit(0)) > 0) & (F.element_at(points, -1) < F.length(text))
+    return F.when(good, F.concat(points, F.array(F.length(text))))
+
 
-    set_type: the last one per unit holds. merge: a unit joins the one before it, so runs of
-    merged units become one with the first one's id and type; a merge of a first unit is rejected."""
-    kinds = ops.where("op = 'set_type'").groupBy("doc", F.col("target").alias("id")).agg(F.max_by("value", "seq").alias("new_type"))
+def apply_overlay(units: DataFrame, ops: DataFrame) -> DataFrame:
+    """Units (doc, id, pos, text, type, and maybe relations) after operations (doc, target, seq, op, value).
+
+    set_type and set_relations: the last one per unit holds. split: the last one cuts a unit at its
+    boundaries; parts keep the type, and relations of the whole are none of theirs. merge: a unit joins
+    what stands before it, so runs of merged units become one with the first one's id, type and
+    relations; a merge of a first unit is rejected. ``overlay_rejections`` says which and why."""
+    if "relations" not in units.columns:
+        units = units.withColumn("relations", F.lit(None).cast("string"))
+    last = lambda op, name: ops.where(F.col("op") == op).groupBy("doc", F.col("target").alias("id")).agg(F.max_by("value", "seq").alias(name))
     merges = ops.where("op = 'merge'").select("doc", F.col("target").alias("id"), F.lit(True).alias("joins")).distinct()
-    w = Window.partitionBy("doc").orderBy("pos")
-    u = units.join(kinds, ["doc", "id"], "left").join(merges, ["doc", "id"], "left").withColumn("type", F.coalesce("new_type", "type"))
-    u = u.withColumn("_new", F.when(F.coalesce("joins", F.lit(False)) & (F.row_number().over(w) > 1), 0).otherwise(1)).withColumn("unit", F.sum("_new").over(w))
-    parts = F.sort_array(F.collect_list(F.struct("pos", "id", "type", "text")))
-    return u.groupBy("doc", "unit").agg(parts.alias("p")).select("doc", F.get("p", F.lit(0))["id"].alias("id"), F.get("p", F.lit(0))["type"].alias("type"), F.array_join(F.transform("p", lambda x: x["text"]), "").alias("text"), F.size("p").alias("n"))
+    u = units
+    for part in (last("set_type", "new_type"), last("set_relations", "new_relations"), last("split", "cuts"), merges):
+        u = u.join(part, ["doc", "id"], "left")
+    u = u.withColumn("type", F.coalesce("new_type", "type")).withColumn("relations", F.coalesce("new_relations", "relations")).withColumn("ends", _split_points(F.col("cuts"), F.col("text")))
+    begin = lambda i: F.when(i == 0, 0).otherwise(F.get("ends", i - 1))
+    parts = F.transform("ends", lambda e, i: F.struct(i.alias("part"), F.substring(F.col("text"), begin(i) + 1, e - begin(i)).alias("text")))
+    u = u.withColumn("p", F.explode(F.coalesce(parts, F.array(F.struct(F.lit(0).alias("part"), F.col("text").alias("text"))))))
+    u = u.select("doc", "id", "pos", "p.part", "p.text", "type", F.when(F.col("ends").isNull(), F.col("relations")).alias("relations"), (F.coalesce("joins", F.lit(False)) & (F.col("p.part") == 0)).alias("joins"))
+    w = Window.partitionBy("doc").orderBy("pos", "part")
+    u = u.withColumn("_new", F.when(F.col("joins") & (F.row_number().over(w) > 1), 0).otherwise(1)).withColumn("unit", F.sum("_new").over(w))
+    run = F.sort_array(F.collect_list(F.struct("pos", "part", "id", "type", "relations", "text")))
+    first = lambda c: F.get("p", F.lit(0))[c].alias(c)
+    return u.groupBy("doc", "unit").agg(run.alias("p")).select("doc", first("id"), first("part"), first("type"), first("relations"), F.array_join(F.transform("p", lambda x: x["text"]), "").alias("text"), F.size("p").alias("n"))
+
+
+def overlay_rejections(units: DataFrame, ops: DataFrame) -> DataFrame:
+    """Operations (doc, target, seq, op) that do nothing, with the reason."""
+    first = units.groupBy("doc").agg(F.min_by("id", "pos").alias("first"))
+    j = ops.join(units.select("doc", F.col("id").alias("target"), "text", F.lit(True).alias("known")), ["doc", "target"], "left").join(first, "doc", "left")
+    reason = (
+        F.when(~F.col("op").isin("set_type", "set_relations", "merge", "split"), "unsupported_op").when(F.col("known").isNull(), "target_not_found")
+        .when((F.col("op") == "merge") & (F.col("target") == F.col("first")), "merge_requires_adjacent_units").when((F.col("op") == "split") & _split_points(F.col("value"), F.col("text")).isNull(), "invalid_split_boundaries")
+    )
+    return j.select("doc", "target", "seq", "op", reason.alias("reason")).where("reason IS NOT NULL")

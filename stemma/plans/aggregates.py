@@ -66,7 +66,7 @@ def a6(t):
 
 
 PAIRS = """
-SELECT l_returnflag || '-' || l_linestatus AS "left", o_orderpriority AS "right", o_orderkey AS chunk,
+SELECT l_returnflag || '-' || l_linestatus || '-' || l_partkey % 600 AS "left", o_orderpriority AS "right", o_orderkey AS chunk,
        CASE l_linenumber % 4 WHEN 0 THEN 'cooccurrence' WHEN 1 THEN 'single' WHEN 2 THEN 'ordinal' ELSE 'near' END AS strength FROM lineitem JOIN orders ON l_orderkey = o_orderkey"""
 
 
@@ -79,7 +79,7 @@ def a7(t):
     p = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     k = F.col("l_linenumber") % 4
     s = F.when(k == 0, "cooccurrence").when(k == 1, "single").when(k == 2, "ordinal").otherwise("near")
-    return A.pair_aggregate(p.select(F.concat_ws("-", "l_returnflag", "l_linestatus").alias("left"), F.col("o_orderpriority").alias("right"), F.col("o_orderkey").alias("chunk"), s.alias("strength")))
+    return A.pair_aggregate(p.select(F.concat_ws("-", "l_returnflag", "l_linestatus", F.col("l_partkey") % 600).alias("left"), F.col("o_orderpriority").alias("right"), F.col("o_orderkey").alias("chunk"), s.alias("strength")))
 
 
 @query("a8_strongest", """
@@ -195,10 +195,10 @@ def a25(t):
 
 
 @query("a26_rejected_families", """
-SELECT event_type AS family, user_id % 16 AS part, list_sort(list(event_id)) AS ids FROM events WHERE value > 40 GROUP BY ALL""")
+SELECT event_type AS family, event_id // 10000 AS part, list_sort(list(event_id)) AS ids FROM events WHERE value > 40 GROUP BY ALL""")
 def a26(t):
-    """Ids of rejected rows by family, in parts, so that a frequent family spreads over rows."""
-    return t("events").where("value > 40").groupBy(F.col("event_type").alias("family"), (F.col("user_id") % 16).alias("part")).agg(F.sort_array(F.collect_list("event_id")).alias("ids"))
+    """Ids of rejected rows by family, in blocks of ids, so that a list has a bound however frequent its family."""
+    return t("events").where("value > 40").groupBy(F.col("event_type").alias("family"), F.floor(F.col("event_id") / 10_000).alias("part")).agg(F.sort_array(F.collect_list("event_id")).alias("ids"))
 
 
 @query("a27_cardinality_audit", """

@@ -20,11 +20,11 @@ c = F.col
 def features(t):
     """Parts as items: the words of a name are its operations in order and its terms."""
     p, words = t("part"), F.split("p_name", " ")
-    return p.select(c("p_partkey").alias("id"), words.alias("ops"), F.array("p_size").alias("channels"), F.array("p_brand").alias("roles"), F.array(F.concat_ws(":", "p_brand", c("p_size") % 10)).alias("targets"), F.array("p_type").alias("wording"), words.alias("terms"))
+    return p.select(c("p_partkey").alias("id"), words.alias("ops"), F.array("p_size").alias("channels"), F.array("p_brand").alias("roles"), F.array(F.concat_ws(":", "p_brand", c("p_size") % 10)).alias("targets"), F.array("p_type").alias("wording"), words.alias("terms"), (c("p_partkey") % 10 != 9).alias("procedural"), (c("p_partkey") % 2 == 0).alias("motif"))
 
 
 @query("c1_compare_items", """
-WITH f AS (SELECT p_partkey AS id, p_type AS te, p_size AS ch, p_brand AS ro, p_brand || ':' || p_size % 10 AS tg, string_split(p_name, ' ') AS wo FROM part),
+WITH f AS (SELECT p_partkey AS id, p_type AS te, p_size AS ch, p_brand AS ro, p_brand || ':' || p_size % 10 AS tg, string_split(p_name, ' ') AS wo FROM part WHERE p_partkey % 10 <> 9),
 p AS (SELECT a.id AS a, b.id AS b, a.ch = b.ch AS sc, a.ro = b.ro AS sr, a.tg = b.tg AS st, a.te = b.te AS se, a.wo[1] = b.wo[1] AS w1, a.wo[2] = b.wo[2] AS w2, len(list_intersect(a.wo, b.wo)) AS wm, len(list_distinct(a.wo || b.wo)) AS wp FROM f a JOIN f b ON a.id < b.id AND (a.ch = b.ch OR a.ro = b.ro OR a.tg = b.tg OR list_has_any(a.wo, b.wo))),
 x AS (SELECT *, greatest(w1::INT + w2::INT) / 2 AS r1, wm / wp AS r5 FROM p),
 y AS (SELECT *, round(r1 * 0.24, 3) AS operation, CASE WHEN sc THEN 0.2 ELSE 0 END AS quantity, CASE WHEN sr AND r1 > 0 THEN 0.18 ELSE 0 END AS parameter, CASE WHEN st THEN 0.18 ELSE 0 END AS target, CASE WHEN se THEN 0.08 ELSE 0 END AS wording, round(r5 * 0.12, 3) AS terms FROM x),
@@ -52,20 +52,29 @@ def turns(t, user):
 
 @query("c4_pair_clauses", """
 WITH m AS (SELECT conv_id AS chunk, role = 'user' AS u, row_number() OVER (PARTITION BY conv_id, role = 'user' ORDER BY turn) AS pos, (length(text) % 7)::VARCHAR AS template, count(*) OVER (PARTITION BY conv_id, role = 'user') AS n FROM conversations),
-j AS (SELECT l.chunk, l.template AS "left", r.template AS "right", l.pos AS i, r.pos AS j, l.n, r.n AS m FROM m l JOIN m r ON l.chunk = r.chunk AND l.u AND NOT r.u)
-SELECT DISTINCT chunk, "left", "right", CASE WHEN n = m THEN CASE WHEN n = 1 THEN 'single' ELSE 'ordinal' END WHEN abs(n - m) = 1 THEN 'near' ELSE 'cooccurrence' END AS strength FROM j WHERE (n = m AND i = j) OR (abs(n - m) = 1 AND abs(i - j) <= 1) OR (abs(n - m) > 1 AND n * m <= 36)""")
+j AS (SELECT l.chunk, l.template AS "left", r.template AS "right", l.pos AS i, r.pos AS j, l.n, r.n AS m FROM m l JOIN m r ON l.chunk = r.chunk AND l.u AND NOT r.u),
+s AS (SELECT chunk, "left", "right", CASE WHEN n = 1 AND m = 1 THEN 'single' WHEN n = m THEN 'ordinal' WHEN abs(n - m) = 1 THEN 'near' ELSE 'one_to_many' END AS strength, count(*) AS times FROM j WHERE (abs(n - m) <= 1 AND i = j) OR (abs(n - m) > 1 AND (n = 1 OR m = 1)) GROUP BY ALL),
+p AS (SELECT DISTINCT chunk, "left", "right" FROM j WHERE ("left", "right") IN (('0', '0'), ('1', '4'), ('6', '2')) AND (chunk, "left", "right") NOT IN (SELECT (chunk, "left", "right") FROM s)),
+w AS (SELECT DISTINCT chunk, "left", "right" FROM j WHERE n * m <= 9 AND (chunk, "left", "right") NOT IN (SELECT (chunk, "left", "right") FROM s) AND (chunk, "left", "right") NOT IN (SELECT (chunk, "left", "right") FROM p))
+SELECT * FROM s UNION ALL SELECT *, 'preset', 1 FROM p UNION ALL SELECT *, 'cooccurrence', 1 FROM w""")
 def c4(t):
-    return C.pair_clauses(turns(t, True), turns(t, False))
+    presets = t.spark.createDataFrame([("0", "0"), ("1", "4"), ("6", "2")], "left string, right string")
+    return C.pair_clauses(turns(t, True), turns(t, False), presets, most=9)
 
 
 @query("c5_clause_alignment", """
-WITH s AS (SELECT o_custkey AS k, o_orderkey % 4 AS bucket, o_orderkey % 2 AS side, (o_orderkey % 10) / 10.0::DOUBLE AS place, [o_orderkey % 13] AS numbers, [o_orderpriority] AS terms FROM orders),
-j AS (SELECT a.k, a.bucket, 28 + greatest(0.0, 18 - 36 * abs(a.place - b.place)) + CASE WHEN a.numbers = b.numbers THEN 25 ELSE 8 END + CASE WHEN a.terms = b.terms THEN 12 ELSE 0 END AS s FROM s a JOIN s b ON a.k = b.k AND a.bucket = b.bucket - 1 AND a.side = 0 AND b.side = 1)
-SELECT k, bucket, round(s, 3) AS score, CASE WHEN s >= 70 THEN 'high' WHEN s >= 50 THEN 'medium' ELSE 'low' END AS confidence FROM j""")
+WITH s AS (SELECT o_custkey AS k, o_orderkey % 2 AS side, o_orderkey // 2 % 4 AS bucket, min(o_orderkey % 10) / 10.0::DOUBLE AS place, count(*)::INT AS size, list(DISTINCT o_orderkey % 3) AS numbers, list(DISTINCT o_orderpriority) AS terms, list(DISTINCT o_orderstatus) AS ops, list(DISTINCT o_orderkey % 7) AS defs FROM orders GROUP BY ALL),
+j AS (SELECT coalesce(a.k, b.k) AS k, coalesce(a.bucket, b.bucket) AS bucket, a.k IS NOT NULL AND b.k IS NOT NULL AS both_, a.k AS ak, b.k AS bk, a.size AS an, b.size AS bn,
+  28 + round(18 * (1 - least(1.0, abs(a.place - b.place)))) + CASE WHEN len(list_intersect(a.numbers, b.numbers)) > 0 THEN least(35, 20 + 5 * len(list_intersect(a.numbers, b.numbers))) ELSE 8 END + least(36, 12 * len(list_intersect(a.terms, b.terms))) + least(30, 12 * len(list_intersect(a.ops, b.ops))) + least(24, 10 * len(list_intersect(a.defs, b.defs))) - (a.size - 1) - (b.size - 1) AS s
+  FROM (SELECT * FROM s WHERE side = 0) a FULL JOIN (SELECT * FROM s WHERE side = 1) b ON a.k = b.k AND a.bucket = b.bucket),
+z AS (SELECT *, CASE WHEN both_ THEN least(greatest(s, 0.0), 100.0) ELSE 0.0 END AS score FROM j)
+SELECT k, bucket, score, CASE WHEN score >= 70 THEN 'high' WHEN score >= 50 THEN 'medium' WHEN score >= 30 THEN 'low' ELSE 'unmatched' END AS confidence,
+  CASE WHEN bk IS NULL THEN 'unmatched_source' WHEN ak IS NULL THEN 'unmatched_translation' WHEN an = 1 AND bn = 1 THEN 'one_to_one' WHEN an = 1 THEN 'one_to_many' WHEN bn = 1 THEN 'many_to_one' ELSE 'many_to_many' END AS kind FROM z""")
 def c5(t):
     k = c("o_orderkey")
-    s = t("orders").select(c("o_custkey").alias("k"), (k % 4).alias("bucket"), (k % 2).alias("side"), ((k % 10) / 10.0).alias("place"), F.array(k % 13).alias("numbers"), F.array("o_orderpriority").alias("terms"))
-    return C.clause_alignment(s.where("side = 0").drop("side"), s.where("side = 1").drop("side").withColumn("bucket", c("bucket") - 1), "k")
+    s = t("orders").groupBy(c("o_custkey").alias("k"), (k % 2).alias("side"), (F.floor(k / 2) % 4).alias("bucket")).agg(
+        (F.min(k % 10) / 10.0).alias("place"), F.count("*").cast("int").alias("size"), F.collect_set(k % 3).alias("numbers"), F.collect_set("o_orderpriority").alias("terms"), F.collect_set("o_orderstatus").alias("ops"), F.collect_set(k % 7).alias("definitions"))
+    return C.clause_alignment(s.where("side = 0").drop("side"), s.where("side = 1").drop("side"), "k")
 
 
 @query("c6_candidate_evidence", """
@@ -90,26 +99,34 @@ def c7(t):
 
 
 @query("c8_term_bank", """
-WITH a AS (SELECT p_size AS term_id, p_brand AS text, p_partkey AS seq, 0 AS o FROM part WHERE p_partkey % 5 = 0 UNION ALL SELECT p_size, p_type, p_partkey, 1 FROM part) SELECT term_id, text, origin, seq FROM (SELECT term_id, text, o AS origin, seq, row_number() OVER (PARTITION BY term_id ORDER BY o, seq) AS r FROM a) WHERE r = 1""")
+WITH a AS (SELECT p_partkey % 700 AS term_id, p_brand AS text, p_partkey AS seq, 0 AS o FROM part WHERE p_partkey % 5 = 0 UNION ALL SELECT p_partkey % 700, p_type, p_partkey, 1 FROM part) SELECT term_id, text, origin, seq FROM (SELECT term_id, text, o AS origin, seq, row_number() OVER (PARTITION BY term_id ORDER BY o, seq) AS r FROM a) WHERE r = 1""")
 def c8(t):
     p = t("part")
-    return B.term_bank(p.where("p_partkey % 5 = 0").select(c("p_size").alias("term_id"), c("p_brand").alias("text"), c("p_partkey").alias("seq")), p.select(c("p_size").alias("term_id"), c("p_type").alias("text"), c("p_partkey").alias("seq")))
+    return B.term_bank(p.where("p_partkey % 5 = 0").select((c("p_partkey") % 700).alias("term_id"), c("p_brand").alias("text"), c("p_partkey").alias("seq")), p.select((c("p_partkey") % 700).alias("term_id"), c("p_type").alias("text"), c("p_partkey").alias("seq")))
 
 
-DIAG = """s AS (SELECT o_orderkey AS span_id, o_orderpriority AS system, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderkey % 3 END AS family, ['c' || o_custkey, 't' || o_orderkey % 40] AS terms, o_orderkey % 900 AS value FROM orders WHERE o_orderkey % 4 = 0),
-k AS (SELECT o_orderkey AS claim_id, o_orderpriority AS system, o_orderkey % 3 AS family, ['c' || o_custkey, 't' || o_orderkey % 40] AS terms, o_orderkey % 900 AS value, o_orderkey % 6 = 1 AS strong FROM orders WHERE o_orderkey % 4 = 1),
-j AS (SELECT span_id, claim_id, len(list_intersect(s.terms, k.terms)) AS n, s.value = k.value AS eq, strong, s.family IS NULL OR s.family = k.family AS compatible FROM s JOIN k ON s.system = k.system WHERE list_has_any(s.terms, k.terms) OR (strong AND s.value = k.value)),
-d AS (SELECT span_id, claim_id, 3 * n + CASE WHEN eq THEN CASE WHEN strong THEN 3 ELSE 1 END ELSE 0 END AS score, compatible, CASE WHEN n = 0 THEN 'generic_only' WHEN compatible AND n >= 2 THEN 'strong' WHEN compatible THEN 'medium' ELSE 'weak' END AS strength,
-   CASE WHEN compatible AND eq THEN 'good' WHEN compatible THEN 'plausible' WHEN n > 0 THEN 'noisy' ELSE 'wrong' END AS quality FROM j)"""
+#: Terms that tell nothing apart.
+GENERIC = [f"c{i}" for i in range(0, 1500, 4)] + [f"t{i}" for i in range(0, 1500, 3)]
+DIAG = """o AS (SELECT *, o_orderkey // 2 AS h FROM orders),
+s AS (SELECT o_orderkey AS span_id, o_orderpriority AS system, CASE WHEN h % 5 <> 0 THEN h % 3 END AS family, ['c' || o_custkey, 't' || h % 1500] AS terms, [h % 900] AS vals, CASE WHEN h % 7 = 0 THEN ['d' || h % 11] ELSE [] END AS dis FROM o WHERE o_orderkey % 2 = 0),
+k AS (SELECT o_orderkey AS claim_id, o_orderpriority AS system, CASE WHEN h % 11 <> 0 THEN h % 3 END AS family, ['c' || o_custkey, 't' || h % 1500] AS terms, [h % 900, h % 901] AS vals, CASE WHEN h % 6 = 0 THEN ['d' || h % 11] ELSE [] END AS dis, h % 8 = 1 AS titled, CASE h % 4 WHEN 0 THEN 'add' WHEN 1 THEN 'divide' END AS op, h % 3 = 1 AS strong FROM o WHERE o_orderkey % 2 = 1),
+j AS (SELECT span_id, claim_id, list_intersect(s.terms, k.terms) AS sh, len(list_intersect(s.vals, k.vals)) AS nv, strong, titled, op IS NOT NULL AS op, op IS NOT NULL AND op <> 'add' AS oo, len(s.dis) + len(k.dis) > 0 AS dis, coalesce(s.family IS NULL OR s.family = k.family, false) AS compatible
+  FROM s JOIN k ON s.system = k.system WHERE list_has_any(s.terms, k.terms) OR (strong AND list_has_any(s.vals, k.vals))),
+g AS (SELECT *, len(sh) AS n, len(list_filter(sh, lambda x: x NOT IN (GENERIC_LIST))) > 0 OR oo AS own FROM j),
+e AS (SELECT *, CASE WHEN NOT own AND (n > 0 OR op) AND NOT dis THEN 'generic_only' WHEN compatible AND (dis OR titled) THEN 'strong' WHEN compatible AND own THEN 'medium' WHEN own OR dis THEN 'weak' ELSE 'generic_only' END AS strength FROM g),
+d AS (SELECT span_id, claim_id, 3 * n + CASE WHEN strong THEN nv + CASE WHEN n > 0 THEN 2 ELSE 0 END ELSE 0 END AS score, compatible, strength,
+  CASE WHEN compatible THEN CASE WHEN strength IN ('strong', 'medium') THEN CASE WHEN strong AND n > 0 THEN 'good' ELSE 'plausible' END ELSE 'noisy' END WHEN n > 0 OR nv > 0 THEN 'noisy' ELSE 'wrong' END AS quality,
+  list_filter([CASE WHEN NOT compatible THEN 'family_mismatch' END, CASE WHEN n = 0 THEN 'no_term_overlap' END, CASE WHEN NOT strong THEN 'not_direct_supporting_claim' END, CASE WHEN strength = 'generic_only' THEN 'generic_term_only_match' END], lambda x: x IS NOT NULL) AS warnings FROM e)""".replace("GENERIC_LIST", ", ".join(f"'{x}'" for x in GENERIC))
 
 
 def diagnostics(t):
-    k = c("o_orderkey")
-    terms = F.array(F.concat(F.lit("c"), "o_custkey"), F.concat(F.lit("t"), k % 40))
-    o = t("orders").withColumns({"terms": terms, "value": k % 900, "system": c("o_orderpriority")})
-    spans = o.where(k % 4 == 0).select(k.alias("span_id"), "system", F.when(k % 5 != 0, k % 3).alias("family"), "terms", "value")
-    claims = o.where(k % 4 == 1).select(k.alias("claim_id"), "system", (k % 3).alias("family"), "terms", "value", (k % 6 == 1).alias("strong"))
-    return spans, B.claim_diagnostics(spans, claims)
+    k, h = c("o_orderkey"), F.floor(c("o_orderkey") / 2)
+    none = F.array().cast("array<string>")
+    dis = lambda n: F.when(h % n == 0, F.array(F.concat(F.lit("d"), h % 11))).otherwise(none)
+    o = t("orders").withColumns({"terms": F.array(F.concat(F.lit("c"), "o_custkey"), F.concat(F.lit("t"), h % 1500)), "system": c("o_orderpriority")})
+    spans = o.where(k % 2 == 0).select(k.alias("span_id"), "system", F.when(h % 5 != 0, h % 3).alias("family"), "terms", F.array(h % 900).alias("values"), dis(7).alias("distinctive"))
+    claims = o.where(k % 2 == 1).select(k.alias("claim_id"), "system", F.when(h % 11 != 0, h % 3).alias("family"), "terms", F.array(h % 900, h % 901).alias("values"), dis(6).alias("distinctive"), (h % 8 == 1).alias("titled"), F.when(h % 4 == 0, "add").when(h % 4 == 1, "divide").alias("op"), (h % 3 == 1).alias("strong"))
+    return spans, B.claim_diagnostics(spans, claims, GENERIC, ["add"])
 
 
 @query("c9_claim_diagnostics", f"WITH {DIAG} SELECT * FROM d")
@@ -117,13 +134,31 @@ def c9(t):
     return diagnostics(t)[1]
 
 
-@query("c10_coverage_matrix", f"""
-WITH {DIAG}, n AS (SELECT span_id, count(*) FILTER (WHERE strength = 'strong' AND compatible) AS a, count(*) FILTER (WHERE strength = 'medium' AND compatible) AS b, count(*) AS n FROM d GROUP BY span_id)
-SELECT span_id, CASE WHEN a > 0 THEN 'directly' WHEN b > 0 THEN 'partially' WHEN n > 0 THEN 'context_only' ELSE 'not_covered' END AS status, CASE WHEN coalesce(n, 0) = 0 THEN 'no_claims' WHEN a + b = 0 THEN 'incompatible_only' END AS blocking, coalesce(n, 0) AS n_claims FROM s LEFT JOIN n USING (span_id)""")
+@query("c9_anchor_linked", f"""
+WITH {DIAG}, a AS (SELECT DISTINCT span_id, claim_id, (span_id + claim_id) % 5 = 0 AS fits FROM d WHERE (span_id + claim_id) % 3 = 0),
+u AS (SELECT * FROM d UNION ALL SELECT span_id, claim_id, score, true, CASE strength WHEN 'weak' THEN 'medium' ELSE strength END, CASE strength WHEN 'weak' THEN 'plausible' ELSE 'noisy' END, list_filter(warnings, lambda x: x <> 'family_mismatch') FROM d JOIN a USING (span_id, claim_id) WHERE fits AND NOT compatible),
+r AS (SELECT *, row_number() OVER (PARTITION BY span_id, claim_id ORDER BY list_position(['strong', 'medium', 'weak', 'generic_only'], strength), list_position(['good', 'plausible', 'noisy', 'wrong'], quality), score DESC, compatible DESC) AS r FROM u) SELECT * EXCLUDE r FROM r WHERE r = 1""")
+def c9_linked(t):
+    from stemma.sources.tables import materialize
+
+    d = materialize(diagnostics(t)[1], "diagnostics")
+    both = c("span_id") + c("claim_id")
+    return B.anchor_linked(d, d.where(both % 3 == 0).select("span_id", "claim_id", (both % 5 == 0).alias("fits")))
+
+
+COVERAGE = "n AS (SELECT span_id, count(*) FILTER (WHERE strength = 'strong' AND compatible) AS a, count(*) FILTER (WHERE strength = 'medium' AND compatible) AS b, count(*) AS n FROM d GROUP BY span_id), m AS (SELECT span_id, system, CASE WHEN a > 0 THEN 'directly' WHEN b > 0 THEN 'partially' WHEN n > 0 THEN 'context_only' ELSE 'not_covered' END AS status, CASE WHEN coalesce(n, 0) = 0 THEN 'no_claims' WHEN a + b = 0 THEN 'incompatible_only' END AS blocking, coalesce(n, 0) AS n_claims FROM s LEFT JOIN n USING (span_id))"
+
+
+@query("c10_coverage_matrix", f"WITH {DIAG}, {COVERAGE} SELECT * FROM m")
 def c10(t):
     return B.coverage_matrix(*diagnostics(t))
 
 
+@query("c10_coverage_rollup", f"WITH {DIAG}, {COVERAGE} SELECT system, status, count(*) AS n, count(blocking) AS n_blocked, round(count(*) / any_value(total), 4) AS share FROM m JOIN (SELECT system, count(*) AS total FROM m GROUP BY system) USING (system) GROUP BY system, status")
+def c10_rollup(t):
+    return B.coverage_rollup(B.coverage_matrix(*diagnostics(t)), "system")
+
+
 @query("c11_chapter_coverage", """
 SELECT o_custkey AS chunk, list_sort(list(DISTINCT o_orderpriority)) AS tags, ['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW'][min(o_orderpriority[1:1]::INT)] AS "primary" FROM orders GROUP BY o_custkey""")
 def c11(t):
@@ -138,20 +173,33 @@ def c12(t):
 
 
 @query("c13_anchor_audit", """
-SELECT o_orderkey AS anchor, unnest(list_filter([CASE WHEN n IS NULL THEN 'no_claims' END, CASE WHEN c_custkey IS NULL THEN 'claim_missing' END, CASE WHEN o_totalprice < coalesce(q, 0) THEN 'body_short' END], lambda x: x IS NOT NULL)) AS rule
-FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n, sum(l_extendedprice) AS q FROM lineitem GROUP BY ALL) ON l_orderkey = o_orderkey LEFT JOIN customer ON c_custkey = o_custkey""")
+WITH a AS (SELECT o_orderkey AS anchor, ['BUILDING', 'MACHINERY', 'AUTOMOBILE', 'HOUSEHOLD', 'FURNITURE'][1 + o_orderkey % 5] AS title, 'f' || o_orderkey % 3 AS family, CASE WHEN o_orderkey % 4 <> 0 THEN 'f' || o_orderkey % 2 END AS span_family, CASE WHEN o_orderkey % 6 = 0 THEN 'b' END AS bank, [o_custkey] AS chunks, CASE WHEN o_orderkey % 9 = 0 THEN [] ELSE [o_orderkey, o_orderkey + 20000] END AS claims FROM orders),
+k AS (SELECT o_orderkey AS claim, CASE WHEN o_orderkey % 2 = 0 THEN o_custkey ELSE o_custkey + 1 END AS chunk, 'says ' || (o_orderkey - o_orderkey % 3) AS said FROM orders),
+e AS (SELECT anchor, title, unnest(chunks) AS chunk FROM a WHERE bank IS NULL), q AS (SELECT anchor, bank, chunks, unnest(claims) AS claim FROM a)
+SELECT anchor, 'no_claims' AS problem, NULL AS detail FROM a WHERE len(claims) = 0
+UNION ALL SELECT anchor, 'chunk_without_anchor', chunk::VARCHAR FROM e LEFT JOIN customer ON c_custkey = chunk WHERE NOT coalesce(contains(c_mktsegment || ' ' || c_custkey, anchor::VARCHAR) OR contains(c_mktsegment || ' ' || c_custkey, title), false)
+UNION ALL SELECT anchor, 'claim_not_in_bank', q.claim::VARCHAR FROM q LEFT JOIN k USING (claim) WHERE said IS NULL
+UNION ALL SELECT anchor, 'claim_elsewhere', q.claim::VARCHAR FROM q JOIN k USING (claim) WHERE bank IS NULL AND NOT list_contains(chunks, k.chunk) AND NOT contains(said, anchor::VARCHAR)
+UNION ALL SELECT anchor, 'family_differs', span_family FROM a WHERE span_family <> family
+UNION ALL SELECT l_orderkey + l_partkey, 'required_anchor_missing', NULL FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_linenumber = 1) WHERE l_orderkey + l_partkey NOT IN (SELECT anchor FROM a)""")
 def c13(t):
-    n = t("lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.sum("l_extendedprice").alias("q"))
-    j = t("orders").join(n, c("l_orderkey") == c("o_orderkey"), "left").join(t("customer"), c("c_custkey") == c("o_custkey"), "left").withColumnRenamed("o_orderkey", "anchor")
-    return B.decision_validity(j, "anchor", {"no_claims": c("n").isNull(), "claim_missing": c("c_custkey").isNull(), "body_short": c("o_totalprice") < F.coalesce("q", F.lit(0.0))})
+    k = c("o_orderkey")
+    titles = F.array(*map(F.lit, ["BUILDING", "MACHINERY", "AUTOMOBILE", "HOUSEHOLD", "FURNITURE"]))
+    anchors = t("orders").select(k.alias("anchor"), F.get(titles, (k % 5).cast("int")).alias("title"), F.concat(F.lit("f"), k % 3).alias("family"), F.when(k % 4 != 0, F.concat(F.lit("f"), k % 2)).alias("span_family"), F.when(k % 6 == 0, "b").alias("bank"), F.array("o_custkey").alias("chunks"), F.when(k % 9 == 0, F.array().cast("array<bigint>")).otherwise(F.array(k, k + 20000)).alias("claims"))
+    chunks = t("customer").select(c("c_custkey").alias("chunk"), F.concat_ws(" ", "c_mktsegment", "c_custkey").alias("text"))
+    claims = t("orders").select(k.alias("claim"), F.when(k % 2 == 0, c("o_custkey")).otherwise(c("o_custkey") + 1).alias("chunk"), F.concat(F.lit("says "), k - k % 3).alias("text"))
+    required = t("lineitem").where("l_linenumber = 1").select("l_orderkey", "l_partkey").distinct().select((c("l_orderkey") + c("l_partkey")).alias("anchor"))
+    return B.anchor_audit(anchors, chunks, claims, required)
 
 
 @query("c14_validate_arithmetic", """
-WITH s AS (SELECT l_orderkey, l_linenumber, l_partkey, CASE l_linenumber % 3 WHEN 0 THEN 'multiply' WHEN 1 THEN 'add' ELSE 'divide' END AS op, l_quantity::BIGINT AS a, l_suppkey % 7 AS b, CASE l_linenumber % 3 WHEN 0 THEN l_quantity::BIGINT * (l_suppkey % 7) + (l_partkey % 10 = 0)::INT ELSE l_quantity::BIGINT + l_suppkey % 7 END AS result FROM lineitem)
-SELECT l_orderkey, l_linenumber, l_partkey, op, a, b, result, CASE op WHEN 'multiply' THEN CASE WHEN a * b = result THEN 'pass' ELSE 'fail' END WHEN 'add' THEN CASE WHEN a + b = result THEN 'pass' ELSE 'fail' END ELSE CASE WHEN b <> 0 THEN 'pass' ELSE 'needs_review' END END AS check FROM s""".replace("AS check", 'AS "check"'))
+WITH s AS (SELECT l_orderkey, l_linenumber, l_partkey, CASE l_linenumber % 3 WHEN 0 THEN 'multiply' WHEN 1 THEN 'add' ELSE 'divide' END AS op, l_quantity::BIGINT AS a, l_suppkey % 7 AS b, CASE l_linenumber % 3 WHEN 0 THEN l_quantity::BIGINT * (l_suppkey % 7) + (l_partkey % 10 = 0)::INT ELSE l_quantity::BIGINT + l_suppkey % 7 END AS result, CASE l_returnflag WHEN 'R' THEN 'direct' WHEN 'A' THEN 'partial' ELSE 'none' END AS support, l_partkey % 4 = 0 AS lexical, l_suppkey % 11 = 0 AS unresolved FROM lineitem),
+k AS (SELECT *, CASE op WHEN 'multiply' THEN CASE WHEN a * b = result THEN 'pass' ELSE 'fail' END WHEN 'add' THEN CASE WHEN a + b = result THEN 'pass' ELSE 'fail' END ELSE CASE WHEN b <> 0 THEN 'pass' ELSE 'needs_review' END END AS "check" FROM s)
+SELECT *, CASE WHEN support = 'direct' AND "check" = 'pass' AND NOT lexical AND NOT unresolved THEN 'A_confirmed' WHEN unresolved THEN 'needs_review' WHEN lexical AND support = 'direct' THEN 'B_supported_with_semantic_count' WHEN support = 'partial' THEN 'B_textual_partial' WHEN support = 'direct' THEN 'B_textual_internal' WHEN lexical THEN 'needs_review' ELSE 'B_textual_internal' END AS grounding FROM k""")
 def c14(t):
     n, a, b = c("l_linenumber") % 3, c("l_quantity").cast("long"), c("l_suppkey") % 7
-    s = t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.when(n == 0, "multiply").when(n == 1, "add").otherwise("divide").alias("op"), a.alias("a"), b.alias("b"), F.when(n == 0, a * b + (c("l_partkey") % 10 == 0).cast("int")).otherwise(a + b).alias("result"))
+    s = t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.when(n == 0, "multiply").when(n == 1, "add").otherwise("divide").alias("op"), a.alias("a"), b.alias("b"), F.when(n == 0, a * b + (c("l_partkey") % 10 == 0).cast("int")).otherwise(a + b).alias("result"),
+        F.when(c("l_returnflag") == "R", "direct").when(c("l_returnflag") == "A", "partial").otherwise("none").alias("support"), (c("l_partkey") % 4 == 0).alias("lexical"), (c("l_suppkey") % 11 == 0).alias("unresolved"))
     return C.validate_arithmetic(s)
 
 
@@ -188,20 +236,57 @@ def c18(t):
 
 
 @query("c21_reference_match", """
-WITH r AS (SELECT o_custkey AS doc, o_orderkey AS ref, o_orderkey % 300 AS s, o_orderkey % 300 + 60 AS e, o_orderstatus AS role FROM orders WHERE o_orderkey % 2 = 0), v AS (SELECT o_custkey AS doc, o_orderkey AS event, o_orderkey % 300 AS s, o_orderkey % 300 + 20 AS e, o_orderstatus AS role FROM orders WHERE o_orderkey % 2 = 1),
-n AS (SELECT ref, count(*) AS k, count(*) FILTER (WHERE r.role = v.role) AS p FROM r JOIN v ON r.doc = v.doc AND r.s <= v.s AND v.e <= r.e GROUP BY ref)
-SELECT ref, CASE WHEN p = 1 THEN 'match' WHEN p > 1 THEN 'ambiguous' WHEN k > 0 THEN 'mismatch' ELSE 'missing' END AS status FROM r LEFT JOIN n USING (ref)""")
+WITH r AS (SELECT o_custkey AS doc, o_orderkey AS ref, o_orderkey % 300 AS s, o_orderkey % 300 + 80 AS e, o_orderstatus AS role, CASE WHEN o_orderkey % 6 = 2 THEN lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) END AS uses FROM orders WHERE o_orderkey % 2 = 0), v AS (SELECT o_custkey AS doc, o_orderkey AS event, o_orderkey % 300 AS s, o_orderkey % 300 + 20 AS e, o_orderstatus AS role, o_totalprice::BIGINT % 2 AS rd, o_totalprice::BIGINT // 2 % 2 AS wr FROM orders WHERE o_orderkey % 2 = 1),
+k AS (SELECT ref, r.doc, uses, event, r.role = v.role AS fits, rd, wr FROM r LEFT JOIN v ON r.doc = v.doc AND r.s <= v.s AND v.e <= r.e),
+a AS (SELECT ref, doc, count(event) AS n, count(*) FILTER (WHERE fits) AS p, min({'e': event, 'w': wr}) FILTER (WHERE fits) AS f FROM k WHERE uses IS NULL GROUP BY ALL),
+da AS (SELECT ref, doc, CASE WHEN p = 1 THEN 'match' WHEN p > 1 THEN 'ambiguous' WHEN n > 0 THEN 'mismatch' ELSE 'missing' END AS status, CASE WHEN p = 1 THEN f.e END AS event, CASE WHEN p = 1 THEN f.w END AS w FROM a),
+b AS (SELECT k.ref, k.doc, count(k.event) AS n, count(*) FILTER (WHERE fits AND rd = w) AS p, min({'e': k.event, 'w': wr}) FILTER (WHERE fits AND rd = w) AS f FROM k JOIN da ON k.uses = da.ref AND da.status = 'match' GROUP BY ALL),
+db AS (SELECT ref, doc, CASE WHEN p = 1 THEN 'match' WHEN p > 1 THEN 'ambiguous' WHEN n > 0 THEN 'mismatch' ELSE 'missing' END AS status, CASE WHEN p = 1 THEN f.e END AS event, CASE WHEN p = 1 THEN f.w END AS w FROM b),
+g AS (SELECT k.ref, k.doc, count(k.event) AS n, count(*) FILTER (WHERE fits AND rd = w) AS p, min({'e': k.event, 'w': wr}) FILTER (WHERE fits AND rd = w) AS f FROM k JOIN db ON k.uses = db.ref AND db.status = 'match' GROUP BY ALL),
+dg AS (SELECT ref, doc, CASE WHEN p = 1 THEN 'match' WHEN p > 1 THEN 'ambiguous' WHEN n > 0 THEN 'mismatch' ELSE 'missing' END AS status, CASE WHEN p = 1 THEN f.e END AS event FROM g),
+u AS (SELECT ref, status, event FROM da UNION ALL SELECT ref, status, event FROM db UNION ALL SELECT ref, status, event FROM dg)
+SELECT * FROM u UNION ALL SELECT ref, 'dependency_unavailable', NULL FROM r WHERE ref NOT IN (SELECT ref FROM u)""")
 def c21(t):
+    from pyspark.sql import Window
+
     k = c("o_orderkey")
-    o = t("orders").select(c("o_custkey").alias("doc"), k.alias("k"), (k % 300).alias("start"), c("o_orderstatus").alias("role"))
-    return C.reference_match(o.where("k % 2 = 0").withColumn("end", c("start") + 60).withColumnRenamed("k", "ref"), o.where("k % 2 = 1").withColumn("end", c("start") + 20).withColumnRenamed("k", "event"))
+    o = t("orders").select(c("o_custkey").alias("doc"), k.alias("k"), (k % 300).alias("start"), c("o_orderstatus").alias("role"), c("o_totalprice").alias("price"))
+    before = F.lag("k").over(Window.partitionBy("doc").orderBy("k"))
+    ref = o.where("k % 2 = 0").select("doc", c("k").alias("ref"), "start", (c("start") + 80).alias("end"), "role", F.when(c("k") % 6 == 2, before).alias("uses"), c("k").alias("gives"))
+    whole = F.round("price").cast("long")
+    events = o.where("k % 2 = 1").select("doc", c("k").alias("event"), "start", (c("start") + 20).alias("end"), "role", (whole % 2).alias("reads"), (F.floor(whole / 2) % 2).alias("writes"))
+    return C.reference_match(ref, events)
+
+
+OBLIGATIONS = """o AS (SELECT o_orderkey AS obligation, o_orderkey AS span, 'K' || o_orderkey % 4 AS kind, ['a', 'p' || o_orderkey % 3] AS ports, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderstatus END AS scope FROM orders),
+v AS (SELECT l_orderkey AS span, l_orderkey * 100 + l_linenumber AS event, any_value('K' || (l_linenumber + l_orderkey) % 5) AS kind, [ 'a', 'p' || min(l_partkey) % 3] AS ports, max(l_linestatus) AS scope FROM lineitem GROUP BY l_orderkey, l_linenumber),
+n AS (SELECT span, count(*) AS n, count(*) FILTER (WHERE kind <> 'K4') AS known FROM v GROUP BY span),
+j AS (SELECT obligation, o.span, event, (o.kind = v.kind)::INT AS i_tp, (o.kind <> v.kind)::INT AS i_fp, len(list_intersect(o.ports, v.ports)) AS p_tp, 2 - len(list_intersect(o.ports, v.ports)) AS p_fp, coalesce(o.scope = v.scope, false)::INT AS s_tp, CASE WHEN o.scope IS NULL THEN 0 ELSE (o.scope <> v.scope)::INT END AS s_fp FROM o JOIN v USING (span) WHERE v.kind <> 'K4'),
+b AS (SELECT *, row_number() OVER (PARTITION BY obligation ORDER BY 2 * i_fp + 2 * p_fp + 2 * s_fp, -(i_tp + p_tp + s_tp), event) AS r FROM j),
+z AS (SELECT o.obligation, o.span, n.n, n.known, b.* EXCLUDE (obligation, span, event, r), i_fp + p_fp + s_fp = 0 AS clean FROM o LEFT JOIN n USING (span) LEFT JOIN b ON b.obligation = o.obligation AND r = 1),
+y AS (SELECT *, CASE WHEN n IS NULL THEN 'missing' WHEN known = 0 OR (NOT clean AND known < n) THEN 'unsupported' WHEN clean THEN 'pass' ELSE 'fail' END AS status FROM z),
+x AS (SELECT obligation, span, status, coalesce(i_tp, 0)::INT AS identity_tp, coalesce(i_fp, 0)::INT AS identity_fp, CASE WHEN status = 'missing' THEN 1 ELSE coalesce(i_fp, 0) END::INT AS identity_fn, coalesce(p_tp, 0)::INT AS ports_tp, coalesce(p_fp, 0)::INT AS ports_fp, coalesce(p_fp, 0)::INT AS ports_fn, coalesce(s_tp, 0)::INT AS scope_tp, coalesce(s_fp, 0)::INT AS scope_fp, coalesce(s_fp, 0)::INT AS scope_fn FROM y)"""
 
 
-@query("c22_obligation_scoring")
+def obligations(t):
+    k, tag = c("o_orderkey"), lambda x, col: F.concat(F.lit(x), col)
+    o = t("orders").select(k.alias("obligation"), k.alias("span"), tag("K", k % 4).alias("kind"), F.array(F.lit("a"), tag("p", k % 3)).alias("ports"), F.when(k % 5 != 0, c("o_orderstatus")).alias("scope"))
+    i = t("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("part"), F.max("l_linestatus").alias("scope"))
+    e = i.select(c("l_orderkey").alias("span"), (c("l_orderkey") * 100 + c("l_linenumber")).alias("event"), tag("K", (c("l_linenumber") + c("l_orderkey")) % 5).alias("kind"), F.array(F.lit("a"), tag("p", c("part") % 3)).alias("ports"), "scope")
+    return C.obligation_scoring(o, e, ["K0", "K1", "K2", "K3"])
+
+
+@query("c22_obligation_scoring", f"WITH {OBLIGATIONS} SELECT * FROM x")
 def c22(t):
-    """Obligations and predictions of an order's lines; tests hold the assignment to all permutations."""
-    i = t("lineitem").select(c("l_orderkey").alias("span"), c("l_linestatus").alias("layer"), "l_linenumber", F.array("l_returnflag", (c("l_suppkey") % 3).cast("string")).alias("has"))
-    return C.obligation_scoring(i.where("l_linenumber % 2 = 0").select("span", "layer", F.slice("has", 1, 1).alias("needs")), i.where("l_linenumber % 2 = 1").select("span", "layer", "has"))
+    """An obligation per order against the order's lines; tests hold the assignment of several predicates to all permutations."""
+    return obligations(t)
+
+
+@query("c22_obligation_layers", f"""
+WITH {OBLIGATIONS} SELECT 'identity' AS layer, sum(identity_tp)::BIGINT AS tp, sum(identity_fp)::BIGINT AS fp, sum(identity_fn)::BIGINT AS fn FROM x WHERE status <> 'unsupported'
+UNION ALL SELECT 'ports', sum(ports_tp)::BIGINT, sum(ports_fp)::BIGINT, sum(ports_fn)::BIGINT FROM x WHERE status <> 'unsupported' UNION ALL SELECT 'scope', sum(scope_tp)::BIGINT, sum(scope_fp)::BIGINT, sum(scope_fn)::BIGINT FROM x WHERE status <> 'unsupported'""")
+def c22_layers(t):
+    return C.obligation_layers(obligations(t))
 
 
 @query("c23_numeric_scoring", """
@@ -304,12 +389,35 @@ def w11(t):
     return L.active_history(t("events").select("user_id", c("event_id").alias("id"), F.when(c("event_type") == "error", c("event_id") - 1 - c("event_id") % 3).alias("reverts")), "user_id")
 
 
-@query("r8_apply_overlay")
+OVERLAY = """u AS (SELECT conv_id AS doc, conv_id * 100 + turn AS id, turn AS pos, text, role AS type, CASE WHEN turn % 2 = 0 THEN 'r' || turn END AS relations FROM conversations),
+o AS (SELECT doc, id AS target, id AS seq, 'merge' AS op, NULL AS value FROM u WHERE pos % 3 = 1 OR (pos = 0 AND doc % 5 = 0) UNION ALL SELECT doc, id, id, 'set_type', 'reviewed' FROM u WHERE pos % 4 = 0 UNION ALL SELECT doc, id, id, 'split', CASE WHEN doc % 6 = 0 THEN '20,20' ELSE '60,20' END FROM u WHERE pos % 5 = 2
+  UNION ALL SELECT doc, id, id, 'set_relations', 'x' || id FROM u WHERE pos % 6 = 4 UNION ALL SELECT doc, id + 50, id, 'set_type', 'lost' FROM u WHERE pos = 0 AND doc % 7 = 0 UNION ALL SELECT doc, id, id, 'replace_text', 'new' FROM u WHERE pos = 1 AND doc % 9 = 0)"""
+
+
+def overlay(t):
+    d, p, i = c("doc"), c("pos"), c("id")
+    m = t("conversations").select(c("conv_id").alias("doc"), (c("conv_id") * 100 + c("turn")).alias("id"), c("turn").alias("pos"), "text", c("role").alias("type"), F.when(c("turn") % 2 == 0, F.concat(F.lit("r"), c("turn"))).alias("relations"))
+    op = lambda where, name, value, target=i: m.where(where).select("doc", target.alias("target"), i.alias("seq"), F.lit(name).alias("op"), value.cast("string").alias("value"))
+    ops = op((p % 3 == 1) | ((p == 0) & (d % 5 == 0)), "merge", F.lit(None)).union(op(p % 4 == 0, "set_type", F.lit("reviewed"))).union(op(p % 5 == 2, "split", F.when(d % 6 == 0, "20,20").otherwise("60,20")))
+    ops = ops.union(op(p % 6 == 4, "set_relations", F.concat(F.lit("x"), i))).union(op((p == 0) & (d % 7 == 0), "set_type", F.lit("lost"), i + 50)).union(op((p == 1) & (d % 9 == 0), "replace_text", F.lit("new")))
+    return m, ops
+
+
+@query("r8_apply_overlay", f"""
+WITH {OVERLAY}, s AS (SELECT u.doc, u.id, u.pos, u.text, CASE WHEN pos % 4 = 0 THEN 'reviewed' ELSE type END AS type, CASE WHEN pos % 6 = 4 THEN 'x' || id ELSE relations END AS relations, pos % 3 = 1 OR (pos = 0 AND doc % 5 = 0) AS j, pos % 5 = 2 AND doc % 6 <> 0 AND length(text) > 60 AS cut FROM u),
+p AS (SELECT doc, id, pos, 0 AS part, CASE WHEN cut THEN text[1:20] ELSE text END AS text, type, CASE WHEN NOT cut THEN relations END AS relations, j FROM s UNION ALL SELECT doc, id, pos, 1, text[21:60], type, NULL, false FROM s WHERE cut UNION ALL SELECT doc, id, pos, 2, text[61:], type, NULL, false FROM s WHERE cut),
+g AS (SELECT *, sum((NOT j OR r = 1)::INT) OVER (PARTITION BY doc ORDER BY pos, part) AS unit FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY pos, part) AS r FROM p))
+SELECT doc, arg_min(id, pos * 10 + part) AS id, arg_min(part, pos * 10 + part) AS part, arg_min(type, pos * 10 + part) AS type, (list(relations ORDER BY pos, part))[1] AS relations, string_agg(text, '' ORDER BY pos, part) AS text, count(*)::INT AS n FROM g GROUP BY doc, unit""")
 def r8(t):
-    """Conversation turns as units, some retyped and some merged into the turn before; hand-made cases in the tests."""
-    m = t("conversations").select(c("conv_id").alias("doc"), (c("conv_id") * 100 + c("turn")).alias("id"), c("turn").alias("pos"), "text", c("role").alias("type"))
-    ops = m.select("doc", c("id").alias("target"), c("id").alias("seq"), F.when(c("pos") % 3 == 1, "merge").when(c("pos") % 4 == 0, "set_type").alias("op"), F.lit("reviewed").alias("value")).where("op IS NOT NULL")
-    return L.apply_overlay(m, ops)
+    """Conversation turns as units, some retyped, related anew, cut, or merged into the turn before."""
+    return L.apply_overlay(*overlay(t))
+
+
+@query("r8_overlay_rejections", f"""
+WITH {OVERLAY} SELECT o.doc, o.target, o.seq, op, CASE WHEN op = 'replace_text' THEN 'unsupported_op' WHEN u.id IS NULL THEN 'target_not_found' WHEN op = 'merge' THEN 'merge_requires_adjacent_units' ELSE 'invalid_split_boundaries' END AS reason
+FROM o LEFT JOIN u ON u.doc = o.doc AND u.id = o.target WHERE op = 'replace_text' OR u.id IS NULL OR (op = 'merge' AND pos = 0) OR (op = 'split' AND (value = '20,20' OR length(text) <= 60))""")
+def r8_rejections(t):
+    return L.overlay_rejections(*overlay(t))
 
 
 @query("r9_fixpoint_region", """
@@ -350,13 +458,79 @@ def s10(t):
     return S.pages_to_groups(t("pages"))
 
 
-@query("s11_page_status", """
-SELECT page_id, CASE WHEN trim(html) = '' THEN 'parse_empty' WHEN regexp_matches(html, '(?i)captcha|log ?in required') THEN 'upstream_login_required_or_rate_limited' WHEN contains(html, '<article>') THEN 'ok' WHEN contains(html, '<li>') THEN 'parser_miss_with_markers' ELSE 'upstream_template_without_result_block' END AS status FROM pages""")
+#: Pages as they are, empty, gated, and without the marks of a result.
+PAGE_KINDS = "CASE page_id % 5 WHEN 0 THEN '  ' WHEN 1 THEN html || ' Captcha ' WHEN 2 THEN replace(html, '<article>', '<div>') WHEN 3 THEN replace(replace(html, '<article>', '<div>'), '<li>', '<p>') ELSE html END"
+
+
+@query("s11_page_status", f"""
+SELECT page_id, CASE WHEN trim(html) = '' THEN 'parse_empty' WHEN regexp_matches(html, '(?i)captcha|log ?in required') THEN 'upstream_login_required_or_rate_limited' WHEN contains(html, '<article>') THEN 'ok' WHEN contains(html, '<li>') THEN 'parser_miss_with_markers' ELSE 'upstream_template_without_result_block' END AS status FROM (SELECT page_id, {PAGE_KINDS} AS html FROM pages)""")
 def s11(t):
-    return t("pages").select("page_id", S.page_status(c("html")).alias("status"))
+    return t("pages").select("page_id", F.expr(PAGE_KINDS).alias("html")).select("page_id", S.page_status(c("html")).alias("status"))
 
 
 @query("s4_number_lines", """
-WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents) SELECT doc_id, line::INT AS line, nullif(regexp_extract(text, '^\\s*([0-9]+)[ .:]', 1), '')::BIGINT AS source_number, regexp_replace(text, '^\\s*[0-9]+[ .:]\\s*', '') AS text FROM l""")
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents), n AS (SELECT doc_id, line, CASE line % 3 WHEN 0 THEN (line + 7) || '. ' || text WHEN 1 THEN ' ' || line || ':' || text ELSE text END AS text FROM l) SELECT doc_id, line::INT AS line, nullif(regexp_extract(text, '^\\s*([0-9]+)[ .:]', 1), '')::BIGINT AS source_number, regexp_replace(text, '^\\s*[0-9]+[ .:]\\s*', '') AS text FROM n""")
 def s4(t):
-    return S.number_lines(t("documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "text")))
+    lines, at = t("documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "text")), c("line")
+    return S.number_lines(lines.withColumn("text", F.when(at % 3 == 0, F.concat(at + 7, F.lit(". "), "text")).when(at % 3 == 1, F.concat(F.lit(" "), at, F.lit(":"), "text")).otherwise(c("text"))))
+
+
+@query("s1_read_records", """
+SELECT c_custkey AS id, c_name AS name, c_mktsegment AS tag FROM customer""")
+def s1(t):
+    """Customers as whole-file JSON payloads with a list under a key, read back."""
+    r = F.struct(c("c_custkey").alias("id"), c("c_name").alias("name"), c("c_mktsegment").alias("tag"))
+    files = t("customer").groupBy(F.floor(c("c_custkey") / 500).alias("file")).agg(F.to_json(F.struct(F.lit(1).alias("version"), F.collect_list(r).alias("chunks"))).alias("value"))
+    path = S.new_folder(t.spark, "payloads")
+    files.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    return S.read_records(t.spark, path, "chunks").select("id", "name", "tag")
+
+
+@query("s2_read_star", """
+SELECT o_orderkey, o_custkey, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey""")
+def s2(t):
+    """A fact and a dimension as JSON lines with notes among them, read together and joined."""
+    path = S.new_folder(t.spark, "star")
+    for name, df in (("fact", t("orders").select("o_orderkey", "o_custkey")), ("dim", t("customer").select("c_custkey", "c_mktsegment"))):
+        note = t.spark.createDataFrame([('{"_schemaNote": "columns as in the table"}',)], "value string")
+        df.select(F.to_json(F.struct(*df.columns)).alias("value")).union(note).write.text(f"{path}/{name}")
+    star = S.read_star(t.spark, {n: f"{path}/{n}" for n in ("fact", "dim")})
+    return star["fact"].join(star["dim"], c("o_custkey") == c("c_custkey")).select("o_orderkey", "o_custkey", "c_mktsegment")
+
+
+@query("s3_read_graph", """
+SELECT 'p' || p_partkey AS id, p_name AS name, count(l_orderkey) AS n_edges, count(DISTINCT l_suppkey) AS n_targets FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY p_partkey, p_name""")
+def s3(t):
+    """Parts and their deliveries as node and edge exports, read back: edges per node."""
+    path = S.new_folder(t.spark, "graph")
+    t("part").select(F.concat(F.lit("p"), "p_partkey").alias("id"), c("p_name").alias("name")).write.option("header", True).csv(f"{path}/nodes")
+    t("lineitem").select(F.concat(F.lit("p"), "l_partkey").alias("source"), F.concat(F.lit("s"), "l_suppkey").alias("target"), c("l_returnflag").alias("type")).write.option("header", True).csv(f"{path}/edges")
+    nodes, edges = S.read_graph(t.spark, f"{path}/nodes", f"{path}/edges")
+    n = edges.groupBy(c("source").alias("id")).agg(F.count("*").alias("n"), F.count_distinct("target").alias("m"))
+    return nodes.join(n, "id", "left").select("id", "name", F.coalesce("n", F.lit(0)).alias("n_edges"), F.coalesce("m", F.lit(0)).alias("n_targets"))
+
+
+@query("s7_publish", """
+SELECT c_custkey AS key, count(*) AS n, max(o_orderkey) AS latest FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey""")
+def s7(t):
+    """A table published once all its rows are found good, after a candidate with bad rows was turned down."""
+    good = t("customer").join(t("orders"), c("o_custkey") == c("c_custkey")).groupBy(c("c_custkey").alias("key")).agg(F.count("*").alias("n"), F.max("o_orderkey").alias("latest"))
+    target = S.new_folder(t.spark, "published")
+    reason = F.when(c("n") < 1, "no orders").when(c("latest").isNull(), "no latest order")
+    try:
+        S.publish(good.withColumn("n", F.when(c("key") % 100 == 7, 0).otherwise(c("n"))), target, reason)
+    except ValueError:
+        S.publish(good, target, reason)
+    return t.spark.read.schema(good.schema).parquet(target)
+
+
+@query("s9_write_postings", """
+WITH w AS (SELECT DISTINCT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: length(x) >= 3)) AS token FROM documents)
+SELECT token[1:1] AS first, count(DISTINCT token) AS vocabulary, count(*) AS postings FROM w GROUP BY 1""")
+def s9(t):
+    """Postings written by their first character and read back: vocabulary and postings per folder."""
+    pairs = t("documents").select("doc_id", F.explode(F.array_distinct(T.tokens("text"))).alias("token"))
+    path = S.new_folder(t.spark, "postings")
+    S.write_postings(pairs, path)
+    back = t.spark.read.schema("doc_id long, token string, first string").parquet(path)
+    return back.groupBy("first").agg(F.count_distinct("token").alias("vocabulary"), F.count("*").alias("postings"))

@@ -67,15 +67,34 @@ def f25(t):
 
 
 @query("r10_derive_facts", """
-WITH RECURSIVE n AS (SELECT c_custkey AS k FROM customer), r AS (SELECT k AS target, k // 2 AS to_target FROM n WHERE k > 1 AND k % 7 <> 0), a AS (SELECT c_custkey AS target, c_mktsegment AS value, c_custkey % 3 = 0 AS reviewed FROM customer WHERE c_custkey % 5 = 0),
-f AS (SELECT target, value FROM a UNION SELECT r.to_target, f.value FROM f JOIN r USING (target)), b AS (SELECT target, min(value) <> max(value) AS blocked FROM f GROUP BY target),
-u AS (SELECT f.target, f.value FROM f JOIN b USING (target) WHERE NOT blocked), g AS (SELECT target, value, 0 AS depth FROM a SEMI JOIN u USING (target, value) WHERE reviewed UNION SELECT r.to_target, g.value, depth + 1 FROM g JOIN r USING (target) JOIN u ON u.target = r.to_target AND u.value = g.value)
-SELECT target, 'kind' AS facet, value, CASE WHEN blocked THEN 'conflict' WHEN d.depth IS NULL THEN 'ungrounded' ELSE 'grounded' END AS status, d.depth FROM f JOIN b USING (target) LEFT JOIN (SELECT target, value, min(depth) AS depth FROM g GROUP BY ALL) d USING (target, value)""")
+WITH RECURSIVE n AS (SELECT c_custkey AS k FROM customer), r AS (SELECT k AS target, k // 2 AS to_target FROM n WHERE k > 1 AND k % 7 <> 0 AND k % 11 <> 0), p AS (SELECT k AS one, k + 1 AS two, k // 3 AS to_target FROM n WHERE k % 11 = 0 AND k > 0),
+a AS (SELECT c_custkey AS target, CASE WHEN c_custkey % 4 = 0 THEN 'LARGE' ELSE 'SMALL' END AS value, 'a' || (c_custkey % 2)::VARCHAR AS authority, c_custkey % 3 = 0 AS reviewed FROM customer WHERE c_custkey % 5 < 2),
+f AS (SELECT target, value, authority FROM a UNION (SELECT to_target, value, authority FROM f JOIN r USING (target) UNION SELECT p.to_target, x.value, x.authority FROM p JOIN a x ON x.target = p.one JOIN a y ON y.target = p.two AND x.value = y.value AND x.authority = y.authority)),
+b AS (SELECT target, min(value) <> max(value) AS clash FROM f GROUP BY target), x AS (SELECT c_custkey AS target, 'SMALL' AS value FROM customer WHERE c_custkey % 13 = 0),
+z AS (SELECT f.*, clash, x.target IS NOT NULL AS rejected FROM f JOIN b USING (target) LEFT JOIN x ON x.target = f.target AND x.value = f.value), u AS (SELECT target, value, authority FROM z WHERE NOT clash AND NOT rejected),
+q AS (SELECT to_target AS target, value, authority FROM u JOIN r USING (target) UNION ALL SELECT p.to_target, x.value, x.authority FROM p JOIN u x ON x.target = p.one JOIN u y ON y.target = p.two AND x.value = y.value AND x.authority = y.authority),
+np AS (SELECT target, value, authority, count(*) AS n_proofs FROM q GROUP BY ALL)
+SELECT target, 'kind' AS facet, value, authority, CASE WHEN clash THEN 'conflict' WHEN rejected THEN 'rejected' ELSE 'open' END AS status, coalesce(n_proofs, 0) AS n_proofs FROM z LEFT JOIN np USING (target, value, authority)""")
 def r10(t):
-    k = c("c_custkey")
-    cust = t("customer")
-    rules = cust.where("c_custkey > 1 AND c_custkey % 7 != 0").select(k.alias("target"), F.lit("kind").alias("facet"), F.floor(k / 2).alias("to_target"), F.lit("kind").alias("to_facet"))
-    return E.derive_facts(cust.where("c_custkey % 5 = 0").select(k.alias("target"), F.lit("kind").alias("facet"), c("c_mktsegment").alias("value"), (k % 3 == 0).alias("reviewed")), rules)
+    """Facts of customers by rules of one and of two premises; depths are held to a loop in the tests."""
+    k, cust = c("c_custkey"), t("customer")
+    kind = F.lit("kind")
+    rule = lambda df, name, target, to: df.select(F.concat(F.lit(name), k).alias("rule"), target.alias("target"), kind.alias("facet"), F.floor(to).alias("to_target"), kind.alias("to_facet"))
+    single = rule(cust.where("c_custkey > 1 AND c_custkey % 7 != 0 AND c_custkey % 11 != 0"), "s", k, k / 2)
+    pairs = cust.where("c_custkey % 11 = 0 AND c_custkey > 0")
+    rules = single.union(rule(pairs, "p", k, k / 3)).union(rule(pairs, "p", k + 1, k / 3))
+    facts = cust.where("c_custkey % 5 < 2").select(k.alias("target"), kind.alias("facet"), F.when(k % 4 == 0, "LARGE").otherwise("SMALL").alias("value"), F.concat(F.lit("a"), k % 2).alias("authority"), (k % 3 == 0).alias("reviewed"))
+    rejected = cust.where("c_custkey % 13 = 0").select(k.alias("target"), kind.alias("facet"), F.lit("SMALL").alias("value"))
+    out = E.derive_facts(facts, rules, rejected)
+    return out.withColumn("status", F.when(c("status").isin("grounded", "ungrounded"), "open").otherwise(c("status"))).drop("depth")
+
+
+@query("r10_grounding")
+def r10_grounding(t):
+    """Grounded facts with the least depth of their proofs; tests hold them to a loop."""
+    k, cust = c("c_custkey"), t("customer")
+    rules = cust.where("c_custkey > 1 AND c_custkey % 7 != 0").select(k.alias("rule"), k.alias("target"), F.lit("kind").alias("facet"), F.floor(k / 2).alias("to_target"), F.lit("kind").alias("to_facet"))
+    return E.derive_facts(cust.where("c_custkey % 5 = 0").select(k.alias("target"), F.lit("kind").alias("facet"), c("c_mktsegment").alias("value"), F.lit("a").alias("authority"), (k % 3 == 0).alias("reviewed")), rules)
 
 
 @query("w8_sectionize")
@@ -87,8 +106,19 @@ def w8(t):
     return E.sectionize(lines.select("doc_id", "line", kind.alias("kind")), "doc_id", "line", "kind")
 
 
-@query("w9_expected_suffix")
+@query("w9_expected_suffix", """
+WITH RECURSIVE n AS (SELECT DISTINCT l_suppkey AS doc, l_orderkey AS page, l_partkey AS place FROM lineitem WHERE l_suppkey % 4 <> 3),
+m AS (SELECT *, 1 + (page // 200 + row_number() OVER (PARTITION BY doc, page ORDER BY place) - 1 - (place % 5 = 0)::INT) % 60 AS number FROM n),
+o AS (SELECT *, row_number() OVER w AS k, first(number) OVER w AS l FROM m WINDOW w AS (PARTITION BY doc, page ORDER BY place DESC)),
+g AS (SELECT *, NOT bool_or(number + k - 1 <> l) OVER (PARTITION BY doc, page ORDER BY place DESC) AS run FROM o),
+p AS (SELECT doc, page, min(number) AS lo, max(number) AS hi, row_number() OVER (PARTITION BY doc ORDER BY page) AS i FROM g WHERE run GROUP BY doc, page),
+e AS (SELECT doc, 0::BIGINT AS i, 1::BIGINT AS want, 0::BIGINT AS from_, -1::BIGINT AS page FROM p WHERE i = 1 UNION ALL SELECT p.doc, p.i, CASE WHEN want BETWEEN lo AND hi THEN hi + 1 ELSE want END, CASE WHEN want BETWEEN lo AND hi THEN want END, p.page FROM e JOIN p ON p.doc = e.doc AND p.i = e.i + 1)
+SELECT g.doc, g.page, place, number, coalesce(run AND number >= from_, false) AS accepted FROM g LEFT JOIN e ON e.doc = g.doc AND e.page = g.page AND e.i > 0""")
 def w9(t):
-    """Note numbers of each customer's orders, accepted while they continue the sequence; tested alone."""
-    o = t("orders").select("o_custkey", "o_orderkey", (1 + c("o_orderkey") % 4).cast("int").alias("number"))
-    return E.expected_suffix(o, "o_custkey", "o_orderkey", "number")
+    """Note candidates on the pages (orders) of documents (suppliers)."""
+    from pyspark.sql import Window
+
+    n = t("lineitem").where("l_suppkey % 4 != 3").select(c("l_suppkey").alias("doc"), c("l_orderkey").alias("page"), c("l_partkey").alias("place")).distinct()
+    nth = F.row_number().over(Window.partitionBy("doc", "page").orderBy("place"))
+    number = 1 + (F.floor(c("page") / 200) + nth - 1 - (c("place") % 5 == 0).cast("int")) % 60
+    return E.expected_suffix(n.withColumn("number", number), "doc", "page", "place", "number")

@@ -87,10 +87,11 @@ def p9(t):
 
 
 @query("p10_publishable", """
-SELECT page_id, CASE WHEN html LIKE '%login%' THEN 'gated' WHEN html NOT LIKE '%<article>%' THEN 'parse_not_ok' WHEN html LIKE '%<li>%' AND html NOT LIKE '%<a href%' THEN 'hits_without_groups' WHEN html LIKE '%<title></title>%' THEN 'group_without_label' END AS reason FROM pages""")
+SELECT page_id, CASE WHEN html LIKE '%login%' THEN 'gated' WHEN html NOT LIKE '%<article>%' THEN 'parse_not_ok' WHEN html LIKE '%<li>%' AND html NOT LIKE '%<a href%' THEN 'hits_without_groups' WHEN html LIKE '%<title></title>%' THEN 'group_without_label' END AS reason FROM (SELECT page_id, CASE page_id % 6 WHEN 0 THEN html || 'login' WHEN 1 THEN replace(html, '<article>', '<div>') WHEN 2 THEN replace(html, '<a href', '<b href') WHEN 3 THEN html || '<title></title>' ELSE html END AS html FROM pages)""")
 def p10(t):
-    h = c("html")
-    return t("pages").select("page_id", P.reason({"gated": h.contains("login"), "parse_not_ok": ~h.contains("<article>"), "hits_without_groups": h.contains("<li>") & ~h.contains("<a href"), "group_without_label": h.contains("<title></title>")}).alias("reason"))
+    k, h = c("page_id"), c("html")
+    pages = t("pages").withColumn("html", F.when(k % 6 == 0, F.concat(h, F.lit("login"))).when(k % 6 == 1, F.replace(h, F.lit("<article>"), F.lit("<div>"))).when(k % 6 == 2, F.replace(h, F.lit("<a href"), F.lit("<b href"))).when(k % 6 == 3, F.concat(h, F.lit("<title></title>"))).otherwise(h))
+    return pages.select("page_id", P.reason({"gated": h.contains("login"), "parse_not_ok": ~h.contains("<article>"), "hits_without_groups": h.contains("<li>") & ~h.contains("<a href"), "group_without_label": h.contains("<title></title>")}).alias("reason"))
 
 
 @query("p11_suspicious_rows", """
@@ -103,9 +104,10 @@ def p11(t):
 
 
 @query("p12_text_quality", """
-SELECT doc_id, CASE WHEN contains(text, chr(65533)) THEN 'garbled' WHEN regexp_matches(text, '\\p{Han}') THEN 'good' ELSE 'mixed' END AS quality FROM documents""")
+SELECT doc_id, CASE WHEN contains(text, chr(65533)) THEN 'garbled' WHEN regexp_matches(text, '\\p{Han}') THEN 'good' ELSE 'mixed' END AS quality FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN replace(text, 'a', '章') WHEN 1 THEN replace(text, 'e', chr(65533)) ELSE text END AS text FROM documents)""")
 def p12(t):
-    return t("documents").select("doc_id", P.text_quality(c("text")).alias("quality"))
+    text = F.when(c("doc_id") % 4 == 0, F.replace("text", F.lit("a"), F.lit("章"))).when(c("doc_id") % 4 == 1, F.replace("text", F.lit("e"), F.lit("\ufffd"))).otherwise(c("text"))
+    return t("documents").select("doc_id", P.text_quality(text).alias("quality"))
 
 
 @query("p13_drop_artifacts", """

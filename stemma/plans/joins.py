@@ -49,47 +49,67 @@ ITEMS = "'s' || user_id % 10 AS system, date_trunc('day', ts) AS chapter"
 
 
 @query("j4_align_scored", """
-WITH i AS (SELECT p_partkey AS id, p_brand AS system, p_size AS chapter, p_type AS title, string_split(p_name, ' ') AS terms, [floor(p_retailprice)::INT % 11] AS constants, [p_size % 3] AS ops, p_partkey % 100 AS place FROM part),
-j AS (SELECT a.id AS l_id, b.id AS r_id, CASE WHEN a.title = b.title THEN 16 ELSE 0 END AS title, len(list_intersect(a.terms, b.terms)) AS nt, len(list_intersect(a.constants, b.constants)) AS nc, len(list_intersect(a.ops, b.ops)) AS no, abs(a.place - b.place) AS gap
-  FROM i a JOIN i b USING (system, chapter) WHERE a.id % 2 = 0 AND b.id % 2 = 1),
-s AS (SELECT *, title + 6 * nt + 4 * nc + 2 * no + greatest(0, 5 - gap) AS score FROM j),
-r AS (SELECT *, row_number() OVER (PARTITION BY l_id ORDER BY score DESC, gap, r_id) AS rank FROM s WHERE score > 5)
-SELECT l_id, r_id, score, CASE WHEN title = 0 AND nt = 0 THEN 'generic_only' WHEN score >= 22 THEN 'high' WHEN score >= 14 THEN 'medium' ELSE 'review' END AS tier, rank FROM r WHERE rank <= 3""")
+WITH i AS (SELECT p_partkey AS id, p_brand AS system, p_size AS chapter, CASE WHEN p_partkey % 3 = 0 THEN p_name || ' ' || p_type ELSE p_name END AS title, string_split(p_name, ' ') || [p_type] AS terms, [floor(p_retailprice)::INT % 11] AS constants, ['op' || p_partkey % 5, 'op' || p_size % 3] AS ops, p_partkey % 100 AS place, [p_partkey - 1 - p_partkey % 12] AS linked FROM part),
+j AS (SELECT a.id AS l_id, b.id AS r_id, list_contains(b.linked, a.id) AS link, contains(a.title, b.title) OR contains(b.title, a.title) AS titled, list_filter(list_intersect(a.terms, b.terms), lambda x: x NOT IN ('red', 'PROMO', 'STANDARD')) AS t, list_intersect(a.terms, b.terms) AS u,
+  len(list_intersect(a.constants, b.constants)) AS nc, len(list_filter(list_intersect(a.ops, b.ops), lambda x: x <> 'op0')) AS no, abs(a.place - b.place) AS gap FROM i a JOIN i b USING (system, chapter) WHERE a.id % 2 = 0 AND b.id % 2 = 1),
+s AS (SELECT *, len(t) AS nt, len(u) - len(t) AS ng, greatest(0, 5 - gap) AS near FROM j), z AS (SELECT *, 20 * link::INT + 16 * titled::INT + 6 * nt + 4 * nc + 2 * no + near AS score FROM s),
+y AS (SELECT *, CASE WHEN link OR (titled AND (nt > 0 OR nc > 0 OR near >= 2)) THEN 'high' WHEN titled OR (nt > 0 AND (nc > 0 OR near >= 2)) OR (nt >= 2 AND near >= 1) THEN 'medium' WHEN NOT link AND NOT titled AND nt + nc + no = 0 AND ng > 0 THEN 'generic_only' WHEN score >= 5 THEN 'review' END AS tier FROM z),
+r AS (SELECT *, row_number() OVER (PARTITION BY l_id ORDER BY score DESC, gap, r_id) AS rank FROM y WHERE tier IS NOT NULL)
+SELECT l_id, r_id, score, tier, rank FROM r WHERE rank <= 3""")
 def j4(t):
-    i = t("part").select(c("p_partkey").alias("id"), c("p_brand").alias("system"), c("p_size").alias("chapter"), c("p_type").alias("title"), F.split("p_name", " ").alias("terms"), F.array(F.floor("p_retailprice").cast("int") % 11).alias("constants"), F.array(c("p_size") % 3).alias("ops"), (c("p_partkey") % 100).alias("place"))
-    return J.align_scored(i.where("id % 2 = 0"), i.where("id % 2 = 1"))
+    k = c("p_partkey")
+    i = t("part").select(k.alias("id"), c("p_brand").alias("system"), c("p_size").alias("chapter"), F.when(k % 3 == 0, F.concat_ws(" ", "p_name", "p_type")).otherwise(c("p_name")).alias("title"), F.concat(F.split("p_name", " "), F.array("p_type")).alias("terms"),
+        F.array(F.floor("p_retailprice").cast("int") % 11).alias("constants"), F.array(F.concat(F.lit("op"), k % 5), F.concat(F.lit("op"), c("p_size") % 3)).alias("ops"), (k % 100).alias("place"), F.array(k - 1 - k % 12).alias("linked"))
+    return J.align_scored(i.where("id % 2 = 0").drop("linked"), i.where("id % 2 = 1"), ["red", "PROMO", "STANDARD"], ["op0"])
 
 
 def _grams(table, key):
     w = "regexp_split_to_array(lower(text), '[^a-z0-9]+')"
-    parts = " UNION ALL ".join(f"SELECT {key} AS id, {n} AS n, array_to_string(list_slice(w, i, i + {n - 1}), ' ') AS g FROM (SELECT {key}, w, unnest(range(1, len(w) - {n} + 2)) AS i FROM (SELECT {key}, list_filter({w}, lambda x: length(x) >= 3) AS w FROM {table}))" for n in (12, 8, 6, 4))
+    parts = " UNION ALL ".join(f"SELECT {key} AS id, {n} AS n, array_to_string(list_slice(w, i, i + {n - 1}), ' ') AS g FROM (SELECT {key}, w, unnest(range(1, len(w) - {n} + 2)) AS i FROM (SELECT {key}, list_filter({w}, lambda x: length(x) >= 3) AS w FROM {table}))" for n in (18, 14, 12, 10, 8, 6, 4, 3))
     return f"SELECT DISTINCT * FROM ({parts})"
 
 
+#: Operation phrases that quotes and sources may share.
+PHRASES = ["the and", "of the", "in the", "la la", "und der"]
+_Q_WORDS = "list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: length(x) >= 3)"
+_Q_CLAUSES = "list_filter(list_transform(string_split(text, '.'), lambda s: array_to_string(list_filter(regexp_split_to_array(lower(s), '[^a-z0-9]+'), lambda x: length(x) >= 3), ' ')), lambda s: s <> '')"
+
+
 @query("j5_quote_to_source", f"""
 WITH q AS ({_grams('benchmark', 'item_id')}), s AS ({_grams('documents', 'doc_id')}),
 m AS (SELECT q.id AS quote, s.id AS source, max(n) AS longest, count(*) AS n_shared FROM q JOIN s USING (n, g) GROUP BY ALL),
-x AS (SELECT *, CASE WHEN longest >= 12 THEN 30 WHEN longest >= 8 THEN 18 WHEN longest >= 6 THEN 10 ELSE 2 END AS score FROM m),
-r AS (SELECT *, row_number() OVER (PARTITION BY quote ORDER BY score DESC, n_shared DESC, source) AS rank FROM x)
-SELECT quote, source, longest, n_shared, score, CASE WHEN score >= 30 THEN 'high' WHEN score >= 18 THEN 'medium' WHEN score >= 10 THEN 'review' ELSE 'generic_only_rejected' END AS confidence, rank FROM r WHERE rank <= 3""")
+qt AS (SELECT item_id AS quote, ' ' || array_to_string({_Q_WORDS}, ' ') || ' ' AS q_text, array_to_string(list_slice({_Q_WORDS}, 1, 2), ' ') AS title, {_Q_CLAUSES} AS cl, [item_id % 7] AS qc, item_id / (SELECT max(item_id) FROM benchmark) AS qp FROM benchmark),
+st AS (SELECT doc_id AS source, ' ' || array_to_string({_Q_WORDS}, ' ') || ' ' AS s_text, [doc_id % 7] AS sc, doc_id / (SELECT max(doc_id) FROM documents) AS sp FROM documents),
+f AS (SELECT quote, source, longest, n_shared, length(title) > 0 AND contains(s_text, ' ' || title || ' ') AS titled, list_filter(list_distinct(cl), lambda x: length(x) >= 8 AND contains(s_text, ' ' || x || ' ')) AS met, len(list_filter(cl, lambda x: length(x) < 8 AND contains(s_text, ' ' || x || ' '))) AS ng, len(list_intersect(qc, sc)) AS nc,
+  {" + ".join(f"(contains(q_text, ' {p} ') AND contains(s_text, ' {p} '))::INT" for p in PHRASES)} AS no, greatest(0, 10 - round(abs(qp - sp) * 20))::INT AS place FROM m JOIN qt USING (quote) JOIN st USING (source)),
+x AS (SELECT *, coalesce(list_max(list_transform(met, lambda x: length(x))), 0) AS lc, len(met) AS n_clauses FROM f),
+y AS (SELECT *, 35 * titled::INT + CASE WHEN lc >= 10 THEN 35 WHEN n_clauses > 0 THEN 20 ELSE 0 END + 10 * n_clauses + CASE WHEN longest >= 12 THEN 30 WHEN longest >= 8 THEN 18 WHEN longest >= 6 THEN 10 ELSE 0 END + 6 * nc + 5 * no + place AS score FROM x),
+r AS (SELECT *, row_number() OVER (PARTITION BY quote ORDER BY score DESC, n_shared DESC, source) AS rank FROM y)
+SELECT quote, source, longest, n_shared, n_clauses, score, CASE WHEN NOT titled AND n_clauses = 0 AND nc + no = 0 AND longest < 6 AND ng > 0 THEN 'generic_only_rejected' WHEN (titled AND (n_clauses > 0 OR longest >= 8)) OR n_clauses >= 2 OR longest >= 12 THEN 'high' WHEN n_clauses > 0 OR longest >= 8 OR (titled AND longest >= 6) THEN 'medium' WHEN ng > 0 OR longest >= 4 THEN 'review' ELSE 'insufficient' END AS confidence, rank FROM r WHERE rank <= 3""")
 def j5(t):
-    return J.quote_to_source(t("benchmark").select(c("item_id").alias("id"), T.tokens("text").alias("words")), t("documents").select(c("doc_id").alias("id"), T.tokens("text").alias("words")))
-
-
-STEPS = "l_orderkey AS g, l_linenumber, l_returnflag AS op, l_linestatus AS system, [l_suppkey % 5, l_partkey % 5] AS inputs, l_partkey % 7 AS modulus, l_orderkey * 10 + l_linenumber AS id"
+    place = lambda df, k: c(k) / df.agg(F.max(k)).first()[0]
+    b, d = t("benchmark"), t("documents")
+    clauses = F.filter(F.transform(F.split("text", r"[.]", -1), lambda x: F.array_join(T.tokens(x), " ")), lambda x: x != "")
+    q = b.select(c("item_id").alias("id"), T.tokens("text").alias("words"), place(b, "item_id").alias("place"), F.array(c("item_id") % 7).alias("constants"), clauses.alias("clauses"))
+    q = q.withColumn("title", F.array_join(F.slice("words", 1, 2), " ")).withColumn("generic", F.filter("clauses", lambda x: F.length(x) < 8))
+    s = d.select(c("doc_id").alias("id"), T.tokens("text").alias("words"), place(d, "doc_id").alias("place"), F.array(c("doc_id") % 7).alias("constants"))
+    return J.quote_to_source(q, s, PHRASES, (18, 14, 12, 10, 8, 6, 4, 3))
 
 
 @query("j6_claims_to_steps", """
-WITH i AS (SELECT DISTINCT ON (l_orderkey, l_linenumber) l_orderkey AS g, l_orderkey * 10 + l_linenumber AS id, l_linenumber AS ln, l_returnflag AS op, l_linestatus AS system, l_suppkey % 5 AS a, l_partkey % 5 AS b, l_partkey % 7 AS modulus FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice),
-j AS (SELECT s.id AS step_id, k.id AS claim_id, 4 + CASE WHEN s.system = k.system THEN 2 ELSE -2 END + CASE WHEN s.modulus = k.modulus THEN 2 ELSE 0 END
-   + 2 * CASE WHEN (s.a = k.a AND s.b = k.b) OR (s.a = k.b AND s.b = k.a) THEN 2 WHEN s.a IN (k.a, k.b) OR s.b IN (k.a, k.b) THEN 1 ELSE 0 END AS score FROM i s JOIN i k ON s.g = k.g AND s.op = k.op AND s.ln % 2 = 1 AND k.ln % 2 = 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY step_id ORDER BY score DESC, claim_id) AS rank FROM j WHERE score > 0)
-SELECT step_id, claim_id, score, rank, CASE WHEN score >= 10 THEN 'direct' WHEN score >= 6 THEN 'partial' ELSE 'weak' END AS grade FROM r WHERE rank <= 5""")
+WITH i AS (SELECT DISTINCT ON (l_orderkey, l_linenumber) l_orderkey * 10 + l_linenumber AS id, l_linenumber AS ln, l_returnflag || l_partkey % 300 AS op, l_linestatus AS system, list_sort([l_suppkey % 5, l_partkey % 5]) AS inputs, ['t' || l_orderkey % 6, 'u' || l_linenumber % 3] AS terms, l_partkey % 7 AS modulus FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice),
+s AS (SELECT DISTINCT op, system, inputs, terms, modulus FROM i WHERE ln % 2 = 1),
+k AS (SELECT op, system, inputs, terms, modulus, id FROM (SELECT *, row_number() OVER (PARTITION BY op, system, inputs, terms, modulus ORDER BY id) AS r FROM i WHERE ln % 2 = 0) WHERE r <= 5),
+j AS (SELECT s.*, k.id AS claim_id, 4 + CASE WHEN s.system = k.system THEN 2 ELSE -2 END + CASE WHEN s.modulus = k.modulus THEN 2 ELSE 0 END + 2 * len(list_intersect(s.terms, k.terms))
+   + 2 * CASE WHEN s.inputs = k.inputs THEN 2 WHEN s.inputs[1] IN (k.inputs[1], k.inputs[2]) OR s.inputs[2] IN (k.inputs[1], k.inputs[2]) THEN 1 ELSE 0 END AS score FROM s JOIN k USING (op)),
+r AS (SELECT *, row_number() OVER (PARTITION BY op, system, inputs, terms, modulus ORDER BY score DESC, claim_id) AS rank FROM j WHERE score > 0)
+SELECT i.id AS step_id, claim_id, score, rank, CASE WHEN score >= 10 THEN 'direct' WHEN score >= 6 THEN 'partial' ELSE 'weak' END AS grade FROM i JOIN r USING (op, system, inputs, terms, modulus) WHERE ln % 2 = 1 AND rank <= 5""")
 def j6(t):
     from stemma.operators.aggregates import first_by_key
 
     i = first_by_key(t("lineitem"), ["l_orderkey", "l_linenumber"], ["l_partkey", "l_suppkey", "l_extendedprice"])
-    i = i.select(c("l_orderkey").alias("group"), (c("l_orderkey") * 10 + c("l_linenumber")).alias("id"), "l_linenumber", c("l_returnflag").alias("op"), c("l_linestatus").alias("system"), F.array(c("l_suppkey") % 5, c("l_partkey") % 5).alias("inputs"), (c("l_partkey") % 7).alias("modulus"))
+    terms = F.array(F.concat(F.lit("t"), c("l_orderkey") % 6), F.concat(F.lit("u"), c("l_linenumber") % 3))
+    i = i.select((c("l_orderkey") * 10 + c("l_linenumber")).alias("id"), "l_linenumber", F.concat("l_returnflag", c("l_partkey") % 300).alias("op"), c("l_linestatus").alias("system"), F.array(c("l_suppkey") % 5, c("l_partkey") % 5).alias("inputs"), terms.alias("terms"), (c("l_partkey") % 7).alias("modulus"))
     return J.claims_to_steps(i.where("l_linenumber % 2 = 1").withColumnRenamed("id", "step_id"), i.where("l_linenumber % 2 = 0").withColumnRenamed("id", "claim_id"))
 
 
@@ -107,13 +127,21 @@ def j7(t):
 
 
 @query("j8_source_alignment", """
-WITH s AS (SELECT l_orderkey AS anchor, l_partkey AS span, 8 * (l_returnflag = 'R')::INT + 10 * (l_linestatus = 'F')::INT + l_quantity AS score FROM (SELECT l_orderkey, l_partkey, max(l_returnflag) AS l_returnflag, max(l_linestatus) AS l_linestatus, sum(l_quantity) AS l_quantity FROM lineitem GROUP BY ALL)),
-r AS (SELECT *, row_number() OVER w AS r, lead(score) OVER w AS runner_up FROM s WINDOW w AS (PARTITION BY anchor ORDER BY score DESC, span))
-SELECT anchor, span, score, runner_up FROM r WHERE r = 1 AND score >= 16 AND (runner_up IS NULL OR score - runner_up >= 4)""")
+WITH a AS (SELECT o_orderkey AS anchor, o_custkey % 50 AS system, CASE o_orderkey % 40 WHEN 0 THEN 'blue ring' WHEN 1 THEN 'ring' ELSE 'method ' || o_orderkey END AS title, CASE WHEN o_orderkey % 5 <> 0 THEN 'f' || o_orderkey % 4 END AS family, ['t' || o_orderkey % 97, 'u' || o_orderkey % 89] AS terms, ['o' || o_orderkey % 3, o_orderstatus] AS ops, CASE WHEN o_orderkey % 50 = 0 THEN [o_orderkey % 2000] ELSE [] END AS hints, [o_orderkey % 2000] AS linked FROM orders),
+s AS (SELECT p_partkey AS span, p_size - 1 AS system, p_name AS title, 'f' || p_partkey % 4 AS family, ['t' || p_partkey % 97, 'u' || p_partkey % 89] AS terms, ['o' || p_partkey % 3, 'F'] AS ops FROM part),
+j AS (SELECT anchor, span, contains(a.title, s.title) OR contains(s.title, a.title) AS titled, coalesce(a.family = s.family, false) AS same, len(list_intersect(a.terms, s.terms)) AS nt, len(list_intersect(a.ops, s.ops)) AS no, list_contains(linked, span) AS link FROM a JOIN s USING (system) WHERE len(hints) = 0),
+k AS (SELECT *, 8 * same::INT + 10 * titled::INT + 4 * nt + 2 * no + 6 * link::INT AS score FROM j WHERE titled OR nt > 0 OR (same AND no > 0)),
+r AS (SELECT *, row_number() OVER w AS r, lead(score) OVER w AS nx, bool_or(titled) OVER (PARTITION BY anchor) AS any_t FROM k WINDOW w AS (PARTITION BY anchor ORDER BY score DESC, span)),
+f AS (SELECT anchor, unnest(hints) AS span, 100 AS score, 'manual' AS status FROM a UNION ALL SELECT anchor, span, score, 'inferred' FROM r WHERE titled OR (NOT any_t AND r = 1 AND same AND nt > 0 AND no > 0 AND score >= 16 AND (nx IS NULL OR score - nx >= 4)))
+SELECT anchor, span, score, status FROM f UNION ALL SELECT anchor, NULL, NULL, CASE WHEN anchor IN (SELECT anchor FROM r) THEN 'needs_review' ELSE 'no_candidate' END FROM a WHERE anchor NOT IN (SELECT anchor FROM f)""")
 def j8(t):
-    g = t("lineitem").groupBy(c("l_orderkey").alias("anchor"), c("l_partkey").alias("span")).agg(F.max("l_returnflag").alias("f"), F.max("l_linestatus").alias("s"), F.sum("l_quantity").alias("q"))
-    g = g.select("anchor", "span", (8 * (c("f") == "R").cast("int") + 10 * (c("s") == "F").cast("int") + c("q")).alias("score"))
-    return K.stable_lead(g, ["anchor"], "score", "span", 16, 4)
+    k = c("o_orderkey")
+    tag = lambda x, col, n: F.concat(F.lit(x), col % n)
+    title = F.when(k % 40 == 0, "blue ring").when(k % 40 == 1, "ring").otherwise(F.concat(F.lit("method "), k))
+    anchors = t("orders").select(k.alias("anchor"), (c("o_custkey") % 50).cast("int").alias("system"), title.alias("title"), F.when(k % 5 != 0, tag("f", k, 4)).alias("family"), F.array(tag("t", k, 97), tag("u", k, 89)).alias("terms"), F.array(tag("o", k, 3), "o_orderstatus").alias("ops"), F.when(k % 50 == 0, F.array(k % 2000)).otherwise(F.array().cast("array<bigint>")).alias("hints"), F.array(k % 2000).alias("linked"))
+    p = c("p_partkey")
+    spans = t("part").select(p.alias("span"), (c("p_size") - 1).cast("int").alias("system"), c("p_name").alias("title"), tag("f", p, 4).alias("family"), F.array(tag("t", p, 97), tag("u", p, 89)).alias("terms"), F.array(tag("o", p, 3), F.lit("F")).alias("ops"))
+    return J.source_alignment(anchors, spans)
 
 
 @query("j9_strongest_claim_for_term", """
@@ -127,13 +155,14 @@ def j9(t):
 
 
 @query("j10_constant_for_name", """
-WITH r AS (SELECT p_partkey AS ref_id, p_brand AS source, p_name AS name, p_partkey % 50 AS line FROM part WHERE p_partkey % 2 = 0), k AS (SELECT p_partkey AS const_id, p_brand AS source, p_name AS name, p_partkey % 50 AS line FROM part WHERE p_partkey % 2 = 1),
+WITH r AS (SELECT p_partkey AS ref_id, p_brand AS source, CASE WHEN p_partkey % 4 = 0 THEN 'old ' || p_name ELSE p_name END AS name, p_partkey % 50 AS line FROM part WHERE p_partkey % 2 = 0), k AS (SELECT p_partkey AS const_id, p_brand AS source, p_name AS name, p_partkey % 50 AS line FROM part WHERE p_partkey % 2 = 1),
 e AS (SELECT ref_id, const_id, 100 AS score FROM r JOIN k ON r.name = k.name),
 s AS (SELECT ref_id, const_id, 60 - least(abs(r.line - k.line), 40) + CASE WHEN r.line = k.line THEN 10 WHEN abs(r.line - k.line) <= 3 THEN 6 WHEN abs(r.line - k.line) <= 8 THEN 3 ELSE 0 END AS score FROM r JOIN k ON r.source = k.source AND string_split(r.name, ' ')[-1] = string_split(k.name, ' ')[-1] WHERE ref_id NOT IN (SELECT ref_id FROM e)),
 a AS (SELECT *, row_number() OVER (PARTITION BY ref_id ORDER BY score DESC, const_id) AS n FROM (SELECT * FROM e UNION ALL SELECT * FROM s WHERE score > 0)) SELECT ref_id, const_id, score FROM a WHERE n = 1""")
 def j10(t):
     p = t("part").select(c("p_partkey").alias("id"), c("p_brand").alias("source"), c("p_name").alias("name"), (c("p_partkey") % 50).alias("line"))
-    return J.constant_for_name(p.where("id % 2 = 0").withColumnRenamed("id", "ref_id"), p.where("id % 2 = 1").withColumnRenamed("id", "const_id"))
+    named = F.when(c("id") % 4 == 0, F.concat(F.lit("old "), "name")).otherwise(c("name"))
+    return J.constant_for_name(p.where("id % 2 = 0").withColumn("name", named).withColumnRenamed("id", "ref_id"), p.where("id % 2 = 1").withColumnRenamed("id", "const_id"))
 
 
 @query("j11_bilingual_number_pairs", """
@@ -167,9 +196,9 @@ def j13(t):
 
 
 @query("j14_anti_missing", """
-SELECT DISTINCT c_custkey AS key, 'only_left' AS side FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT DISTINCT o_custkey, 'only_right' FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)""")
+SELECT DISTINCT c_custkey + 3 AS key, 'only_left' AS side FROM customer WHERE c_custkey + 3 NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT DISTINCT o_custkey, 'only_right' FROM orders WHERE o_custkey NOT IN (SELECT c_custkey + 3 FROM customer)""")
 def j14(t):
-    return J.missing_both_ways(t("customer").select(c("c_custkey").alias("key")), t("orders").select(c("o_custkey").alias("key")), "key")
+    return J.missing_both_ways(t("customer").select((c("c_custkey") + 3).alias("key")), t("orders").select(c("o_custkey").alias("key")), "key")
 
 
 @query("j15_semi_existing", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
@@ -186,13 +215,16 @@ def j16(t):
     return J.producer_consumer(p)
 
 
-@query("j17_relocate_anchor")
+@query("j17_relocate_anchor", """
+WITH w AS (SELECT doc_id, text, unnest(list_distinct(regexp_extract_all(text, '[A-Z][a-z]{6,}'))) AS anchor FROM documents), p AS (SELECT *, string_split(text, anchor) AS parts FROM w)
+SELECT doc_id, anchor, len(parts)::INT - 1 AS n_places, CASE WHEN len(parts) = 2 THEN length(parts[1]) ELSE length(parts[1]) + length(anchor) + length(parts[2]) END::INT AS start, CASE WHEN len(parts) = 2 THEN 'unique' ELSE 'ordinal' END AS status FROM p"""
+)
 def j17(t):
-    """Words of twelve letters and more of each document, sought again in it; held to brute force in the tests."""
+    """Capital words of seven letters and more of each document, sought again in it; held to brute force in the tests."""
     d = t("documents").select("doc_id", "text")
-    words = d.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Z][a-z]{11,}"), F.lit(0)))).alias("anchor"))
+    words = d.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Z][a-z]{6,}"), F.lit(0)))).alias("anchor"))
     m = words.select(F.xxhash64("doc_id", "anchor").alias("mention_id"), "doc_id", "anchor", F.lit(2).alias("ordinal"))
-    return J.relocate_anchor(m, d)
+    return J.relocate_anchor(m, d).join(m.select("mention_id", "anchor"), "mention_id").select("doc_id", "anchor", "n_places", "start", "status")
 
 
 @query("j18_find_by_terms", """

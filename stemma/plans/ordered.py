@@ -203,10 +203,11 @@ def c16(t):
 
 
 @query("c19_atomic_segments", f"""
-WITH s AS ({SPANS_OF}), b AS (SELECT doc, s AS p, 1 AS d FROM s UNION ALL SELECT doc, e, -1 FROM s), g AS (SELECT doc, p, sum(d) AS d FROM b GROUP BY ALL),
-x AS (SELECT doc, p AS "start", lead(p) OVER w AS "end", sum(d) OVER w AS n_spans FROM g WINDOW w AS (PARTITION BY doc ORDER BY p)) SELECT doc, "start", "end", n_spans::BIGINT AS n_spans FROM x WHERE "end" IS NOT NULL""")
+WITH s AS (SELECT * FROM ({SPANS_OF}) WHERE e <= 300 AND s < e), b AS (SELECT doc, s AS p FROM s UNION SELECT doc, e FROM s UNION SELECT c_custkey, unnest([0, 300]) FROM customer),
+x AS (SELECT doc, p AS "start", lead(p) OVER (PARTITION BY doc ORDER BY p) AS "end" FROM b)
+SELECT x.doc, x."start", x."end", coalesce(list(s.id ORDER BY s.id) FILTER (WHERE s.id IS NOT NULL), []) AS spans FROM x LEFT JOIN s ON s.doc = x.doc AND s.s < x."end" AND s.e > x."start" WHERE x."end" IS NOT NULL GROUP BY ALL""")
 def c19(t):
-    return I.atomic_segments(order_spans(t), "doc")
+    return I.atomic_segments(t("customer").select(c("c_custkey").alias("doc"), F.lit(300).alias("length")), order_spans(t), "doc", "length")
 
 
 @query("c20_removed_text_accounting", f"""

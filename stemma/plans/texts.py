@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stemma.functions import numerals, text as T
+from stemma.operators import filters as P
 from stemma.plans.registry import query
 
 c = F.col
@@ -45,10 +46,11 @@ def f5(t):
 
 
 @query("f6_suffix_phrases", """
-WITH w AS (SELECT p_partkey, string_split(p_type, ' ') AS w FROM part), g AS (SELECT p_partkey, unnest(range(2, 7)) AS n, w FROM w), h AS (SELECT p_partkey, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM g WHERE len(w) >= n)
-SELECT phrase, count(*) AS n FROM (SELECT array_to_string(list_slice(w, i, i + n - 1), ' ') AS phrase, w[i + n - 1] AS last FROM h) WHERE last IN ('STEEL', 'TIN') GROUP BY phrase""")
+WITH w AS (SELECT p_partkey, string_split(p_name, ' ') || [p_type, p_brand] AS w FROM part), g AS (SELECT p_partkey, unnest(range(2, 7)) AS n, w FROM w), h AS (SELECT p_partkey, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM g WHERE len(w) >= n)
+SELECT phrase, count(*) AS n FROM (SELECT array_to_string(list_slice(w, i, i + n - 1), ' ') AS phrase, w[i + n - 1] AS last FROM h) WHERE last IN ('PROMO', 'ring') GROUP BY phrase""")
 def f6(t):
-    return t("part").select(F.explode(T.suffix_phrases(F.split("p_type", " "), ["STEEL", "TIN"])).alias("phrase")).groupBy("phrase").agg(F.count("*").alias("n"))
+    words = F.concat(F.split("p_name", " "), F.array("p_type", "p_brand"))
+    return t("part").select(F.explode(T.suffix_phrases(words, ["PROMO", "ring"])).alias("phrase")).groupBy("phrase").agg(F.count("*").alias("n"))
 
 
 @query("f7_split_sentences", "SELECT doc_id, len(list_filter(list_transform(regexp_split_to_array(text, '[.!?。！？\\n]+'), lambda x: trim(x)), lambda x: x <> ''))::INT AS sentences, len(list_filter(list_transform(regexp_split_to_array(text, '[.,;:!?。，；：！？\\n]+'), lambda x: trim(x)), lambda x: x <> ''))::INT AS clauses FROM documents")
@@ -56,21 +58,43 @@ def f7(t):
     return t("documents").select("doc_id", F.size(T.split_sentences("text")).alias("sentences"), F.size(T.split_clauses("text")).alias("clauses"))
 
 
-@query("f8_extract_numbers", "SELECT event_id, list_transform(regexp_extract_all(props, '[0-9]+'), lambda x: x::DECIMAL(38,0)) AS numbers FROM events")
+@query("f8_extract_numbers", "SELECT event_id, list_transform(regexp_extract_all(props, '[0-9]+'), lambda x: x::BIGINT) AS numbers FROM events")
 def f8(t):
-    return t("events").select("event_id", T.extract_numbers("props").alias("numbers"))
+    return t("events").select("event_id", T.extract_numbers("props").cast("array<bigint>").alias("numbers"))
 
 
-@query("f9_numerals")
-def f9(t):
-    """Written numerals from order keys, read back by the vectorised function; the tests hold the value to the key."""
+@query("f9_numerals", "SELECT o_orderkey, translate(o_orderkey::VARCHAR, '0123456789', '〇一二三四五六七八九') AS numeral, o_orderkey AS value FROM orders")
+def f9_numerals(t):
+    """Written numerals from order keys, read back by the vectorised function."""
     digits = "〇一二三四五六七八九"
     return t("orders").select("o_orderkey", F.translate(c("o_orderkey").cast("string"), "0123456789", digits).alias("numeral")).withColumn("value", numerals.numeral_value_udf("numeral"))
 
 
-@query("f10_template", "SELECT l_comment, count(*) AS n FROM (SELECT regexp_replace(regexp_replace(props, '[0-9]+', '[NUM]', 'g'), 'k', '[KEY]', 'g') AS l_comment FROM events) GROUP BY l_comment")
+@query("f9_extract_constants", """
+WITH d AS (SELECT o_orderkey, o_custkey % 300 AS source, 'const' || o_orderkey % 9 AS name, o_orderkey::VARCHAR AS v FROM orders), f AS (SELECT source, name, min(o_orderkey) AS span FROM d WHERE o_orderkey % 4 <> 3 AND o_orderkey % 5 <> 4 GROUP BY ALL)
+SELECT source, name, span, translate(span::VARCHAR, '0123456789', '〇一二三四五六七八九') AS numeral, span AS value FROM f""".replace("'const' || o_orderkey % 9", "'const ' || ['a', 'b', 'c', 'd', 'e', 'f', 'g', 'h', 'i'][1 + o_orderkey % 9]"))
+def f9(t):
+    """First constants of (source, name) in sentences that some order keys write out, and other sentences."""
+    k = c("o_orderkey")
+    numeral = F.translate(k.cast("string"), "0123456789", "〇一二三四五六七八九")
+    name = F.concat(F.lit("const "), F.get(F.array(*map(F.lit, "abcdefghi")), (k % 9).cast("int")))
+    text = F.when(k % 5 == 4, F.concat(name, F.lit("，"), numeral)).otherwise(F.concat(name, numeral, F.lit("。")))
+    spans = t("orders").select((c("o_custkey") % 300).alias("source"), k.alias("id"), F.when(k % 4 == 3, "other").otherwise("constant").alias("kind"), text.alias("text"))
+    return numerals.extract_constants(spans)
+
+
+@query("f9_numeral_values", """
+SELECT p_partkey, p_partkey * 10000 + p_size * 100 + p_partkey % 10 AS value FROM part""")
+def f9_values(t):
+    """Written numbers with units, read back."""
+    k, digit = c("p_partkey"), lambda x: F.translate(x.cast("string"), "0123456789", "〇一二三四五六七八九")
+    numeral = F.concat(F.when(k > 0, F.concat(digit(k), F.when(k % 2 == 0, "万").otherwise("萬"))).otherwise(""), digit(c("p_size")), F.lit("百"), digit(k % 10))
+    return t("part").select("p_partkey", numerals.numeral_value_udf(numeral).alias("value"))
+
+
+@query("f10_template", "SELECT l_comment, count(*) AS n FROM (SELECT regexp_replace(regexp_replace(event_type || ' ' || user_id || ' ' || props, '[0-9]+', '[NUM]', 'g'), 'k', '[KEY]', 'g') AS l_comment FROM events) GROUP BY l_comment")
 def f10(t):
-    return t("events").select(T.template("props", [("[KEY]", "k")]).alias("l_comment")).groupBy("l_comment").agg(F.count("*").alias("n"))
+    return t("events").select(T.template(F.concat_ws(" ", "event_type", "user_id", "props"), [("[KEY]", "k")]).alias("l_comment")).groupBy("l_comment").agg(F.count("*").alias("n"))
 
 
 @query("f11_specificity", "SELECT p_name, length(regexp_replace(p_name, '[^a-z]', '', 'g')) - 0.0 AS specificity FROM (SELECT DISTINCT p_name FROM part)")
@@ -96,10 +120,10 @@ def f13(t):
 
 
 @query("f14_ordered_subsequence", """
-WITH e AS (SELECT user_id, string_agg(CASE event_type WHEN 'view' THEN 'v' WHEN 'click' THEN 'c' WHEN 'purchase' THEN 'p' ELSE 'x' END, '' ORDER BY event_id) AS s FROM events GROUP BY user_id) SELECT user_id, s LIKE '%v%c%p%v%' AS found FROM e""")
+WITH e AS (SELECT user_id, event_id // 500 AS part, string_agg(CASE event_type WHEN 'view' THEN 'v' WHEN 'click' THEN 'c' WHEN 'purchase' THEN 'p' ELSE 'x' END, '' ORDER BY event_id) AS s FROM events GROUP BY ALL) SELECT user_id, part, s LIKE '%v%c%p%v%' AS found FROM e""")
 def f14(t):
     seq = F.transform(F.sort_array(F.collect_list(F.struct("event_id", "event_type"))), lambda s: s["event_type"])
-    return t("events").groupBy("user_id").agg(seq.alias("seq")).select("user_id", T.ordered_subsequence("seq", ["view", "click", "purchase", "view"]).alias("found"))
+    return t("events").groupBy("user_id", F.floor(c("event_id") / 500).alias("part")).agg(seq.alias("seq")).select("user_id", "part", T.ordered_subsequence("seq", ["view", "click", "purchase", "view"]).alias("found"))
 
 
 @query("f15_lcs_length")
@@ -108,6 +132,12 @@ def f15(t):
     return t("part").select("p_partkey", T.lcs_length(F.split(F.lower("p_type"), ""), F.split("p_name", "")).alias("lcs"))
 
 
+@query("f15_lcs_pairs")
+def f15_pairs(t):
+    """Places of a longest common subsequence of part name and type letters; tests hold it to the table's length."""
+    return t("part").select("p_partkey", T.lcs_pairs(F.split(F.lower("p_type"), ""), F.split("p_name", "")).alias("pairs"))
+
+
 @query("f16_clean_role", "SELECT DISTINCT p_type, regexp_replace(regexp_replace(lower(trim('the ' || p_type || '.')), '^(the|a|an) +', ''), '^[.,;:]+|[.,;:]+$', '', 'g') AS role FROM part")
 def f16(t):
     return t("part").select("p_type", T.clean_role(F.concat(F.lit("the "), "p_type", F.lit("."))).alias("role")).distinct()
@@ -116,10 +146,7 @@ def f16(t):
 @query("f17_lexicon_hits", """
 SELECT doc_id, term, instr(text, term) - 1 AS first FROM documents, (VALUES ('tion'), ('keit'), ('eau'), ('License')) l(term) WHERE contains(text, term)""")
 def f17(t):
-    d = t("documents")
-    terms = d.sparkSession.createDataFrame([("tion",), ("keit",), ("eau",), ("License",)], "term string")
-    j = d.join(F.broadcast(terms), F.contains("text", "term"))
-    return j.select("doc_id", "term", (F.expr("instr(text, term)") - 1).alias("first"))
+    return P.lexicon_hits(t("documents"), "doc_id", "text", ["tion", "keit", "eau", "License"])
 
 
 @query("f18_all_occurrences", """
@@ -159,7 +186,7 @@ def f24(t):
     return t("events").select("event_id", T.json_field("props", "$.k").cast("int").alias("k"))
 
 
-@query("f26_mark_refs")
+@query("f26_mark_refs", "SELECT p_partkey, regexp_replace(p_name || p_size % 9, '([A-Za-z])([0-9]+)$', '\\1[^\\2]') AS text FROM part")
 def f26(t):
     """Numbers after words in part names become references; compared to hand-made cases in the tests."""
     return t("part").select("p_partkey", T.mark_refs(F.concat("p_name", (c("p_size") % 9).cast("string")), F.array((c("p_size") % 9).cast("string"))).alias("text"))

@@ -33,7 +33,7 @@ def upsert_latest(table: str, key: str, order: list[str], ttl: str | None = None
     """For ``foreachBatch``: keep the latest row of every key in a Parquet folder, in versions.
 
     Batches write ``table/v=<batch id>`` from the version before and this batch, so a batch
-    that runs twice gives the same result. With ``ttl`` rows older than that before the
+    that runs twice gives the same result; versions before the last two are dropped. With ``ttl`` rows older than that before the
     newest row go."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -46,6 +46,8 @@ def upsert_latest(table: str, key: str, order: list[str], ttl: str | None = None
             newest = rows.agg(F.max("ts")).first()[0]
             rows = rows.where(F.col("ts") >= F.lit(newest) - F.expr(f"INTERVAL {ttl}"))
         rows.write.mode("overwrite").parquet(f"{table}/v={batch_id}")
+        old = spark._jvm.org.apache.hadoop.fs.Path(f"{table}/v={batch_id - 2}")
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     return write
 

@@ -20,6 +20,7 @@ def rows(df, *cols):
 def test_numerals(spark):
     cases = {"一": 1, "十": 10, "十二": 12, "三百六十五": 365, "二萬七千七百五十九": 27759, "一億": 100_000_000, "〇": 0, "四分": None, "": None, None: None}
     assert {k: numerals.numeral_value(k) for k in cases} == cases
+    assert {k: numerals.numeral_value(k) for k in ("两万三", "一亿二千万", "兩百零五", "十二萬", "20", "x", "")} == {"两万三": 20003, "一亿二千万": 120_000_000, "兩百零五": 205, "十二萬": 120_000, "20": 20, "x": None, "": None}
     df = spark.createDataFrame([(k,) for k in cases], "s string").withColumn("v", numerals.numeral_value_udf("s"))
     assert {r.s: r.v for r in df.collect()} == cases
 
@@ -75,8 +76,12 @@ def test_intervals_equal_brute_force(spark):
         chars = {c for d, _, s, e in a if d == x.doc for c in range(s, e)}
         gaps = sum(1 for i in range(600) if i not in chars and (i == 0 or i - 1 in chars))
         assert (x.covered, x.gaps) == (len(chars), gaps)
-    for x in intervals.atomic_segments(da, "doc").collect():
-        assert x.n_spans == sum(d == x.doc and s <= x.start and x.end <= e for d, _, s, e in a)
+    cut = intervals.atomic_segments(docs, da, "doc", "n", 32).collect()
+    for x in cut:
+        assert x.spans == sorted(i for d, i, s, e in a if d == x.doc and s <= x.start and x.end <= e)
+    for d in range(5):
+        mine = sorted((x.start, x.end) for x in cut if x.doc == d)
+        assert mine[0][0] == 0 and mine[-1][1] == 600 and all(p[1] == q[0] for p, q in itertools.pairwise(mine))
     kept = logs.resolve_spans(da.withColumn("priority", F.col("id") % 3), "doc").collect()
     for d in range(4):
         plain = logs.greedy_spans([(s, e, i % 3, i) for doc, i, s, e in a if doc == d])
@@ -187,11 +192,18 @@ def test_overlay(spark):
 def test_assignment_is_the_best_of_all_permutations(spark):
     r = random.Random(4)
     for _ in range(200):
-        p = [set(r.sample("abc", r.randint(0, 2))) for _ in range(r.randint(0, 4))]
-        e = [set(r.sample("abc", r.randint(0, 3))) for _ in range(r.randint(0, 4))]
-        slots = range(max(len(p), len(e)))
-        want = max(sum(j < len(e) and p[i] <= e[j] for i, j in enumerate(order[: len(p)])) for order in itertools.permutations(slots))
-        assert compare.best_assignment(p, e) == want
+        one = lambda: {"kind": r.choice("KL"), "ports": r.sample("abc", r.randint(0, 3)), "scope": r.choice(["x", "y", None])}
+        p, e = [one() for _ in range(r.randint(0, 4))], [one() for _ in range(r.randint(0, 5))]
+
+        def cost(chosen):
+            s = [compare.layer_scores(w, e[j]) for w, j in zip(p, chosen, strict=True)]
+            return sum(x[1] + x[2] for y in s for x in y.values()), -sum(x[0] for y in s for x in y.values())
+
+        got = compare.best_assignment(p, e)
+        if len(e) < len(p):
+            assert got is None
+        else:
+            assert len(set(got)) == len(p) and cost(got) == min(map(cost, itertools.permutations(range(len(e)), len(p))))
 
 
 def test_closure_is_idempotent_and_bears_cycles(spark):
@@ -273,11 +285,70 @@ def test_sections_and_notes():
         (0, "first"), (0, "continues"), (0, "continues"), (0, "continues"), (1, "procedure_after_mark"), (1, "continues"), (2, "source_after_translation"), (2, "continues"), (2, "continues"), (2, "continues"), (3, "heading"),
     ]
     assert extraction.sections_of(["translation", "mark"]) == [(0, "first"), (1, "mark_before_source")]
-    assert extraction.accepted_notes([2, 1, 5, 2, 2, 3]) == [False, True, False, True, False, True]
+
+
+def test_notes_go_on_to_the_end_of_the_page(spark):
+    pages = [[1, 1, 2], [5, 3, 4], [4], [2, 5, 6, 9], [5], [6, 8], [6, 7]]  # a digit in the body, then the notes of the page
+    rows_ = [(1, p, i, n) for p, page in enumerate(pages) for i, n in enumerate(page)] + [(2, 0, 0, 2), (2, 1, 0, 1)]
+    got = {(r.doc, r.page, r.pos): r.accepted for r in extraction.expected_suffix(spark.createDataFrame(rows_, "doc int, page int, pos int, number int"), "doc", "page", "pos", "number").collect()}
+    assert {k for k, v in got.items() if v} == {(1, 0, 1), (1, 0, 2), (1, 1, 1), (1, 1, 2), (1, 4, 0), (1, 6, 0), (1, 6, 1), (2, 1, 0)} and len(got) == len(rows_)
+
+
+def test_chains_run_to_their_end(spark):
+    n = 260
+    edges = spark.createDataFrame([(i + 1, i) for i in range(n)] + [(1000, 999)], "child int, parent int")
+    nodes = spark.createDataFrame([(i, i > 0) for i in range(n + 1)] + [(1000, True), (2000, True)], "id int, active boolean")
+    got = dict(rows(graphs.propagate_inactive(nodes, edges), "id", "status"))
+    assert got[0] == "inactive" and got[2000] == "active" and all(got[i] == "needs_revalidation" for i in [*range(1, n + 1), 1000])
+    back = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(7, 5), (3, 1)], "child int, parent int")
+    assert rows(graphs.on_cycles(back), "node") == [(1,), (2,), (3,), (5,), (6,), (7,)]
 
 
 def test_facts_block_conflicts_and_ground_no_cycle(spark):
     a = spark.createDataFrame([("a", "k", "1", True), ("x", "k", "9", False), ("c", "k", "2", True)], "target string, facet string, value string, reviewed boolean")
     rules = spark.createDataFrame([("a", "k", "b", "k"), ("b", "k", "d", "k"), ("x", "k", "y", "k"), ("y", "k", "x", "k"), ("d", "k", "c", "k")], "target string, facet string, to_target string, to_facet string")
     got = {(r.target, r.value): (r.status, r.depth) for r in extraction.derive_facts(a, rules).collect()}
+    long = spark.createDataFrame([(str(i), "k", str(i + 1), "k") for i in range(25)], "target string, facet string, to_target string, to_facet string")
+    far = extraction.derive_facts(spark.createDataFrame([("0", "k", "v", True)], "target string, facet string, value string, reviewed boolean"), long)
+    assert far.count() == 26 and far.agg(F.max("depth")).first()[0] == 25
     assert got == {("a", "1"): ("grounded", 0), ("b", "1"): ("grounded", 1), ("d", "1"): ("grounded", 2), ("c", "1"): ("conflict", None), ("c", "2"): ("conflict", None), ("x", "9"): ("ungrounded", None), ("y", "9"): ("ungrounded", None)}
+
+
+def test_facts_of_two_premises_and_rejections(spark):
+    a = spark.createDataFrame([("a", "k", "1", "x", True), ("b", "k", "1", "x", True), ("c", "k", "1", "y", True), ("q", "k", "7", "x", True)], "target string, facet string, value string, authority string, reviewed boolean")
+    rules = spark.createDataFrame([("r1", "a", "k", "d", "k"), ("r1", "b", "k", "d", "k"), ("r2", "a", "k", "e", "k"), ("r2", "c", "k", "e", "k"), ("r3", "q", "k", "z", "k"), ("r4", "d", "k", "f", "k"), ("r5", "a", "k", "f", "k")], "rule string, target string, facet string, to_target string, to_facet string")
+    no = spark.createDataFrame([("q", "k", "7")], "target string, facet string, value string")
+    got = {(r.target, r.value): (r.status, r.depth, r.n_proofs) for r in extraction.derive_facts(a, rules, no).collect()}
+    assert got[("d", "1")] == ("grounded", 1, 1) and ("e", "1") not in got  # premises of two authorities do not meet
+    assert got[("q", "7")] == ("rejected", None, 0) and got[("z", "7")] == ("ungrounded", None, 0) and got[("f", "1")] == ("grounded", 1, 2)
+
+
+def test_overlay_splits_relates_and_rejects(spark):
+    units = spark.createDataFrame([(1, 10, 0, "abcdef", "t", "r0"), (1, 11, 1, "gh", "t", "r1"), (1, 12, 2, "ij", "u", "r2")], "doc int, id int, pos int, text string, type string, relations string")
+    ops = spark.createDataFrame([(1, 10, 1, "split", "4,2"), (1, 11, 2, "merge", None), (1, 12, 3, "set_relations", "new"), (1, 99, 4, "set_type", "x"), (1, 11, 5, "split", "2"), (1, 10, 6, "merge", None), (1, 10, 7, "replace_text", "z"), (1, 12, 8, "split", "1,1")], "doc int, target int, seq int, op string, value string")
+    assert rows(logs.apply_overlay(units, ops), "id", "part", "text", "relations", "n") == [(10, 0, "ab", None, 1), (10, 1, "cd", None, 1), (10, 2, "efgh", None, 2), (12, 0, "ij", "new", 1)]
+    assert rows(logs.overlay_rejections(units, ops), "seq", "reason") == [(4, "target_not_found"), (5, "invalid_split_boundaries"), (6, "merge_requires_adjacent_units"), (7, "unsupported_op"), (8, "invalid_split_boundaries")]
+
+
+def test_names_bind_along_steps(spark):
+    ref = spark.createDataFrame([(1, 1, 0, 50, "r", None, "x"), (2, 1, 100, 150, "r", "x", "y"), (3, 1, 200, 250, "r", "y", None), (4, 1, 300, 350, "r", "nobody", None), (5, 1, 400, 450, "r", "x", None)], "ref int, doc int, start int, end int, role string, uses string, gives string")
+    events = spark.createDataFrame([(10, 1, 5, 10, "r", None, "v1"), (20, 1, 105, 110, "r", "v1", "v2"), (21, 1, 111, 120, "r", "v9", "v3"), (30, 1, 205, 210, "r", "v3", None), (50, 1, 405, 410, "r", "v1", None), (51, 1, 411, 420, "r", "v1", None)], "event int, doc int, start int, end int, role string, reads string, writes string")
+    assert rows(compare.reference_match(ref, events), "ref", "status", "event") == [(1, "match", 10), (2, "match", 20), (3, "mismatch", None), (4, "dependency_unavailable", None), (5, "ambiguous", None)]
+
+
+def test_unmatched_buckets_and_weak_pairs(spark):
+    side = "chunk int, pos int, template string"
+    left = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 1, "a"), (3, 1, "a"), (3, 2, "b"), (3, 3, "c")], side)
+    right = spark.createDataFrame([(1, 1, "x"), (1, 2, "y"), (2, 1, "x"), (2, 2, "y"), (2, 3, "z"), (3, 1, "x"), (3, 2, "y")], side)
+    presets = spark.createDataFrame([("b", "x")], "left string, right string")
+    got = rows(compare.pair_clauses(left, right, presets, 4), "chunk", "left", "right", "strength")
+    assert got == [(1, "a", "x", "ordinal"), (1, "a", "y", "cooccurrence"), (1, "b", "x", "preset"), (1, "b", "y", "ordinal"), (2, "a", "x", "one_to_many"), (2, "a", "y", "one_to_many"), (2, "a", "z", "one_to_many"), (3, "a", "x", "near"), (3, "b", "x", "preset"), (3, "b", "y", "near")]
+
+
+def test_subsequence_pairs(spark):
+    r = random.Random(8)
+    data = [([r.choice("abc") for _ in range(r.randint(0, 9))], [r.choice("abc") for _ in range(r.randint(0, 9))]) for _ in range(60)]
+    df = spark.createDataFrame(data, "a array<string>, b array<string>")
+    for x in df.select("a", "b", T.lcs_length("a", "b").alias("n"), T.lcs_pairs("a", "b").alias("p")).collect():
+        assert x.n == len(x.p) == lcs(x.a, x.b) and all(x.a[q.left] == x.b[q.right] for q in x.p)
+        assert all(p.left < q.left and p.right < q.right for p, q in itertools.pairwise(x.p))
