@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stemma.operators.intervals import overlapping
-from stemma.sources.tables import materialize
+from stemma.sources.tables import drop, materialize
 
 #: Hops that one round of a propagation takes, and rounds of peeling before a closure.
 HOPS, PEEL_ROUNDS = 8, 8
@@ -25,7 +25,8 @@ def closure(edges: DataFrame) -> DataFrame:
         chain = lambda a, b: a.alias("a").join(b.alias("b"), F.col("a.ancestor") == F.col("b.node")).select("a.node", "b.ancestor")
         step = chain(new, found).union(chain(found, new)).distinct()
         new = materialize(step.join(found, ["node", "ancestor"], "left_anti"), "closure")
-        found = materialize(found.union(new), "closure")
+        old, found = found, materialize(found.union(new), "closure")
+        drop(old)
     return found
 
 
@@ -67,7 +68,8 @@ def propagate_inactive(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         frontier = materialize(new, "fallen")
         if frontier.isEmpty():
             break
-        seen = materialize(seen.union(frontier), "seen")
+        old, seen = seen, materialize(seen.union(frontier), "seen")
+        drop(old)
     f = seen.select(F.col("id").alias("fallen_id"))
     status = F.when(~F.col("active"), "inactive").when(F.col("fallen_id").isNotNull(), "needs_revalidation").otherwise("active")
     return known.join(f, F.col("id") == F.col("fallen_id"), "left").select("id", status.alias("status"))

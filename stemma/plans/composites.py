@@ -28,12 +28,30 @@ WITH f AS (SELECT p_partkey AS id, p_type AS te, p_size AS ch, p_brand AS ro, p_
 p AS (SELECT a.id AS a, b.id AS b, a.ch = b.ch AS sc, a.ro = b.ro AS sr, a.tg = b.tg AS st, a.te = b.te AS se, a.wo[1] = b.wo[1] AS w1, a.wo[2] = b.wo[2] AS w2, len(list_intersect(a.wo, b.wo)) AS wm, len(list_distinct(a.wo || b.wo)) AS wp FROM f a JOIN f b ON a.id < b.id AND (a.ch = b.ch OR a.ro = b.ro OR a.tg = b.tg OR list_has_any(a.wo, b.wo))),
 x AS (SELECT *, greatest(w1::INT + w2::INT) / 2 AS r1, wm / wp AS r5 FROM p),
 y AS (SELECT *, round(r1 * 0.24, 3) AS operation, CASE WHEN sc THEN 0.2 ELSE 0 END AS quantity, CASE WHEN sr AND r1 > 0 THEN 0.18 ELSE 0 END AS parameter, CASE WHEN st THEN 0.18 ELSE 0 END AS target, CASE WHEN se THEN 0.08 ELSE 0 END AS wording, round(r5 * 0.12, 3) AS terms FROM x),
-z AS (SELECT *, round(operation + quantity + parameter + target + wording + terms, 3) AS score, (r1 >= 0.34)::INT + sc::INT + (sr AND r1 > 0)::INT + st::INT + se::INT + (r5 >= 0.34)::INT AS high FROM y)
+z AS (SELECT *, round(operation + quantity + parameter + target + wording + terms, 3) AS score, (r1 >= 0.34)::INT + sc::INT + (sr AND r1 > 0)::INT + st::INT AS high FROM y)
 SELECT a, b, operation, quantity, parameter, target, wording, terms, score, CASE WHEN score >= 0.7 AND high >= 2 AND (sc OR st) THEN 'strong' ELSE 'partial' END AS verdict FROM z WHERE score >= 0.4""")
 def c1(t):
     return C.compare_items(features(t))
 
 
+#: Numbers of values of the families.
+_N = {"motifs": 61, "channels": 53, "targets": 47, "constants": 31, "terms": 43, "outputs": 37, "patterns": 29}
+
+
+@query("c2_compare_items_legacy", f"""
+WITH f AS (SELECT p_partkey AS id, string_split(p_name, ' ') AS ops FROM part),
+t AS ({" UNION ALL ".join(f"SELECT p_partkey AS id, '{name}' AS family, {i} AS kind, x FROM (SELECT p_partkey, unnest([p_partkey % {n}, p_partkey // 7 % {n}]) AS x FROM part) GROUP BY ALL" for i, (name, n) in enumerate(_N.items()))}),
+w AS (SELECT * FROM (VALUES ('motifs', 0.13, 0.26), ('channels', 0.06, 0.18), ('targets', 0.12, 0.18), ('constants', 0.04, 0.10), ('terms', 0.03, 0.12), ('outputs', 0.05, 0.10), ('patterns', 0.035, 0.12)) w(family, one, most)),
+p AS (SELECT a.id AS a, b.id AS b, family, count(*) AS n FROM t a JOIN t b USING (family, x) WHERE a.id < b.id GROUP BY ALL),
+s AS (SELECT a, b, sum(least(most, n * one)) AS s, count(*) AS n_families FROM p JOIN w USING (family) GROUP BY a, b HAVING count(*) >= 2),
+z AS (SELECT a, b, round(least(1.0, (CASE WHEN x.ops = y.ops THEN 0.14 ELSE 0 END + s)::DOUBLE), 3) AS score, n_families FROM s JOIN f x ON x.id = a JOIN f y ON y.id = b)
+SELECT a, b, score, n_families, CASE WHEN score >= 0.46 THEN 'strong' ELSE 'partial' END AS verdict FROM z WHERE score >= 0.3""")
+def c2(t):
+    k = c("p_partkey")
+    arrays = [F.array_distinct(F.array(k % n, F.floor(k / 7) % n)).cast("array<string>").alias(name) for name, n in _N.items()]
+    return C.compare_items_legacy(t("part").select(k.alias("id"), F.split("p_name", " ").alias("ops"), *arrays))
+
+
 @query("c3_differences", """
 WITH f AS (SELECT p_partkey AS id, string_split(p_name, ' ') AS ops, p_brand AS ro, p_brand || p_size AS k FROM part)
 SELECT a.id AS a, b.id AS b, list_sort(list_distinct(list_filter(a.ops, lambda x: NOT list_contains(b.ops, x)))) AS a_only, list_sort(list_distinct(list_filter(b.ops, lambda x: NOT list_contains(a.ops, x)))) AS b_only, CASE WHEN a.ro <> b.ro THEN [a.ro] ELSE [] END AS a_roles_only FROM f a JOIN f b USING (k) WHERE a.id < b.id""")
@@ -227,9 +245,12 @@ def c17(t):
     return G.graph_audit(ev, ports, vals, required)
 
 
-@query("c18_resolve_spans")
+@query("c18_resolve_spans", """
+WITH RECURSIVE o AS (SELECT o_custkey AS doc, o_orderkey AS id, o_orderkey % 300 AS s, o_orderkey % 300 + 5 + o_orderkey % 40 AS e, o_orderkey % 3 AS p FROM orders), s AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY p DESC, s - e, s, id) AS k FROM o WHERE s < e),
+g AS (SELECT doc, 0::BIGINT AS k, []::STRUCT(s BIGINT, e BIGINT, p BIGINT, id BIGINT)[] AS t FROM (SELECT DISTINCT doc FROM s) UNION ALL SELECT g.doc, s.k, CASE WHEN len(list_filter(g.t, lambda x: x.s < s.e AND s.s < x.e)) = 0 THEN list_append(g.t, {'s': s.s, 'e': s.e, 'p': s.p, 'id': s.id}) ELSE g.t END FROM g JOIN s ON s.doc = g.doc AND s.k = g.k + 1)
+SELECT doc, x.s AS "start", x.e AS "end", x.p AS priority, x.id AS id FROM (SELECT doc, unnest(t) AS x FROM (SELECT doc, arg_max(t, k) AS t FROM g GROUP BY doc))""")
 def c18(t):
-    """Greedy non-overlapping spans per customer; tests hold it to a plain loop."""
+    """Greedy non-overlapping spans per customer."""
     from stemma.plans.ordered import order_spans
 
     return L.resolve_spans(order_spans(t).withColumn("priority", c("id") % 3), "doc")
@@ -383,9 +404,13 @@ def r7(t):
     return L.effective_state(L.replay_decisions(*decision_log(t)))
 
 
-@query("w11_active_history")
+@query("w11_active_history", """
+WITH RECURSIVE s AS (SELECT user_id, event_id AS id, CASE WHEN event_type = 'error' THEN event_id - 1 - event_id % 3 END AS rv, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events),
+g AS (SELECT DISTINCT user_id, 0::BIGINT AS k, []::BIGINT[] AS undone, NULL::BIGINT AS id, NULL::BOOLEAN AS stands FROM s
+  UNION ALL SELECT g.user_id, s.k, CASE WHEN NOT list_contains(undone, s.id) AND rv IS NOT NULL THEN list_append(undone, rv) ELSE undone END, s.id, NOT list_contains(undone, s.id) FROM g JOIN s ON s.user_id = g.user_id AND s.k = g.k + 1)
+SELECT user_id, id, stands FROM g WHERE k > 0""")
 def w11(t):
-    """Which entries of each user's history stand, undos of undos included; tests hold it to a loop."""
+    """Which entries of each user's history stand, undos of undos included."""
     return L.active_history(t("events").select("user_id", c("event_id").alias("id"), F.when(c("event_type") == "error", c("event_id") - 1 - c("event_id") % 3).alias("reverts")), "user_id")
 
 
@@ -452,9 +477,13 @@ def s8(t):
     return S.merge_cached(cached, d.select("doc_id", (c("n_chars") + 1).alias("value")), "doc_id", 8, 700, 1000)
 
 
-@query("s10_pages_to_groups")
+@query("s10_pages_to_groups", r"""
+WITH r AS (SELECT page_id, unnest(tags) AS tag, generate_subscripts(tags, 1) - 1 AS pos FROM (SELECT page_id, regexp_extract_all(html, '(?s)<(?:h[1-3]|a)[^>]*>.*?</') AS tags FROM pages)),
+s AS (SELECT page_id, pos::INT AS pos, regexp_matches(tag, '^<h') AS is_parent, trim(regexp_replace(regexp_replace(tag, '</$', ''), '(?s)<[^>]*>', '', 'g'), ' ') AS label, regexp_extract(tag, 'href="([^"]*)"', 1) AS url FROM r),
+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY page_id, label, url ORDER BY pos) AS n FROM s WHERE label <> '') WHERE n = 1)
+SELECT page_id, pos, is_parent, label, url, CASE WHEN NOT is_parent THEN last_value(CASE WHEN is_parent THEN label END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS parent FROM f""")
 def s10(t):
-    """Headings and links of every page as groups; the tests use hand-made pages."""
+    """Headings and links of every page as groups."""
     return S.pages_to_groups(t("pages"))
 
 

@@ -89,17 +89,29 @@ def r10(t):
     return out.withColumn("status", F.when(c("status").isin("grounded", "ungrounded"), "open").otherwise(c("status"))).drop("depth")
 
 
-@query("r10_grounding")
+@query("r10_grounding", """
+WITH RECURSIVE n AS (SELECT c_custkey AS k FROM customer), r AS (SELECT k AS target, k // 2 AS to_target FROM n WHERE k > 1 AND k % 7 <> 0), a AS (SELECT c_custkey AS target, c_mktsegment AS value, c_custkey % 3 = 0 AS reviewed FROM customer WHERE c_custkey % 5 = 0),
+f AS (SELECT target, value FROM a UNION SELECT r.to_target, f.value FROM f JOIN r USING (target)), b AS (SELECT target, min(value) <> max(value) AS blocked FROM f GROUP BY target),
+u AS (SELECT f.target, f.value FROM f JOIN b USING (target) WHERE NOT blocked), g AS (SELECT target, value, 0 AS depth FROM a SEMI JOIN u USING (target, value) WHERE reviewed UNION SELECT r.to_target, g.value, depth + 1 FROM g JOIN r USING (target) JOIN u ON u.target = r.to_target AND u.value = g.value),
+q AS (SELECT r.to_target AS target, u.value, count(*) AS n FROM u JOIN r USING (target) GROUP BY ALL)
+SELECT f.target, 'kind' AS facet, f.value, 'a' AS authority, CASE WHEN blocked THEN 'conflict' WHEN d.depth IS NULL THEN 'ungrounded' ELSE 'grounded' END AS status, d.depth, coalesce(q.n, 0) AS n_proofs
+FROM f JOIN b USING (target) LEFT JOIN (SELECT target, value, min(depth) AS depth FROM g GROUP BY ALL) d ON d.target = f.target AND d.value = f.value LEFT JOIN q ON q.target = f.target AND q.value = f.value""")
 def r10_grounding(t):
-    """Grounded facts with the least depth of their proofs; tests hold them to a loop."""
+    """Grounded facts with the least depth of their proofs."""
     k, cust = c("c_custkey"), t("customer")
     rules = cust.where("c_custkey > 1 AND c_custkey % 7 != 0").select(k.alias("rule"), k.alias("target"), F.lit("kind").alias("facet"), F.floor(k / 2).alias("to_target"), F.lit("kind").alias("to_facet"))
     return E.derive_facts(cust.where("c_custkey % 5 = 0").select(k.alias("target"), F.lit("kind").alias("facet"), c("c_mktsegment").alias("value"), F.lit("a").alias("authority"), (k % 3 == 0).alias("reviewed")), rules)
 
 
-@query("w8_sectionize")
+@query("w8_sectionize", """
+WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS content, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents),
+k AS (SELECT doc_id, line::INT AS line, CASE WHEN length(content) < 40 THEN 'heading' WHEN length(content) % 5 = 0 THEN 'mark' WHEN length(content) % 5 = 1 THEN 'procedure' WHEN length(content) % 2 = 0 THEN 'source' ELSE 'translation' END AS kind FROM l),
+g AS (SELECT doc_id, line, kind, (kind = 'heading')::BIGINT AS part, 0 AS section, 'first' AS why, kind = 'source' AS s, kind IN ('translation', 'mark') AS t, kind = 'mark' AS m FROM k WHERE line = 0
+  UNION ALL SELECT doc_id, line, kind, part + (kind = 'heading')::INT, CASE WHEN kind = 'heading' THEN 0 WHEN why <> 'continues' THEN section + 1 ELSE section END, why, kind = 'source' OR (why = 'continues' AND s), kind IN ('translation', 'mark') OR (why = 'continues' AND t), kind = 'mark' OR (why = 'continues' AND m)
+  FROM (SELECT k.doc_id, k.line, k.kind, part, section, s, t, m, CASE WHEN k.kind = 'heading' THEN 'first' WHEN k.kind = 'source' AND t THEN 'source_after_translation' WHEN k.kind = 'mark' AND t AND NOT s THEN 'mark_before_source' WHEN k.kind = 'procedure' AND t AND m THEN 'procedure_after_mark' ELSE 'continues' END AS why FROM g JOIN k ON k.doc_id = g.doc_id AND k.line = g.line + 1))
+SELECT doc_id, line, kind, part, section, why FROM g""")
 def w8(t):
-    """Lines of every document by kind, in groups; the automaton is tested alone."""
+    """Lines of every document by kind, in groups."""
     lines = t("documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "content"))
     n = F.length("content")
     kind = F.when(n < 40, "heading").when(n % 5 == 0, "mark").when(n % 5 == 1, "procedure").when(n % 2 == 0, "source").otherwise("translation")

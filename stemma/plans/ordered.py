@@ -138,9 +138,15 @@ def d3(t):
     return t("orders").select("o_orderkey", D.canonical_hash("o_orderkey", "o_custkey", "o_orderstatus").alias("hash"))
 
 
-@query("d4_partition_diff")
+@query("d4_partition_diff", """
+WITH i AS (SELECT l_orderkey AS doc, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice) AS pos, floor(l_quantity)::BIGINT AS length, l_returnflag AS type FROM lineitem),
+f AS (SELECT doc, CASE WHEN pos % 4 = 1 THEN pos - 1 ELSE pos END AS pos, sum(length)::BIGINT AS length, min(type) AS type FROM i GROUP BY ALL),
+b AS (SELECT doc, sum(length) OVER (PARTITION BY doc ORDER BY pos) AS pt, type, 'base' AS side FROM i), g AS (SELECT doc, sum(length) OVER (PARTITION BY doc ORDER BY pos) AS pt, type, 'final' AS side FROM f),
+m AS (SELECT doc, pt FROM b JOIN g USING (doc, pt)), e AS (SELECT x.doc, x.pt, x.type, x.side, count(m.pt) AS region FROM (SELECT * FROM b UNION ALL SELECT * FROM g) x LEFT JOIN m ON m.doc = x.doc AND m.pt < x.pt GROUP BY ALL),
+r AS (SELECT doc, region, count(*) FILTER (WHERE side = 'base') AS n_base, count(*) FILTER (WHERE side = 'final') AS n_final, max(type) FILTER (WHERE side = 'base') AS tb, max(type) FILTER (WHERE side = 'final') AS tf FROM e GROUP BY ALL),
+z AS (SELECT doc, region, n_base, n_final, CASE WHEN n_base = 1 AND n_final = 1 THEN CASE WHEN tb <> tf THEN 'set_type' END WHEN n_base > n_final THEN 'merge' WHEN n_base < n_final THEN 'split' ELSE 'resegment' END AS op FROM r) SELECT * FROM z WHERE op IS NOT NULL""")
 def d4(t):
-    """Orders as texts, cut by lines and by lines with every fourth boundary dropped; tested by hand-made cases."""
+    """Orders as texts, cut by lines and by lines with every fourth boundary dropped."""
     from pyspark.sql import Window
 
     i = t("lineitem").select(c("l_orderkey").alias("doc"), F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_extendedprice")).alias("pos"), F.floor("l_quantity").alias("length"), c("l_returnflag").alias("type"))

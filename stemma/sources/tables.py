@@ -32,7 +32,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back."""
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.shared_path = path
+    return back
+
+
+def drop(df: DataFrame) -> None:
+    """Delete a table written by ``materialize`` that nothing reads any more."""
+    p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.shared_path)
+    p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def read_records(spark: SparkSession, path: str, record_path: str) -> DataFrame:
