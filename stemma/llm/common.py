@@ -4,6 +4,7 @@ cut lineage, connected components, and small numpy kernels used inside tasks."""
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 
 import numpy as np
@@ -51,8 +52,24 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
-#: Folders made by this process, oldest first; ``drop_folders`` removes those no longer read.
-MADE: list[str] = []
+class Folders(threading.local):
+    """Folders made by this thread, oldest first; runs in other threads have their own."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+    def __iter__(self):
+        return iter(self.paths)
+
+    def append(self, path: str) -> None:
+        self.paths.append(path)
+
+    def remove(self, path: str) -> None:
+        self.paths.remove(path)
+
+
+#: ``drop_folders`` removes those no longer read.
+MADE = Folders()
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -54,9 +54,9 @@ LEAF_POINTS, LEAF_BYTES = 128, 1_500_000
 #: Columns of the matrices in which two leaves are compared.
 WIDE = 8_192
 #: Cluster members up to this many (three numbers each) are broadcast to fetch their texts.
-BROADCAST_MEMBERS = 500_000
-#: Shared keys up to this many (two numbers each) are broadcast to find the sets that have them.
-BROADCAST_KEYS = 2_000_000
+BROADCAST_MEMBERS = 300_000
+#: Places of the filter that keeps keys which no other set has from a second shuffle.
+FILTER_BITS = 26
 
 SETS = "doc_id long, text_key long, n_shingles long, node long, keys array<long>"
 MEMBERS = "cluster long, node long, copies long, n long, point array<int>, shingles binary"
@@ -263,6 +263,13 @@ def compare_leaves(a, b, same: bool, levels: Levels):
     rows, cols = np.flatnonzero(ok.any(axis=1)), np.flatnonzero(ok.any(axis=0))
     if not len(rows):
         return rows, cols
+    if same:
+        vocabulary, code = np.unique(sa, return_inverse=True)
+        if len(vocabulary) <= WIDE:
+            x = np.zeros((len(na), len(vocabulary)), np.float32)
+            x[np.repeat(np.arange(len(na)), na), code] = 1
+            shared = (x @ x.T).astype(np.int64)
+            return np.nonzero(ok & (100 * shared >= levels.percent * (np.add.outer(na, nb) - shared)))
     # shingles of the sets still in question, as 0 and 1 in a matrix over those that both sides have
     fa, fb = np.isin(np.repeat(np.arange(len(na)), na), rows), np.isin(np.repeat(np.arange(len(nb)), nb), cols)
     both = np.intersect1d(sa[fa], sb[fb])
@@ -351,12 +358,45 @@ def leaf_pairs(leaves: DataFrame, percent: int) -> DataFrame:
     return both.select(F.col("a.leaf").alias("leaf_a"), F.col("b.leaf").alias("leaf_b"))
 
 
-def route(keys: DataFrame) -> DataFrame:
-    """Clusters (node, cluster) of the nodes that share a key, from rows (node, key).
+def key_filter(keys: DataFrame) -> np.ndarray:
+    """Bits of FILTER_BITS places that the keys (key) fall on, gathered as words: of one size however many keys."""
+    place = f"(key & {(1 << FILTER_BITS) - 1})"
+    words = keys.select(F.expr(f"shiftright({place}, 6)").alias("word"), F.expr(f"shiftleft(1L, cast({place} & 63 AS int))").alias("bit"))
+    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    out[np.asarray(found.column(0))] = np.asarray(found.column(1))
+    return out.view(np.uint64)
+
+
+def _passing(bits: np.ndarray):
+    def run(batches):
+        begin_task("keys")
+        for batch in batches:
+            lists = batch.column(1)
+            key = lists.flatten().to_numpy(zero_copy_only=False)
+            node = np.repeat(np.asarray(batch.column(0)), np.asarray(lists.value_lengths()))
+            place = key.view(np.uint64) & np.uint64((1 << FILTER_BITS) - 1)
+            ok = (bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+            yield pa.RecordBatch.from_arrays([pa.array(node[ok]), pa.array(key[ok])], names=["node", "key"])
+
+    return run
 
-    Few keys are shared, so they are broadcast up to BROADCAST_KEYS, and the rows stay where they are."""
-    cells = materialize(keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key", "low"), "cells")
-    routes = keys.join(F.broadcast(cells) if cells.count() <= BROADCAST_KEYS else cells, "key").where("node != low").select(F.col("low").alias("src"), F.col("node").alias("dst")).distinct()
+
+def rows_with(sets: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows (node, key) of sets (node, list of keys) that ``keys`` may hold: those it holds, and a few more.
+
+    A filter of fixed size goes to the tasks, so most keys are never shuffled again."""
+    return materialize(sets.mapInArrow(_passing(key_filter(keys)), "node long, key long"), "met-keys")
+
+
+def shared_cells(keys: DataFrame) -> DataFrame:
+    """(key, low) of the keys that several nodes have, from rows (node, key); low is the least of them."""
+    return keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key", "low")
+
+
+def route(keys: DataFrame) -> DataFrame:
+    """Clusters (node, cluster) of the nodes that share a key, from rows (node, key)."""
+    routes = keys.join(shared_cells(keys), "key").where("node != low").select(F.col("low").alias("src"), F.col("node").alias("dst")).distinct()
     return connected_components(routes).select("node", F.col("component").alias("cluster"))
 
 
@@ -406,7 +446,8 @@ def _classes(docs: DataFrame, k: int, percent: int) -> DataFrame:
     filled = sets.where("node IS NOT NULL")
     nodes = materialize(filled.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("text_key").alias("text_key"), F.count("*").alias("copies")), "nodes")
 
-    clusters = route(sets.select("node", F.explode("keys").alias("key")))
+    cells = materialize(shared_cells(sets.select("node", F.explode("keys").alias("key"))).select("key"), "cells")
+    clusters = route(rows_with(filled.select("node", "keys"), cells))
 
     inside = clusters.join(nodes, "node").select("cluster", "node", "copies", "text_key")
     picks = filled.select("node", "text_key", "doc_id").join(inside, ["node", "text_key"]).groupBy("cluster", "node", "copies", "text_key").agg(F.min("doc_id").alias("pick"))

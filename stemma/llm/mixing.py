@@ -55,7 +55,7 @@ def source_targets(docs: DataFrame, weights=(5, 2, 1), budget: float = 1.5, max_
 
 def _uniform(seed: str, key):
     """A number in [0, 1) from the first 32 bits of md5(seed:key)."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit(""))))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), key))
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
@@ -76,7 +76,8 @@ def mixing_plan(docs: DataFrame, weights=(5, 2, 1), budget: float = 1.5, max_rep
         dealt = docs.withColumn("_deal", F.pmod(F.xxhash64("doc_id", "size"), F.lit(SALTS)).cast("int"))
         joined = dealt.join(salted, same & (F.col("_deal") == F.col("_salt"))).drop("_salt", "_deal")
     whole = F.floor("rate")
-    extra = (_uniform(seed, F.col("doc_id")) < F.col("rate") - whole).cast("long")
+    # rows without an id are told apart by their texts
+    extra = (_uniform(seed, F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit(""))))) < F.col("rate") - whole).cast("long")
     return joined.drop("_source").withColumn("copies", (whole + extra).cast("long"))
 
 
@@ -109,7 +110,7 @@ levelled AS (SELECT source, source_size, cap, weight,
 rates AS (SELECT source, source_size, least(cap, level * weight) AS target,
                  CASE WHEN source_size > 0 THEN least(cap, level * weight) / source_size ELSE 0.0 END AS rate FROM levelled),
 planned AS (SELECT s.doc_id, s.text, s.source, s.size, r.source_size, r.target, r.rate,
-                   (floor(r.rate) + (('0x' || substr(md5('mix:' || coalesce(s.doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE < r.rate - floor(r.rate))::INT)::BIGINT AS copies
+                   (floor(r.rate) + (('0x' || substr(md5('mix:' || coalesce(s.doc_id::VARCHAR, md5(coalesce(s.text, '')))), 1, 8))::BIGINT / 4294967296.0::DOUBLE < r.rate - floor(r.rate))::INT)::BIGINT AS copies
             FROM sized s JOIN rates r ON s.source IS NOT DISTINCT FROM r.source)
 """
 

@@ -90,7 +90,7 @@ def classes_of(ids, linked):
 
 @pytest.mark.parametrize("leaf", [128, 5])
 def test_jaccard_classes_equal_brute_force(make, family, leaf, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "BROADCAST_MEMBERS", 500_000 if leaf > 5 else 0)
+    monkeypatch.setattr(jaccard_join, "BROADCAST_MEMBERS", 300_000 if leaf > 5 else 0)
     s = {i: shingles(t, 3) for i, t, _ in family}
     links = [(a, b) for a, b in itertools.combinations(sorted(s), 2) if s[a] and s[b] and 100 * len(s[a] & s[b]) >= 90 * len(s[a] | s[b])]
     want = classes_of(s, links)
@@ -540,3 +540,23 @@ def test_passages_do_not_hang_on_neighbours():
 def test_words_are_cut_with_the_space_after_them():
     assert paragraphs.cut_words("a  b\nc é d\n", [(1, 3)]) == "a  é d\n"
     assert paragraphs.cut_words("a b", [(0, 1), (1, 2)]) == ""
+
+
+def test_rows_without_an_id_draw_by_their_texts(make):
+    rows = [(None, prose(20, i), "a") for i in range(1500)] + [(i, prose(20, i), "b") for i in range(1500)]
+    plan = mixing.mixing_plan(make(rows)).collect()
+    for source in "ab":
+        mine = [r for r in plan if r.source == source]
+        assert abs(sum(r.copies * r.size for r in mine) - mine[0].target) < 0.08 * mine[0].target
+
+
+def test_words_of_many_texts_at_once():
+    texts = [None, "", "  A b\n\nc\td ", BASE, "\n", "x" * 9000 + " é\u00a0é", "one", LONG]
+    hashes, owner, line = paragraphs.word_table(texts)
+    want = [(i, n, w) for i, t in enumerate(texts) for n, x in enumerate(paragraphs.line_words(t)) for w in x]
+    assert list(zip(owner.tolist(), line.tolist(), strict=True)) == [(i, n) for i, n, _ in want]
+    by = {}
+    for (_, _, w), h in zip(want, hashes.tolist(), strict=True):
+        assert by.setdefault(w, h) == h
+    assert len(set(by.values())) == len(by)
+    assert [len(x) for x in paragraphs.word_table([None, ""])] == [0, 0, 0]
