@@ -126,16 +126,25 @@ def f14(t):
     return t("events").groupBy("user_id", F.floor(c("event_id") / 500).alias("part")).agg(seq.alias("seq")).select("user_id", "part", T.ordered_subsequence("seq", ["view", "click", "purchase", "view"]).alias("found"))
 
 
-@query("f15_lcs_length")
+def letters(text):
+    return F.filter(F.split(text, ""), lambda x: x != "")
+
+
+@query("f15_lcs_length", """
+WITH RECURSIVE k AS (SELECT DISTINCT lower(p_type) AS a, p_name AS b FROM part),
+g AS (SELECT a, b, 1 AS i, 0 AS j, list_transform(range(length(b) + 1), lambda x: 0) AS above, [0] AS here FROM k
+  UNION ALL SELECT a, b, CASE WHEN j < length(b) THEN i ELSE i + 1 END, CASE WHEN j < length(b) THEN j + 1 ELSE 0 END, CASE WHEN j < length(b) THEN above ELSE here END,
+    CASE WHEN j < length(b) THEN list_append(here, CASE WHEN a[i:i] = b[j + 1:j + 1] THEN above[j + 1] + 1 ELSE greatest(above[j + 2], here[j + 1]) END) ELSE [0] END FROM g WHERE NOT (i = length(a) AND j = length(b)))
+SELECT p_partkey, here[length(b) + 1]::INT AS lcs FROM part JOIN g ON lower(p_type) = a AND p_name = b WHERE i = length(a) AND j = length(b)""")
 def f15(t):
-    """Longest common subsequence of part name and type words; tests hold it to a textbook table."""
-    return t("part").select("p_partkey", T.lcs_length(F.split(F.lower("p_type"), ""), F.split("p_name", "")).alias("lcs"))
+    """Longest common subsequence of the letters of part type and name."""
+    return t("part").select("p_partkey", T.lcs_length(letters(F.lower("p_type")), letters("p_name")).alias("lcs"))
 
 
 @query("f15_lcs_pairs")
 def f15_pairs(t):
-    """Places of a longest common subsequence of part name and type letters; tests hold it to the table's length."""
-    return t("part").select("p_partkey", T.lcs_pairs(F.split(F.lower("p_type"), ""), F.split("p_name", "")).alias("pairs"))
+    """Places of a longest common subsequence of part type and name letters; tests hold it to the table's length."""
+    return t("part").select("p_partkey", T.lcs_pairs(letters(F.lower("p_type")), letters("p_name")).alias("pairs"))
 
 
 @query("f16_clean_role", "SELECT DISTINCT p_type, regexp_replace(regexp_replace(lower(trim('the ' || p_type || '.')), '^(the|a|an) +', ''), '^[.,;:]+|[.,;:]+$', '', 'g') AS role FROM part")
