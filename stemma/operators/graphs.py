@@ -12,7 +12,7 @@ from stemma.operators.intervals import overlapping
 from stemma.sources.tables import drop, materialize
 
 #: Hops that one round of a propagation takes, and rounds of peeling before a closure.
-HOPS, PEEL_ROUNDS = 8, 8
+HOPS, PEEL_ROUNDS = 4, 8
 
 
 def closure(edges: DataFrame) -> DataFrame:
