@@ -371,7 +371,7 @@ def key_filter(keys: DataFrame) -> np.ndarray:
 def _passing(bits: np.ndarray):
     def run(batches):
         begin_task("keys")
-        for batch in batches:
+        for batch in (b.slice(lo, 1000) for b in batches for lo in range(0, b.num_rows, 1000)):
             lists = batch.column(1)
             key = lists.flatten().to_numpy(zero_copy_only=False)
             node = np.repeat(np.asarray(batch.column(0)), np.asarray(lists.value_lengths()))
