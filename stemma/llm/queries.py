@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from stemma.llm import chat, decontaminate, jaccard_join, line_templates, mixing, paragraphs, parsing, quality, token_store, warc
+from stemma.llm import chat, decontaminate, divergence, hard_negatives, jaccard_join, line_templates, mixing, paragraphs, parsing, quality, token_store, url_filter, warc
 
 QUERIES = {
     "op1_paragraphs": paragraphs.op1_paragraphs,
@@ -16,6 +16,9 @@ QUERIES = {
     "op10_line_templates": line_templates.op10_line_templates,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_parsing": parsing.op8_parsing,
+    "op11_hard_negatives": hard_negatives.op11_hard_negatives,
+    "op12_urls": url_filter.op12_urls,
+    "op13_divergence": divergence.op13_divergence,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -26,6 +29,9 @@ ORACLE_SQL = {
     "op3_quality": quality.ORACLE,
     "op4_mixing": mixing.ORACLE,
     "op6_warc": warc.ORACLE,
+    "op11_hard_negatives": hard_negatives.ORACLE,
+    "op12_urls": url_filter.ORACLE,
+    "op13_divergence": divergence.ORACLE,
 }
 
 if corpus_pipeline.ORACLE_SQL:
