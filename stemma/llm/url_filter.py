@@ -97,7 +97,8 @@ def window_scores(urls: DataFrame, order: int = ORDER) -> DataFrame:
 
 def threshold(scored: DataFrame) -> int:
     """The bin from which on URLs are allowed: that of the greatest difference between the shares of
-    rejected and of accepted URLs below it, the least on ties; 0 if either kind is missing.
+    rejected and of accepted URLs below it, the least on ties, and moved half way down to the next
+    bin that has any; 0 if either kind is missing.
 
     ``scored`` has verdict and bin of the URLs left out of training. Bins are few whatever the
     number of URLs, as smoothing bounds the score of a character."""
@@ -106,9 +107,9 @@ def threshold(scored: DataFrame) -> int:
     bins = scored.groupBy("bin").agg(F.sum((F.col("verdict") == "allow").cast("decimal(20,0)")).alias("a"), F.sum((F.col("verdict") == "block").cast("decimal(20,0)")).alias("r"))
     below = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy(F.lit(0))
-    bins = bins.select("bin", *[F.coalesce(F.sum(c).over(below), F.lit(0)).alias(c) for c in "ar"], *[F.sum(c).over(every).alias("t" + c) for c in "ar"])
+    bins = bins.select("bin", F.lag("bin").over(Window.orderBy("bin")).alias("before"), *[F.coalesce(F.sum(c).over(below), F.lit(0)).alias(c) for c in "ar"], *[F.sum(c).over(every).alias("t" + c) for c in "ar"])
     found = bins.where("ta > 0 AND tr > 0").orderBy(F.desc(F.col("r") * F.col("ta") - F.col("a") * F.col("tr")), "bin").first()
-    return found.bin if found else 0
+    return -((-found.bin - (found.bin if found.before is None else found.before)) // 2) if found else 0
 
 
 def judge_urls(pages: DataFrame, rules=RULES, order: int = ORDER) -> DataFrame:
@@ -173,9 +174,9 @@ by_bin AS (
   SELECT bin, count(*) FILTER (WHERE verdict = 'allow') AS a, count(*) FILTER (WHERE verdict = 'block') AS r
   FROM urls JOIN bins USING (n_row) WHERE verdict IS NOT NULL AND held_out GROUP BY bin),
 below AS (
-  SELECT bin, coalesce(sum(a) OVER w, 0) AS a, coalesce(sum(r) OVER w, 0) AS r, sum(a) OVER () AS ta, sum(r) OVER () AS tr
+  SELECT bin, lag(bin) OVER (ORDER BY bin) AS before, coalesce(sum(a) OVER w, 0) AS a, coalesce(sum(r) OVER w, 0) AS r, sum(a) OVER () AS ta, sum(r) OVER () AS tr
   FROM by_bin WINDOW w AS (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-lim AS (SELECT coalesce((SELECT bin FROM below WHERE ta > 0 AND tr > 0 ORDER BY r * ta - a * tr DESC, bin LIMIT 1), 0) AS bin)
+lim AS (SELECT coalesce((SELECT CAST(ceil((bin + coalesce(before, bin)) / 2.0) AS BIGINT) FROM below WHERE ta > 0 AND tr > 0 ORDER BY r * ta - a * tr DESC, bin LIMIT 1), 0) AS bin)
 SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN b.bin >= (SELECT bin FROM lim) THEN 'allow' ELSE 'block' END) AS verdict
 FROM urls JOIN bins b USING (n_row)
 """
