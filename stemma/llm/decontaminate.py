@@ -16,7 +16,8 @@ item's length in edits (of characters, after folding A-Z and joining words by on
    windows of about one size; equal samples join windows and items in Spark. ``recall``
    says how likely a pair with a given share of differing steps is found.
 4. *Verification.* The least edit distance between the item and any part of the window
-   with its surroundings, by a bit-parallel scan.
+   with its surroundings, by a bit-parallel scan. The place of a leak is the word in which
+   the nearest part begins.
 
 Items with equal texts are searched once. Items of over ITEM_WORDS words (or ITEM_LETTERS
 letters) are searched by equal parts, but verified whole. Parts are taken in blocks of about
@@ -187,7 +188,9 @@ def index_of(block: str, texts: list[str], percent: int) -> ItemIndex:
 def find_windows(texts: list[str], index: ItemIndex):
     """(text, item, first word, begin, end, start) of the parts of folded texts worth a look.
 
-    ``begin`` and ``end`` bound the letters in which the passage lies whole."""
+    ``begin`` and ``end`` bound the letters in which the passage lies whole. Long texts are searched
+    in pieces; a passage belongs to the piece in which it starts, and every piece is read with so much
+    before and after it that such a passage is seen as in an uncut text."""
     for d, t in enumerate(texts) if index.exact else ():
         w = t.split(" ")
         starts = np.cumsum([0, *(len(x) + 1 for x in w)])
@@ -198,9 +201,10 @@ def find_windows(texts: list[str], index: ItemIndex):
                     yield d, i, k, int(starts[k]), int(starts[k]) + len(part), int(starts[k])
     codes = codes_of("\n".join(texts))  # folded texts hold no other line ends, and items none
     stop = np.cumsum([len(t) + 1 for t in texts])
-    for g, lo in ((g, lo) for g in index.groups for lo in range(0, max(1, len(codes) - g.overlap), index.step)):
-        for i, diagonal, offset in g.places(codes[lo : lo + index.step + g.overlap]):
-            diagonal += lo
+    for g, lo, last in ((g, lo, lo + index.step >= len(codes) - g.overlap) for g in index.groups for lo in range(0, max(1, len(codes) - g.overlap), index.step)):
+        seen = max(0, lo - g.overlap) >> int(g.shift.max()) << int(g.shift.max())  # buckets of diagonals lie alike in all pieces
+        for i, diagonal, offset in g.places(codes[seen : lo + index.step + g.overlap]):
+            diagonal += seen
             size, edits, need = int(g.size[i]), int(g.edits[i]), int(g.need[i])
             owner = np.searchsorted(stop, diagonal + offset, side="right")
             for d in np.unique(owner).tolist():
@@ -217,7 +221,8 @@ def find_windows(texts: list[str], index: ItemIndex):
                         best.add(least + int(np.argmax(np.bincount(x[third] - least))))
                 for s in sorted(best):
                     at = min(max(s, base), end)
-                    yield d, int(g.ids[i]), texts[d].count(" ", 0, at - base), begin - base, over - base, at - base
+                    if (not lo or at >= lo) and (last or at < lo + index.step):
+                        yield d, int(g.ids[i]), texts[d].count(" ", 0, at - base), begin - base, over - base, at - base
 
 
 def fold(text: str | None) -> str:
@@ -235,11 +240,12 @@ def _windows(items: list[tuple[int, int, int, int, str]], percent: int, block: s
             for lo, texts in text_slices(batch.column(2), index.step):
                 part, rows = [fold(t) for t in texts], []
                 ids, keys = (batch.column(i).slice(lo, len(texts)).to_pylist() for i in (0, 1))
-                for d, i, word, begin, end, at in find_windows(part, index):
+                for d, i, _, begin, end, at in find_windows(part, index):
                     item, key, offset, whole, text = items[i]
                     slack = 0 if whole == len(text) else whole * percent // 100
-                    around = part[d][max(0, begin - offset - slack) : end + whole - offset - len(text) + slack]
-                    rows.append((ids[d], keys[d], item, key, len(text), word, part[d][at : at + len(text)], around))
+                    first = max(0, begin - offset - slack)
+                    around = part[d][first : end + whole - offset - len(text) + slack]
+                    rows.append((ids[d], keys[d], item, key, len(text), part[d].count(" ", 0, first), part[d][at : at + len(text)], around))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(zip(*rows, strict=True), types, strict=True)], names=[f.split()[0] for f in WINDOWS.split(", ")])
 
@@ -333,6 +339,12 @@ def best_edit_distance(item: str, text: str) -> tuple[int, int]:
     return best, end
 
 
+def place_of(item: str, text: str, end: int) -> int:
+    """Where the part of ``text`` begins that ends at ``end`` and is nearest to the item: so the windows that
+    see one passage name one place, however they were cut."""
+    return end - best_edit_distance(item[::-1], text[:end][::-1])[1]
+
+
 def _verify(percent: int):
     def run(batches):
         begin_task("leak verification")
@@ -341,9 +353,9 @@ def _verify(percent: int):
         for batch in batches:
             rows = []
             for doc_id, key, number, item, start, around in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                d, _ = best_edit_distance(item, around)
+                d, end = best_edit_distance(item, around)
                 if 100 * d <= percent * len(item):
-                    rows.append((doc_id, key, number, start, item.count(" ") + 1, d, len(item)))
+                    rows.append((doc_id, key, number, start + around.count(" ", 0, place_of(item, around, end)), item.count(" ") + 1, d, len(item)))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
@@ -411,7 +423,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, percent: int = MAX_EDIT_PERCEN
         if not rows:
             continue
         windows = materialize(texts.mapInArrow(_windows(rows, percent, uuid.uuid4().hex), WINDOWS), "windows").distinct()
-        windows = windows.withColumn("id", F.xxhash64("doc_id", "text_key", "part", "start"))
+        windows = windows.withColumn("id", F.xxhash64("doc_id", "text_key", "part", "start", "window"))
         item_keys = mine.select(F.col("part").alias("id"), "part", "size", F.col("text").alias("window")).mapInArrow(_keys, KEYS).select("part", "key")
         met = windows.select("id", "part", "size", "window").mapInArrow(_keys, KEYS).join(F.broadcast(item_keys), ["part", "key"]).select("id", "part").distinct()
         around = windows.select("id", "doc_id", "text_key", "item", "part", "start", "around").distinct()
