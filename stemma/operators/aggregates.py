@@ -66,7 +66,7 @@ def template_aggregate(clauses: DataFrame, examples: int = 10) -> DataFrame:
 
 
 #: Strengths of a pair, best first, and what each adds to a pair's priority.
-STRENGTHS = ("single", "ordinal", "near", "cooccurrence")
+STRENGTHS = ("single", "ordinal", "near", "preset", "one_to_many", "cooccurrence")
 
 
 def pair_aggregate(pairs: DataFrame) -> DataFrame:
@@ -193,12 +193,19 @@ def quality_verdict(missing: Column, total: Column, untranslated: Column) -> Col
 
 
 def term_index(occurrences: DataFrame, parents: DataFrame) -> DataFrame:
-    """Per surface of (id, surface, level): counts, its classification and direct parents.
+    """Per surface of (id, surface, level): counts, its classification, direct parents and the number of
+    occurrences, near or far, that it is part of.
+
+    ``parents`` has (id, parent), both ids of occurrences; parents that do not occur are no parents."""
+    from stemma.operators.graphs import closure
 
-    ``parents`` has (id, parent surface)."""
     counts = occurrences.groupBy("surface").agg(
         F.count("*").alias("n"), F.count_if(F.col("level") == "maximal").alias("n_maximal"), F.count_if(F.col("level") == "component").alias("n_component")
     )
     kind = F.when((F.col("n_maximal") > 0) & (F.col("n_component") > 0), "both").when(F.col("n_maximal") > 0, "maximal").otherwise("component")
-    direct = occurrences.join(parents, "id").groupBy("surface").agg(F.count_distinct("parent").alias("n_parents"), F.min("parent").alias("first_parent"))
+    known = parents.join(occurrences.select(F.col("id").alias("parent")).distinct(), "parent", "left_semi")
+    direct = occurrences.join(known, "id").groupBy("surface").agg(F.count_distinct("parent").alias("n_parents"), F.min("parent").alias("first_parent"))
+    above = closure(known.select(F.col("id").alias("child"), "parent"))
+    whole = occurrences.join(above, F.col("id") == F.col("node")).groupBy("surface").agg(F.count_distinct("ancestor").alias("appears_in_compounds"))
+    counts = counts.join(whole, "surface", "left").withColumn("appears_in_compounds", F.coalesce("appears_in_compounds", F.lit(0)))
     return counts.withColumn("kind", kind).join(direct, "surface", "left").withColumn("n_parents", F.coalesce("n_parents", F.lit(0)))

@@ -106,11 +106,10 @@ def derive_facts(assertions: DataFrame, rules: DataFrame, rejected: DataFrame |
         met = hit.join(rules, "rule").join(facts.select(*key), key).groupBy("rule", "value", "authority").agg(F.count("*").alias("met"))
         return met.join(heads, "rule").where("met = needed").select("rule", F.col("to_target").alias("target"), F.col("to_facet").alias("facet"), "value", "authority")
 
-    facts = materialize(assertions.select(*key).distinct(), "facts")
-    frontier = facts
-    while not frontier.isEmpty():
+    facts = frontier = materialize(assertions.select(*key).distinct(), "facts")
+    while not frontier.isEmpty():  # a round writes what it found, never what was found before
         frontier = materialize(fired(frontier, facts).select(*key).distinct().join(facts, key, "left_anti"), "new-facts")
-        facts = materialize(facts.union(frontier), "facts")
+        facts = facts.union(frontier)
     clash = facts.groupBy("target", "facet").agg((F.min("value") != F.max("value")).alias("clash"))
     facts = facts.join(clash, ["target", "facet"])
     if rejected is not None:
@@ -126,7 +125,7 @@ def derive_facts(assertions: DataFrame, rules: DataFrame, rejected: DataFrame |
         n += 1
         new = fired(frontier.drop("depth"), depth).select(*key).distinct().join(usable, key, "left_semi").join(depth, key, "left_anti")
         frontier = materialize(new.withColumn("depth", F.lit(n)), "new-depth")
-        depth = materialize(depth.union(frontier), "depth")
+        depth = depth.union(frontier)
     out = facts.join(depth, key, "left").join(proofs, key, "left")
     status = F.when(F.col("clash"), "conflict").when(F.col("rejected"), "rejected").when(F.col("depth").isNull(), "ungrounded").otherwise("grounded")
     return out.select(*key, status.alias("status"), "depth", F.coalesce("n_proofs", F.lit(0)).alias("n_proofs"))

@@ -5,7 +5,7 @@ round adds nothing."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stemma.operators.intervals import overlapping
@@ -105,15 +105,14 @@ def graph_audit(events: DataFrame, ports: DataFrame, values: DataFrame, required
     return out
 
 
-def fixpoint_region(seeds: DataFrame, spans: DataFrame, doc: str, bucket: int = 256, max_rounds: int = 10_000) -> DataFrame:
-    """Spans (doc, id, start, end) reached from seed spans by overlaps, in rounds."""
-    region = materialize(overlapping(spans, seeds, doc, bucket).select("doc", F.col("left_id").alias("id")).distinct(), "region")
-    frontier = region
-    for _ in range(max_rounds):
-        edge = spans.join(frontier.select(F.col("doc").alias(doc), "id"), [doc, "id"], "left_semi")
-        near = overlapping(spans, edge, doc, bucket).select("doc", F.col("left_id").alias("id")).distinct()
-        new = materialize(near.join(region, ["doc", "id"], "left_anti"), "region")
-        if new.isEmpty():
-            return region
-        region, frontier = region.union(new), new
-    raise RuntimeError(f"region did not settle in {max_rounds} rounds")
+def fixpoint_region(seeds: DataFrame, spans: DataFrame, doc: str, bucket: int = 256) -> DataFrame:
+    """Spans (doc, id, start, end) reached from seed spans by overlaps.
+
+    Spans that hang together by overlaps are the islands of one sorted pass; those of the islands in
+    which a seed overlaps a span are the answer, without rounds."""
+    w = Window.partitionBy(doc).orderBy("start", "end", "id")
+    s = spans.where("start < end").withColumn("_before", F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    s = s.withColumn("_island", F.sum(F.when(F.col("_before").isNull() | (F.col("start") >= F.col("_before")), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    s = materialize(s.select(F.col(doc).alias("doc"), "id", "_island"), "islands")
+    hit = overlapping(spans.where("start < end"), seeds, doc, bucket).select("doc", F.col("left_id").alias("id")).distinct()
+    return s.join(s.join(hit, ["doc", "id"], "left_semi").select("doc", "_island").distinct(), ["doc", "_island"], "left_semi").select("doc", "id")

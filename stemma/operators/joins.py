@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,9 +14,13 @@ from stemma.functions import text as T
 from stemma.operators.topk import top_per_key
 from stemma.sources.tables import materialize
 
-#: Distinct grams of the quotes up to this many (two numbers each) are broadcast to the sources.
+#: Distinct phrases of the quotes up to this many (two numbers each) are sent to the sources.
 BROADCAST_GRAMS = 1_000_000
 
+#: An odd multiplier of phrase hashes and its inverse modulo 2^64.
+_BASE = 0x9E3779B97F4A7C15
+_BACK = pow(_BASE, -1, 1 << 64)
+
 
 def observation_records(obs: DataFrame, sites: DataFrame, calendars: DataFrame, sources: DataFrame) -> DataFrame:
     """Observations with site and calendar, and the names of their sources in order.
@@ -73,84 +80,160 @@ def align_scored(left: DataFrame, right: DataFrame, generic_terms: Sequence[str]
     return top_per_key(j, ["l_id"], [F.desc("score"), "gap", "r_id"], k).select("l_id", "r_id", "score", "tier", "rank")
 
 
+def phrase_hashes(words: np.ndarray, n: int) -> np.ndarray:
+    """A hash of every run of ``n`` of the given word hashes, by prefix sums of a polynomial of 64 bits."""
+    if len(words) < n:
+        return np.empty(0, np.uint64)
+    with np.errstate(over="ignore"):
+        power, back = (np.cumprod(np.append(np.uint64(1), np.full(len(words) - 1, b, np.uint64)), dtype=np.uint64) for b in (_BASE, _BACK))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words.view(np.uint64) * power, dtype=np.uint64)])
+        h = (sums[n:] - sums[:-n]) * back[: len(words) - n + 1]
+        return (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def _phrase_hash(batches):
+    """(id, kind, letters, n, g) of phrases (id, kind, letters, array of word hashes)."""
+    for batch in batches:
+        words = batch.column("words").to_pylist()
+        g = [int(phrase_hashes(np.array(w, np.int64), len(w)).view(np.int64)[0]) if w else 0 for w in words]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("kind"), batch.column("letters"), pa.array([len(w) for w in words], pa.int32()), pa.array(g, pa.int64())], names=["id", "kind", "letters", "n", "g"])
+
+
+def _found_phrases(sizes: list[int], asked: dict[int, np.ndarray] | None):
+    """(id, n, g): the phrases of ``sizes`` words of texts (id, array of word hashes), all or those asked."""
+
+    def work(batches):
+        for batch in batches:
+            lengths = pc.fill_null(pc.list_value_length(batch.column("words")), 0).to_numpy(zero_copy_only=False)
+            words = batch.column("words").flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            text = np.repeat(np.arange(len(lengths)), lengths)
+            for n in sizes:
+                g = phrase_hashes(words, n).view(np.int64)
+                at = np.flatnonzero(text[: len(g)] == text[n - 1 : n - 1 + len(g)])
+                if asked is not None:
+                    place = np.minimum(np.searchsorted(asked[n], g[at]), len(asked[n]) - 1)
+                    at = at[asked[n][place] == g[at]]
+                order = np.lexsort((g[at], text[at]))
+                at = at[order]
+                at = at[np.concatenate([[True], (text[at][1:] != text[at][:-1]) | (g[at][1:] != g[at][:-1])])] if len(at) else at
+                if len(at):
+                    yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(text[at])), pa.array(np.full(len(at), n, np.int32)), pa.array(g[at])], names=["id", "n", "g"])
+
+    return work
+
+
 def quote_to_source(quotes: DataFrame, sources: DataFrame, phrases: Sequence[str] = (), lengths: Sequence[int] = (18, 14, 12, 10, 8, 6, 4), k: int = 3) -> DataFrame:
     """Best k sources per quote by what they share.
 
     Both sides: id, words, place (0 to 1), constants; quotes also title, clauses and generic (clauses
-    that say nothing). Candidates share a word n-gram of the least length, by an equi-join: grams of
-    the quotes, which are few, are sent to the sources. Of a candidate's text are then asked: the
-    title (35), the longest distinctive clause (35 from ten letters, else 20), 10 for each distinctive
-    clause, 30, 18 or 10 for an n-gram of 12, 8 or 6 words, 6 a constant, 5 an operation phrase, and
-    up to 10 for a like place."""
-    least = min(lengths)
-
-    def grams(df, name, *sizes):
-        def hashed(h, n):
-            places = F.when(F.size(h) >= n, F.sequence(F.lit(1), F.size(h) - n + 1)).otherwise(F.array().cast("array<int>"))
-            return F.transform(places, lambda i: F.struct(F.lit(n).alias("n"), F.xxhash64(F.slice(h, i, n)).alias("g")))
-
-        words = F.transform("words", lambda w: F.xxhash64(w))
-        every = T.let(words, lambda h: F.flatten(F.array(*[hashed(h, n) for n in sizes])))
-        return df.select(F.col("id").alias(name), F.explode(every).alias("x")).select(name, "x.n", "x.g").distinct()
-
-    asked = materialize(grams(quotes, "quote", least), "quote-grams")
+    that say nothing), words set apart by single spaces. Candidates share a word n-gram, the title or a
+    distinctive clause. Score: the title (35), the longest distinctive clause (35 from ten letters, else
+    20), 10 for each distinctive clause, 30, 18 or 10 for an n-gram of 12, 8 or 6 words, 6 a constant, 5
+    an operation phrase, and up to 10 for a like place.
+
+    Everything asked of a text is a run of words, so every text is read once, its runs of the sizes asked
+    are hashed to 64 bits, and only those that some quote asks for leave the task; pairs hold no texts.
+    Up to BROADCAST_GRAMS distinct phrases are sent to the tasks, beyond that all runs are joined."""
+    hashed = lambda w: F.transform(w, lambda x: F.xxhash64(x))
+    split = lambda x: F.filter(F.split(x, " "), lambda w: w != "")
+    ask = lambda kind, x, letters: F.struct(F.lit(kind).alias("kind"), letters.alias("letters"), hashed(x).alias("words"))
+    runs = lambda n: F.when(F.size("words") >= n, F.transform(F.sequence(F.lit(1), F.size("words") - n + 1), lambda i: ask("gram", F.slice("words", i, n), F.lit(0)))).otherwise(F.array().cast("array<struct<kind:string,letters:int,words:array<bigint>>>"))
+    text = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
+    named = lambda kind, c: F.transform(c, lambda x: ask(kind, split(x), F.length(x)))
+    ops = F.array_compact(F.array(*[F.when(F.contains(text, F.lit(f" {p} ")), F.lit(p)) for p in phrases])) if phrases else F.array().cast("array<string>")
+    own = F.array_distinct(F.array_except(F.coalesce("clauses", F.array().cast("array<string>")), F.coalesce("generic", F.array().cast("array<string>"))))
+    every = F.flatten(F.array(*[runs(n) for n in lengths], named("title", F.array(F.coalesce("title", F.lit("")))), named("clause", own), named("generic", F.coalesce("generic", F.array().cast("array<string>"))), named("op", ops)))
+    asked = quotes.select("id", F.explode(every).alias("a")).select("id", "a.kind", "a.letters", "a.words").where("size(words) > 0")
+    asked = materialize(asked.mapInArrow(_phrase_hash, f"id {dict(quotes.dtypes)['id']}, kind string, letters int, n int, g long"), "asked-phrases")
     few = asked.select("n", "g").distinct()
+    sizes, table = [r.n for r in few.select("n").distinct().orderBy("n").collect()], None
     if few.count() <= BROADCAST_GRAMS:
-        few = F.broadcast(few)
-    short = materialize(grams(sources, "source", least).join(few, ["n", "g"], "left_semi").join(asked, ["n", "g"]), "met-grams")
-    met = short
-    if longer := [n for n in lengths if n > least]:  # whoever shares a long n-gram shares a short one
-        near = sources.join(short.select(F.col("source").alias("id")).distinct(), "id", "left_semi")
-        met = short.union(grams(near, "source", *longer).join(grams(quotes, "quote", *longer), ["n", "g"]).select(*short.columns))
-    pairs = met.groupBy("quote", "source").agg(F.max("n").alias("longest"), F.count("*").alias("n_shared"))
-    padded = lambda w: F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" "))
-    q = quotes.select(F.col("id").alias("quote"), padded("words").alias("q_text"), "title", "clauses", "generic", F.col("constants").alias("q_constants"), F.col("place").alias("q_place"))
-    s = sources.select(F.col("id").alias("source"), padded("words").alias("s_text"), F.col("constants").alias("s_constants"), F.col("place").alias("s_place"))
+        rows = few.toPandas()
+        table = {n: np.sort(rows.g[rows.n == n].to_numpy()) for n in sizes}
+    found = sources.select("id", hashed("words").alias("words")).mapInArrow(_found_phrases(sizes, table), f"id {dict(sources.dtypes)['id']}, n int, g long").withColumnRenamed("id", "source")
+    found = materialize(found.join(few, ["n", "g"], "left_semi") if table is None else found, "found-phrases")
+
+    told = asked.where("kind IN ('gram', 'title', 'clause')").distinct().withColumnRenamed("id", "quote")
+    kind = lambda name: F.col("kind") == name
+    pairs = found.join(told, ["n", "g"]).groupBy("quote", "source").agg(
+        F.coalesce(F.max(F.when(kind("gram"), F.col("n"))), F.lit(0)).alias("longest"), F.count_if(kind("gram")).alias("n_shared"), F.bool_or(kind("title")).alias("titled"),
+        F.count_if(kind("clause")).cast("int").alias("n_clauses"), F.coalesce(F.max(F.when(kind("clause"), F.col("letters"))), F.lit(0)).alias("letters"),
+    )
+    side = asked.where("kind IN ('generic', 'op')")
+    said = found.join(side.select("n", "g").distinct(), ["n", "g"], "left_semi").groupBy("source").agg(F.collect_set("g").alias("said"))
+    wants = side.groupBy(F.col("id").alias("quote")).agg(F.collect_list(F.when(kind("generic"), F.col("g"))).alias("generic"), F.collect_set(F.when(kind("op"), F.col("g"))).alias("ops"))
+    s = sources.select(F.col("id").alias("source"), F.col("constants").alias("s_constants"), F.col("place").alias("s_place")).join(said, "source", "left")
+    q = quotes.select(F.col("id").alias("quote"), F.col("constants").alias("q_constants"), F.col("place").alias("q_place")).join(wants, "quote", "left")
     j = pairs.join(s, "source").join(q, "quote")
-    within = lambda x: F.contains("s_text", F.concat(F.lit(" "), x, F.lit(" ")))
-    own = F.filter(F.array_except("clauses", "generic"), lambda x: (x != "") & within(x))
-    ops = F.array(*map(F.lit, phrases)).cast("array<string>")
-    j = j.withColumns({
-        "titled": F.coalesce((F.length("title") > 0) & within(F.col("title")), F.lit(False)), "clauses_met": own, "n_generic": F.size(F.filter("generic", lambda x: (x != "") & within(x))),
-        "n_constants": F.size(F.array_intersect("q_constants", "s_constants")), "n_ops": F.size(F.filter(ops, lambda x: F.contains("q_text", F.concat(F.lit(" "), x, F.lit(" "))) & within(x))),
-    })
-    n, longest_clause = F.size("clauses_met"), F.coalesce(F.array_max(F.transform("clauses_met", lambda x: F.length(x))), F.lit(0))
+    none = F.array().cast("array<bigint>")
+    said, generic, ops = (F.coalesce(c, none) for c in ("said", "generic", "ops"))
+    j = j.withColumns({"n_generic": F.size(F.filter(generic, lambda x: F.array_contains(said, x))), "n_constants": F.size(F.array_intersect("q_constants", "s_constants")), "n_ops": F.size(F.array_intersect(ops, said))})
+    n = F.col("n_clauses")
     place = F.greatest(F.lit(0), 10 - F.round(F.abs(F.col("q_place") - F.col("s_place")) * 20)).cast("int")
     gram = F.when(F.col("longest") >= 12, 30).when(F.col("longest") >= 8, 18).when(F.col("longest") >= 6, 10).otherwise(0)
-    score = F.when(F.col("titled"), 35).otherwise(0) + F.when(longest_clause >= 10, 35).when(n > 0, 20).otherwise(0) + 10 * n + gram + 6 * F.col("n_constants") + 5 * F.col("n_ops") + place
+    score = F.when(F.col("titled"), 35).otherwise(0) + F.when(F.col("letters") >= 10, 35).when(n > 0, 20).otherwise(0) + 10 * n + gram + 6 * F.col("n_constants") + 5 * F.col("n_ops") + place
     nothing = ~F.col("titled") & (n == 0) & (F.col("n_constants") + F.col("n_ops") == 0) & (F.col("longest") < 6) & (F.col("n_generic") > 0)
     confidence = (
         F.when(nothing, "generic_only_rejected").when((F.col("titled") & ((n > 0) | (F.col("longest") >= 8))) | (n >= 2) | (F.col("longest") >= 12), "high")
         .when((n > 0) | (F.col("longest") >= 8) | (F.col("titled") & (F.col("longest") >= 6)), "medium").when((F.col("n_generic") > 0) | (F.col("longest") >= 4), "review").otherwise("insufficient")
     )
-    j = j.select("quote", "source", "longest", "n_shared", n.alias("n_clauses"), score.alias("score"), confidence.alias("confidence"))
+    j = j.select("quote", "source", "longest", "n_shared", "n_clauses", score.alias("score"), confidence.alias("confidence"))
     return top_per_key(j, ["quote"], [F.desc("score"), F.desc("n_shared"), "source"], k)
 
 
-def source_alignment(anchors: DataFrame, spans: DataFrame, generic_ops: Sequence[str] = (), gap: int = 4, least: int = 16) -> DataFrame:
+
+def contained_in(texts: DataFrame, needles: DataFrame, on: Sequence[str], q: int = 3) -> DataFrame:
+    """(text_id, needle_id) where a text of (text_id, text) holds a needle of (needle_id, needle) with equal ``on``.
+
+    Each distinct needle is sought by the one of its runs of ``q`` letters (all of it, if shorter) that
+    the fewest texts have, so only texts with its rarest run are tried. Empty needles are in no text."""
+    on = list(on)
+    hay = materialize(texts.select(*on, "text").distinct().withColumn("_text", F.monotonically_increasing_id()), "texts")
+    sought = needles.select(*on, "needle").where("length(needle) > 0").distinct()
+    runs = F.array_distinct(F.flatten(F.array(*[T.char_ngrams("text", n) for n in range(1, q + 1)])))
+    runs = materialize(hay.select(*on, "_text", F.explode(runs).alias("run")), "runs")
+    own = F.coalesce(*[F.when(F.length("needle") >= n, T.char_ngrams("needle", n)) for n in range(q, 0, -1)])
+    asked = sought.select(*on, "needle", F.explode(F.array_distinct(own)).alias("run"))
+    often = runs.join(asked.select(*on, "run").distinct(), [*on, "run"], "left_semi").groupBy(*on, "run").agg(F.count("*").alias("n"))
+    rare = asked.join(often, [*on, "run"], "left").groupBy(*on, "needle").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "run")).alias("least")).where("least.n > 0")
+    tried = runs.join(rare.select(*on, "needle", F.col("least.run").alias("run")), [*on, "run"])
+    met = tried.join(hay.select("_text", "text"), "_text").where(F.contains("text", F.col("needle"))).select(*on, "text", "needle")
+    return texts.join(met, [*on, "text"]).join(needles, [*on, "needle"]).select("text_id", "needle_id")
+
+
+def source_alignment(anchors: DataFrame, spans: DataFrame, common: Sequence[str] = (), gap: int = 4, least: int = 16) -> DataFrame:
     """Source spans of anchors: hinted ones, else those that match by title, else a unique stable lead.
 
-    ``anchors``: anchor, system, title, family, terms, ops, hints (array of spans), linked (array of
-    spans); ``spans``: span, system, title, family, terms, ops. Score: 8 family, 10 title, 4 a
-    distinctive term, 2 an operation, 6 an existing link. A span is a candidate by title, by a term,
-    or by family with an operation; candidates meet on these, not all with all."""
+    ``anchors``: anchor, system, title, family (null if unknown), terms, ops, hints (array of spans), linked
+    (array of spans); ``spans``: span, system, title, family, terms, ops. Score: 8 family, 10 title (one
+    holds the other), 4 a shared term that is not ``common``, 2 an operation, 6 an existing link. A span
+    is a candidate by title, by a term, or by family with an operation; candidates meet on these. Anchors
+    titled as another method only take spans by title."""
     hinted = anchors.where(F.size("hints") > 0).select("anchor", F.explode("hints").alias("span"), F.lit(100).alias("score"), F.lit("manual").alias("status"))
-    a = anchors.where(F.size("hints") == 0)
-    side = lambda df, i: df.select("system", i, F.explode("terms").alias("x")).union(df.select("system", i, F.explode(F.transform(F.split("title", " "), lambda w: F.concat(F.lit("title:"), w))))).union(
+    own = F.array_except("terms", F.array(*map(F.lit, common)).cast("array<string>"))
+    a, s = anchors.where(F.size("hints") == 0).withColumn("terms", own), spans.withColumn("terms", own)
+    text = lambda df, i: df.select("system", F.col(i).alias("text_id"), F.col("title").alias("text"))
+    needle = lambda df, i: df.select("system", F.col(i).alias("needle_id"), F.col("title").alias("needle"))
+    inside = contained_in(text(a, "anchor"), needle(s, "span"), ["system"]).select(F.col("text_id").alias("anchor"), F.col("needle_id").alias("span"))
+    around = contained_in(text(s, "span"), needle(a, "anchor"), ["system"]).select(F.col("needle_id").alias("anchor"), F.col("text_id").alias("span"))
+    titled = materialize(inside.union(around).distinct(), "titled")
+    side = lambda df, i: df.select("system", i, F.explode("terms").alias("x")).union(
         df.where("family IS NOT NULL").select("system", i, F.explode(F.transform("ops", lambda o: F.concat(F.lit("family:"), F.col("family"), F.lit(":"), o))))
     )
-    pairs = side(a, "anchor").join(side(spans, "span"), ["system", "x"]).select("anchor", "span").distinct()
-    cols = ("title", "family", "terms", "ops")
-    j = pairs.join(a.select("anchor", "linked", *[F.col(c).alias(f"a_{c}") for c in cols]), "anchor").join(spans.select("span", *[F.col(c).alias(f"s_{c}") for c in cols]), "span")
-    title = (F.length("a_title") > 0) & (F.length("s_title") > 0) & (F.contains("a_title", F.col("s_title")) | F.contains("s_title", F.col("a_title")))
+    pairs = side(a, "anchor").join(side(s, "span"), ["system", "x"]).select("anchor", "span").union(titled).distinct()
+    cols = ("family", "terms", "ops")
+    j = pairs.join(titled.withColumn("titled", F.lit(True)), ["anchor", "span"], "left").withColumn("titled", F.coalesce("titled", F.lit(False)))
+    j = j.join(a.select("anchor", "title", "linked", *[F.col(c).alias(f"a_{c}") for c in cols]), "anchor").join(s.select("span", *[F.col(c).alias(f"s_{c}") for c in cols]), "span")
     family = F.coalesce(F.col("a_family") == F.col("s_family"), F.lit(False))
     n_terms, n_ops = F.size(F.array_intersect("a_terms", "s_terms")), F.size(F.array_intersect("a_ops", "s_ops"))
-    j = j.withColumns({"titled": F.coalesce(title, F.lit(False)), "same": family, "n_terms": n_terms, "n_ops": n_ops})
+    j = j.withColumns({"same": family, "n_terms": n_terms, "n_ops": n_ops})
     j = j.where(F.col("titled") | (F.col("n_terms") > 0) | (F.col("same") & (F.col("n_ops") > 0)))
     j = j.withColumn("score", F.when(F.col("same"), 8).otherwise(0) + F.when(F.col("titled"), 10).otherwise(0) + 4 * F.col("n_terms") + 2 * F.col("n_ops") + F.when(F.array_contains("linked", F.col("span")), 6).otherwise(0))
     w = Window.partitionBy("anchor").orderBy(F.desc("score"), "span")
     r = j.withColumn("r", F.row_number().over(w)).withColumn("next", F.lead("score").over(w)).withColumn("any_title", F.max(F.col("titled").cast("int")).over(Window.partitionBy("anchor")))
     lead = (F.col("any_title") == 0) & (F.col("r") == 1) & F.col("same") & (F.col("n_terms") > 0) & (F.col("n_ops") > 0) & (F.col("score") >= least) & (F.col("next").isNull() | (F.col("score") - F.col("next") >= gap))
+    lead &= F.coalesce(F.lower("title") != "another method", F.lit(True))
+    r = materialize(r, "alignment")
     found = r.where(F.col("titled") | lead).select("anchor", "span", "score", F.lit("inferred").alias("status"))
     out = hinted.union(found)
     seen = r.select("anchor").distinct().withColumn("seen", F.lit(True))
@@ -158,6 +241,7 @@ def source_alignment(anchors: DataFrame, spans: DataFrame, generic_ops: Sequence
     return out.union(rest.select("anchor", F.lit(None).cast(dict(spans.dtypes)["span"]), F.lit(None).cast("int"), F.when(F.col("seen"), "needs_review").otherwise("no_candidate")))
 
 
+
 def strongest_claim_for_term(terms: DataFrame, claims: DataFrame) -> DataFrame:
     """Strongest claim (least level, then id) per term that shares its text or, if strong, its value."""
     by_text = terms.select("term_id", F.lower("text").alias("t")).join(claims.select("claim_id", "level", F.lower("text").alias("t")), "t")
@@ -167,16 +251,31 @@ def strongest_claim_for_term(terms: DataFrame, claims: DataFrame) -> DataFrame:
 
 
 def constant_for_name(refs: DataFrame, constants: DataFrame) -> DataFrame:
-    """Exact constant per (ref_id, source, name, line), else the best one that ends alike in the source."""
-    exact = refs.join(constants.select("name", F.col("const_id")), "name").select("ref_id", "const_id", F.lit(100).alias("score"))
-    rest = refs.join(exact, "ref_id", "left_anti").select("ref_id", "source", F.substring_index("name", " ", -1).alias("suffix"), "line")
-    c = constants.select("const_id", "source", F.substring_index("name", " ", -1).alias("suffix"), F.col("line").alias("const_line"))
+    """Best constant of a reference's source: (ref_id, const_id, score).
+
+    Both sides: id, source, name, terms, line. An equal name scores 100. Else 60 if one name ends with
+    the other, 20 a shared term, less the distance in lines (40 at most), and 10, 6 or 3 within 0, 3 or 8
+    lines; distance counts only where both lines are known. Candidates meet on the ends of names and
+    on terms, so none is tried in vain; the best above 0 is kept, the least id on ties. References without
+    a name have none."""
+    refs = refs.where("length(name) > 0")
+    exact = refs.join(constants.select("source", "name", "const_id"), ["source", "name"]).select("ref_id", "const_id", F.lit(100).alias("score"))
+    exact = materialize(exact, "exact-constants")
+    rest = refs.join(exact, "ref_id", "left_anti")
+    ends = lambda df, i: df.select(i, "source", F.explode(F.transform(F.sequence(F.lit(1), F.length("name")), lambda n: F.right("name", n))).alias("name"))
+    k = constants.where("length(name) > 0")
+    by_end = ends(rest, "ref_id").join(k.select("const_id", "source", "name"), ["source", "name"]).select("ref_id", "const_id").union(rest.select("ref_id", "source", "name").join(ends(k, "const_id"), ["source", "name"]).select("ref_id", "const_id"))
+    term = lambda df, i: df.select(i, "source", F.explode(F.array_distinct("terms")).alias("term"))
+    by_term = term(rest, "ref_id").join(term(constants, "const_id"), ["source", "term"]).groupBy("ref_id", "const_id").agg(F.count("*").alias("n"))
+    met = by_end.distinct().select("ref_id", "const_id", F.lit(60).alias("points")).union(by_term.select("ref_id", "const_id", (20 * F.col("n")).cast("int")))
+    met = met.groupBy("ref_id", "const_id").agg(F.sum("points").alias("points")).join(rest.select("ref_id", "line"), "ref_id").join(constants.select("const_id", F.col("line").alias("const_line")), "const_id")
     d = F.abs(F.col("line") - F.col("const_line"))
-    near = F.when(d == 0, 10).when(d <= 3, 6).when(d <= 8, 3).otherwise(0)
-    scored = rest.join(c, ["source", "suffix"]).select("ref_id", "const_id", (60 - F.least(d, F.lit(40)) + near).cast("int").alias("score")).where("score > 0")
+    near = F.when(d.isNull(), 0).otherwise(F.when(d == 0, 10).when(d <= 3, 6).when(d <= 8, 3).otherwise(0) - F.least(d, F.lit(40)))
+    scored = met.select("ref_id", "const_id", (F.col("points") + near).cast("int").alias("score")).where("score > 0")
     return top_per_key(exact.union(scored), ["ref_id"], [F.desc("score"), "const_id"], 1).drop("rank")
 
 
+
 def bilingual_number_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     """Each left number (chunk, pos, value) with the first right number of equal value in its chunk."""
     first = right.groupBy("chunk", "value").agg(F.min("pos").alias("right_pos"))
@@ -211,13 +310,33 @@ def select_units(manifest: DataFrame, units: DataFrame) -> DataFrame:
 
 
 def bind_claims(anchors: DataFrame, claims: DataFrame) -> DataFrame:
-    """Claims of an anchor's chunks: direct by mention or title; by family only where none is direct."""
-    each = anchors.select("anchor", "family", "title", F.explode("chunks").alias("chunk"))
-    j = each.join(claims.withColumnRenamed("family", "claim_family"), "chunk")
-    direct = F.contains(F.col("text"), F.col("title"))
-    j = j.withColumn("direct", direct.cast("int")).withColumn("any", F.max("direct").over(Window.partitionBy("anchor")))
-    status = F.when(F.col("direct") == 1, "direct").when((F.col("any") == 0) & (F.col("family") == F.col("claim_family")), "family")
-    return j.withColumn("status", status).where("status IS NOT NULL").select("anchor", "claim_id", "status").distinct()
+    """Per anchor the claims of its chunks that belong to it: (anchor, claim_ids, status, reason).
+
+    ``anchors``: anchor, system, chunks, mention (the id as texts write it), title, heading, family,
+    distinctive, n_mentions (ids that its own text names), table_like. ``claims``: claim_id, system,
+    chunk, family, text, distinctive, strict. Strict claims of the same system are direct if they name
+    the id (no digit after it), the title (case and spaces aside) or the heading. Where none is, those of
+    the anchor's known family that share a distinctive term count, unless the text names several ids.
+    Without a claim: commentary_only for tables, claim_exists_but_not_bound, no_claim_extracted."""
+    each = anchors.select("anchor", "system", "mention", T.normalize_ws(F.lower("title")).alias("title"), "heading", F.col("family").alias("own_family"), F.col("distinctive").alias("own"), "n_mentions", F.explode("chunks").alias("chunk"))
+    j = each.distinct().join(claims, ["system", "chunk"])
+    named = lambda x: F.coalesce((F.length(x) > 0) & F.contains("text", F.col(x)), F.lit(False))
+    mention = F.coalesce(F.regexp_like("text", F.concat(F.lit("\\Q"), "mention", F.lit("\\E(?![0-9])"))), F.lit(False))
+    titled = F.coalesce((F.length("title") > 0) & F.contains(T.normalize_ws(F.lower("text")), F.col("title")), F.lit(False))
+    direct = F.col("strict") & (mention | titled | named("heading"))
+    like = F.col("strict") & F.coalesce(F.col("family") == F.col("own_family"), F.lit(False)) & (F.col("n_mentions") <= 1) & F.arrays_overlap("distinctive", "own")
+    ids = lambda c: F.array_sort(F.collect_set(F.when(c, F.col("claim_id"))))
+    bound = j.groupBy("anchor").agg(ids(direct).alias("direct"), ids(like).alias("like"))
+    b = anchors.select("anchor", "table_like").join(bound, "anchor", "left")
+    has = lambda c: F.coalesce(F.size(c) > 0, F.lit(False))
+    reason = (
+        F.when(has("direct"), "direct_proc_binding").when(has("like"), "family_distinctive_fallback").when(F.col("table_like"), "commentary_only")
+        .when(F.col("direct").isNotNull(), "claim_exists_but_not_bound").otherwise("no_claim_extracted")
+    )
+    status = F.when(has("direct"), "bound").when(has("like"), "needs_review").otherwise(reason)
+    none = F.array().cast(f"array<{dict(claims.dtypes)['claim_id']}>")
+    return b.select("anchor", F.when(has("direct"), F.col("direct")).otherwise(F.coalesce("like", none)).alias("claim_ids"), status.alias("status"), reason.alias("reason"))
+
 
 
 def relocate_anchor(mentions: DataFrame, docs: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,17 +20,33 @@ def visible(log: DataFrame, lineage: DataFrame) -> DataFrame:
 def active_history(history: DataFrame, key: str) -> DataFrame:
     """Entries (key, id, reverts) that no later entry, itself not reverted, points back to.
 
-    An undo counts only if it stands, so chains of undos are settled from the newest in
-    rounds: an entry is settled once all entries that point to it are."""
+    An undo counts only if it stands. An entry with an undo that stands does not; one whose undos all
+    fell does. One that waits for a single undo stands exactly if that does not, so it is linked to it,
+    and links double their reach each round: a chain of n undos settles in about log n rounds. Settled
+    entries are written once."""
     known = materialize(history.select(key, "id", "reverts"), "history")
-    back = known.where("reverts IS NOT NULL AND reverts < id").select(key, F.col("reverts").alias("target"), F.col("id").alias("by"))
-    state = materialize(known.select(key, "id").join(back.select(key, F.col("target").alias("id")).distinct().withColumn("open", F.lit(True)), [key, "id"], "left").select(key, "id", F.when(F.col("open").isNull(), True).alias("stands")), "stands")
-    while not state.where("stands IS NULL").isEmpty():
-        by = back.join(state.select(key, F.col("id").alias("by"), F.col("stands").alias("by_stands")), [key, "by"])
-        verdict = by.groupBy(key, F.col("target").alias("id")).agg(F.bool_or("by_stands").alias("undone"), F.count_if(F.col("by_stands").isNull()).alias("unsettled"))
-        decided = verdict.select(key, "id", F.when(F.col("undone"), False).when(F.col("unsettled") == 0, True).alias("verdict"))
-        state = materialize(state.join(decided, [key, "id"], "left").select(key, "id", F.coalesce("stands", "verdict").alias("stands")), "stands")
-    return state
+    back = materialize(known.where("reverts IS NOT NULL AND reverts < id").select(key, F.col("reverts").alias("id"), F.col("id").alias("by")).join(known.select(key, "id"), [key, "id"], "left_semi"), "undos")
+    settled = [materialize(known.select(key, "id").join(back.select(key, "id"), [key, "id"], "left_anti").withColumn("stands", F.lit(True)), "settled")]
+    undos, links, n = back, None, back.count()
+    while n:
+        done = reduce(DataFrame.union, settled)
+        # entries that wait for several undos: those that fell no longer count, one that stands decides
+        open_ = undos.join(done.select(key, F.col("id").alias("by"), "stands"), [key, "by"], "left")
+        left = open_.groupBy(key, "id").agg(F.coalesce(F.bool_or("stands"), F.lit(False)).alias("undone"), F.count_if(F.col("stands").isNull()).alias("n"), F.max(F.when(F.col("stands").isNull(), F.col("by"))).alias("to"))
+        left = materialize(left, "waiting")
+        new = [left.where("undone OR n = 0").select(key, "id", (~F.col("undone")).alias("stands"))]
+        fresh = left.where("NOT undone AND n = 1").select(key, "id", "to", F.lit(True).alias("flip"))
+        every = fresh if links is None else links.union(fresh)
+        ahead = every.select(key, F.col("id").alias("to"), F.col("to").alias("next"), F.col("flip").alias("_flip"))
+        every = every.join(ahead, [key, "to"], "left").select(key, "id", F.coalesce("next", "to").alias("to"), (F.col("flip") != F.coalesce("_flip", F.lit(False))).alias("flip"))
+        met = materialize(every.join(done.select(key, F.col("id").alias("to"), "stands"), [key, "to"], "left"), "links")
+        new.append(met.where("stands IS NOT NULL").select(key, "id", (F.col("stands") != F.col("flip")).alias("stands")))
+        links = met.where("stands IS NULL").select(key, "id", "to", "flip")
+        undos = materialize(open_.where("stands IS NULL").join(left.where("NOT undone AND n > 1").select(key, "id"), [key, "id"], "left_semi").select(key, "id", "by"), "undos")
+        settled.append(materialize(reduce(DataFrame.union, new), "settled"))
+        n = undos.count() + links.count()
+    return reduce(DataFrame.union, settled)
+
 
 
 def replay_decisions(log: DataFrame, depends: DataFrame) -> DataFrame:

@@ -67,18 +67,17 @@ def a6(t):
 
 PAIRS = """
 SELECT l_returnflag || '-' || l_linestatus || '-' || l_partkey % 600 AS "left", o_orderpriority AS "right", o_orderkey AS chunk,
-       CASE l_linenumber % 4 WHEN 0 THEN 'cooccurrence' WHEN 1 THEN 'single' WHEN 2 THEN 'ordinal' ELSE 'near' END AS strength FROM lineitem JOIN orders ON l_orderkey = o_orderkey"""
+       ['single', 'ordinal', 'near', 'preset', 'one_to_many', 'cooccurrence'][6 - l_linenumber % (l_partkey % 6 + 1)] AS strength FROM lineitem JOIN orders ON l_orderkey = o_orderkey"""
 
 
 @query("a7_pair_aggregate", f"""
 WITH p AS ({PAIRS}), g AS (SELECT "left", "right", count(*) AS n, count(DISTINCT chunk) AS n_chunks, count(*) FILTER (WHERE strength = 'single') AS single, count(*) FILTER (WHERE strength = 'ordinal') AS ordinal,
-   count(*) FILTER (WHERE strength = 'near') AS near, count(*) FILTER (WHERE strength = 'cooccurrence') AS cooccurrence FROM p GROUP BY ALL)
-SELECT *, CASE WHEN single > 0 THEN 'single' WHEN ordinal > 0 THEN 'ordinal' WHEN near > 0 THEN 'near' ELSE 'cooccurrence' END AS best,
+   count(*) FILTER (WHERE strength = 'near') AS near, count(*) FILTER (WHERE strength = 'preset') AS preset, count(*) FILTER (WHERE strength = 'one_to_many') AS one_to_many, count(*) FILTER (WHERE strength = 'cooccurrence') AS cooccurrence FROM p GROUP BY ALL)
+SELECT *, CASE WHEN single > 0 THEN 'single' WHEN ordinal > 0 THEN 'ordinal' WHEN near > 0 THEN 'near' WHEN preset > 0 THEN 'preset' WHEN one_to_many > 0 THEN 'one_to_many' ELSE 'cooccurrence' END AS best,
        (3 * n_chunks + 8 * single + 6 * ordinal + 3 * near + {SPECIFICITY.format('"left"')})::DOUBLE AS priority FROM g""")
 def a7(t):
     p = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    k = F.col("l_linenumber") % 4
-    s = F.when(k == 0, "cooccurrence").when(k == 1, "single").when(k == 2, "ordinal").otherwise("near")
+    s = F.get(F.array(*map(F.lit, A.STRENGTHS)), (5 - F.col("l_linenumber") % (F.col("l_partkey") % 6 + 1)).cast("int"))
     return A.pair_aggregate(p.select(F.concat_ws("-", "l_returnflag", "l_linestatus", F.col("l_partkey") % 600).alias("left"), F.col("o_orderpriority").alias("right"), F.col("o_orderkey").alias("chunk"), s.alias("strength")))
 
 
@@ -249,16 +248,18 @@ def a32(t):
 
 
 @query("a13_term_index", """
-WITH o AS (SELECT l_orderkey * 8 + l_linenumber AS id, l_partkey AS surface, CASE WHEN l_linenumber = 1 THEN 'maximal' ELSE 'component' END AS level, l_orderkey FROM lineitem),
-p AS (SELECT a.id, b.surface AS parent FROM o a JOIN o b ON a.l_orderkey = b.l_orderkey AND b.level = 'maximal' AND a.level = 'component'),
-d AS (SELECT surface, count(DISTINCT parent) AS n_parents, min(parent) AS first_parent FROM o JOIN p USING (id) GROUP BY surface),
+WITH RECURSIVE o AS (SELECT DISTINCT l_orderkey * 8 + l_linenumber AS id, l_partkey AS surface, CASE WHEN l_linenumber = 1 THEN 'maximal' ELSE 'component' END AS level, l_linenumber AS line FROM lineitem),
+p AS (SELECT DISTINCT a.id, a.id - a.line + a.line // 2 AS parent FROM o a WHERE line > 1 AND a.id - a.line + a.line // 2 IN (SELECT id FROM o)),
+r AS (SELECT id AS node, parent AS ancestor FROM p UNION SELECT r.node, p.parent FROM r JOIN p ON p.id = r.ancestor),
+d AS (SELECT surface, count(DISTINCT parent) AS n_parents, min(parent) AS first_parent FROM o JOIN p USING (id) GROUP BY surface), w AS (SELECT surface, count(DISTINCT ancestor) AS appears_in_compounds FROM o JOIN r ON id = node GROUP BY surface),
 c AS (SELECT surface, count(*) AS n, count(*) FILTER (WHERE level = 'maximal') AS n_maximal, count(*) FILTER (WHERE level = 'component') AS n_component FROM o GROUP BY surface)
-SELECT c.*, CASE WHEN n_maximal > 0 AND n_component > 0 THEN 'both' WHEN n_maximal > 0 THEN 'maximal' ELSE 'component' END AS kind, coalesce(n_parents, 0) AS n_parents, first_parent FROM c LEFT JOIN d USING (surface)""")
+SELECT c.*, coalesce(appears_in_compounds, 0) AS appears_in_compounds, CASE WHEN n_maximal > 0 AND n_component > 0 THEN 'both' WHEN n_maximal > 0 THEN 'maximal' ELSE 'component' END AS kind, coalesce(n_parents, 0) AS n_parents, first_parent FROM c LEFT JOIN d USING (surface) LEFT JOIN w USING (surface)""")
 def a13(t):
-    o = t("lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), F.col("l_partkey").alias("surface"), F.when(F.col("l_linenumber") == 1, "maximal").otherwise("component").alias("level"), "l_orderkey")
-    whole = o.where("level = 'maximal'").select("l_orderkey", F.col("surface").alias("parent"))
-    parents = o.where("level = 'component'").join(whole, "l_orderkey").select("id", "parent")
-    return A.term_index(o.drop("l_orderkey"), parents)
+    """Lines of an order as a tree of occurrences: line n stands in line n / 2."""
+    k, n = F.col("l_orderkey") * 8, F.col("l_linenumber")
+    o = t("lineitem").select((k + n).alias("id"), F.col("l_partkey").alias("surface"), F.when(n == 1, "maximal").otherwise("component").alias("level")).distinct()
+    parents = t("lineitem").where("l_linenumber > 1").select((k + n).alias("id"), (k + F.floor(n / 2)).alias("parent")).distinct()
+    return A.term_index(o, parents)
 
 
 @query("a11_procedure_bank", """

@@ -256,16 +256,19 @@ def c18(t):
     return L.resolve_spans(order_spans(t).withColumn("priority", c("id") % 3), "doc")
 
 
-@query("c21_reference_match", """
-WITH r AS (SELECT o_custkey AS doc, o_orderkey AS ref, o_orderkey % 300 AS s, o_orderkey % 300 + 80 AS e, o_orderstatus AS role, CASE WHEN o_orderkey % 6 = 2 THEN lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) END AS uses FROM orders WHERE o_orderkey % 2 = 0), v AS (SELECT o_custkey AS doc, o_orderkey AS event, o_orderkey % 300 AS s, o_orderkey % 300 + 20 AS e, o_orderstatus AS role, o_totalprice::BIGINT % 2 AS rd, o_totalprice::BIGINT // 2 % 2 AS wr FROM orders WHERE o_orderkey % 2 = 1),
-k AS (SELECT ref, r.doc, uses, event, r.role = v.role AS fits, rd, wr FROM r LEFT JOIN v ON r.doc = v.doc AND r.s <= v.s AND v.e <= r.e),
-a AS (SELECT ref, doc, count(event) AS n, count(*) FILTER (WHERE fits) AS p, min({'e': event, 'w': wr}) FILTER (WHERE fits) AS f FROM k WHERE uses IS NULL GROUP BY ALL),
-da AS (SELECT ref, doc, CASE WHEN p = 1 THEN 'match' WHEN p > 1 THEN 'ambiguous' WHEN n > 0 THEN 'mismatch' ELSE 'missing' END AS status, CASE WHEN p = 1 THEN f.e END AS event, CASE WHEN p = 1 THEN f.w END AS w FROM a),
-b AS (SELECT k.ref, k.doc, count(k.event) AS n, count(*) FILTER (WHERE fits AND rd = w) AS p, min({'e': k.event, 'w': wr}) FILTER (WHERE fits AND rd = w) AS f FROM k JOIN da ON k.uses = da.ref AND da.status = 'match' GROUP BY ALL),
-db AS (SELECT ref, doc, CASE WHEN p = 1 THEN 'match' WHEN p > 1 THEN 'ambiguous' WHEN n > 0 THEN 'mismatch' ELSE 'missing' END AS status, CASE WHEN p = 1 THEN f.e END AS event, CASE WHEN p = 1 THEN f.w END AS w FROM b),
-g AS (SELECT k.ref, k.doc, count(k.event) AS n, count(*) FILTER (WHERE fits AND rd = w) AS p, min({'e': k.event, 'w': wr}) FILTER (WHERE fits AND rd = w) AS f FROM k JOIN db ON k.uses = db.ref AND db.status = 'match' GROUP BY ALL),
-dg AS (SELECT ref, doc, CASE WHEN p = 1 THEN 'match' WHEN p > 1 THEN 'ambiguous' WHEN n > 0 THEN 'mismatch' ELSE 'missing' END AS status, CASE WHEN p = 1 THEN f.e END AS event FROM g),
-u AS (SELECT ref, status, event FROM da UNION ALL SELECT ref, status, event FROM db UNION ALL SELECT ref, status, event FROM dg)
+def _bound_levels(most: int) -> str:
+    """SQL of the statuses of steps, one level of bound names after the other."""
+    found = "count({k}event) AS n, count(*) FILTER (WHERE {ok}) AS p, min({{'e': {k}event, 'w': wr}}) FILTER (WHERE {ok}) AS f"
+    status = "CASE WHEN p = 1 THEN 'match' WHEN p > 1 THEN 'ambiguous' WHEN n > 0 THEN 'mismatch' ELSE 'missing' END AS status, CASE WHEN p = 1 THEN f.e END AS event, CASE WHEN p = 1 THEN f.w END AS w"
+    parts = [f"d0 AS (SELECT ref, {status} FROM (SELECT ref, {found.format(k='', ok='fits')} FROM k WHERE uses IS NULL GROUP BY ref))"]
+    for n in range(1, most + 1):
+        parts.append(f"d{n} AS (SELECT ref, {status} FROM (SELECT k.ref, {found.format(k='k.', ok='fits AND rd = w')} FROM k JOIN d{n - 1} d ON k.uses = d.ref AND d.status = 'match' GROUP BY k.ref))")
+    return ", ".join(parts) + ", u AS (" + " UNION ALL ".join(f"SELECT ref, status, event FROM d{n}" for n in range(most + 1)) + ")"
+
+
+@query("c21_reference_match", f"""
+WITH r AS (SELECT o_custkey AS doc, o_orderkey AS ref, o_orderkey % 300 AS s, o_orderkey % 300 + 80 AS e, o_orderstatus AS role, CASE WHEN o_orderkey % 6 = 2 THEN lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) END AS uses FROM orders WHERE o_orderkey % 2 = 0), v AS (SELECT o_custkey AS doc, o_orderkey AS event, o_orderkey % 300 AS s, o_orderkey % 300 + 20 AS e, o_orderstatus AS role, floor(o_totalprice)::BIGINT % 2 AS rd, floor(o_totalprice)::BIGINT // 2 % 2 AS wr FROM orders WHERE o_orderkey % 2 = 1),
+k AS (SELECT ref, r.doc, uses, event, r.role = v.role AS fits, rd, wr FROM r LEFT JOIN v ON r.doc = v.doc AND r.s <= v.s AND v.e <= r.e), {_bound_levels(10)}
 SELECT * FROM u UNION ALL SELECT ref, 'dependency_unavailable', NULL FROM r WHERE ref NOT IN (SELECT ref FROM u)""")
 def c21(t):
     from pyspark.sql import Window
@@ -274,7 +277,7 @@ def c21(t):
     o = t("orders").select(c("o_custkey").alias("doc"), k.alias("k"), (k % 300).alias("start"), c("o_orderstatus").alias("role"), c("o_totalprice").alias("price"))
     before = F.lag("k").over(Window.partitionBy("doc").orderBy("k"))
     ref = o.where("k % 2 = 0").select("doc", c("k").alias("ref"), "start", (c("start") + 80).alias("end"), "role", F.when(c("k") % 6 == 2, before).alias("uses"), c("k").alias("gives"))
-    whole = F.round("price").cast("long")
+    whole = F.floor("price")
     events = o.where("k % 2 = 1").select("doc", c("k").alias("event"), "start", (c("start") + 20).alias("end"), "role", (whole % 2).alias("reads"), (F.floor(whole / 2) % 2).alias("writes"))
     return C.reference_match(ref, events)
 

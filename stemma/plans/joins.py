@@ -77,9 +77,10 @@ _Q_CLAUSES = "list_filter(list_transform(string_split(text, '.'), lambda s: arra
 
 @query("j5_quote_to_source", f"""
 WITH q AS ({_grams('benchmark', 'item_id')}), s AS ({_grams('documents', 'doc_id')}),
-m AS (SELECT q.id AS quote, s.id AS source, max(n) AS longest, count(*) AS n_shared FROM q JOIN s USING (n, g) GROUP BY ALL),
+z AS (SELECT q.id AS quote, s.id AS source, max(n) AS longest, count(*) AS n_shared FROM q JOIN s USING (n, g) GROUP BY ALL),
 qt AS (SELECT item_id AS quote, ' ' || array_to_string({_Q_WORDS}, ' ') || ' ' AS q_text, array_to_string(list_slice({_Q_WORDS}, 1, 2), ' ') AS title, {_Q_CLAUSES} AS cl, [item_id % 7] AS qc, item_id / (SELECT max(item_id) FROM benchmark) AS qp FROM benchmark),
 st AS (SELECT doc_id AS source, ' ' || array_to_string({_Q_WORDS}, ' ') || ' ' AS s_text, [doc_id % 7] AS sc, doc_id / (SELECT max(doc_id) FROM documents) AS sp FROM documents),
+m AS (SELECT quote, source, coalesce(longest, 0) AS longest, coalesce(n_shared, 0) AS n_shared FROM qt CROSS JOIN st LEFT JOIN z USING (quote, source) WHERE longest IS NOT NULL OR (length(title) > 0 AND contains(s_text, ' ' || title || ' ')) OR len(list_filter(cl, lambda x: length(x) >= 8 AND contains(s_text, ' ' || x || ' '))) > 0),
 f AS (SELECT quote, source, longest, n_shared, length(title) > 0 AND contains(s_text, ' ' || title || ' ') AS titled, list_filter(list_distinct(cl), lambda x: length(x) >= 8 AND contains(s_text, ' ' || x || ' ')) AS met, len(list_filter(cl, lambda x: length(x) < 8 AND contains(s_text, ' ' || x || ' '))) AS ng, len(list_intersect(qc, sc)) AS nc,
   {" + ".join(f"(contains(q_text, ' {p} ') AND contains(s_text, ' {p} '))::INT" for p in PHRASES)} AS no, greatest(0, 10 - round(abs(qp - sp) * 20))::INT AS place FROM m JOIN qt USING (quote) JOIN st USING (source)),
 x AS (SELECT *, coalesce(list_max(list_transform(met, lambda x: length(x))), 0) AS lc, len(met) AS n_clauses FROM f),
@@ -114,34 +115,57 @@ def j6(t):
 
 
 @query("j7_bind_claims", """
-WITH a AS (SELECT o_orderkey AS anchor, o_orderpriority AS family, o_orderkey::VARCHAR AS title, [o_custkey, o_custkey + 1] AS chunks FROM orders),
-k AS (SELECT o_orderkey * 3 AS claim_id, o_custkey AS chunk, o_orderpriority AS family, 'order ' || (o_orderkey - o_orderkey % 2) AS text FROM orders),
-j AS (SELECT anchor, claim_id, a.family, k.family AS kf, contains(text, title) AS d FROM (SELECT *, unnest(chunks) AS chunk FROM a) a JOIN k USING (chunk)),
-w AS (SELECT *, bool_or(d) OVER (PARTITION BY anchor) AS any_d FROM j)
-SELECT DISTINCT anchor, claim_id, CASE WHEN d THEN 'direct' ELSE 'family' END AS status FROM w WHERE d OR (NOT any_d AND family = kf)""")
+WITH a AS (SELECT o_orderkey AS anchor, o_orderstatus AS system, 'Proc. ' || o_orderkey % 1000 AS mention, CASE WHEN o_orderkey % 3 = 0 THEN 'Title ' || o_orderkey % 50 ELSE '' END AS title, CASE WHEN o_orderkey % 7 = 0 THEN 'H' || o_orderkey % 20 END AS heading,
+  CASE WHEN o_orderkey % 5 <> 0 THEN o_orderpriority END AS family, ['d' || o_orderkey % 13, 'e' || o_orderkey % 11] AS own, o_orderkey % 3 AS n_mentions, o_orderkey % 17 = 0 AS table_like, [o_custkey, o_custkey + 1] AS chunks FROM orders),
+k AS (SELECT o_orderkey * 3 AS claim_id, o_custkey AS chunk, o_orderstatus AS system, o_orderpriority AS family, ['d' || o_orderkey % 13] AS dis, o_orderkey % 6 <> 5 AS strict,
+  CASE o_orderkey % 4 WHEN 0 THEN 'see Proc. ' || o_orderkey % 1000 || '.' WHEN 1 THEN 'the  TITLE ' || o_orderkey % 50 || ' of' WHEN 2 THEN 'in H' || o_orderkey % 20 ELSE 'Proc. ' || o_orderkey % 1000 || '7' END AS text FROM orders),
+j AS (SELECT anchor, claim_id, strict AND (regexp_matches(text, regexp_escape(mention) || '([^0-9]|$)') OR (title <> '' AND contains(regexp_replace(lower(text), ' +', ' ', 'g'), lower(title))) OR coalesce(contains(text, heading), false)) AS d,
+  strict AND coalesce(a.family = k.family, false) AND n_mentions <= 1 AND list_has_any(own, dis) AS f FROM (SELECT *, unnest(chunks) AS chunk FROM a) a JOIN k USING (system, chunk)),
+g AS (SELECT anchor, coalesce(list(DISTINCT claim_id ORDER BY claim_id) FILTER (WHERE d), []) AS d, coalesce(list(DISTINCT claim_id ORDER BY claim_id) FILTER (WHERE f), []) AS f FROM j GROUP BY anchor),
+r AS (SELECT anchor, d, f, CASE WHEN len(d) > 0 THEN 'direct_proc_binding' WHEN len(f) > 0 THEN 'family_distinctive_fallback' WHEN table_like THEN 'commentary_only' WHEN d IS NOT NULL THEN 'claim_exists_but_not_bound' ELSE 'no_claim_extracted' END AS reason FROM a LEFT JOIN g USING (anchor))
+SELECT anchor, CASE WHEN len(d) > 0 THEN d ELSE coalesce(f, []) END AS claim_ids, CASE WHEN len(d) > 0 THEN 'bound' WHEN len(f) > 0 THEN 'needs_review' ELSE reason END AS status, reason FROM r""")
 def j7(t):
+    """Orders as anchors and as claims of their customers' chunks."""
     o, k = t("orders"), c("o_orderkey")
-    anchors = o.select(k.alias("anchor"), c("o_orderpriority").alias("family"), k.cast("string").alias("title"), F.array("o_custkey", c("o_custkey") + 1).alias("chunks"))
-    claims = o.select((k * 3).alias("claim_id"), c("o_custkey").alias("chunk"), c("o_orderpriority").alias("family"), F.concat(F.lit("order "), k - k % 2).alias("text"))
+    tag = lambda x, n: F.concat(F.lit(x), k % n)
+    anchors = o.select(
+        k.alias("anchor"), c("o_orderstatus").alias("system"), tag("Proc. ", 1000).alias("mention"), F.when(k % 3 == 0, tag("Title ", 50)).otherwise("").alias("title"), F.when(k % 7 == 0, tag("H", 20)).alias("heading"),
+        F.when(k % 5 != 0, c("o_orderpriority")).alias("family"), F.array(tag("d", 13), tag("e", 11)).alias("distinctive"), (k % 3).alias("n_mentions"), (k % 17 == 0).alias("table_like"), F.array("o_custkey", c("o_custkey") + 1).alias("chunks"),
+    )
+    text = F.when(k % 4 == 0, F.concat(tag("see Proc. ", 1000), F.lit("."))).when(k % 4 == 1, F.concat(tag("the  TITLE ", 50), F.lit(" of"))).when(k % 4 == 2, tag("in H", 20)).otherwise(F.concat(tag("Proc. ", 1000), F.lit("7")))
+    claims = o.select((k * 3).alias("claim_id"), c("o_custkey").alias("chunk"), c("o_orderstatus").alias("system"), c("o_orderpriority").alias("family"), F.array(tag("d", 13)).alias("distinctive"), (k % 6 != 5).alias("strict"), text.alias("text"))
     return J.bind_claims(anchors, claims)
 
 
 @query("j8_source_alignment", """
-WITH a AS (SELECT o_orderkey AS anchor, o_custkey % 50 AS system, CASE o_orderkey % 40 WHEN 0 THEN 'blue ring' WHEN 1 THEN 'ring' ELSE 'method ' || o_orderkey END AS title, CASE WHEN o_orderkey % 5 <> 0 THEN 'f' || o_orderkey % 4 END AS family, ['t' || o_orderkey % 97, 'u' || o_orderkey % 89] AS terms, ['o' || o_orderkey % 3, o_orderstatus] AS ops, CASE WHEN o_orderkey % 50 = 0 THEN [o_orderkey % 2000] ELSE [] END AS hints, [o_orderkey % 2000] AS linked FROM orders),
-s AS (SELECT p_partkey AS span, p_size - 1 AS system, p_name AS title, 'f' || p_partkey % 4 AS family, ['t' || p_partkey % 97, 'u' || p_partkey % 89] AS terms, ['o' || p_partkey % 3, 'F'] AS ops FROM part),
-j AS (SELECT anchor, span, contains(a.title, s.title) OR contains(s.title, a.title) AS titled, coalesce(a.family = s.family, false) AS same, len(list_intersect(a.terms, s.terms)) AS nt, len(list_intersect(a.ops, s.ops)) AS no, list_contains(linked, span) AS link FROM a JOIN s USING (system) WHERE len(hints) = 0),
+WITH a AS (SELECT o_orderkey AS anchor, o_custkey % 50 AS system, CASE o_orderkey % 40 WHEN 0 THEN 'blue ring' WHEN 1 THEN 'ring' WHEN 2 THEN 'lue ri' WHEN 3 THEN 'Another method' WHEN 4 THEN 'redring' WHEN 5 THEN '' ELSE 'method ' || o_orderkey END AS title, CASE WHEN o_orderkey % 5 <> 0 THEN 'f' || o_orderkey % 4 END AS family, ['t' || o_orderkey % 97, 'u' || o_orderkey % 89] AS terms, ['o' || o_orderkey % 3, o_orderstatus] AS ops, CASE WHEN o_orderkey % 50 = 0 THEN [o_orderkey % 2000] ELSE [] END AS hints, [o_orderkey % 2000] AS linked FROM orders),
+s AS (SELECT p_partkey AS span, p_size - 1 AS system, CASE WHEN p_partkey % 9 = 0 THEN 'ring' ELSE p_name END AS title, CASE WHEN p_partkey % 11 <> 0 THEN 'f' || p_partkey % 4 END AS family, ['t' || p_partkey % 97, 'u' || p_partkey % 89] AS terms, ['o' || p_partkey % 3, 'F'] AS ops FROM part),
+j AS (SELECT anchor, span, a.title, a.title <> '' AND s.title <> '' AND (contains(a.title, s.title) OR contains(s.title, a.title)) AS titled, coalesce(a.family = s.family, false) AS same, len(list_filter(list_intersect(a.terms, s.terms), lambda x: x NOT IN ('t0', 'u0', 't1', 't2'))) AS nt, len(list_intersect(a.ops, s.ops)) AS no, list_contains(linked, span) AS link FROM a JOIN s USING (system) WHERE len(hints) = 0),
 k AS (SELECT *, 8 * same::INT + 10 * titled::INT + 4 * nt + 2 * no + 6 * link::INT AS score FROM j WHERE titled OR nt > 0 OR (same AND no > 0)),
 r AS (SELECT *, row_number() OVER w AS r, lead(score) OVER w AS nx, bool_or(titled) OVER (PARTITION BY anchor) AS any_t FROM k WINDOW w AS (PARTITION BY anchor ORDER BY score DESC, span)),
-f AS (SELECT anchor, unnest(hints) AS span, 100 AS score, 'manual' AS status FROM a UNION ALL SELECT anchor, span, score, 'inferred' FROM r WHERE titled OR (NOT any_t AND r = 1 AND same AND nt > 0 AND no > 0 AND score >= 16 AND (nx IS NULL OR score - nx >= 4)))
+f AS (SELECT anchor, unnest(hints) AS span, 100 AS score, 'manual' AS status FROM a UNION ALL SELECT anchor, span, score, 'inferred' FROM r WHERE titled OR (NOT any_t AND r = 1 AND same AND nt > 0 AND no > 0 AND score >= 16 AND lower(title) <> 'another method' AND (nx IS NULL OR score - nx >= 4)))
 SELECT anchor, span, score, status FROM f UNION ALL SELECT anchor, NULL, NULL, CASE WHEN anchor IN (SELECT anchor FROM r) THEN 'needs_review' ELSE 'no_candidate' END FROM a WHERE anchor NOT IN (SELECT anchor FROM f)""")
 def j8(t):
+    """Orders as anchors and parts as spans; titles without spaces may hold one another."""
     k = c("o_orderkey")
     tag = lambda x, col, n: F.concat(F.lit(x), col % n)
-    title = F.when(k % 40 == 0, "blue ring").when(k % 40 == 1, "ring").otherwise(F.concat(F.lit("method "), k))
+    title = F.concat(F.lit("method "), k)
+    for i, name in enumerate(["blue ring", "ring", "lue ri", "Another method", "redring", ""]):
+        title = F.when(k % 40 == i, name).otherwise(title)
     anchors = t("orders").select(k.alias("anchor"), (c("o_custkey") % 50).cast("int").alias("system"), title.alias("title"), F.when(k % 5 != 0, tag("f", k, 4)).alias("family"), F.array(tag("t", k, 97), tag("u", k, 89)).alias("terms"), F.array(tag("o", k, 3), "o_orderstatus").alias("ops"), F.when(k % 50 == 0, F.array(k % 2000)).otherwise(F.array().cast("array<bigint>")).alias("hints"), F.array(k % 2000).alias("linked"))
     p = c("p_partkey")
-    spans = t("part").select(p.alias("span"), (c("p_size") - 1).cast("int").alias("system"), c("p_name").alias("title"), tag("f", p, 4).alias("family"), F.array(tag("t", p, 97), tag("u", p, 89)).alias("terms"), F.array(tag("o", p, 3), F.lit("F")).alias("ops"))
-    return J.source_alignment(anchors, spans)
+    spans = t("part").select(p.alias("span"), (c("p_size") - 1).cast("int").alias("system"), F.when(p % 9 == 0, "ring").otherwise(c("p_name")).alias("title"), F.when(p % 11 != 0, tag("f", p, 4)).alias("family"), F.array(tag("t", p, 97), tag("u", p, 89)).alias("terms"), F.array(tag("o", p, 3), F.lit("F")).alias("ops"))
+    return J.source_alignment(anchors, spans, ["t0", "u0", "t1", "t2"])
+
+
+@query("j8_contained_titles", """
+WITH a AS (SELECT o_orderkey AS text_id, o_orderpriority || '-' || o_orderkey % 300 AS text FROM orders), b AS (SELECT s_suppkey AS needle_id, CASE s_suppkey % 4 WHEN 0 THEN 'H-' || s_suppkey % 40 WHEN 1 THEN (s_suppkey % 9)::VARCHAR WHEN 2 THEN 'NOT SPECIFIED-' || s_suppkey ELSE 'zz' END AS needle FROM supplier)
+SELECT text_id, needle_id FROM a JOIN b ON contains(text, needle)""")
+def j8_contained(t):
+    """Which texts hold which needles, of one letter and more."""
+    s = c("s_suppkey")
+    needle = F.when(s % 4 == 0, F.concat(F.lit("H-"), s % 40)).when(s % 4 == 1, (s % 9).cast("string")).when(s % 4 == 2, F.concat(F.lit("NOT SPECIFIED-"), s)).otherwise("zz")
+    return J.contained_in(t("orders").select(c("o_orderkey").alias("text_id"), F.concat("o_orderpriority", F.lit("-"), c("o_orderkey") % 300).alias("text")), t("supplier").select(s.alias("needle_id"), needle.alias("needle")), [])
 
 
 @query("j9_strongest_claim_for_term", """
@@ -155,14 +179,18 @@ def j9(t):
 
 
 @query("j10_constant_for_name", """
-WITH r AS (SELECT p_partkey AS ref_id, p_brand AS source, CASE WHEN p_partkey % 4 = 0 THEN 'old ' || p_name ELSE p_name END AS name, p_partkey % 50 AS line FROM part WHERE p_partkey % 2 = 0), k AS (SELECT p_partkey AS const_id, p_brand AS source, p_name AS name, p_partkey % 50 AS line FROM part WHERE p_partkey % 2 = 1),
-e AS (SELECT ref_id, const_id, 100 AS score FROM r JOIN k ON r.name = k.name),
-s AS (SELECT ref_id, const_id, 60 - least(abs(r.line - k.line), 40) + CASE WHEN r.line = k.line THEN 10 WHEN abs(r.line - k.line) <= 3 THEN 6 WHEN abs(r.line - k.line) <= 8 THEN 3 ELSE 0 END AS score FROM r JOIN k ON r.source = k.source AND string_split(r.name, ' ')[-1] = string_split(k.name, ' ')[-1] WHERE ref_id NOT IN (SELECT ref_id FROM e)),
-a AS (SELECT *, row_number() OVER (PARTITION BY ref_id ORDER BY score DESC, const_id) AS n FROM (SELECT * FROM e UNION ALL SELECT * FROM s WHERE score > 0)) SELECT ref_id, const_id, score FROM a WHERE n = 1""")
+WITH p AS (SELECT p_partkey AS id, p_brand AS source, CASE p_partkey % 8 WHEN 0 THEN 'old ' || p_name WHEN 1 THEN 'lue ring' ELSE p_name END AS name, string_split(p_name, ' ') || CASE WHEN p_partkey % 5 < 2 THEN [p_type] ELSE [] END AS terms, CASE WHEN p_partkey % 9 <> 0 THEN p_partkey % 50 END AS line FROM part),
+r AS (SELECT id AS ref_id, * EXCLUDE id FROM p WHERE id % 2 = 0), k AS (SELECT id AS const_id, * EXCLUDE id FROM p WHERE id % 2 = 1),
+e AS (SELECT ref_id, const_id, 100 AS score FROM r JOIN k ON r.name = k.name AND r.source = k.source),
+s AS (SELECT ref_id, const_id, 60 * (ends_with(r.name, k.name) OR ends_with(k.name, r.name))::INT + 20 * len(list_intersect(r.terms, k.terms)) AS points, abs(r.line - k.line) AS d FROM r JOIN k ON r.source = k.source WHERE ref_id NOT IN (SELECT ref_id FROM e)),
+z AS (SELECT ref_id, const_id, points + CASE WHEN d IS NULL THEN 0 ELSE CASE WHEN d = 0 THEN 10 WHEN d <= 3 THEN 6 WHEN d <= 8 THEN 3 ELSE 0 END - least(d, 40) END AS score FROM s WHERE points > 0),
+a AS (SELECT *, row_number() OVER (PARTITION BY ref_id ORDER BY score DESC, const_id) AS n FROM (SELECT * FROM e UNION ALL SELECT * FROM z WHERE score > 0)) SELECT ref_id, const_id, score FROM a WHERE n = 1""")
 def j10(t):
-    p = t("part").select(c("p_partkey").alias("id"), c("p_brand").alias("source"), c("p_name").alias("name"), (c("p_partkey") % 50).alias("line"))
-    named = F.when(c("id") % 4 == 0, F.concat(F.lit("old "), "name")).otherwise(c("name"))
-    return J.constant_for_name(p.where("id % 2 = 0").withColumn("name", named).withColumnRenamed("id", "ref_id"), p.where("id % 2 = 1").withColumnRenamed("id", "const_id"))
+    k = c("p_partkey")
+    terms = F.concat(F.split("p_name", " "), F.when(k % 5 < 2, F.array("p_type")).otherwise(F.array().cast("array<string>")))
+    name = F.when(k % 8 == 0, F.concat(F.lit("old "), "p_name")).when(k % 8 == 1, "lue ring").otherwise(c("p_name"))
+    p = t("part").select(k.alias("id"), c("p_brand").alias("source"), name.alias("name"), terms.alias("terms"), F.when(k % 9 != 0, k % 50).alias("line"))
+    return J.constant_for_name(p.where("id % 2 = 0").withColumnRenamed("id", "ref_id"), p.where("id % 2 = 1").withColumnRenamed("id", "const_id"))
 
 
 @query("j11_bilingual_number_pairs", """

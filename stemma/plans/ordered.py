@@ -114,15 +114,15 @@ def w12(t):
 
 
 @query("d2_snapshot_diff", """
-WITH b AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_quantity, l_discount) AS occurrence FROM (SELECT l_orderkey, l_linenumber, l_quantity, l_discount FROM lineitem WHERE l_orderkey % 5 <> 0)),
-a AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_quantity, l_discount) AS occurrence FROM (SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 9 = 0 THEN l_quantity + 1 ELSE l_quantity END AS l_quantity, l_discount FROM lineitem WHERE l_orderkey % 7 <> 0)),
+WITH b AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_quantity, l_discount) AS occurrence FROM (SELECT l_orderkey, l_linenumber, l_quantity, l_discount FROM lineitem WHERE l_orderkey % 5 <> 0 OR l_orderkey % 7 = 0)),
+a AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_quantity, l_discount) AS occurrence FROM (SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 9 = 0 THEN l_quantity + 1 ELSE l_quantity END AS l_quantity, l_discount FROM lineitem WHERE l_orderkey % 7 <> 0 OR l_orderkey % 5 = 0)),
 j AS (SELECT l_orderkey, l_linenumber, occurrence, b.l_quantity AS bq, a.l_quantity AS aq, b.l_discount AS bd, a.l_discount AS ad FROM b FULL JOIN a USING (l_orderkey, l_linenumber, occurrence)),
 x AS (SELECT *, CASE WHEN bq IS NULL OR aq IS NULL THEN []::VARCHAR[] ELSE list_filter([CASE WHEN bq <> aq THEN 'l_quantity' END, CASE WHEN bd <> ad THEN 'l_discount' END], lambda v: v IS NOT NULL) END AS changed FROM j)
 SELECT l_orderkey, l_linenumber, occurrence, CASE WHEN bq IS NULL THEN 'added' WHEN aq IS NULL THEN 'removed' WHEN len(changed) > 0 THEN 'changed' ELSE 'unchanged' END AS status, changed FROM x""")
 def d2(t):
     i = t("lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_partkey")
-    after = i.where("l_orderkey % 7 != 0").withColumn("l_quantity", F.when(c("l_partkey") % 9 == 0, c("l_quantity") + 1).otherwise(c("l_quantity")))
-    return D.snapshot_diff(i.where("l_orderkey % 5 != 0"), after, ["l_orderkey", "l_linenumber"], ["l_quantity", "l_discount"])
+    after = i.where("l_orderkey % 7 != 0 OR l_orderkey % 5 = 0").withColumn("l_quantity", F.when(c("l_partkey") % 9 == 0, c("l_quantity") + 1).otherwise(c("l_quantity")))
+    return D.snapshot_diff(i.where("l_orderkey % 5 != 0 OR l_orderkey % 7 = 0"), after, ["l_orderkey", "l_linenumber"], ["l_quantity", "l_discount"])
 
 
 @query("d1_overlap_ratio", """
@@ -140,18 +140,23 @@ def d3(t):
 
 @query("d4_partition_diff", """
 WITH i AS (SELECT l_orderkey AS doc, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice) AS pos, floor(l_quantity)::BIGINT AS length, l_returnflag AS type FROM lineitem),
-f AS (SELECT doc, CASE WHEN pos % 4 = 1 THEN pos - 1 ELSE pos END AS pos, sum(length)::BIGINT AS length, min(type) AS type FROM i GROUP BY ALL),
-b AS (SELECT doc, sum(length) OVER (PARTITION BY doc ORDER BY pos) AS pt, type, 'base' AS side FROM i), g AS (SELECT doc, sum(length) OVER (PARTITION BY doc ORDER BY pos) AS pt, type, 'final' AS side FROM f),
+h AS (SELECT doc, CASE WHEN pos = 3 THEN 2 ELSE pos END AS pos, sum(length)::BIGINT AS length, min(type) AS type FROM i GROUP BY ALL),
+f AS (SELECT doc, CASE WHEN (pos = 4 AND doc % 2 = 0) OR pos = 6 THEN pos - 1 ELSE pos END AS pos, sum(length)::BIGINT AS length, min(CASE WHEN pos = 1 AND doc % 3 = 0 THEN 'Z' ELSE type END) AS type FROM i GROUP BY ALL),
+b AS (SELECT doc, sum(length) OVER (PARTITION BY doc ORDER BY pos) AS pt, type, 'base' AS side FROM h), g AS (SELECT doc, sum(length) OVER (PARTITION BY doc ORDER BY pos) AS pt, type, 'final' AS side FROM f),
 m AS (SELECT doc, pt FROM b JOIN g USING (doc, pt)), e AS (SELECT x.doc, x.pt, x.type, x.side, count(m.pt) AS region FROM (SELECT * FROM b UNION ALL SELECT * FROM g) x LEFT JOIN m ON m.doc = x.doc AND m.pt < x.pt GROUP BY ALL),
 r AS (SELECT doc, region, count(*) FILTER (WHERE side = 'base') AS n_base, count(*) FILTER (WHERE side = 'final') AS n_final, max(type) FILTER (WHERE side = 'base') AS tb, max(type) FILTER (WHERE side = 'final') AS tf FROM e GROUP BY ALL),
 z AS (SELECT doc, region, n_base, n_final, CASE WHEN n_base = 1 AND n_final = 1 THEN CASE WHEN tb <> tf THEN 'set_type' END WHEN n_base > n_final THEN 'merge' WHEN n_base < n_final THEN 'split' ELSE 'resegment' END AS op FROM r) SELECT * FROM z WHERE op IS NOT NULL""")
 def d4(t):
-    """Orders as texts, cut by lines and by lines with every fourth boundary dropped."""
+    """Orders as texts, cut by lines: the base joins lines two and three, the final partition three and
+    four or none, and five and six, and retypes the first line of some."""
     from pyspark.sql import Window
 
+    p, d = c("pos"), c("doc")
     i = t("lineitem").select(c("l_orderkey").alias("doc"), F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_extendedprice")).alias("pos"), F.floor("l_quantity").alias("length"), c("l_returnflag").alias("type"))
-    final = i.groupBy("doc", F.when(c("pos") % 4 == 1, c("pos") - 1).otherwise(c("pos")).alias("p")).agg(F.sum("length").alias("length"), F.min("type").alias("type")).withColumnRenamed("p", "pos")
-    return D.partition_diff(i, final, "doc")
+    cut = lambda at, kind: i.groupBy("doc", at.alias("p")).agg(F.sum("length").alias("length"), F.min(kind).alias("type")).withColumnRenamed("p", "pos")
+    base = cut(F.when(p == 3, 2).otherwise(p), c("type"))
+    final = cut(F.when(((p == 4) & (d % 2 == 0)) | (p == 6), p - 1).otherwise(p), F.when((p == 1) & (d % 3 == 0), "Z").otherwise(c("type")))
+    return D.partition_diff(base, final, "doc")
 
 
 SPANS_OF = "SELECT o_custkey AS doc, o_orderkey AS id, o_orderkey % 300 AS s, o_orderkey % 300 + 5 + o_orderkey % 40 AS e FROM orders"
@@ -180,12 +185,12 @@ def d6(t):
 
 
 @query("d7_merge_preserving", """
-WITH e AS (SELECT p_partkey AS id, p_brand AS machine, CASE WHEN p_partkey % 3 = 0 THEN 'note ' || p_partkey END AS note, CASE WHEN p_partkey % 4 = 0 THEN 'accepted' END AS review_status FROM part WHERE p_partkey % 2 = 0),
+WITH e AS (SELECT p_partkey AS id, p_brand AS machine, CASE WHEN p_partkey % 3 = 0 THEN 'note ' || p_partkey END AS note, CASE WHEN p_partkey % 4 = 0 THEN 'accepted' END AS review_status FROM part WHERE p_partkey % 2 = 0 OR p_partkey % 5 = 0),
 f AS (SELECT p_partkey AS id, p_type AS machine, NULL::VARCHAR AS note, NULL::VARCHAR AS review_status FROM part WHERE p_partkey % 5 <> 0)
 SELECT id, coalesce(f.machine, e.machine) AS machine, coalesce(e.note, f.note) AS note, coalesce(e.review_status, f.review_status, 'unreviewed') AS review_status FROM f FULL JOIN e USING (id)""")
 def d7(t):
     p, k = t("part"), c("p_partkey")
-    e = p.where(k % 2 == 0).select(k.alias("id"), c("p_brand").alias("machine"), F.when(k % 3 == 0, F.concat(F.lit("note "), k)).alias("note"), F.when(k % 4 == 0, "accepted").alias("review_status"))
+    e = p.where((k % 2 == 0) | (k % 5 == 0)).select(k.alias("id"), c("p_brand").alias("machine"), F.when(k % 3 == 0, F.concat(F.lit("note "), k)).alias("note"), F.when(k % 4 == 0, "accepted").alias("review_status"))
     f = p.where(k % 5 != 0).select(k.alias("id"), c("p_type").alias("machine"), F.lit(None).cast("string").alias("note"), F.lit(None).cast("string").alias("review_status"))
     return D.merge_preserving(e, f, "id", ["note", "review_status"], ["machine"])
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from stemma.functions import numerals
 from stemma.functions import text as T
-from stemma.operators import compare, diffs, extraction, graphs, intervals, joins, logs
+from stemma.operators import aggregates, compare, diffs, extraction, graphs, intervals, joins, logs
 from stemma.sources import tables
 from stemma.streaming import logs as streams
 
@@ -352,3 +352,79 @@ def test_subsequence_pairs(spark):
     for x in df.select("a", "b", T.lcs_length("a", "b").alias("n"), T.lcs_pairs("a", "b").alias("p")).collect():
         assert x.n == len(x.p) == lcs(x.a, x.b) and all(x.a[q.left] == x.b[q.right] for q in x.p)
         assert all(p.left < q.left and p.right < q.right for p, q in itertools.pairwise(x.p))
+
+
+# --- joins by what names and phrases hold ------------------------------------------
+
+
+def test_contained_texts_equal_a_nested_loop(spark):
+    r = random.Random(21)
+    word = lambda n: "".join(r.choice("abc日 ") for _ in range(n))
+    texts = [(i, r.choice("xy"), word(r.randint(0, 12)) if i else None) for i in range(150)]
+    needles = [(i, r.choice("xy"), word(r.randint(0, 5)) if i else None) for i in range(80)] + [(80, "x", "步日月法"), (81, "x", "日")]
+    texts.append((150, "x", "步日月法上"))
+    got = joins.contained_in(spark.createDataFrame(texts, "text_id int, s string, text string"), spark.createDataFrame(needles, "needle_id int, s string, needle string"), ["s"]).collect()
+    want = sorted((i, j) for i, s, t in texts for j, z, n in needles if s == z and t and n and n in t)
+    assert sorted(map(tuple, got)) == want and (150, 80) in want
+
+
+def test_constants_stay_in_their_source(spark):
+    refs = [(1, "a", "x one", ["p", "q"], 10), (2, "b", "x one", [], 5), (3, "a", "none", ["q"], None), (4, "a", "one", [], 90), (5, "a", "", ["zz"], 1)]
+    consts = [(10, "a", "x one", [], 99), (11, "b", "one", [], 6), (12, "a", "other", ["q", "p"], 10), (13, "b", "y one", [], 5), (14, "a", "", [], 1)]
+    side = lambda rows, i: spark.createDataFrame(rows, f"{i} int, source string, name string, terms array<string>, line int")
+    got = {r.ref_id: (r.const_id, r.score) for r in joins.constant_for_name(side(refs, "ref_id"), side(consts, "const_id")).collect()}
+    assert got == {1: (10, 100), 2: (11, 60 - 1 + 6), 3: (12, 20), 4: (10, 60 - 9)}
+
+
+def test_claims_are_bound_by_mention_title_heading_or_family(spark):
+    a = [
+        (1, "s", [1], "P. 2", "", None, None, [], 0, False), (2, "s", [1], "P. 22", " The  Way", None, None, [], 0, False), (3, "s", [1], "P. 9", "", "HEAD", None, [], 0, False),
+        (4, "s", [2], "P. 9", "", None, "f", ["d"], 1, False), (5, "s", [2], "P. 9", "", None, "f", ["d"], 2, False), (6, "s", [2], "P. 9", "", None, None, ["d"], 0, True), (7, "s", [3], "P. 9", "", "", "f", [], 0, False), (8, "t", [1], "P. 2", "", None, None, [], 0, False),
+    ]
+    k = [(10, "s", 1, None, "see P. 2.", [], True), (11, "s", 1, None, "P. 23 of the way", [], True), (12, "s", 1, None, "P. 2 and HEAD", [], False), (13, "s", 2, "f", "words", ["d"], True), (14, "s", 1, None, "HEADS", [], True)]
+    anchors = spark.createDataFrame(a, "anchor int, system string, chunks array<int>, mention string, title string, heading string, family string, distinctive array<string>, n_mentions int, table_like boolean")
+    claims = spark.createDataFrame(k, "claim_id int, system string, chunk int, family string, text string, distinctive array<string>, strict boolean")
+    got = {r.anchor: (r.claim_ids, r.status) for r in joins.bind_claims(anchors, claims).collect()}
+    assert got == {
+        1: ([10], "bound"), 2: ([11], "bound"), 3: ([14], "bound"), 4: ([13], "needs_review"), 5: ([], "claim_exists_but_not_bound"), 6: ([], "commentary_only"), 7: ([], "no_claim_extracted"), 8: ([], "no_claim_extracted"),
+    }
+
+
+def test_phrases_that_are_found_are_those_that_are_there(spark, monkeypatch):
+    r = random.Random(4)
+    words = lambda n: [r.choice("abcdefg") for _ in range(n)]
+    quotes = [(i, (w := words(r.randint(0, 12))), i / 10, [i % 3], " ".join(w[:2]), [" ".join(w[2:6]), "a b"], ["a b"]) for i in range(10)]
+    sources = [(i, words(r.randint(0, 60)), i / 40, [i % 3]) for i in range(40)]
+    q = spark.createDataFrame(quotes, "id int, words array<string>, place double, constants array<int>, title string, clauses array<string>, generic array<string>")
+    s = spark.createDataFrame(sources, "id int, words array<string>, place double, constants array<int>").repartition(3)
+    run = lambda: sorted(map(tuple, joins.quote_to_source(q, s, ["a b"], (4, 3), 100).collect()))
+    got = run()
+    grams = lambda w, n: {(n, *w[i : i + n]) for i in range(len(w) - n + 1)}
+    holds = lambda w, x: bool(x) and f" {x} " in f" {' '.join(w)} "
+    want = {}
+    for i, w, _, _, title, clauses, _ in quotes:
+        for d, v, _, _ in sources:
+            met = [g for n in (3, 4) for g in grams(w, n) & grams(v, n)]
+            own = [x for x in set(clauses) - {"a b"} if holds(v, x)]
+            if met or own or holds(v, title):
+                want[i, d] = (max((g[0] for g in met), default=0), len(met), len(own))
+    assert {(r[0], r[1]): (r[2], r[3], r[4]) for r in got} == want and any(x[0] == 0 for x in want.values())
+    monkeypatch.setattr(joins, "BROADCAST_GRAMS", 0)
+    assert run() == got
+
+
+def test_a_chain_of_undos_settles_in_few_rounds(spark, monkeypatch):
+    rounds = []
+    real = logs.materialize
+    monkeypatch.setattr(logs, "materialize", lambda df, name: (rounds.append(name), real(df, name))[1])
+    n = 3000
+    chain = spark.createDataFrame([("k", i, i - 1 if i else None) for i in range(n)], "k string, id int, reverts int")
+    got = {r.id: r.stands for r in logs.active_history(chain, "k").collect()}
+    assert got == {i: (n - 1 - i) % 2 == 0 for i in range(n)} and rounds.count("waiting") <= 14
+
+
+def test_terms_know_all_compounds_above_them(spark):
+    o = spark.createDataFrame([(1, "a", "component"), (2, "b", "component"), (3, "c", "maximal"), (4, "a", "maximal"), (5, "d", "component"), (6, "d", "component")], "id int, surface string, level string")
+    p = spark.createDataFrame([(1, 2), (2, 3), (5, 6), (6, 5), (4, 99)], "id int, parent int")
+    got = {r.surface: (r.kind, r.n_parents, r.first_parent, r.appears_in_compounds) for r in aggregates.term_index(o, p).collect()}
+    assert got == {"a": ("both", 1, 2, 2), "b": ("component", 1, 3, 1), "c": ("maximal", 0, None, 0), "d": ("component", 2, 5, 2)}
