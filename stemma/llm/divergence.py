@@ -49,6 +49,8 @@ TOP = 10
 LONG = 64
 #: A task hands on its counts when it holds so many of them, or so many distinct chunks.
 HELD, HELD_CHUNKS = 2_000_000, 400_000
+#: Languages that a task tells apart at a time.
+MOST_LANGS = 1 << 20
 #: Sources compared in one matrix, and terms in one block.
 TILE, BLOCK = 256, 4_096
 
@@ -106,7 +108,7 @@ class _Held:
 
     def flush(self):
         if len(self.chunk):
-            lang, group, row = np.repeat(np.array(self.where, np.int64), self.sizes, axis=0).T
+            lang, group, row = (np.repeat(np.array(x, np.int64), self.sizes) for x in zip(*self.where))
             chunk, count = np.frombuffer(self.chunk, np.int32).astype(np.int64), np.frombuffer(self.count, np.int32)
             name = lang * len(self.chunk_numbers) + chunk
             order = np.argsort(name * len(self.groups) + group, kind="stable")
@@ -177,7 +179,7 @@ def chunk_terms(counts: DataFrame) -> DataFrame:
     total = materialize(counts.groupBy("lang", "chunk").agg(F.sum("docs").alias("docs")), "chunk-docs")
     split = total.select("chunk").distinct().withColumn("terms", F.regexp_extract_all("chunk", F.lit(TERM), F.lit(0)))
     each = F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.size(F.filter("terms", lambda x: x == t)).alias("k")))
-    back = total.join(split.select("chunk", each.alias("terms")), "chunk").select("lang", "chunk", "docs", F.explode("terms").alias("t"))
+    back = total.join(split.select("chunk", each.alias("terms")).hint("shuffle_hash"), "chunk").select("lang", "chunk", "docs", F.explode("terms").alias("t"))
     out = materialize(back.select("lang", "chunk", "docs", "t.term", "t.k"), "chunk-terms")
     drop_folders(counts.sparkSession, [total.shared_path])
     return out
@@ -191,7 +193,7 @@ def kept_terms(counts: DataFrame, terms: DataFrame, min_docs: int = MIN_DOCS) ->
     sure = bounds.where(F.col("least") >= min_docs).select("lang", "term")
     chunks = bounds.where(F.col("least") < min_docs).select("lang", "term").join(terms.select("lang", "chunk", "term"), ["lang", "term"])
     rare = counts.where("rows IS NOT NULL").select("lang", "chunk", "part", "rows")
-    told = rare.join(chunks, ["lang", "chunk"]).select("lang", "term", "part", F.explode("rows").alias("row")).distinct()
+    told = rare.join(chunks.hint("shuffle_hash"), ["lang", "chunk"]).select("lang", "term", "part", F.explode("rows").alias("row")).distinct()
     settled = told.groupBy("lang", "term").agg(F.count("*").alias("d")).where(F.col("d") >= min_docs).select("lang", "term")
     ordered = materialize(sure.union(settled).orderBy("lang", "term").withColumn("at", F.monotonically_increasing_id()), "kept-terms")
     part = F.shiftright("at", 33)
@@ -223,20 +225,19 @@ def _spread(lengths: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndar
 def _carry(batches):
     """Counts of chunks become counts of their terms, summed as far as a task holds them."""
     begin_task("divergence")
-    held, size = [], 0
+    held, size, langs = [], 0, _Numbers()
 
     def flush():
-        lang = np.concatenate([h[0] for h in held])
-        names, lang = np.unique(lang, return_inverse=True)
-        number, group, n = (np.concatenate([h[i] for h in held]) for i in (1, 2, 3))
+        term, group, n = (np.concatenate(h) for h in zip(*held))
         groups, group = np.unique(group, return_inverse=True)
-        order = np.lexsort((group, number, lang))
-        lang, number, group, n = lang[order], number[order], group[order], n[order]
-        each = np.flatnonzero(np.concatenate([[True], (lang[1:] != lang[:-1]) | (number[1:] != number[:-1]) | (group[1:] != group[:-1])]))
-        lang, number, group, n = lang[each], number[each], group[each], np.add.reduceat(n, each)
-        first = np.flatnonzero(np.concatenate([[True], (lang[1:] != lang[:-1]) | (number[1:] != number[:-1])]))
+        key = term * len(groups) + group
+        order = np.argsort(key, kind="stable")
+        each = _runs(key[order])
+        n, (term, group) = np.add.reduceat(n[order], each), np.divmod(key[order][each], len(groups))
+        first = _runs(term)
+        number, lang = np.divmod(term[first], MOST_LANGS)
         out = pa.RecordBatch.from_arrays(
-            [pa.array(names[lang[first]], pa.string()), pa.array(number[first]), _lists(pa.array(groups[group]), first), _lists(pa.array(n), first)], names=["lang", "number", "groups", "counts"]
+            [pa.array(list(langs), pa.string()).take(pa.array(lang)), pa.array(number), _lists(pa.array(groups[group]), first), _lists(pa.array(n), first)], names=["lang", "number", "groups", "counts"]
         )
         for at in range(0, out.num_rows, 10_000):
             yield out.slice(at, 10_000)
@@ -246,12 +247,13 @@ def _carry(batches):
         (numbers, times), (k, _) = _flat(batch, 3), _flat(batch, 4)
         place, copy = _spread(lengths, times)
         if len(place):
-            langs = np.repeat(np.array(batch.column(0).to_pylist(), object), times)
-            held.append((langs[copy], numbers[copy], groups[place], counts[place].astype(np.int64) * k[copy]))
+            lang = np.repeat(np.array([langs[x] for x in batch.column(0).to_pylist()], np.int64), times)
+            held.append(((numbers * MOST_LANGS + lang)[copy], groups[place], counts[place].astype(np.int64) * k[copy]))
             size += len(place)
-        if size > HELD:
-            yield from flush()
-            held, size = [], 0
+        if size > HELD or len(langs) > MOST_LANGS - 10_000:
+            if held:
+                yield from flush()
+            held, size, langs = [], 0, _Numbers()
     if held:
         yield from flush()
 
@@ -259,7 +261,7 @@ def _carry(batches):
 def term_counts(counts: DataFrame, terms: DataFrame, kept: DataFrame) -> DataFrame:
     """(lang, number, groups, counts): kept terms with occurrences by source, a row for each hand-over."""
     of_chunk = terms.select("lang", "chunk", "term", "k").join(kept, ["lang", "term"]).groupBy("lang", "chunk").agg(F.collect_list(F.struct("number", "k")).alias("t"))
-    joined = counts.select("lang", "chunk", "groups", "counts").join(of_chunk, ["lang", "chunk"])
+    joined = counts.select("lang", "chunk", "groups", "counts").join(of_chunk.hint("shuffle_hash"), ["lang", "chunk"])  # one row a chunk
     return materialize(joined.select("lang", "groups", "counts", "t.number", "t.k").mapInArrow(_carry, "lang string, number long, groups array<long>, counts array<long>"), "term-counts")
 
 
