@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType
@@ -131,50 +132,66 @@ def derive_facts(assertions: DataFrame, rules: DataFrame, rejected: DataFrame |
     return out.select(*key, status.alias("status"), "depth", F.coalesce("n_proofs", F.lit(0)).alias("n_proofs"))
 
 
-def sections_of(kinds: Sequence[str]) -> list[tuple[int, str]]:
-    """(group, why it began) of each line by its kind: heading, source, translation, mark or procedure.
+class Sections:
+    """Groups of the lines of one part, line by line.
 
     A group has a source part and then a translation part, in which a mark may stand. A
     heading always begins one; a source line begins one after a translation; a mark begins
     one while only translation lines are held; a procedure begins one after a marked translation."""
-    out, group = [], 0
-    source = translation = marked = False
-    for i, kind in enumerate(kinds):
+
+    def __init__(self):
+        self.group = -1
+        self.source = self.translation = self.marked = False
+
+    def next(self, kind: str) -> tuple[int, str]:
+        """(group, why it began) of the next line, by its kind: heading, source, translation, mark or procedure."""
         why = "continues"
-        if kind == "heading":
+        if self.group < 0:
+            why = "first"
+        elif kind == "heading":
             why = "heading"
-        elif kind == "source" and translation:
+        elif kind == "source" and self.translation:
             why = "source_after_translation"
-        elif kind == "mark" and translation and not source:
+        elif kind == "mark" and self.translation and not self.source:
             why = "mark_before_source"
-        elif kind == "procedure" and translation and marked:
+        elif kind == "procedure" and self.translation and self.marked:
             why = "procedure_after_mark"
-        if i == 0:
-            why = "first"
-        elif why != "continues":
-            group += 1
         if why != "continues":
-            source = translation = marked = False
-        source |= kind == "source"
-        translation |= kind in ("translation", "mark")
-        marked |= kind == "mark"
-        out.append((group, why))
-    return out
+            self.group += 1
+            self.source = self.translation = self.marked = False
+        self.source |= kind == "source"
+        self.translation |= kind in ("translation", "mark")
+        self.marked |= kind == "mark"
+        return self.group, why
+
+
+def sections_of(kinds: Sequence[str]) -> list[tuple[int, str]]:
+    state = Sections()
+    return [state.next(kind) for kind in kinds]
 
 
 def sectionize(lines: DataFrame, doc: str, order: str, kind: str) -> DataFrame:
-    """Number the groups of each document's lines; headings cut a document into parts that are walked apart."""
-    w = Window.partitionBy(doc).orderBy(order)
-    parts = lines.withColumn("part", F.sum((F.col(kind) == "heading").cast("int")).over(w))
-
-    def walk(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        found = sections_of(list(pdf[kind]))
-        return pdf.assign(section=[g for g, _ in found], why=[y for _, y in found])
-
-    types = dict(parts.dtypes)
-    schema = ", ".join(f"`{c}` {types[c]}" for c in parts.columns) + ", section int, why string"
-    return parts.groupBy(doc, "part").applyInPandas(walk, schema)
+    """Number the groups of each document's lines; headings cut a document into parts that are numbered apart.
+
+    Lines stream through their task in order, and only three flags and the numbers are carried from
+    one to the next, so a document of any length passes in bounded memory."""
+    def walk(batches):
+        current, state, part = None, None, 0
+        for batch in batches:
+            docs, kinds = batch.column(batch.schema.names.index(doc)).to_pylist(), batch.column(batch.schema.names.index(kind)).to_pylist()
+            found = []
+            for d, k in zip(docs, kinds, strict=True):
+                if state is None or d != current:
+                    current, state, part = d, Sections(), int(k == "heading")
+                elif k == "heading":
+                    state, part = Sections(), part + 1
+                found.append((part, *state.next(k)))
+            columns = [pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int64(), pa.int32(), pa.string()), strict=True)] if found else []
+            if columns:
+                yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, "part", "section", "why"])
+
+    schema = ", ".join(f"`{c}` {t}" for c, t in lines.dtypes) + ", part bigint, section int, why string"
+    return lines.repartition(doc).sortWithinPartitions(doc, order).mapInArrow(walk, schema)
 
 
 @F.pandas_udf(ArrayType(BooleanType()))

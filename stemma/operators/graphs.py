@@ -19,14 +19,12 @@ def closure(edges: DataFrame) -> DataFrame:
     """All (node, ancestor) reachable by (child, parent) edges; cycles are no trouble.
 
     Paths double in length each round: pairs new in the last round are joined to all before and after."""
-    found = materialize(edges.select(F.col("child").alias("node"), F.col("parent").alias("ancestor")).where("node IS NOT NULL AND ancestor IS NOT NULL").distinct(), "closure")
-    new = found
-    while not new.isEmpty():
+    found = new = materialize(edges.select(F.col("child").alias("node"), F.col("parent").alias("ancestor")).where("node IS NOT NULL AND ancestor IS NOT NULL").distinct(), "closure")
+    while not new.isEmpty():  # a round writes what it found, never what was found before
         chain = lambda a, b: a.alias("a").join(b.alias("b"), F.col("a.ancestor") == F.col("b.node")).select("a.node", "b.ancestor")
         step = chain(new, found).union(chain(found, new)).distinct()
         new = materialize(step.join(found, ["node", "ancestor"], "left_anti"), "closure")
-        old, found = found, materialize(found.union(new), "closure")
-        drop(old)
+        found = found.union(new)
     return found
 
 

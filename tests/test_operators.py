@@ -428,3 +428,20 @@ def test_terms_know_all_compounds_above_them(spark):
     p = spark.createDataFrame([(1, 2), (2, 3), (5, 6), (6, 5), (4, 99)], "id int, parent int")
     got = {r.surface: (r.kind, r.n_parents, r.first_parent, r.appears_in_compounds) for r in aggregates.term_index(o, p).collect()}
     assert got == {"a": ("both", 1, 2, 2), "b": ("component", 1, 3, 1), "c": ("maximal", 0, None, 0), "d": ("component", 2, 5, 2)}
+
+
+def test_a_document_of_many_batches_is_walked_in_order(spark, monkeypatch):
+    r = random.Random(3)
+    kinds = ["source", "translation", "mark", "procedure"]
+    lines = [(d, i, r.choice(kinds + ["heading"] * (d == "b" and i % 50 == 0))) for d in "abc" for i in range(700)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 64)
+    try:
+        got = extraction.sectionize(spark.createDataFrame(lines, "doc string, line int, kind string").repartition(5), "doc", "line", "kind").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for d in "abc":
+        mine = sorted(x for x in got if x.doc == d)
+        cuts = [i for i, x in enumerate(mine) if x.kind == "heading"]
+        for n, (low, high) in enumerate(zip([0, *cuts], [*cuts, len(mine)], strict=True)):
+            want = extraction.sections_of([x.kind for x in mine[low:high]])
+            assert [(x.part, x.section, x.why) for x in mine[low:high]] == [(n, *w) for w in want]
