@@ -353,34 +353,50 @@ def page_lookup(chunks: DataFrame, page: int) -> DataFrame:
     return chunks.where(F.lit(page).between(F.col("first"), F.col("last")))
 
 
-def greedy_input_matches(a: Column, b: Column) -> Column:
-    """Size of a greedy one-to-one match of equal values: each value as often as both have it."""
-    count = lambda arr, x: F.size(F.filter(arr, lambda y: y == x))
-    return F.aggregate(F.array_distinct(a), F.lit(0), lambda s, x: s + F.least(count(a, x), count(b, x)))
+def _combinations(tokens: Column) -> Column:
+    """All sub-lists of a short list, each in its order."""
+    return F.aggregate(tokens, F.array(F.array().cast("array<bigint>")), lambda acc, t: F.concat(acc, F.transform(acc, lambda s: F.concat(s, F.array(t)))))
 
 
-def claims_to_steps(steps: DataFrame, claims: DataFrame, k: int = 5) -> DataFrame:
+def claims_to_steps(steps: DataFrame, claims: DataFrame, k: int = 5, widest: int = 8) -> DataFrame:
     """Claims of a step's operation type, scored by system, inputs, terms and modulus; best k, graded.
 
     ``steps``: step_id, op, system, inputs (values), terms (arrays), modulus; ``claims`` likewise with
-    claim_id. Steps and claims that agree in all of these score alike, so distinct ones are scored, each
-    with its k smallest claims, and no pair of rows is."""
+    claim_id. Every claim of the operation scores, so a step's best are sought without meeting them
+    all: each combination of what a claim has (system, modulus, each input, each term) keeps its k
+    smallest claims, and a step looks up its own combinations. A claim left out of the list of all it
+    shares with a step has k claims before it that share as much. The most that a found claim shares
+    in a list is its score. Rows that agree in all of these are looked up once. Steps and claims of more
+    than ``widest`` values have too many combinations and meet the rows of their operation in pairs."""
     from stemma.operators.aggregates import first_rows
 
     cols = ("op", "system", "inputs", "terms", "modulus")
 
     def kinds(df, s, i):
-        df = df.select(F.col(i).alias(f"{s}_id"), "op", "system", F.array_sort("inputs").alias("inputs"), F.array_sort("terms").alias("terms"), "modulus").withColumn(f"{s}_kind", F.xxhash64(*cols))
+        df = df.select(F.col(i).alias(f"{s}_id"), "op", "system", F.array_sort("inputs").alias("inputs"), F.array_sort(F.array_distinct("terms")).alias("terms"), "modulus").withColumn(f"{s}_kind", F.xxhash64(*cols))
         df = materialize(df, f"{s}-kinds")
         return df.select(f"{s}_id", f"{s}_kind"), df.groupBy(f"{s}_kind").agg(*[F.first(c).alias(c if c == "op" else f"{s}_{c}") for c in cols])
 
+    def tokens(s):
+        # the system's token is odd and no other is: it tells +2 from -2
+        token = lambda kind, *x: F.shiftleft(F.xxhash64(F.lit(kind), *x), 1)
+        nth = F.transform(f"{s}_inputs", lambda x, i: F.when(x.isNotNull(), token("input", x, F.size(F.filter(F.slice(f"{s}_inputs", 1, i + 1), lambda y: y == x)))))
+        one = lambda c, x: F.when(F.col(f"{s}_{c}").isNotNull(), x)
+        system = one("system", F.shiftleft(F.xxhash64(f"{s}_system"), 1) + 1)
+        every = F.concat(F.array(system, one("modulus", token("modulus", F.col(f"{s}_modulus")))), F.coalesce(nth, F.array().cast("array<bigint>")), F.coalesce(F.transform(f"{s}_terms", lambda x: token("term", x)), F.array().cast("array<bigint>")))
+        return F.array_sort(F.array_distinct(F.array_compact(every)))
+
     (s_ids, s), (c_ids, c) = kinds(steps, "s", "step_id"), kinds(claims, "c", "claim_id")
-    j = s.join(c, "op")
-    score = (
-        4 + F.when(F.col("s_system") == F.col("c_system"), 2).otherwise(-2) + 2 * greedy_input_matches(F.col("s_inputs"), F.col("c_inputs"))
-        + 2 * F.size(F.array_intersect("s_terms", "c_terms")) + F.when(F.col("s_modulus") == F.col("c_modulus"), 2).otherwise(0)
-    )
-    scored = j.select("s_kind", "c_kind", score.alias("score")).where("score > 0")
-    best = scored.join(first_rows(c_ids, "c_kind", "c_id", k), "c_kind")
-    best = top_per_key(best, ["s_kind"], [F.desc("score"), "c_id"], k)
+    s, c = s.withColumn("tokens", tokens("s")), c.withColumn("tokens", tokens("c"))
+    s, c = (materialize(x, "kinds").withColumn("short", F.size("tokens") <= widest) for x in (s, c))
+    first = materialize(first_rows(c_ids, "c_kind", "c_id", k), "first-claims")
+    key = lambda df: df.where("short").withColumn("key", F.explode(_combinations(F.col("tokens"))))
+    listed = first_rows(key(c).select("c_kind", F.xxhash64("op", "key").alias("h"), "op", "key").join(first, "c_kind").select("h", "op", "key", "c_id"), "h", "c_id", k)
+    odd = F.exists("key", lambda x: F.pmod(x, F.lit(2)) == 1)
+    met = key(s).select("s_kind", "op", "key", F.xxhash64("op", "key").alias("h"), (2 + 2 * F.size("key") + F.when(odd, 2).otherwise(0)).alias("score")).join(listed, ["h", "op", "key"])
+    met = met.groupBy("s_kind", "c_id").agg(F.max("score").alias("score"))
+    wide = s.select("s_kind", "op", F.col("tokens").alias("s_tokens"), F.col("short").alias("s_short")).join(c.select("c_kind", "op", "tokens", "short"), "op").where("NOT (s_short AND short)")
+    both = F.array_intersect("s_tokens", "tokens")
+    wide = wide.select("s_kind", "c_kind", (2 + 2 * F.size(both) + F.when(F.exists(both, lambda x: F.pmod(x, F.lit(2)) == 1), 2).otherwise(0)).alias("score")).join(first, "c_kind").select("s_kind", "c_id", "score")
+    best = top_per_key(met.unionByName(wide), ["s_kind"], [F.desc("score"), "c_id"], k)
     return s_ids.join(best, "s_kind").select(F.col("s_id").alias("step_id"), F.col("c_id").alias("claim_id"), "score", "rank", F.when(F.col("score") >= 10, "direct").when(F.col("score") >= 6, "partial").otherwise("weak").alias("grade"))

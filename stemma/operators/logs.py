@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import bisect
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,38 +93,90 @@ def management_state(events: DataFrame, lineage: DataFrame) -> DataFrame:
     return e.groupBy("key").agg(F.max_by("value", F.struct(-F.col("depth"), F.col("seq"))).alias("value"), F.count("*").alias("n"))
 
 
+class SpanWalk:
+    """Greedy choice among spans (start, end, priority, id) that come by their start, in few of them at a time.
+
+    The best of the spans that overlap is taken: by priority (nulls last), length, start and id. A span
+    is settled as soon as no better one that it overlaps is open, so only open spans wait, and of those
+    taken only the ones that reach beyond. ``most``: how many wait before they are looked through."""
+
+    def __init__(self, most: int = 50_000):
+        self.most = self.limit = most
+        self.waiting: list[tuple] = []
+        self.taken: list[tuple] = []
+        self.far = None
+
+    def add(self, span: tuple) -> list[tuple]:
+        """The spans that are taken now that the next one has come."""
+        found = []
+        if self.waiting and (span[0] >= self.far or len(self.waiting) >= self.limit):
+            found = self.settle(span[0])
+            self.limit = max(self.most, 2 * len(self.waiting))
+        self.far = span[1] if self.far is None else max(self.far, span[1])
+        self.waiting.append(span)
+        return found
+
+    def settle(self, coming=None) -> list[tuple]:
+        """Take what can be taken if all spans to come start at ``coming`` or later, or none comes."""
+        found, open_, covered = [], [], []
+        for r in sorted(self.waiting, key=lambda r: (r[2] is None, -(r[2] or 0), r[0] - r[1], r[0], r[3] is None, r[3])):
+            i = bisect.bisect_left(self.taken, r[:2])
+            if (i and self.taken[i - 1][1] > r[0]) or (i < len(self.taken) and self.taken[i][0] < r[1]):
+                continue
+            i = bisect.bisect_left(covered, r[:2])
+            if (coming is not None and r[1] > coming) or (i and covered[i - 1][1] > r[0]) or (i < len(covered) and covered[i][0] < r[1]):
+                open_.append(r)
+                low, high = r[:2]
+                i -= bool(i and covered[i - 1][1] >= low)
+                k = i
+                while k < len(covered) and covered[k][0] <= high:
+                    low, high, k = min(low, covered[k][0]), max(high, covered[k][1]), k + 1
+                covered[i:k] = [(low, high)]
+            else:
+                bisect.insort(self.taken, r[:2])
+                found.append(r)
+        self.waiting = open_
+        first = min([r[0] for r in open_] + ([] if coming is None else [coming]), default=None)
+        self.taken = [] if first is None else [x for x in self.taken if x[1] > first]
+        return found
+
+
 def greedy_spans(rows: list[tuple]) -> list[tuple]:
     """Of (start, end, priority, id) those that fit in order of priority, length, start and id."""
-    import bisect
-
-    taken: list[tuple[int, int]] = []
-    kept = []
-    for r in sorted(rows, key=lambda r: (-r[2], r[0] - r[1], r[0], r[3])):
-        i = bisect.bisect_left(taken, (r[0], r[1]))
-        if (i == 0 or taken[i - 1][1] <= r[0]) and (i == len(taken) or taken[i][0] >= r[1]):
-            taken.insert(i, (r[0], r[1]))
-            kept.append(r)
-    return kept
-
-
-def resolve_spans(spans: DataFrame, doc: str) -> DataFrame:
-    """Non-overlapping spans per document, greedily; spans that touch no other never enter Python."""
-    w = Window.partitionBy(doc).orderBy("start", "end", "id")
-    s = spans.where("start < end").withColumn("_before", F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    s = s.withColumn("_group", F.sum(F.when(F.col("_before").isNull() | (F.col("start") >= F.col("_before")), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    s = s.withColumn("_n", F.count("*").over(Window.partitionBy(doc, "_group")))
-    cols = [doc, "start", "end", "priority", "id"]
+    walk = SpanWalk()
+    walk.waiting = list(rows)
+    return walk.settle()
 
-    def pick(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        kept = greedy_spans(list(pdf[["start", "end", "priority", "id"]].itertuples(index=False, name=None)))
-        out = pd.DataFrame(kept, columns=["start", "end", "priority", "id"])
-        out.insert(0, doc, key[0])
-        return out
 
-    alone = s.where("_n = 1").select(*cols)
-    crowded = s.where("_n > 1").select("_group", *cols)
-    schema = ", ".join(f"`{c}` {dict(spans.dtypes)[c]}" for c in cols)
-    return alone.union(crowded.groupBy(doc, "_group").applyInPandas(pick, schema))
+def resolve_spans(spans: DataFrame, doc: str, most: int = 50_000) -> DataFrame:
+    """Non-overlapping spans per document, greedily; spans without letters or with null ends drop out.
+
+    Spans stream through their task by document and start, and only those that are still open are held:
+    a chain of overlapping spans passes piece by piece, however long it is."""
+    cols = [doc, "start", "end", "priority", "id"]
+
+    def walk(batches):
+        current, state = None, None
+        schema = None
+        for batch in batches:
+            schema = batch.schema
+            out = []
+            for d, *span in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if state is None or d != current:
+                    out += [(current, *r) for r in state.settle()] if state else []
+                    current, state = d, SpanWalk(most)
+                out += [(d, *r) for r in state.add(tuple(span))]
+            yield _batch(out, schema)
+        if state:
+            yield _batch([(current, *r) for r in state.settle()], schema)
+
+    s = spans.where("start < end").select(*cols)
+    return s.repartition(doc).sortWithinPartitions(doc, "start", "end", "id").mapInArrow(walk, s.schema)
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
 def _split_points(value: Column, text: Column) -> Column:

@@ -84,10 +84,77 @@ def test_intervals_equal_brute_force(spark):
         assert mine[0][0] == 0 and mine[-1][1] == 600 and all(p[1] == q[0] for p, q in itertools.pairwise(mine))
     kept = logs.resolve_spans(da.withColumn("priority", F.col("id") % 3), "doc").collect()
     for d in range(4):
-        plain = logs.greedy_spans([(s, e, i % 3, i) for doc, i, s, e in a if doc == d])
+        plain = best_spans([(s, e, i % 3, i) for doc, i, s, e in a if doc == d])
         assert sorted(x.id for x in kept if x.doc == d) == sorted(p[3] for p in plain)
 
 
+def best_spans(spans):
+    """Spans (start, end, priority, id) that overlap no better one that is taken."""
+    taken = []
+    for x in sorted(spans, key=lambda r: (r[2] is None, -(r[2] or 0), r[0] - r[1], r[0], r[3])):
+        if all(x[1] <= y[0] or y[1] <= x[0] for y in taken):
+            taken.append(x)
+    return taken
+
+
+def test_spans_are_settled_piece_by_piece(spark):
+    r = random.Random(8)
+    for n in range(60):
+        length = r.choice([3, 20, 200])
+        spans = [(s := r.randint(0, 300), s + r.randint(1, length), r.choice([None, 1, 2, 3]), i) for i in range(r.randint(0, 150))]
+        walk, found = logs.SpanWalk(r.choice([1, 4, 30])), []
+        for x in sorted(spans, key=lambda x: x[:2]):
+            found += walk.add(x)
+        assert sorted(found + walk.settle(), key=repr) == sorted(best_spans(spans), key=repr), n
+    # one chain without a cut: few of its spans wait at any time
+    walk, most, taken = logs.SpanWalk(100), 0, 0
+    for i in range(50_000):
+        taken += len(walk.add((2 * i, 2 * i + 3, i * 7919 % 101, i)))
+        most = max(most, len(walk.waiting))
+    assert most <= 400 and taken + len(walk.settle()) > 10_000
+    # priorities that rise along the chain keep it waiting to its end, but it is settled
+    rising = [(2 * i, 2 * i + 3, i, i) for i in range(5000)]
+    walk, found = logs.SpanWalk(100), []
+    for x in rising:
+        found += walk.add(x)
+    assert len(found + walk.settle()) == 2500
+    schema = "doc string, start int, end int, priority int, id long"
+    rows_ = [(d, s := r.randint(0, 900), s + r.randint(0, 60), r.choice([None, 1, 2]), i) for i in range(900) for d in ("a", None)] + [("b", None, 4, 1, 1), ("c", 1, 5, None, 1)]
+    got = logs.resolve_spans(spark.createDataFrame(rows_, schema), "doc", 20).collect()
+    for d in ("a", None, "b", "c"):
+        assert sorted(x.id for x in got if x.doc == d) == sorted(x[3] for x in best_spans([x[1:] for x in rows_ if x[0] == d and x[1] is not None and x[1] < x[2]]))
+    assert logs.resolve_spans(spark.createDataFrame([], schema), "doc").count() == 0
+
+
+def test_best_claims_equal_all_pairs(spark):
+    r = random.Random(12)
+    pick = lambda n, k, none: [r.choice([None] * none + list(range(k))) for _ in range(r.randint(0, n))]
+    one = lambda i: (i, r.choice("ab"), r.choice(["x", "y", None]), pick(4, 3, 1), [str(x) for x in pick(4, 3, 0)], r.choice([None, 1, 2]))
+    steps, claims = [one(i) for i in range(60)] + [(60, "c", "x", [1], ["1"], 1)], [one(i) for i in range(120)]
+    schema = "{} int, op string, system string, inputs array<int>, terms array<string>, modulus int"
+
+    def score(s, c):
+        same = lambda i: s[i] is not None and s[i] == c[i]
+        inputs = sum(min(s[3].count(v), c[3].count(v)) for v in set(s[3]) - {None})
+        return 4 + (2 if same(2) else -2) + 2 * inputs + 2 * len(set(s[4]) & set(c[4])) + 2 * same(5)
+
+    want = {s[0]: [(-x, i) for x, i in sorted((-score(s, c), c[0]) for c in claims if c[1] == s[1])[:5]] for s in steps}
+    for widest in (8, 4, 0):
+        got = joins.claims_to_steps(spark.createDataFrame(steps, schema.format("step_id")), spark.createDataFrame(claims, schema.format("claim_id")), 5, widest).collect()
+        for s in steps:
+            assert [(x.score, x.claim_id) for x in sorted(got, key=lambda x: x["rank"]) if x.step_id == s[0]] == want[s[0]], (widest, s)
+
+
+def test_weighted_pairs_lose_none_and_meet_few(spark):
+    r = random.Random(13)
+    items = {i: {t: r.choice([0.1, 0.2, 0.3]) for t in {min(int(r.expovariate(0.2)), 30) for _ in range(6)}} for i in range(120)}
+    df = spark.createDataFrame([(i, t, w) for i, x in items.items() for t, w in x.items()], "id int, token int, weight double")
+    for least in (0.25, 0.55, 0.85):
+        want = sorted((a, b) for a, b in itertools.combinations(items, 2) if min(sum(w for t, w in items[x].items() if t in items[y]) for x, y in ((a, b), (b, a))) >= least)
+        got = rows(compare.weighted_pairs(df, least), "a", "b")
+        assert got == want and want
+
+
 def test_partition_diff(spark):
     s = "doc int, pos int, length int, type string"
     base = spark.createDataFrame([(1, 1, 5, "a"), (1, 2, 5, "a"), (1, 3, 4, "b"), (1, 4, 6, "c"), (1, 5, 2, "d")], s)
