@@ -282,22 +282,26 @@ def c21(t):
     return C.reference_match(ref, events)
 
 
-OBLIGATIONS = """o AS (SELECT o_orderkey AS obligation, o_orderkey AS span, 'K' || o_orderkey % 4 AS kind, ['a', 'p' || o_orderkey % 3] AS ports, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderstatus END AS scope FROM orders),
-v AS (SELECT l_orderkey AS span, l_orderkey * 100 + l_linenumber AS event, any_value('K' || (l_linenumber + l_orderkey) % 5) AS kind, [ 'a', 'p' || min(l_partkey) % 3] AS ports, max(l_linestatus) AS scope FROM lineitem GROUP BY l_orderkey, l_linenumber),
+OBLIGATIONS = """o AS (SELECT o_orderkey AS obligation, o_orderkey AS span, 'K' || o_orderkey % 4 AS kind, ['a', 'p' || o_orderkey % 3] AS ports, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderstatus END AS scope, CASE WHEN o_orderkey % 3 <> 1 THEN 'm' || o_orderkey % 2 END AS method, CASE WHEN o_orderkey % 4 <> 3 THEN o_orderkey % 5 END AS quantity FROM orders),
+v AS (SELECT CASE WHEN l_orderkey % 11 = 0 THEN -l_orderkey ELSE l_orderkey END AS span, l_orderkey * 100 + l_linenumber AS event, any_value('K' || (l_linenumber + l_orderkey) % 5) AS kind, [ 'a', 'p' || min(l_partkey) % 3] AS ports, max(l_linestatus) AS scope, CASE WHEN l_linenumber % 3 > 0 THEN 'm' || l_linenumber % 2 END AS method, CASE WHEN l_linenumber % 4 > 0 THEN (l_orderkey + l_linenumber) % 5 END AS quantity FROM lineitem GROUP BY l_orderkey, l_linenumber),
 n AS (SELECT span, count(*) AS n, count(*) FILTER (WHERE kind <> 'K4') AS known FROM v GROUP BY span),
-j AS (SELECT obligation, o.span, event, (o.kind = v.kind)::INT AS i_tp, (o.kind <> v.kind)::INT AS i_fp, len(list_intersect(o.ports, v.ports)) AS p_tp, 2 - len(list_intersect(o.ports, v.ports)) AS p_fp, coalesce(o.scope = v.scope, false)::INT AS s_tp, CASE WHEN o.scope IS NULL THEN 0 ELSE (o.scope <> v.scope)::INT END AS s_fp FROM o JOIN v USING (span) WHERE v.kind <> 'K4'),
-b AS (SELECT *, row_number() OVER (PARTITION BY obligation ORDER BY 2 * i_fp + 2 * p_fp + 2 * s_fp, -(i_tp + p_tp + s_tp), event) AS r FROM j),
-z AS (SELECT o.obligation, o.span, n.n, n.known, b.* EXCLUDE (obligation, span, event, r), i_fp + p_fp + s_fp = 0 AS clean FROM o LEFT JOIN n USING (span) LEFT JOIN b ON b.obligation = o.obligation AND r = 1),
-y AS (SELECT *, CASE WHEN n IS NULL THEN 'missing' WHEN known = 0 OR (NOT clean AND known < n) THEN 'unsupported' WHEN clean THEN 'pass' ELSE 'fail' END AS status FROM z),
-x AS (SELECT obligation, span, status, coalesce(i_tp, 0)::INT AS identity_tp, coalesce(i_fp, 0)::INT AS identity_fp, CASE WHEN status = 'missing' THEN 1 ELSE coalesce(i_fp, 0) END::INT AS identity_fn, coalesce(p_tp, 0)::INT AS ports_tp, coalesce(p_fp, 0)::INT AS ports_fp, coalesce(p_fp, 0)::INT AS ports_fn, coalesce(s_tp, 0)::INT AS scope_tp, coalesce(s_fp, 0)::INT AS scope_fp, coalesce(s_fp, 0)::INT AS scope_fn FROM y)"""
+j AS (SELECT obligation, o.span, event, (o.kind = v.kind)::INT AS i_tp, (o.kind <> v.kind)::INT AS i_fp, len(list_intersect(o.ports, v.ports)) AS p_tp, 2 - len(list_intersect(o.ports, v.ports)) AS p_fp, coalesce(o.scope = v.scope, false)::INT AS s_tp, CASE WHEN o.scope IS NULL THEN 0 ELSE (o.scope <> v.scope)::INT END AS s_fp,
+  coalesce(o.method = v.method, false)::INT AS m_tp, (o.method IS NOT NULL AND o.method IS DISTINCT FROM v.method)::INT AS m_fn, coalesce(o.method <> v.method, false)::INT AS m_fp, coalesce(o.quantity = v.quantity, false)::INT AS q_tp, (o.quantity IS NOT NULL AND o.quantity IS DISTINCT FROM v.quantity)::INT AS q_fn, coalesce(o.quantity <> v.quantity, false)::INT AS q_fp FROM o JOIN v USING (span) WHERE v.kind <> 'K4'),
+b AS (SELECT *, row_number() OVER (PARTITION BY obligation ORDER BY 2 * i_fp + 2 * p_fp + 2 * s_fp + m_fp + m_fn + q_fp + q_fn, -(i_tp + p_tp + s_tp + m_tp + q_tp), event) AS r FROM j),
+z AS (SELECT o.obligation, o.span, n.n, n.known, b.* EXCLUDE (obligation, span, event, r), i_fp + p_fp + s_fp + m_fn + q_fn = 0 AS clean FROM o LEFT JOIN n USING (span) LEFT JOIN b ON b.obligation = o.obligation AND r = 1),
+y AS (SELECT *, CASE WHEN n IS NULL AND obligation % 4 = 1 THEN 'parser_error' WHEN n IS NULL AND obligation % 4 = 2 THEN 'text_ambiguity' WHEN n IS NULL THEN 'missing' WHEN known = 0 OR (NOT clean AND known < n) THEN 'unsupported' WHEN clean THEN 'pass' ELSE 'fail' END AS status FROM z),
+x AS (SELECT obligation, span, status, coalesce(i_tp, 0)::INT AS identity_tp, coalesce(i_fp, 0)::INT AS identity_fp, CASE WHEN n IS NULL THEN 1 ELSE coalesce(i_fp, 0) END::INT AS identity_fn, coalesce(p_tp, 0)::INT AS ports_tp, coalesce(p_fp, 0)::INT AS ports_fp, coalesce(p_fp, 0)::INT AS ports_fn, coalesce(s_tp, 0)::INT AS scope_tp, coalesce(s_fp, 0)::INT AS scope_fp, coalesce(s_fp, 0)::INT AS scope_fn,
+  coalesce(m_tp, 0)::INT AS method_tp, coalesce(m_fp, 0)::INT AS method_fp, coalesce(m_fn, 0)::INT AS method_fn, coalesce(q_tp, 0)::INT AS rate_tp, coalesce(q_fp, 0)::INT AS rate_fp, coalesce(q_fn, 0)::INT AS rate_fn FROM y)"""
 
 
 def obligations(t):
     k, tag = c("o_orderkey"), lambda x, col: F.concat(F.lit(x), col)
-    o = t("orders").select(k.alias("obligation"), k.alias("span"), tag("K", k % 4).alias("kind"), F.array(F.lit("a"), tag("p", k % 3)).alias("ports"), F.when(k % 5 != 0, c("o_orderstatus")).alias("scope"))
+    o = t("orders").select(k.alias("obligation"), k.alias("span"), tag("K", k % 4).alias("kind"), F.array(F.lit("a"), tag("p", k % 3)).alias("ports"), F.when(k % 5 != 0, c("o_orderstatus")).alias("scope"), F.when(k % 3 != 1, tag("m", k % 2)).alias("method"), F.when(k % 4 != 3, k % 5).alias("quantity"))
     i = t("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("part"), F.max("l_linestatus").alias("scope"))
-    e = i.select(c("l_orderkey").alias("span"), (c("l_orderkey") * 100 + c("l_linenumber")).alias("event"), tag("K", (c("l_linenumber") + c("l_orderkey")) % 5).alias("kind"), F.array(F.lit("a"), tag("p", c("part") % 3)).alias("ports"), "scope")
-    return C.obligation_scoring(o, e, ["K0", "K1", "K2", "K3"])
+    l, n = c("l_orderkey"), c("l_linenumber")  # noqa: E741
+    e = i.select(F.when(l % 11 == 0, -l).otherwise(l).alias("span"), (l * 100 + n).alias("event"), tag("K", (n + l) % 5).alias("kind"), F.array(F.lit("a"), tag("p", c("part") % 3)).alias("ports"), "scope", F.when(n % 3 > 0, tag("m", n % 2)).alias("method"), F.when(n % 4 > 0, (l + n) % 5).alias("quantity"))
+    cause = F.when(k % 4 == 1, "parser_gap").when(k % 4 == 2, "interpretive_ambiguity").otherwise("other")
+    return C.obligation_scoring(o, e, ["K0", "K1", "K2", "K3"], t("orders").select(k.alias("span"), k.alias("issue"), cause.alias("cause")))
 
 
 @query("c22_obligation_scoring", f"WITH {OBLIGATIONS} SELECT * FROM x")
@@ -306,9 +310,10 @@ def c22(t):
     return obligations(t)
 
 
-@query("c22_obligation_layers", f"""
-WITH {OBLIGATIONS} SELECT 'identity' AS layer, sum(identity_tp)::BIGINT AS tp, sum(identity_fp)::BIGINT AS fp, sum(identity_fn)::BIGINT AS fn FROM x WHERE status <> 'unsupported'
-UNION ALL SELECT 'ports', sum(ports_tp)::BIGINT, sum(ports_fp)::BIGINT, sum(ports_fn)::BIGINT FROM x WHERE status <> 'unsupported' UNION ALL SELECT 'scope', sum(scope_tp)::BIGINT, sum(scope_fp)::BIGINT, sum(scope_fn)::BIGINT FROM x WHERE status <> 'unsupported'""")
+_LAYERS_SQL = " UNION ALL ".join(f"SELECT '{n}' AS layer, sum({n}_tp)::BIGINT AS tp, sum({n}_fp)::BIGINT AS fp, sum({n}_fn)::BIGINT AS fn FROM x WHERE status <> 'unsupported'" for n in C.LAYERS)
+
+
+@query("c22_obligation_layers", f"WITH {OBLIGATIONS} {_LAYERS_SQL}")
 def c22_layers(t):
     return C.obligation_layers(obligations(t))
 

@@ -258,19 +258,35 @@ def test_overlay(spark):
 
 def test_assignment_is_the_best_of_all_permutations(spark):
     r = random.Random(4)
-    for _ in range(200):
-        one = lambda: {"kind": r.choice("KL"), "ports": r.sample("abc", r.randint(0, 3)), "scope": r.choice(["x", "y", None])}
-        p, e = [one() for _ in range(r.randint(0, 4))], [one() for _ in range(r.randint(0, 5))]
+    one = lambda: {"kind": r.choice("KL"), "ports": r.sample("abc", r.randint(0, 3)), **{x: r.choice(["x", "y", None]) for x in ("scope", "method", "quantity")}}
+    for _ in range(300):
+        p, e = [one() for _ in range(r.randint(0, 5))], [one() for _ in range(r.randint(0, 6))]
 
         def cost(chosen):
             s = [compare.layer_scores(w, e[j]) for w, j in zip(p, chosen, strict=True)]
-            return sum(x[1] + x[2] for y in s for x in y.values()), -sum(x[0] for y in s for x in y.values())
+            return sum(x[1] + x[2] for y in s for x in y.values()), -sum(x[0] for y in s for x in y.values()), tuple(chosen)
 
         got = compare.best_assignment(p, e)
         if len(e) < len(p):
             assert got is None
         else:
-            assert len(set(got)) == len(p) and cost(got) == min(map(cost, itertools.permutations(range(len(e)), len(p))))
+            assert tuple(got) == min(map(cost, itertools.permutations(range(len(e)), len(p))))[2]
+    # forty of both: each predicate has one event that fits it wholly
+    p = [{"kind": "K", "ports": [str(i)], "scope": str(i % 7), "method": None, "quantity": i} for i in range(40)]
+    e = [dict(x, method="m") for x in p]
+    r.shuffle(e)
+    assert [e[j]["quantity"] for j in compare.best_assignment(p, e)] == list(range(40))
+
+
+def test_obligations_without_events_tell_why(spark):
+    fields = "span int, kind string, ports array<string>, scope string, method string, quantity long"
+    o = spark.createDataFrame([(i, i, "K", ["a"], None, "m", 3) for i in range(6)] + [(6, 6, "Z", ["a"], None, None, None)], f"obligation int, {fields}")
+    e = spark.createDataFrame([(1, 4, "K", ["a"], "s", "m", 3), (2, 5, "K", ["a"], None, None, 4), (3, 6, "K", [], None, None, None)], f"event int, {fields}")
+    issues = spark.createDataFrame([(2, 0, "text_ambiguity"), (1, 0, "parser_gap"), (3, 1, "missing_external_data"), (4, 2, "unheard"), (5, 4, "parser_error")], "issue int, span int, cause string")
+    got = {x.obligation: x for x in compare.obligation_scoring(o, e, ["K"], issues).collect()}
+    assert {k: x.status for k, x in got.items()} == {0: "parser_error", 1: "missing_context", 2: "missing", 3: "missing", 4: "pass", 5: "fail", 6: "unsupported"}
+    assert (got[5].method_tp, got[5].method_fp, got[5].method_fn, got[5].rate_fp, got[5].rate_fn) == (0, 0, 1, 1, 1)
+    assert {x.status for x in compare.obligation_scoring(o, e, ["K"]).collect()} == {"missing", "pass", "fail", "unsupported"}
 
 
 def test_closure_is_idempotent_and_bears_cycles(spark):
