@@ -9,13 +9,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stemma.operators.graphs import on_cycles, propagate_inactive
+from stemma.operators.graphs import closure, on_cycles, propagate_inactive
 from stemma.sources.tables import materialize
 
 
-def visible(log: DataFrame, lineage: DataFrame) -> DataFrame:
-    """Decisions of the chosen branch and its ancestors (branch, depth)."""
-    return log.join(lineage, "branch")
+#: How the decisions of a kind make up the state of their slot: the last one counts, each distinct payload
+#: once, every decision in order, or the last value of every facet.
+FOLDS = {"select": "last", "bind": "last", "scope": "last", "reject": "set", "note": "list", "facets": "facets"}
+
+#: Kinds that chose among what was known then: a later context makes them stale.
+CHOICES = ("select", "bind")
+
+
+def visible(log: DataFrame, branches: DataFrame, branch: str) -> DataFrame:
+    """Decisions of a branch and its ancestors; ``branches``: child, parent."""
+    above = closure(branches).where(F.col("node") == branch).select(F.col("ancestor").alias("branch"))
+    here = log.sparkSession.createDataFrame([(branch,)], f"branch {dict(log.dtypes)['branch']}")
+    return log.join(above.union(here).distinct(), "branch", "left_semi")
 
 
 def active_history(history: DataFrame, key: str) -> DataFrame:
@@ -50,28 +60,67 @@ def active_history(history: DataFrame, key: str) -> DataFrame:
 
 
 
-def replay_decisions(log: DataFrame, depends: DataFrame) -> DataFrame:
-    """Status of every visible decision, pass by pass.
-
-    ``log``: session, decision, revision, action (decide, retract, resegment), target, doc,
-    start, end, slot, payload. ``depends``: child, parent (decisions). Passes: cycles and
-    missing dependencies; retractions from the newest; dependents; staleness by a later
-    resegment over the same text; slots with several payloads; dependents again."""
-    cyc = on_cycles(depends).select(F.col("node").alias("decision"), F.lit(True).alias("cyclic"))
-    lost = depends.join(log.select(F.col("decision").alias("parent")), "parent", "left_anti").select(F.col("child").alias("decision"), F.lit(True).alias("missing")).distinct()
-    base = log.join(cyc, "decision", "left").join(lost, "decision", "left").withColumn("status", F.when(F.col("cyclic") | F.col("missing"), "needs_revalidation").otherwise("active"))
-    stands = active_history(base.where("status = 'active'").select("session", F.col("decision").alias("id"), F.when(F.col("action") == "retract", F.col("target")).alias("reverts")), "session")
-    base = base.join(stands.select("session", F.col("id").alias("decision"), "stands"), ["session", "decision"], "left").withColumn("status", F.when(F.col("stands") == False, "retracted").otherwise(F.col("status"))).drop("cyclic", "missing", "stands")  # noqa: E712
+def replay_decisions(log: DataFrame, depends: DataFrame, branches: DataFrame | None = None, branch: str | None = None) -> DataFrame:
+    """Status of every decision that ``branch`` sees, pass by pass.
+
+    ``log``: session, decision, revision, action (decide, retract, resegment, attach_context), target, doc,
+    start, end, slot, payload; maybe branch, kind (of ``FOLDS``, else scope) and facets (a map).
+    ``depends``: child, parent (decisions); ``branches``: child, parent. Passes: cycles and missing
+    dependencies, and what hangs on them; retractions from the newest; dependents; staleness by a later
+    resegment over the same text; staleness of choices by a later context of the session; slots whose
+    decisions contradict each other; dependents again. A retraction, resegment or context that took
+    effect but is not active in the end is invalid, and all is replayed without it."""
+    if branches is not None:
+        log = visible(log, branches, branch)
+    kind = F.col("kind") if "kind" in log.columns else F.lit("scope")
+    facets = F.col("facets") if "facets" in log.columns else F.lit(None).cast("map<string,string>")
+    log = materialize(log.withColumn("kind", kind).withColumn("facets", facets), "visible")
+    depends = materialize(depends, "depends")
+    cyclic = on_cycles(depends).select(F.col("node").alias("decision"))
+    lost = depends.join(log.select(F.col("decision").alias("parent")), "parent", "left_anti").select(F.col("child").alias("decision"))
+    invalid = materialize(cyclic.union(lost).distinct(), "unfounded")
+    while True:
+        done = materialize(_replay_pass(log, depends, invalid), "replayed")
+        fresh = materialize(done.where("applied AND status != 'active'").select("decision").join(invalid, "decision", "left_anti"), "invalid")
+        if fresh.isEmpty():
+            return done.select("session", "decision", "revision", "action", "slot", "kind", "payload", "facets", "status")
+        invalid = materialize(invalid.union(fresh), "invalid")
+
+
+def _replay_pass(log: DataFrame, depends: DataFrame, invalid: DataFrame) -> DataFrame:
+    flag = lambda df, name: df.select("decision", F.lit(True).alias(name)).distinct()
+    set_ = lambda df, where, status: df.withColumn("status", F.when(where, status).otherwise(F.col("status")))
+    base = log.withColumn("status", F.lit("active")).join(flag(invalid, "bad"), "decision", "left")
+    base = materialize(_fall(set_(base, F.col("bad"), "needs_revalidation").drop("bad"), depends), "replay")
+    undo = F.when((F.col("action") == "retract") & (F.col("status") == "active"), F.col("target"))
+    stands = active_history(base.select("session", F.col("decision").alias("id"), undo.alias("reverts")), "session")
+    base = base.join(stands.select("session", F.col("id").alias("decision"), "stands"), ["session", "decision"], "left")
+    base = base.join(log.select("session", F.col("decision").alias("target"), F.lit(True).alias("known")), ["session", "target"], "left")
+    base = set_(base, ~F.col("stands"), "retracted")
+    undoes = (F.col("action") == "retract") & (F.col("status") == "active")
+    base = set_(base.withColumn("applied", undoes & F.col("known").isNotNull()), undoes & F.col("known").isNull(), "needs_revalidation").drop("stands", "known")
     base = materialize(_fall(base, depends), "replay")
     # a later resegment over the text of a decision makes it stale: intervals meet in buckets of 64 characters
     cut = lambda df, s: df.select("session", "doc", F.explode(F.sequence(F.floor(F.col("start") / 64), F.floor((F.col("end") - 1) / 64))).alias("bucket"), *[F.col(c).alias(f"{s}_{c}") for c in ("decision", "start", "end", "revision")])
     live = base.where("status = 'active' AND start < end")
-    hit = cut(live.where("action = 'decide'"), "d").join(cut(live.where("action = 'resegment'"), "r"), ["session", "doc", "bucket"]).where("d_start < r_end AND r_start < d_end AND r_revision > d_revision")
-    stale = hit.select(F.col("d_decision").alias("decision"), F.lit(True).alias("stale")).distinct()
-    base = base.join(stale, "decision", "left").withColumn("status", F.when(F.col("stale"), "stale").otherwise(F.col("status"))).drop("stale")
-    slots = base.where("status = 'active' AND action = 'decide'").groupBy("session", "slot").agg((F.min("payload") != F.max("payload")).alias("clash")).where("clash")
-    base = base.join(slots, ["session", "slot"], "left").withColumn("status", F.when((F.col("status") == "active") & (F.col("action") == "decide") & F.coalesce("clash", F.lit(False)), "conflicted").otherwise(F.col("status"))).drop("clash")
-    return _fall(base, depends).select("session", "decision", "revision", "action", "slot", "payload", "status")
+    hit = cut(live.where("action != 'resegment'"), "d").join(cut(live.where("action = 'resegment'"), "r"), ["session", "doc", "bucket"]).where("d_start < r_end AND r_start < d_end AND r_revision > d_revision")
+    base = base.join(flag(hit.select(F.col("d_decision").alias("decision")), "stale"), "decision", "left")
+    base = base.withColumn("applied", F.col("applied") | ((F.col("action") == "resegment") & (F.col("status") == "active")))
+    base = materialize(set_(base, F.col("stale"), "stale").drop("stale"), "replay")
+    context = (F.col("action") == "attach_context") & (F.col("status") == "active")
+    base = base.withColumn("applied", F.col("applied") | context)
+    last = base.where(context).groupBy("session").agg(F.max("revision").alias("context"))
+    decides = (F.col("action") == "decide") & (F.col("status") == "active")
+    base = base.join(last, "session", "left")
+    base = materialize(set_(base, decides & F.col("kind").isin(*CHOICES) & (F.col("revision") < F.col("context")), "stale").drop("context"), "replay")
+    by_fold = lambda *folds: F.col("kind").isin(*[k for k, f in FOLDS.items() if f in folds])
+    slots = base.where(decides & by_fold("last")).groupBy("session", "slot", "kind").agg((F.min("payload") != F.max("payload")).alias("clash")).where("clash")
+    base = base.join(slots, ["session", "slot", "kind"], "left")
+    each = base.where(decides & by_fold("facets")).select("session", "slot", "decision", F.explode("facets").alias("name", "value"))
+    apart = each.groupBy("session", "slot", "name").agg((F.min("value") != F.max("value")).alias("differ")).where("differ")
+    base = base.join(flag(each.join(apart, ["session", "slot", "name"], "left_semi"), "contrary"), "decision", "left")
+    base = set_(base, decides & (F.col("clash") | F.col("contrary")), "conflicted").drop("clash", "contrary")
+    return _fall(materialize(base, "replay"), depends)
 
 
 def _fall(base: DataFrame, depends: DataFrame) -> DataFrame:
@@ -82,9 +131,22 @@ def _fall(base: DataFrame, depends: DataFrame) -> DataFrame:
 
 
 def effective_state(replayed: DataFrame) -> DataFrame:
-    """Last active payload per slot, and how many active decisions it has."""
+    """State (session, slot, kind, pos, name, value, decision) that the active decisions make up, by ``FOLDS``.
+
+    One row for a slot of which the last payload counts, and a row for each member of a set (at its first
+    decision), entry of a list, or facet (its last value), numbered by pos: no slot is collected."""
     live = replayed.where("status = 'active' AND action = 'decide'")
-    return live.groupBy("session", "slot").agg(F.max_by("payload", F.struct("revision", "decision")).alias("payload"), F.count("*").alias("n"))
+    fold = F.create_map(*[F.lit(x) for pair in FOLDS.items() for x in pair])[F.col("kind")]
+    live = live.withColumn("fold", fold).withColumn("f", F.when(F.col("fold") == "facets", F.map_entries("facets")).otherwise(F.array(F.struct(F.lit(None).cast("string").alias("key"), F.col("payload").cast("string").alias("value")))))
+    each = live.select("session", "slot", "kind", "fold", "revision", "decision", F.explode("f").alias("f")).select("*", "f.key", "f.value").drop("f")
+    slot = ["session", "slot", "kind", "fold"]
+    order = F.struct("revision", "decision")
+    same = F.when(F.col("fold") == "set", F.col("value")).when(F.col("fold") == "facets", F.col("key")).when(F.col("fold") == "list", F.col("decision").cast("string"))
+    g = each.withColumn("_same", same).groupBy(*slot, "_same").agg(F.min(order).alias("low"), F.max(order).alias("high"), F.min_by("value", order).alias("first"), F.max_by("value", order).alias("last"), F.first("key").alias("name"))
+    at = F.when(F.col("fold") == "set", F.col("low")).otherwise(F.col("high"))
+    g = g.select("session", "slot", "kind", "name", at.alias("at"), F.when(F.col("fold") == "set", F.col("first")).otherwise(F.col("last")).alias("value"), F.when(F.col("fold") == "facets", F.col("name")).alias("_name"))
+    pos = F.row_number().over(Window.partitionBy("session", "slot", "kind").orderBy("_name", "at"))
+    return g.select("session", "slot", "kind", pos.alias("pos"), "name", "value", F.col("at.decision").alias("decision"))
 
 
 def management_state(events: DataFrame, lineage: DataFrame) -> DataFrame:

@@ -395,16 +395,22 @@ def r6(t):
 
 
 def decision_log(t):
+    """Events as decisions of three branches: child sees main's and its own, not other's."""
     e, u = c("event_id"), c("user_id")
-    action = F.when(c("event_type") == "error", "retract").when(c("event_type") == "purchase", "resegment").otherwise("decide")
-    log = t("events").select(u.alias("session"), e.alias("decision"), e.alias("revision"), action.alias("action"), F.when(c("event_type") == "error", e - 1 - e % 40).alias("target"), (e % 4).alias("doc"), (e % 500).alias("start"), (e % 500 + 1 + e % 20).alias("end"), F.concat(u, F.lit(":"), e % 25).alias("slot"), (e % 2).cast("string").alias("payload"))
-    return log, t("events").where("event_id % 6 = 0 AND event_id >= 30").select(e.alias("child"), (e - 30).alias("parent"))
+    action = F.when(e % 97 == 0, "attach_context").when(c("event_type") == "error", "retract").when(c("event_type") == "purchase", "resegment").otherwise("decide")
+    kind = F.get(F.array(*map(F.lit, L.FOLDS)), (e % 25 % len(L.FOLDS)).cast("int"))
+    payload = (e % 2).cast("string")
+    log = t("events").select(
+        u.alias("session"), e.alias("decision"), e.alias("revision"), action.alias("action"), F.when(action == "retract", e - 1 - e % 40).alias("target"), (e % 4).alias("doc"), (e % 500).alias("start"), (e % 500 + 1 + e % 20).alias("end"),
+        F.concat(u, F.lit(":"), e % 25).alias("slot"), payload.alias("payload"), kind.alias("kind"), F.when(kind == "facets", F.create_map(F.concat(F.lit("f"), e % 9), payload)).alias("facets"), F.when(e % 3 == 0, "child").when(e % 16 == 7, "other").otherwise("main").alias("branch"))
+    branches = log.sparkSession.createDataFrame([("child", "main"), ("other", "main")], "child string, parent string")
+    return log, t("events").where("event_id % 6 = 0 AND event_id >= 30").select(e.alias("child"), (e - 30).alias("parent")), branches, "child"
 
 
 @query("r3_replay_decisions")
 def r3(t):
-    """Status of every decision of the event log; tests hold it to a pass-by-pass loop."""
-    return L.replay_decisions(*decision_log(t))
+    """Status of every decision of the event log that a branch sees; tests hold it to a pass-by-pass loop."""
+    return L.replay_decisions(*decision_log(t)).drop("facets")
 
 
 @query("r7_effective_state")

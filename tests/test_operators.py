@@ -181,8 +181,19 @@ def test_history_with_undos_of_undos(spark):
 
 
 def replay(log, depends):
-    """The passes of the replay, one decision at a time."""
+    """The passes of the replay, one decision at a time, until no effect of an inactive decision is left."""
+    invalid = set()
+    while True:
+        status, applied = replay_once(log, depends, invalid)
+        fresh = {d for d in applied if status[d] != "active"} - invalid
+        if not fresh:
+            return status
+        invalid |= fresh
+
+
+def replay_once(log, depends, invalid):
     status = {d["decision"]: "active" for d in log}
+    row = {d["decision"]: d for d in log}
     parents = {}
     for child, parent in depends:
         parents.setdefault(child, set()).add(parent)
@@ -204,50 +215,91 @@ def replay(log, depends):
             for d in hit:
                 status[d] = "needs_revalidation"
 
-    for d in list(status):
-        if d in reach(d) or any(p not in status for p in parents.get(d, ())):
+    for d in status:
+        if d in invalid or d in reach(d) or any(p not in status for p in parents.get(d, ())):
             status[d] = "needs_revalidation"
-    live = [d for d in log if status[d["decision"]] == "active"]
-    by = {d["decision"]: d for d in live}
-    undone = set()
-    for d in sorted(live, key=lambda d: -d["decision"]):
-        t = d["target"]
-        if d["action"] == "retract" and d["decision"] not in undone and t in by and t < d["decision"] and by[t]["session"] == d["session"]:
-            undone.add(t)
-    for t in undone:
-        status[t] = "retracted"
+    fall()
+    applied = set()
+    for d in sorted(log, key=lambda d: -d["decision"]):
+        if d["action"] == "retract" and status[d["decision"]] == "active":
+            t = d["target"]
+            if t in row and row[t]["session"] == d["session"]:
+                applied.add(d["decision"])
+                if t < d["decision"]:
+                    status[t] = "retracted"
+            else:
+                status[d["decision"]] = "needs_revalidation"
     fall()
     active = [d for d in log if status[d["decision"]] == "active"]
+    cuts = [d for d in active if d["action"] == "resegment"]
+    applied |= {d["decision"] for d in cuts}
     for d in active:
-        if d["action"] == "decide" and any(x["action"] == "resegment" and x["session"] == d["session"] and x["doc"] == d["doc"] and x["start"] < d["end"] and d["start"] < x["end"] and x["revision"] > d["revision"] for x in active):
+        if d["action"] != "resegment" and any(x["session"] == d["session"] and x["doc"] == d["doc"] and x["start"] < d["end"] and d["start"] < x["end"] and x["revision"] > d["revision"] for x in cuts):
             status[d["decision"]] = "stale"
-    slots = {}
-    for d in log:
-        if status[d["decision"]] == "active" and d["action"] == "decide":
-            slots.setdefault((d["session"], d["slot"]), set()).add(d["payload"])
+    contexts = [d for d in log if d["action"] == "attach_context" and status[d["decision"]] == "active"]
+    applied |= {d["decision"] for d in contexts}
     for d in log:
-        if status[d["decision"]] == "active" and d["action"] == "decide" and len(slots[d["session"], d["slot"]]) > 1:
+        if d["action"] == "decide" and d["kind"] in ("select", "bind") and status[d["decision"]] == "active" and any(x["session"] == d["session"] and x["revision"] > d["revision"] for x in contexts):
+            status[d["decision"]] = "stale"
+    live = [d for d in log if status[d["decision"]] == "active" and d["action"] == "decide"]
+    for d in live:
+        rest = [x for x in live if (x["session"], x["slot"], x["kind"]) == (d["session"], d["slot"], d["kind"])]
+        if d["kind"] in ("select", "bind", "scope"):
+            clash = any(x["payload"] != d["payload"] for x in rest)
+        else:
+            clash = d["kind"] == "facets" and any(x["facets"][k] != v for x in rest for k, v in d["facets"].items() if k in x["facets"])
+        if clash:
             status[d["decision"]] = "conflicted"
     fall()
-    return status
+    return status, applied
+
+
+def state_of(log, status):
+    """Entries of every slot, decision by decision."""
+    state = {}
+    for d in sorted(log, key=lambda d: d["revision"]):
+        if status[d["decision"]] != "active" or d["action"] != "decide":
+            continue
+        slot = state.setdefault((d["session"], d["slot"], d["kind"]), {})
+        one = d["decision"]
+        if d["kind"] == "reject":
+            slot.setdefault(d["payload"], (None, d["payload"], one))
+        elif d["kind"] == "note":
+            slot[one] = (None, d["payload"], one)
+        elif d["kind"] == "facets":
+            slot.update({k: (k, v, one) for k, v in d["facets"].items()})
+        else:
+            slot[0] = (None, d["payload"], one)
+    ordered = lambda k, x: sorted(x, key=lambda e: (e[0] or "", e[2]))
+    return {(*k, i): e for k, x in state.items() for i, e in enumerate(ordered(k, x.values()), 1)}
 
 
 def test_replay_equals_a_loop(spark):
     r = random.Random(11)
     log = []
-    for i in range(160):
-        s = r.randint(0, 300)
-        a = r.choices(["decide", "retract", "resegment"], [8, 2, 1])[0]
-        log.append({"session": r.randint(0, 3), "decision": i, "revision": i, "action": a, "target": r.randint(0, i) if a == "retract" else None, "doc": r.randint(0, 2), "start": s, "end": s + r.randint(1, 90), "slot": str(r.randint(0, 30)), "payload": r.choice("xy")})
-    depends = [(i, r.randint(0, i - 1)) for i in range(20, 160, 5)] + [(10, 12), (12, 10), (50, 999)]
-    schema = "session int, decision int, revision int, action string, target int, doc int, start int, end int, slot string, payload string"
+    kinds = list(logs.FOLDS)
+    for i in range(260):
+        s, slot = r.randint(0, 900), r.randint(0, 30)
+        a = r.choices(["decide", "retract", "resegment", "attach_context"], [24, 5, 2, 1])[0]
+        kind = kinds[slot % 6]
+        log.append({"session": r.randint(0, 3), "decision": i, "revision": i, "action": a, "target": r.randint(0, i) if a == "retract" else None, "doc": r.randint(0, 2), "start": s, "end": s + r.randint(1, 90), "slot": str(slot), "payload": r.choice("xy"), "kind": kind, "facets": {r.choice("pqrs"): r.choice("xxxxy") for _ in range(2)} if kind == "facets" else None, "branch": r.choice(["root", "main", "main", "mine", "other"])})
+    for i in range(5, 260, 9):  # retractions of what stands just before them in their session
+        before = [d["decision"] for d in log[:i] if d["session"] == log[i]["session"]]
+        if before:
+            log[i].update(action="retract", target=before[-1])
+    depends = [(i, r.randint(0, i - 1)) for i in range(20, 260, 7)] + [(10, 12), (12, 10), (50, 999)]
+    schema = "session int, decision int, revision int, action string, target int, doc int, start int, end int, slot string, payload string, kind string, facets map<string,string>, branch string"
     df = spark.createDataFrame([tuple(d.values()) for d in log], schema)
-    got = logs.replay_decisions(df, spark.createDataFrame(depends, "child int, parent int"))
-    want = replay(log, depends)
-    assert {x.decision: x.status for x in got.collect()} == want and len(set(want.values())) == 5
-    state = {(x.session, x.slot): (x.payload, x.n) for x in logs.effective_state(got).collect()}
-    live = [d for d in log if want[d["decision"]] == "active" and d["action"] == "decide"]
-    assert state == {(d["session"], d["slot"]): (d["payload"], sum(x["session"] == d["session"] and x["slot"] == d["slot"] for x in live)) for d in live}
+    edges = spark.createDataFrame(depends, "child int, parent int")
+    branches = spark.createDataFrame([("main", "root"), ("mine", "main"), ("other", "main")], "child string, parent string")
+    for branch, seen in (("mine", {"root", "main", "mine"}),):
+        mine = [d for d in log if d["branch"] in seen]
+        got = logs.replay_decisions(df, edges, branches, branch)
+        want = replay(mine, depends)
+        assert {x.decision: x.status for x in got.collect()} == want
+        assert len(set(want.values())) == 5 and want != replay_once(mine, depends, set())[0]
+        state = {(x.session, x.slot, x.kind, x.pos): (x.name, x.value, x.decision) for x in logs.effective_state(got).collect()}
+        assert state == state_of(mine, want)
 
 
 def test_overlay(spark):
