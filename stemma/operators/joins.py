@@ -48,36 +48,143 @@ def neighbors(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return out.unionByName(into).join(nodes.select(F.col("id").alias("other"), F.col("name").alias("other_name")), "other")
 
 
-def align_scored(left: DataFrame, right: DataFrame, generic_terms: Sequence[str] = (), generic_ops: Sequence[str] = (), k: int = 3) -> DataFrame:
+def align_scored(left: DataFrame, right: DataFrame, generic_terms: Sequence[str] = (), generic_ops: Sequence[str] = (), k: int = 3, few: int = 64, widest: int = 8) -> DataFrame:
     """Scored candidates between items of one block (system, chapter), best k per left item.
 
     Items: id, system, chapter, title, terms, constants, ops, place; right items also ``linked``, an
     array of left ids. Score: 20 for an existing link, 16 if one title holds the other, 6 per shared
     distinctive term, 4 per constant, 2 per operation that is not generic, and up to 5 for a near
-    place. Tiers ask for kinds of evidence, not for points."""
+    place. Tiers ask for kinds of evidence, not for points. Ties: nearer place (unknown last), smaller id.
+    Nulls in arrays are no evidence; items without id, system or chapter take no part.
+
+    Items of a block meet if it has up to ``few`` right items, else they do not all meet. A pair shares some evidence, has
+    one place, or shares generic terms only. Evidence that up to ``few`` right items have is joined. Of the more frequent, an item combines
+    its ``widest`` most frequent (what is left is joined too), and looks up for every combination the k
+    nearest right items on both sides: one beyond them has k before it that share as much and are
+    nearer. Lists of generic terms are walked outwards until k pairs share nothing else. Evidence and
+    combinations are told by 64-bit hashes."""
+    block = ["system", "chapter"]
     cols = ("id", "title", "terms", "constants", "ops", "place")
-    a = left.select("system", "chapter", *[F.col(c).alias(f"l_{c}") for c in cols])
-    b = right.select("system", "chapter", "linked", *[F.col(c).alias(f"r_{c}") for c in cols])
-    j = a.join(b, ["system", "chapter"])
-    shared = lambda c: F.array_intersect(f"l_{c}", f"r_{c}")
-    without = lambda x, names: F.size(F.array_except(x, F.array(*map(F.lit, names)).cast("array<string>")))
+    whole = lambda df, s, *more: df.select(*block, *more, *[F.col(c).alias(f"{s}_{c}") for c in cols]).where(f"system IS NOT NULL AND chapter IS NOT NULL AND {s}_id IS NOT NULL")
+    a, b = materialize(whole(left, "l"), "left-items"), materialize(whole(right, "r", "linked"), "right-items")
+    wide = materialize(b.groupBy(*block).agg(F.count("*").alias("n")).where(F.col("n") > few).select(*block), "wide-blocks")
+    names = lambda x: F.array(*map(F.lit, x)).cast("array<string>")
+    scored = lambda j: _alignment(j, names(generic_terms), names(generic_ops))
+    out = ("l_id", "r_id", "score", "tier", "gap")
+    j = scored(a.join(wide, block, "left_anti").join(b, block)).select(*out)
+    if not wide.isEmpty():
+        a, b = (materialize(x.join(wide, block, "left_semi"), "wide-items") for x in (a, b))
+        both = lambda pairs: scored(pairs.join(a, [*block, "l_id"]).join(b, [*block, "r_id"]))
+        j = j.union(both(_aligned_pairs(a, b, block, names, both, generic_terms, generic_ops, k, few, widest)).select(*out))
+    return top_per_key(j.where("tier IS NOT NULL"), ["l_id"], [F.desc("score"), F.asc_nulls_last("gap"), "r_id"], k).select("l_id", "r_id", "score", "tier", "rank")
+
+
+def _aligned_pairs(a: DataFrame, b: DataFrame, block: list[str], names, scored, generic_terms: Sequence[str], generic_ops: Sequence[str], k: int, few: int, widest: int) -> DataFrame:
+    """Pairs (block, l_id, r_id) of items of large blocks, among them the best k of every left item."""
+    titles = lambda df, s: df.where(F.length(f"{s}_title") > 0).select(*block, F.struct(*block, f"{s}_title").alias("id"), F.col(f"{s}_title").alias("title")).distinct()
+    l_titles, r_titles = materialize(titles(a, "l"), "titles"), materialize(titles(b, "r"), "titles")
+    text, needle = (lambda df, i=i, t=t: df.select(*block, F.col("id").alias(i), F.col("title").alias(t)) for i, t in (("text_id", "text"), ("needle_id", "needle")))
+    titled = contained_in(text(l_titles), needle(r_titles), block).select(F.col("text_id").alias("l"), F.col("needle_id").alias("r"))
+    titled = titled.union(contained_in(text(r_titles), needle(l_titles), block).select("needle_id", "text_id")).distinct()
+    titled = titled.select("l.system", "l.chapter", "l.l_title", "r.r_title")
+
+    def evidence(df, s, title):
+        token = lambda kind, c, less=(): F.transform(F.filter(F.array_except(c, names(less)) if less else c, lambda x: x.isNotNull()), lambda x: F.xxhash64(F.lit(kind), x))
+        own = F.concat(*[F.coalesce(x, F.array().cast("array<bigint>")) for x in (token("term", f"{s}_terms", generic_terms), token("constant", f"{s}_constants"), token("op", f"{s}_ops", generic_ops))])
+        item = [*block, f"{s}_id", f"{s}_place"]
+        return df.select(*item, F.explode(own).alias("token")).union(title.select(*item, F.xxhash64(F.lit("title"), "r_title").alias("token"))).distinct()
+
+    lt = evidence(a, "l", a.join(titled, [*block, "l_title"]))
+    rt = materialize(evidence(b, "r", b.where(F.length("r_title") > 0)), "right-evidence")
+    lt = materialize(lt.join(rt.groupBy(*block, "token").agg(F.count("*").alias("n")), [*block, "token"]), "left-evidence")
+    rt = rt.join(lt.select(*block, "token", "n").distinct(), [*block, "token"])
+
+    def parted(df, s):
+        g = df.groupBy(*block, f"{s}_id", f"{s}_place").agg(F.sort_array(F.collect_list(F.struct(-F.col("n"), "token"))).alias("t"))
+        busy = F.transform(F.filter("t", lambda x: -x["col1"] > few), lambda x: x["token"])
+        rare = F.transform(F.filter("t", lambda x: -x["col1"] <= few), lambda x: x["token"])
+        g = g.withColumn("busy", busy).withColumn("rare", rare)
+        kept = F.array_sort(F.slice("busy", 1, widest))
+        return materialize(g.select(*block, f"{s}_id", f"{s}_place", kept.alias("kept"), "rare", F.slice("busy", widest + 1, 1_000_000).alias("over")), "evidence")
+
+    le, re_ = parted(lt, "l"), parted(rt, "r")
+    pair = [*block, "l_id", "r_id"]
+    each = lambda df, s, c: df.select(*block, f"{s}_id", F.explode(c).alias("token"))
+    found = [
+        each(le, "l", F.concat("rare", "over")).join(rt.select(*block, "token", "r_id"), [*block, "token"]),
+        lt.select(*block, "token", "l_id").join(each(re_, "r", "over"), [*block, "token"]),
+        a.select(*block, "l_id").join(b.select(*block, "r_id", F.explode("linked").alias("l_id")), [*block, "l_id"]),
+        a.select(*block, "l_id", F.col("l_place").alias("place")).join(top_per_key(b.where("r_place IS NOT NULL").select(*block, "r_id", F.col("r_place").alias("place")), [*block, "place"], ["r_id"], k), [*block, "place"]),
+    ]
+    combined = lambda df, s: df.where(F.size("kept") > 0).select(*block, f"{s}_id", f"{s}_place", F.explode(F.filter(_combinations(F.col("kept")), lambda x: F.size(x) > 0)).alias("key")).withColumn("key", F.xxhash64("key"))
+    starts, slots = _numbered(combined(le, "l"), combined(re_, "r"), [*block, "key"])
+    found.append(_nearest(starts, slots, [*block, "key"], 1, k))
+    if generic_terms:
+        # generic terms of pairs that share nothing else: by distance, from each left item outwards
+        g = lambda df, s: df.select(*block, f"{s}_id", f"{s}_place", F.explode(F.array_intersect(f"{s}_terms", names(generic_terms))).alias("key")).distinct()
+        key = [*block, "key"]
+        starts, slots = _numbered(g(a, "l"), g(b, "r"), key)
+        open_, low, high = starts.withColumn("have", F.lit(0).cast("long")), 1, 4 * k
+        while True:
+            met = _nearest(open_, slots, key, low, high, keep=True)
+            kinds = scored(met.select(*pair).distinct()).select(*pair, (F.col("tier") == "generic_only").alias("bare"))
+            met = materialize(met.join(kinds.distinct(), pair, "left"), "generic-pairs")
+            found.append(met.where("bare"))
+            walk = [*key, "l_id", "l_place", "way", "start", "have"]
+            met = met.groupBy(*walk).agg(F.count("*").alias("n"), F.count_if(F.coalesce("bare", F.lit(False))).alias("more")).where((F.col("n") > high - low) & (F.col("have") + F.col("more") < k))
+            open_ = materialize(met.withColumn("have", F.col("have") + F.col("more")).select(*walk), "generic-open")
+            if open_.isEmpty():
+                break
+            low, high = high + 1, 2 * high
+    pairs = found[0].select(*pair)
+    for f in found[1:]:
+        pairs = pairs.union(f.select(*pair))
+    return pairs.distinct()
+
+
+def _alignment(j: DataFrame, generic_terms: Column, generic_ops: Column) -> DataFrame:
+    """Pairs of items with gap, score and tier."""
+    shared = lambda c: F.filter(F.array_intersect(f"l_{c}", f"r_{c}"), lambda x: x.isNotNull())
+    size = lambda x: F.coalesce(F.when(x.isNotNull(), F.size(x)), F.lit(0))
     title = (F.length("l_title") > 0) & (F.length("r_title") > 0) & (F.contains("l_title", F.col("r_title")) | F.contains("r_title", F.col("l_title")))
     j = j.withColumns({
-        "link": F.array_contains("linked", F.col("l_id")), "titled": F.coalesce(title, F.lit(False)), "n_terms": without(shared("terms"), generic_terms), "n_generic": F.size(shared("terms")) - without(shared("terms"), generic_terms),
-        "n_constants": F.size(shared("constants")), "n_ops": without(shared("ops"), generic_ops), "gap": F.abs(F.col("l_place") - F.col("r_place")),
+        "link": F.coalesce(F.array_contains("linked", F.col("l_id")), F.lit(False)), "titled": F.coalesce(title, F.lit(False)), "n_terms": size(F.array_except(shared("terms"), generic_terms)), "n_shared": size(shared("terms")),
+        "n_constants": size(shared("constants")), "n_ops": size(F.array_except(shared("ops"), generic_ops)), "gap": F.abs(F.col("l_place") - F.col("r_place")),
     })
     near = F.coalesce(F.greatest(F.lit(0), 5 - F.col("gap")), F.lit(0))
-    score = F.when(F.col("link"), 20).otherwise(0) + F.when(F.col("titled"), 16).otherwise(0) + 6 * F.col("n_terms") + 4 * F.col("n_constants") + 2 * F.col("n_ops") + near
-    j = j.withColumn("near", near).withColumn("score", score)
-    none = ~F.col("link") & ~F.col("titled") & (F.col("n_terms") + F.col("n_constants") + F.col("n_ops") == 0) & (F.col("n_generic") > 0)
+    j = j.withColumn("near", near)
+    score = F.when(F.col("link"), 20).otherwise(0) + F.when(F.col("titled"), 16).otherwise(0) + 6 * F.col("n_terms") + 4 * F.col("n_constants") + 2 * F.col("n_ops") + F.col("near")
+    none = ~F.col("link") & ~F.col("titled") & (F.col("n_terms") + F.col("n_constants") + F.col("n_ops") == 0) & (F.col("n_shared") > 0)
     more = (F.col("n_terms") > 0) | (F.col("n_constants") > 0) | (F.col("near") >= 2)
     tier = (
         F.when(F.col("link") | (F.col("titled") & more), "high")
         .when(F.col("titled") | ((F.col("n_terms") > 0) & ((F.col("n_constants") > 0) | (F.col("near") >= 2))) | ((F.col("n_terms") >= 2) & (F.col("near") >= 1)), "medium")
         .when(none, "generic_only").when(F.col("score") >= 5, "review")
     )
-    j = j.withColumn("tier", tier).where("tier IS NOT NULL")
-    return top_per_key(j, ["l_id"], [F.desc("score"), "gap", "r_id"], k).select("l_id", "r_id", "score", "tier", "rank")
+    return j.withColumn("score", score).withColumn("tier", tier)
+
+
+def _numbered(lefts: DataFrame, rights: DataFrame, key: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Rights (key, r_id, r_place) numbered in their list, and where in it each of lefts (key, l_id, l_place) begins.
+
+    Ways: up and down by place, unknown places last, then by id; and by id for lefts without a place."""
+    one = rights.select(*key, F.lit(1).alias("side"), F.lit(None).cast(dict(lefts.dtypes)["l_id"]).alias("l_id"), "r_id", F.col("r_place").alias("place"))
+    two = lefts.join(rights.select(*key).distinct(), list(key), "left_semi").select(*key, F.lit(0).alias("side"), "l_id", F.lit(None).cast(dict(rights.dtypes)["r_id"]).alias("r_id"), F.col("l_place").alias("place"))
+    count = lambda *order: F.sum("side").over(Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    both = one.union(two).withColumns({"up": count(F.asc_nulls_last("place"), "side", "r_id"), "down": count(F.desc_nulls_last("place"), F.desc("side"), "r_id"), "by_id": count(F.asc_nulls_last("r_id"))})
+    both = materialize(both, "numbered")
+    way = lambda name, c: F.struct(F.lit(name).alias("way"), F.col(c).alias("at"))
+    slots = both.where("side = 1").select(*key, "r_id", F.explode(F.array(way("up", "up"), way("down", "down"), way("id", "by_id"))).alias("w")).select(*key, "r_id", "w.way", "w.at")
+    begin = F.when(F.col("place").isNull(), F.array(F.struct(F.lit("id").alias("way"), F.lit(0).cast("long").alias("at")))).otherwise(F.array(way("up", "up"), way("down", "down")))
+    starts = both.where("side = 0").select(*key, "l_id", F.col("place").alias("l_place"), F.explode(begin).alias("w")).select(*key, "l_id", "l_place", "w.way", F.col("w.at").alias("start"))
+    return starts, slots
+
+
+def _nearest(starts: DataFrame, slots: DataFrame, key: Sequence[str], low: int, high: int, keep: bool = False) -> DataFrame:
+    """The rights from the ``low``th to the ``high``th on every way from where a left begins."""
+    asked = starts.withColumn("at", F.explode(F.sequence(F.col("start") + low, F.col("start") + high)))
+    met = asked.join(slots, [*key, "way", "at"])
+    return met if keep else met.select(*[c for c in key if c != "key"], "l_id", "r_id")
 
 
 def phrase_hashes(words: np.ndarray, n: int) -> np.ndarray:

@@ -414,6 +414,68 @@ def test_streams_agree_with_batches(spark, tmp_path):
     assert streams.sessions(ev, "1 hour").agg(F.sum("n")).first()[0] == ev.count()
 
 
+def all_pairs_aligned(left, right, generic_terms, generic_ops, k):
+    """Alignment by meeting every pair of a block."""
+    out = []
+    for x in left:
+        found = []
+        for y in right:
+            if x["system"] is None or x["chapter"] is None or (x["system"], x["chapter"]) != (y["system"], y["chapter"]):
+                continue
+            both = lambda c: ({*(x[c] or [])} & {*(y[c] or [])}) - {None}  # noqa: E731, B023
+            link, titled = x["id"] in (y["linked"] or []), bool(x["title"]) and bool(y["title"]) and (x["title"] in y["title"] or y["title"] in x["title"])
+            nt, nc, no, ng = len(both("terms") - {*generic_terms}), len(both("constants")), len(both("ops") - {*generic_ops}), len(both("terms"))
+            gap = None if x["place"] is None or y["place"] is None else abs(x["place"] - y["place"])
+            near = 0 if gap is None else max(0, 5 - gap)
+            score = 20 * link + 16 * titled + 6 * nt + 4 * nc + 2 * no + near
+            if link or titled and (nt or nc or near >= 2):
+                tier = "high"
+            elif titled or nt and (nc or near >= 2) or nt >= 2 and near >= 1:
+                tier = "medium"
+            elif nt + nc + no == 0 and ng:
+                tier = "generic_only"
+            elif score >= 5:
+                tier = "review"
+            else:
+                continue
+            found.append((-score, gap is None, gap or 0, y["id"], tier))
+        out += [(x["id"], y, -s, tier, i + 1) for i, (s, _, _, y, tier) in enumerate(sorted(found)[:k])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("few, widest, n", [(2, 2, 80), (1, 8, 60), (64, 8, 60)])
+def test_aligned_items_equal_all_pairs(spark, few, widest, n):
+    r = random.Random(few * 10 + widest)
+    some = lambda xs, most: r.choice([None, [r.choice([*xs, None]) for _ in range(r.randrange(most + 1))]])
+    schema = "id long, system string, chapter long, title string, terms array<string>, constants array<long>, ops array<string>, place double, linked array<long>"
+
+    def items(first):
+        return [dict(
+            id=first + i, system=r.choice(["s", "s", "s", "t", None]), chapter=r.choice([1, 1, 1, 2]), title=r.choice([None, "", "ab", "abc", "b", "x y", "x", "long title of its own", f"t{i}"]),
+            terms=some(["red", "old", "w1", "w2", f"v{i % 7}"], 4), constants=some([1, 2, i % 9], 2), ops=some(["op0", "add", "set"], 2), place=r.choice([None, 0.0, float(r.randrange(40)), float(r.randrange(40)), r.random() * 40]),
+            linked=[] if r.random() < 0.9 else [r.randrange(n)]) for i in range(n)]
+
+    left, right = items(0), items(1000)
+    df = lambda rows_: spark.createDataFrame(rows_, schema)
+    found = joins.align_scored(df(left).drop("linked"), df(right), ["red", "old"], ["op0"], 3, few, widest)
+    got = sorted((x.l_id, x.r_id, round(x.score, 6), x.tier, x["rank"]) for x in found.collect())
+    want = [(i, j, round(s, 6), tier, rank) for i, j, s, tier, rank in all_pairs_aligned(left, right, {"red", "old"}, {"op0"}, 3)]
+    assert got == want and {x[3] for x in want} == {"high", "medium", "review", "generic_only"}
+
+
+def test_generic_lists_are_walked_past_what_shares_more(spark):
+    """Forty nearer items share an operation and are too far for a tier, so the walk doubles beyond them."""
+    item = lambda i, place, ops: dict(id=i, system="s", chapter=1, title=None, terms=["red"], constants=None, ops=ops, place=place, linked=None)
+    left = [item(1, 0.0, ["add"])]
+    right = [item(100 + i, 10.0 + i, ["add"]) for i in range(40)] + [item(200 + i, 90.0 - i, None) for i in range(5)]
+    schema = "id long, system string, chapter long, title string, terms array<string>, constants array<long>, ops array<string>, place double, linked array<long>"
+    df = lambda rows_: spark.createDataFrame(rows_, schema)
+    found = joins.align_scored(df(left).drop("linked"), df(right), ["red"], [], 3, 2)
+    assert rows(found, "l_id", "r_id", "tier", "rank") == [(1, 202, "generic_only", 3), (1, 203, "generic_only", 2), (1, 204, "generic_only", 1)]
+    empty = df([])
+    assert joins.align_scored(empty.drop("linked"), df(right), ["red"]).count() == joins.align_scored(df(left).drop("linked"), empty, ["red"]).count() == 0
+
+
 def test_sections_and_notes():
     kinds = ["heading", "source", "translation", "mark", "procedure", "translation", "source", "mark", "translation", "mark", "heading"]
     assert extraction.sections_of(kinds) == [
