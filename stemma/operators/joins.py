@@ -57,11 +57,12 @@ def align_scored(left: DataFrame, right: DataFrame, generic_terms: Sequence[str]
     place. Tiers ask for kinds of evidence, not for points. Ties: nearer place (unknown last), smaller id.
     Nulls in arrays are no evidence; items without id, system or chapter take no part.
 
-    Items of a block meet if it has up to ``few`` right items, else they do not all meet. A pair shares some evidence, has
-    one place, or shares generic terms only. Evidence that up to ``few`` right items have is joined. Of the more frequent, an item combines
-    its ``widest`` most frequent (what is left is joined too), and looks up for every combination the k
-    nearest right items on both sides: one beyond them has k before it that share as much and are
-    nearer. Lists of generic terms are walked outwards until k pairs share nothing else. Evidence and
+    Items of a block meet if it has up to ``few`` right items. In larger ones a pair shares some evidence,
+    has one place, or shares generic terms only. Evidence that up to ``few`` right items have is joined.
+    Of the more frequent, an item combines its ``widest`` most frequent (what is left is joined too), and
+    looks up for every combination the k nearest right items on both sides: one beyond them has k before
+    it that share as much and are nearer. Lists of generic terms are walked outwards until k pairs share
+    nothing else, or the list ends. Evidence and
     combinations are told by 64-bit hashes."""
     block = ["system", "chapter"]
     cols = ("id", "title", "terms", "constants", "ops", "place")

@@ -25,5 +25,6 @@ def r11(t):
 @query("r12_stream_latest_state", "SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
 def r12(t):
     out = new_folder(t.spark, "latest")
-    n = L.run_to_end(event_stream(t), out, "append", L.upsert_latest(f"{out}/rows", "user_id", ["ts", "event_id"]))
-    return t.spark.read.parquet(f"{out}/rows/v={n}").select("user_id", "event_id", "event_type", "value")
+    events = event_stream(t)
+    n = L.run_to_end(events, out, "append", L.upsert_latest(f"{out}/rows", "user_id", ["ts", "event_id"]))
+    return L.read_latest(t.spark, f"{out}/rows", n, events.schema).select("user_id", "event_id", "event_type", "value")

@@ -409,11 +409,39 @@ def test_streams_agree_with_batches(spark, tmp_path):
     out = f"file://{tmp_path}/latest"
     q = stream().writeStream.foreachBatch(streams.upsert_latest(out, "user_id", ["ts", "event_id"])).option("checkpointLocation", f"file://{tmp_path}/c2").trigger(availableNow=True).start()
     q.awaitTermination()
-    last = spark.read.parquet(f"{out}/v={q.lastProgress['batchId']}")
+    last = streams.read_latest(spark, out, q.lastProgress["batchId"], ev.schema)
     assert rows(last, "user_id", "event_id") == rows(streams.latest(ev, "user_id", ["ts", "event_id"]), "user_id", "event_id")
     assert streams.sessions(ev, "1 hour").agg(F.sum("n")).first()[0] == ev.count()
 
 
+def test_latest_state_rewrites_only_what_a_batch_meets(spark, tmp_path):
+    import datetime as dt
+    import os
+
+    r = random.Random(5)
+    day = lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(days=n)
+    schema = "user_id long, event_id long, ts timestamp, value double"
+    batches = [[(u, 1000 + u, day(u % 9), 0.5) for u in range(400)], [], [(7, 2000, day(10), 1.0), (8, 2001, day(-5), 1.0), (None, 2002, day(10), 1.0)], [(7, 2003, day(10), 2.0)], [(r.randrange(500), 3000 + i, day(r.randrange(16)), 3.0) for i in range(60)]]
+    frame = lambda rows_: spark.createDataFrame(rows_, schema)
+    out, seen = f"file://{tmp_path}/state", []
+    files = lambda: {(d, f): os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(f"{tmp_path}/state/") for f in fs if f.endswith(".parquet") and "/state/state/" not in d}
+    for n, batch in enumerate(batches):
+        before = files()
+        streams.upsert_latest(out, "user_id", ["ts", "event_id"], "6 days", 16)(frame(batch), n)
+        new = {f: size for f, size in files().items() if f not in before}
+        if n == 3:
+            assert len(new) == 1 and sum(new.values()) < 0.2 * sum(before.values())
+        if n in (1, 3, 4):  # a batch that comes again, by a writer that knows nothing of the first, changes nothing
+            streams.upsert_latest(out, "user_id", ["ts", "event_id"], "6 days", 16)(frame(batch), n)
+        seen += batch
+        last, newest = {}, max(x[2] for x in seen)
+        for x in seen:
+            last[x[0]] = max(last.get(x[0], x), x, key=lambda y: (y[2], y[1]))
+        want = {(u, x[1]) for u, x in last.items() if x[2] >= newest - dt.timedelta(days=6)}
+        assert {(x.user_id, x.event_id) for x in streams.read_latest(spark, out, n, schema, "6 days").collect()} == want
+    assert len([d for d in os.listdir(f"{tmp_path}/state/state") if d.startswith("v=")]) == 2
+
+
 def all_pairs_aligned(left, right, generic_terms, generic_ops, k):
     """Alignment by meeting every pair of a block."""
     out = []
