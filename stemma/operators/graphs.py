@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from stemma.operators.intervals import overlapping
 from stemma.sources.tables import drop, materialize
 
-#: Hops that one round of a propagation takes, and rounds of peeling before a closure.
-HOPS, PEEL_ROUNDS = 4, 8
+#: Hops that one round of a propagation takes.
+HOPS = 4
 
 
 def closure(edges: DataFrame) -> DataFrame:
@@ -29,19 +29,77 @@ def closure(edges: DataFrame) -> DataFrame:
 
 
 def on_cycles(edges: DataFrame) -> DataFrame:
-    """Nodes that reach themselves: every node on some cycle.
-
-    Edges out of nodes without parents and into nodes without children lie on no cycle and are
-    peeled off, as long as that takes few rounds; what is left is closed."""
-    left = materialize(edges.select("child", "parent").where("child IS NOT NULL AND parent IS NOT NULL").distinct(), "edges")
-    n = left.count()
-    for _ in range(PEEL_ROUNDS):
-        kept = left.join(left.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi").join(left.select(F.col("parent").alias("child")).distinct(), "child", "left_semi")
-        left = materialize(kept.select("child", "parent"), "edges")
-        before, n = n, left.count()
-        if n in (0, before):
+    """Nodes that reach themselves: every node on some cycle, each once; null ends are no edges.
+
+    Nodes without an edge in or out go, and of nodes with one edge in and one out those that come first
+    among their neighbours by a hash are taken out and bridged, round by round: long chains and cycles
+    shrink by a constant share each time. What is left falls into strong components by colours. A node
+    taken out lies on a cycle exactly if its bridge does. A round writes the edges that are left and the
+    nodes that it took out."""
+    e = materialize(edges.select("child", "parent").where("child IS NOT NULL AND parent IS NOT NULL").distinct(), "edges")
+    within = [e.where("child = parent")]
+    e = e.where("child != parent")
+    taken, n, salt = [], e.count(), 0
+    while n:
+        none = F.lit(None).cast(dict(e.dtypes)["child"])
+        ends = e.select(F.col("child").alias("node"), none.alias("before"), F.col("parent").alias("after")).union(e.select("parent", "child", none))
+        nodes = materialize(ends.groupBy("node").agg(F.count("before").alias("n_in"), F.count("after").alias("n_out"), F.max("before").alias("before"), F.max("after").alias("after")), "nodes")
+        bare = nodes.where("n_in = 0 OR n_out = 0").select("node")
+        inner = nodes.where("n_in = 1 AND n_out = 1").select("node", "before", "after", F.struct(F.xxhash64(F.lit(salt), "node"), "node").alias("order"))
+        later = inner.select("node", "order", "after").join(inner.select(F.col("node").alias("after"), F.col("order").alias("next")), "after")
+        beaten = later.select(F.when(F.col("order") < F.col("next"), F.col("after")).otherwise(F.col("node")).alias("node"))
+        out = materialize(inner.join(beaten, "node", "left_anti").select("node", "before", "after"), "taken")
+        gone = bare.union(out.select("node"))
+        lacks = lambda df, c, x: df.join(x.select(F.col("node").alias(c)), c, "left_anti")
+        kept = lacks(lacks(e, "child", gone), "parent", gone).select("child", "parent")
+        bridges = lacks(lacks(out.select(F.col("before").alias("child"), F.col("after").alias("parent")), "child", bare), "parent", bare).select("child", "parent")
+        left = materialize(kept.union(bridges).distinct(), "edges")
+        taken.append(out)
+        within.append(left.where("child = parent"))
+        e = left.where("child != parent")
+        before, n, salt = n, e.count(), salt + 1
+        if n == before:
             break
-    return closure(left).where("node = ancestor").select("node")
+    if n:
+        within += _component_edges(e)
+    known = within[0]
+    for w in within[1:]:
+        known = known.union(w.select("child", "parent"))
+    for out in reversed(taken):
+        hit = materialize(out.join(known.select(F.col("child").alias("before"), F.col("parent").alias("after")), ["before", "after"], "left_semi"), "on-cycles")
+        known = known.union(hit.select("before", "node")).union(hit.select("node", "after"))
+    return known.select(F.col("child").alias("node")).union(known.select("parent")).distinct()
+
+
+def _component_edges(e: DataFrame) -> list[DataFrame]:
+    """The edges (child, parent) inside strong components.
+
+    Every node takes the greatest node that reaches it as its colour. What reaches that node within
+    the colour is its component; edges between colours lie in none. The rest is coloured again. Rounds
+    join and write only what changed in the last one."""
+    found = []
+    while not e.isEmpty():
+        frontier = materialize(e.select(F.col("child").alias("node")).union(e.select("parent")).distinct().withColumn("colour", F.col("node")), "colours")
+        all_ = frontier
+        while True:
+            now = all_.groupBy("node").agg(F.max("colour").alias("colour"))
+            reach = e.join(frontier.withColumnRenamed("node", "child"), "child").groupBy(F.col("parent").alias("node")).agg(F.max("colour").alias("new"))
+            frontier = materialize(reach.join(now, "node").where("new > colour").select("node", F.col("new").alias("colour")), "colours")
+            if frontier.isEmpty():
+                break
+            all_ = all_.union(frontier)
+        of = lambda c: now.select(F.col("node").alias(c), "colour")
+        e = materialize(e.join(of("child"), "child").join(of("parent"), ["parent", "colour"]).select("child", "parent", "colour"), "edges")
+        part = new = now.where("node = colour").select("node", "colour")
+        while True:
+            new = materialize(e.join(new.withColumnRenamed("node", "parent"), ["parent", "colour"]).select(F.col("child").alias("node"), "colour").distinct().join(part, ["node", "colour"], "left_anti"), "component")
+            if new.isEmpty():
+                break
+            part = part.union(new)
+        at = lambda c, how: (lambda df: df.join(part.select(F.col("node").alias(c)), c, how))
+        found.append(materialize(at("parent", "left_semi")(at("child", "left_semi")(e)).select("child", "parent"), "component-edges"))
+        e = materialize(at("parent", "left_anti")(at("child", "left_anti")(e)).select("child", "parent"), "edges")
+    return found
 
 
 def propagate_inactive(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -442,6 +442,33 @@ def test_latest_state_rewrites_only_what_a_batch_meets(spark, tmp_path):
     assert len([d for d in os.listdir(f"{tmp_path}/state/state") if d.startswith("v=")]) == 2
 
 
+def test_cycles_equal_reach_and_long_ones_settle(spark):
+    r = random.Random(11)
+    pairs = [(r.randrange(60), r.randrange(60)) for _ in range(75)] + [(100, 101), (101, 100), (102, 102), (102, 103), (None, 1), (1, None), (101, 104), (104, 105)]
+    pairs += [(x, x + 1) for x in range(200, 230)] + [(230, 210), (215, 225), (222, 212)]
+    to = {}
+    for x, y in pairs:
+        if x is not None and y is not None:
+            to.setdefault(x, set()).add(y)
+
+    def reaches_itself(x):
+        seen, open_ = set(), [x]
+        while open_:
+            for y in to.get(open_.pop(), ()):
+                if y not in seen:
+                    seen.add(y)
+                    open_.append(y)
+        return x in seen
+
+    df = lambda x: spark.createDataFrame(x, "child long, parent long")
+    want = sorted((x,) for x in to if reaches_itself(x))
+    assert rows(graphs.on_cycles(df(pairs)), "node") == want and 10 < len(want) < len(to)
+    assert graphs.on_cycles(df([])).count() == 0
+    n = 300
+    long = spark.range(n).selectExpr("id AS child", f"(id + 1) % {n} AS parent").union(spark.range(n, n + 100).selectExpr("id", "id + 1"))
+    assert graphs.on_cycles(long).agg(F.count("*"), F.min("node"), F.max("node")).first()[:] == (n, 0, n - 1)
+
+
 def all_pairs_aligned(left, right, generic_terms, generic_ops, k):
     """Alignment by meeting every pair of a block."""
     out = []
