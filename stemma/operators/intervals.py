@@ -42,11 +42,12 @@ def outside(a: DataFrame, b: DataFrame, doc: str, bucket: int = 256) -> DataFram
 
 
 def merge(spans: DataFrame, doc: str) -> DataFrame:
-    """Maximal covered ranges: islands where the running end is not reached."""
-    w = Window.partitionBy(doc).orderBy("start", "end")
-    before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    """Maximal covered ranges: islands where the running end is not reached. Spans that begin together share
+    their frame, so no order of equal spans matters."""
+    w = Window.partitionBy(doc).orderBy("start")
+    before = F.max("end").over(w.rangeBetween(Window.unboundedPreceding, -1))
     marked = spans.withColumn("_new", F.when(before.isNull() | (F.col("start") > before), 1).otherwise(0))
-    island = marked.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    island = marked.withColumn("_island", F.sum("_new").over(w.rangeBetween(Window.unboundedPreceding, 0)))
     return island.groupBy(doc, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_island")
 
 

@@ -202,8 +202,8 @@ def d8(t):
     return D.dataset_fingerprint(t("nation").join(t("customer"), c("c_nationkey") == c("n_nationkey")), "n_nationkey", "n_name")
 
 
-ISLANDS = f"""s AS ({SPANS_OF}), m AS (SELECT *, max(e) OVER (PARTITION BY doc ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM s),
-i AS (SELECT *, sum((b IS NULL OR s > b)::INT) OVER (PARTITION BY doc ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS isl FROM m), r AS (SELECT doc, min(s) AS s, max(e) AS e FROM i GROUP BY doc, isl)"""
+ISLANDS = f"""s AS ({SPANS_OF}), m AS (SELECT *, max(e) OVER (PARTITION BY doc ORDER BY s, e, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM s),
+i AS (SELECT *, sum((b IS NULL OR s > b)::INT) OVER (PARTITION BY doc ORDER BY s, e, id ROWS UNBOUNDED PRECEDING) AS isl FROM m), r AS (SELECT doc, min(s) AS s, max(e) AS e FROM i GROUP BY doc, isl)"""
 
 
 @query("c16_char_coverage", f"""
