@@ -105,12 +105,15 @@ def s6(t):
 
 
 @query("w12_stable_lead", """
-WITH s AS (SELECT user_id, event_type, sum(value) AS score FROM events GROUP BY ALL), r AS (SELECT *, row_number() OVER w AS r, lead(score) OVER w AS runner_up FROM s WINDOW w AS (PARTITION BY user_id ORDER BY score DESC, event_type))
-SELECT user_id, event_type, score, runner_up FROM r WHERE r = 1 AND score >= 100 AND (runner_up IS NULL OR score - runner_up >= 50)""")
+WITH s AS (SELECT user_id, event_type, sum(value::DECIMAL(28,10)) AS score FROM events GROUP BY ALL), r AS (SELECT *, row_number() OVER w AS r, lead(score) OVER w AS runner_up FROM s WINDOW w AS (PARTITION BY user_id ORDER BY score DESC, event_type))
+SELECT user_id, event_type, score::DOUBLE AS score, runner_up::DOUBLE AS runner_up FROM r WHERE r = 1 AND score >= 100 AND (runner_up IS NULL OR score - runner_up >= 50)""")
 def w12(t):
+    """Users' leading kinds of events; sums are exact, as sums of doubles hang on the order of rows and decide ties and gaps."""
     from stemma.operators.topk import stable_lead
 
-    return stable_lead(t("events").groupBy("user_id", "event_type").agg(F.sum("value").alias("score")), ["user_id"], "score", "event_type", 100, 50)
+    sums = t("events").groupBy("user_id", "event_type").agg(F.sum(c("value").cast("decimal(28,10)")).alias("score"))
+    lead = stable_lead(sums, ["user_id"], "score", "event_type", 100, 50)
+    return lead.withColumns({x: c(x).cast("double") for x in ("score", "runner_up")})
 
 
 @query("d2_snapshot_diff", """

@@ -15,3 +15,10 @@ def test_equal_spans_make_one_range(spark):
     spans = spark.createDataFrame([("a", 5, 9)] * 40 + [("a", 5, 7), ("a", 9, 12), ("a", 20, 20), ("a", 20, 21), ("b", 0, 3)], "doc string, start int, end int")
     got = sorted((r.doc, r.start, r.end) for r in intervals.merge(spans, "doc").collect())
     assert got == [("a", 5, 12), ("a", 20, 21), ("b", 0, 3)]
+
+
+def test_stable_lead_sums_exactly(spark, tmp_path):
+    rows = [(1, "click", 0.1)] * 1010 + [(1, "view", 51.0), (2, "view", 101.0), (2, "click", 51.01)]
+    spark.createDataFrame(rows, "user_id int, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
+    got = catalog.QUERIES["w12_stable_lead"](spark, str(tmp_path))
+    assert [tuple(r) for r in got.collect()] == [(1, "click", 101.0, 51.0)] and dict(got.dtypes)["score"] == "double"
