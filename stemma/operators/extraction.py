@@ -4,11 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType
 
 from stemma.functions import text as T
 from stemma.operators.topk import top_per_key
@@ -194,17 +192,21 @@ def sectionize(lines: DataFrame, doc: str, order: str, kind: str) -> DataFrame:
     return lines.repartition(doc).sortWithinPartitions(doc, order).mapInArrow(walk, schema)
 
 
-@F.pandas_udf(ArrayType(BooleanType()))
-def _accepted_pages(pages: pd.Series) -> pd.Series:
-    """Whether each page's closing run (first number, last number) continues the notes of the pages before."""
-    out = []
-    for runs in pages:
-        expected, flags = 1, []
-        for r in runs:
-            flags.append(r["low"] <= expected <= r["high"])
-            expected = r["high"] + 1 if flags[-1] else expected
-        out.append(flags)
-    return pd.Series(out)
+def _accepted_pages(batches):
+    """From which number on each page's closing run (low, high) is accepted, where it continues the notes of the pages before.
+
+    Pages come by document and in order; only the document and the number expected next are carried."""
+    current, expected, begun = None, 1, False
+    for batch in batches:
+        docs, lows, highs = (batch.column(i).to_pylist() for i in (0, 2, 3))
+        starts = []
+        for d, low, high in zip(docs, lows, highs, strict=True):
+            if not begun or d != current:
+                current, expected, begun = d, 1, True
+            fits = low <= expected <= high
+            starts.append(expected if fits else None)
+            expected = high + 1 if fits else expected
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(starts, pa.int64())], names=["_doc", "_page", "_from"])
 
 
 def expected_suffix(notes: DataFrame, doc: str, page: str, order: str, number: str, highest: int = 10_000) -> DataFrame:
@@ -212,19 +214,16 @@ def expected_suffix(notes: DataFrame, doc: str, page: str, order: str, number: s
 
     On a page only its closing run counts, numbers that rise by one up to the page's end; of it
     those are notes that go on from the last note of the pages before. Windows find the runs; the
-    walk over a document's pages sees two numbers a page."""
+    walk over a document's pages sees two numbers a page and streams, so no document is collected."""
     back = Window.partitionBy(doc, page).orderBy(F.desc(order))
     place = F.row_number().over(back)
     last = F.first(number).over(back)
     n = notes.withColumn("_last", last).withColumn("_off", (F.col(number) + place - 1 != F.col("_last")) | F.col(number).isNull() | (F.col("_last") > highest))
     n = n.withColumn("_run", F.max("_off").over(back) == F.lit(False))
     pages = n.where("_run").groupBy(doc, page).agg(F.min(number).alias("low"), F.max(number).alias("high"))
-    walk = pages.groupBy(doc).agg(F.sort_array(F.collect_list(F.struct(F.col(page).alias("page"), "low", "high"))).alias("pages"))
-    walk = walk.withColumn("ok", _accepted_pages("pages")).select(doc, F.explode(F.arrays_zip("pages", "ok")).alias("p"))
-    good = walk.where("p.ok").select(F.col(doc).alias("_doc"), F.col("p.pages.page").alias("_page"), F.col("p.pages.low").alias("_low"))
-    before = Window.partitionBy("_doc").orderBy("_page")
-    good = good.join(pages.select(F.col(doc).alias("_doc"), F.col(page).alias("_page"), "high"), ["_doc", "_page"])
-    good = good.withColumn("_from", F.coalesce(F.lag("high").over(before) + 1, F.lit(1))).drop("high", "_low")
+    pages = pages.select(doc, page, F.col("low").cast("long"), F.col("high").cast("long"))
+    kinds = dict(pages.dtypes)
+    good = pages.repartition(doc).sortWithinPartitions(doc, page).mapInArrow(_accepted_pages, f"_doc {kinds[doc]}, _page {kinds[page]}, _from bigint").where("_from IS NOT NULL")
     j = n.join(good, (F.col(doc) == F.col("_doc")) & (F.col(page) == F.col("_page")), "left")
     return j.select(*notes.columns, F.coalesce(F.col("_run") & (F.col(number) >= F.col("_from")), F.lit(False)).alias("accepted"))
 

@@ -2,7 +2,7 @@
 
 import re
 
-from stemma.operators import intervals
+from stemma.operators import extraction, intervals
 from stemma.plans import catalog
 
 
@@ -22,3 +22,16 @@ def test_stable_lead_sums_exactly(spark, tmp_path):
     spark.createDataFrame(rows, "user_id int, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
     got = catalog.QUERIES["w12_stable_lead"](spark, str(tmp_path))
     assert [tuple(r) for r in got.collect()] == [(1, "click", 101.0, 51.0)] and dict(got.dtypes)["score"] == "double"
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_expected_suffix_walks_in_a_stream(spark):
+    """Pages of a document are never collected; a page accepted by chance of what came before keeps its place."""
+    notes = spark.createDataFrame([(d, p, i, (p * 3 + i) % 7 if d else p * 3 + i + 1) for d in range(3) for p in range(50) for i in range(3)], "doc int, page int, pos int, number int")
+    out = extraction.expected_suffix(notes, "doc", "page", "pos", "number")
+    assert "collect_list" not in plan_of(out)
+    got = {(r.doc, r.page, r.pos): r.accepted for r in out.collect()}
+    assert all(got[0, p, i] for p in range(50) for i in range(3)) and len(got) == 450 and not all(got.values())
