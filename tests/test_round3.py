@@ -2,7 +2,7 @@
 
 import re
 
-from stemma.operators import extraction, intervals, joins
+from stemma.operators import compare, extraction, intervals, joins
 from stemma.plans import catalog
 
 
@@ -50,3 +50,11 @@ def test_strongest_claim_meets_one_claim_a_text(spark):
         if met:
             want[t.term_id] = min(met)
     assert {r.term_id: (r.level, r.claim_id) for r in out.collect()} == want
+
+
+def test_differences_within_compares_blocks(spark):
+    rows = [(i, f"k{i % 3}", ["x", f"o{i % 4}"], [f"r{i % 2}"]) for i in range(60)]
+    out = compare.differences_within(spark.createDataFrame(rows, "id int, k string, ops array<string>, roles array<string>"), "k", block=2)
+    assert len(re.findall("Join Inner", out._jdf.queryExecution().optimizedPlan().toString())) == 1
+    want = {(a, b, tuple(sorted(set(ao) - set(bo))), tuple(sorted(set(bo) - set(ao))), tuple(sorted(set(ar) - set(br)))) for a, ka, ao, ar in rows for b, kb, bo, br in rows if ka == kb and a < b}
+    assert sorted((r.a, r.b, tuple(r.a_only), tuple(r.b_only), tuple(r.a_roles_only)) for r in out.collect()) == sorted(want)
