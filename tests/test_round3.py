@@ -1,8 +1,9 @@
 """Cases of the third review: ties, exact sums, and joins that must not grow with the pairs they try."""
 
+import random
 import re
 
-from stemma.operators import compare, extraction, intervals, joins
+from stemma.operators import banks, compare, extraction, intervals, joins
 from stemma.plans import catalog
 
 
@@ -58,3 +59,20 @@ def test_differences_within_compares_blocks(spark):
     assert len(re.findall("Join Inner", out._jdf.queryExecution().optimizedPlan().toString())) == 1
     want = {(a, b, tuple(sorted(set(ao) - set(bo))), tuple(sorted(set(bo) - set(ao))), tuple(sorted(set(ar) - set(br)))) for a, ka, ao, ar in rows for b, kb, bo, br in rows if ka == kb and a < b}
     assert sorted((r.a, r.b, tuple(r.a_only), tuple(r.b_only), tuple(r.a_roles_only)) for r in out.collect()) == sorted(want)
+
+
+def test_diagnostic_counts_equal_those_of_pairs(spark):
+    """Counts by combinations equal counts of pairs, unknown families, repeated and wide arrays among them, without pairs."""
+    r = random.Random(5)
+    some = lambda x, n, k: [f"{x}{r.randrange(n)}" for _ in range(r.randrange(k))]
+    family = lambda: r.choice([None, "p", "q", "r"])
+    wide = lambda i: [f"t{x}" for x in range(12)] if i % 40 == 7 else []
+    spans = [(i, f"s{i % 2}", family(), some("t", 8, 4) + wide(i), [r.randrange(6) for _ in range(r.randrange(3))], some("d", 2, 2)) for i in range(120)]
+    claims = [(i, f"s{i % 2}", family(), some("t", 8, 4) + wide(i), [r.randrange(6) for _ in range(r.randrange(3))], some("d", 2, 2), r.random() < .3, r.choice([None, "", "add", "cut"]), r.random() < .5) for i in range(120)]
+    same = "system string, family string, terms array<string>, `values` array<int>, distinctive array<string>"
+    s, c = spark.createDataFrame(spans, "span_id int, " + same), spark.createDataFrame(claims, "claim_id int, " + same + ", titled boolean, op string, strong boolean")
+    want = {tuple(x) for x in banks.count_diagnostics(banks.claim_diagnostics(s, c, ["t0", "t1", "t2"], ["add"])).collect()}
+    got = banks.diagnostic_counts(s, c, ["t0", "t1", "t2"], ["add"])
+    assert {tuple(x) for x in got.collect()} == want and len({x[2:] for x in want}) > 20
+    no_wide = banks.diagnostic_counts(s.where("size(terms) < 5"), c.where("size(terms) < 5"), ["t0"], ["add"])
+    assert len(re.findall("Join", no_wide._jdf.queryExecution().optimizedPlan().toString())) == 1
