@@ -76,3 +76,12 @@ def test_diagnostic_counts_equal_those_of_pairs(spark):
     assert {tuple(x) for x in got.collect()} == want and len({x[2:] for x in want}) > 20
     no_wide = banks.diagnostic_counts(s.where("size(terms) < 5"), c.where("size(terms) < 5"), ["t0"], ["add"])
     assert len(re.findall("Join", no_wide._jdf.queryExecution().optimizedPlan().toString())) == 1
+
+
+def test_contained_in_deals_common_needles(spark):
+    texts = [(i, f"s{i % 2}", ["red ring", "ring", "blue"][i % 3]) for i in range(60)]
+    needles = [(i, f"s{i % 2}", ["ring", "e", "", "zz"][i % 4]) for i in range(80)]
+    t, n = spark.createDataFrame(texts, "text_id int, system string, text string"), spark.createDataFrame(needles, "needle_id int, system string, needle string")
+    out = joins.contained_in(t, n, ["system"], salts=3, block=2)
+    assert "_salt" in plan_of(out)
+    assert sorted(map(tuple, out.collect())) == sorted((i, j) for i, s, x in texts for j, z, y in needles if s == z and y and y in x)
