@@ -89,7 +89,8 @@ def derive_facts(assertions: DataFrame, rules: DataFrame, rejected: DataFrame |
     premises have. Without ``rule`` and ``authority`` every row is a rule and all have one authority. Reviewed assertions have depth 0. Where a target and facet get two values all of
     them are blocked, and so are ``rejected`` facts (target, facet, value); blocked facts support
     nothing. A fact without a proof from unblocked reviewed facts is ungrounded, so a cycle cannot
-    support itself. Both loops run until a round adds nothing."""
+    support itself. Both loops run until a round adds nothing. Rules and facts pack well in files, so Spark takes
+    them for small: they are joined by merging, as a broadcast in every round would pass them through the driver."""
     key = ["target", "facet", "value", "authority"]
     if "authority" not in assertions.columns:
         assertions = assertions.withColumn("authority", F.lit(""))
@@ -97,35 +98,36 @@ def derive_facts(assertions: DataFrame, rules: DataFrame, rejected: DataFrame |
         rules = rules.withColumn("rule", F.xxhash64(*rules.columns))
     rules = materialize(rules.distinct(), "rules")
     sizes = rules.groupBy("rule").agg(F.count("*").alias("needed"))
-    heads = rules.select("rule", "to_target", "to_facet").distinct().join(sizes, "rule")
+    heads = materialize(rules.select("rule", "to_target", "to_facet").distinct().join(sizes.hint("merge"), "rule"), "heads").hint("merge")
+    rules = rules.hint("merge")
 
     def fired(frontier, facts):
         """Heads of the rules that have a premise in the frontier and all of them among the facts."""
         hit = frontier.join(rules, ["target", "facet"]).select("rule", "value", "authority").distinct()
-        met = hit.join(rules, "rule").join(facts.select(*key), key).groupBy("rule", "value", "authority").agg(F.count("*").alias("met"))
+        met = hit.join(rules, "rule").join(facts.select(*key).hint("merge"), key).groupBy("rule", "value", "authority").agg(F.count("*").alias("met"))
         return met.join(heads, "rule").where("met = needed").select("rule", F.col("to_target").alias("target"), F.col("to_facet").alias("facet"), "value", "authority")
 
     facts = frontier = materialize(assertions.select(*key).distinct(), "facts")
     while not frontier.isEmpty():  # a round writes what it found, never what was found before
-        frontier = materialize(fired(frontier, facts).select(*key).distinct().join(facts, key, "left_anti"), "new-facts")
+        frontier = materialize(fired(frontier, facts).select(*key).distinct().join(facts.hint("merge"), key, "left_anti"), "new-facts")
         facts = facts.union(frontier)
     clash = facts.groupBy("target", "facet").agg((F.min("value") != F.max("value")).alias("clash"))
-    facts = facts.join(clash, ["target", "facet"])
+    facts = facts.join(clash.hint("merge"), ["target", "facet"])
     if rejected is not None:
-        facts = facts.join(rejected.select("target", "facet", "value").distinct().withColumn("rejected", F.lit(True)), ["target", "facet", "value"], "left")
+        facts = facts.join(rejected.select("target", "facet", "value").distinct().withColumn("rejected", F.lit(True)).hint("merge"), ["target", "facet", "value"], "left")
     else:
         facts = facts.withColumn("rejected", F.lit(None).cast("boolean"))
     facts = materialize(facts, "facts")
     usable = materialize(facts.where("NOT clash AND rejected IS NULL").select(*key), "usable")
     proofs = fired(usable, usable).groupBy(*key).agg(F.count_distinct("rule").alias("n_proofs"))
-    depth = materialize(assertions.where("reviewed").select(*key).distinct().join(usable, key, "left_semi").withColumn("depth", F.lit(0)), "depth")
+    depth = materialize(assertions.where("reviewed").select(*key).distinct().join(usable.hint("merge"), key, "left_semi").withColumn("depth", F.lit(0)), "depth")
     frontier, n = depth, 0
     while not frontier.isEmpty():
         n += 1
-        new = fired(frontier.drop("depth"), depth).select(*key).distinct().join(usable, key, "left_semi").join(depth, key, "left_anti")
+        new = fired(frontier.drop("depth"), depth).select(*key).distinct().join(usable.hint("merge"), key, "left_semi").join(depth.hint("merge"), key, "left_anti")
         frontier = materialize(new.withColumn("depth", F.lit(n)), "new-depth")
         depth = depth.union(frontier)
-    out = facts.join(depth, key, "left").join(proofs, key, "left")
+    out = facts.join(depth.hint("merge"), key, "left").join(proofs.hint("merge"), key, "left")
     status = F.when(F.col("clash"), "conflict").when(F.col("rejected"), "rejected").when(F.col("depth").isNull(), "ungrounded").otherwise("grounded")
     return out.select(*key, status.alias("status"), "depth", F.coalesce("n_proofs", F.lit(0)).alias("n_proofs"))
 

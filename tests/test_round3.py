@@ -141,3 +141,15 @@ def test_combinations_of_claims_are_never_broadcast(spark, monkeypatch):
 
     want = {(s[0], r + 1, c, -x) for s in rows[::2] for r, (x, c) in enumerate(sorted((-score(s, c), c[0]) for c in rows[1::2] if c[1] == s[1])[:5])}
     assert {(x.step_id, x["rank"], x.claim_id, x.score) for x in out.collect()} == want
+
+
+def test_rounds_of_rules_are_not_broadcast(spark, monkeypatch):
+    """Rules and facts are joined by merging in every round, so none passes through the driver."""
+    plans, write = [], extraction.materialize
+    monkeypatch.setattr(extraction, "materialize", lambda df, name: (plans.append(df), write(df, name))[1])
+    facts = spark.createDataFrame([(i, "kind", "v", "a", i % 3 == 0) for i in range(8, 16)], "target int, facet string, value string, authority string, reviewed boolean")
+    rules = spark.createDataFrame([(i, i, "kind", i // 2, "kind") for i in range(2, 16)], "rule int, target int, facet string, to_target int, to_facet string")
+    out = extraction.derive_facts(facts, rules, spark.createDataFrame([(9, "kind", "v")], "target int, facet string, value string"))
+    assert not any("BroadcastExchange" in plan for plan in (x._jdf.queryExecution().executedPlan().toString() for x in [*plans, out]))
+    got = {r.target: (r.status, r.depth, r.n_proofs) for r in out.collect()}
+    assert got[9] == ("rejected", None, 0) and got[12] == ("grounded", 0, 0) and got[6] == ("grounded", 1, 2) and got[1] == ("grounded", 3, 2) and got[5] == ("ungrounded", None, 2)
