@@ -153,3 +153,27 @@ def test_rounds_of_rules_are_not_broadcast(spark, monkeypatch):
     assert not any("BroadcastExchange" in plan for plan in (x._jdf.queryExecution().executedPlan().toString() for x in [*plans, out]))
     got = {r.target: (r.status, r.depth, r.n_proofs) for r in out.collect()}
     assert got[9] == ("rejected", None, 0) and got[12] == ("grounded", 0, 0) and got[6] == ("grounded", 1, 2) and got[1] == ("grounded", 3, 2) and got[5] == ("ungrounded", None, 2)
+
+
+def test_first_noisy_claims_equal_those_of_pairs(spark):
+    """The first noisy claims come from short lists, also where claims of meaning fill a list; unknown families and repeated terms among them."""
+    r = random.Random(8)
+    some = lambda x, n, k: [f"{x}{r.randrange(n)}" for _ in range(r.randrange(k))]
+    family = lambda: r.choice([None, "p", "q", "r"])
+    row = lambda i: (i, f"s{i % 2}", family(), some("t", 8, 4), [r.randrange(6) for _ in range(r.randrange(3))], some("d", 2, 2) if r.random() < .3 else [])
+    spans, claims = [row(i) for i in range(150)], [row(i) + (r.random() < .3, r.choice([None, "", "add", "cut"]), r.random() < .5) for i in range(150)]
+    same = "system string, family string, terms array<string>, `values` array<int>, distinctive array<string>"
+    s, c = spark.createDataFrame(spans, "span_id int, " + same), spark.createDataFrame(claims, "claim_id int, " + same + ", titled boolean, op string, strong boolean")
+    how = (s, c, ["t0", "t1", "t2"], ["add"])
+    d = banks.claim_diagnostics(*how)
+    want = {x.span_id: x.top_noisy for x in banks.noisy_of_diagnostics(d).collect()}
+    assert len(want) > 100 and len({len(x) for x in want.values()}) == 3
+    for listed in (3, 16, 200):
+        out = banks.first_noisy(*how, listed=listed)
+        assert {x.span_id: x.top_noisy for x in out.collect()} == want
+        assert listed < 200 or "claim_distinctive" not in plan_of(out)
+    m = {x.span_id: x for x in banks.target_family_map(s, banks.diagnostic_counts(*how), banks.first_noisy(*how)).collect()}
+    for i in range(150):
+        x = [y for y in d.where(f"span_id = {i}").collect()] if i % 15 == 0 else None
+        if x is not None:
+            assert (m[i].n_accepted, m[i].n_rejected, m[i].n_noisy, m[i].n_generic) == (sum(y.compatible and y.strength != "generic_only" for y in x), sum(not y.compatible for y in x), sum(y.quality == "noisy" for y in x), sum(y.strength == "generic_only" for y in x))
