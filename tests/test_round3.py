@@ -177,3 +177,28 @@ def test_first_noisy_claims_equal_those_of_pairs(spark):
         x = [y for y in d.where(f"span_id = {i}").collect()] if i % 15 == 0 else None
         if x is not None:
             assert (m[i].n_accepted, m[i].n_rejected, m[i].n_noisy, m[i].n_generic) == (sum(y.compatible and y.strength != "generic_only" for y in x), sum(not y.compatible for y in x), sum(y.quality == "noisy" for y in x), sum(y.strength == "generic_only" for y in x))
+
+
+def test_single_predicates_are_scored_without_python(spark):
+    """Obligations of one predicate equal the assignment, ties and unknown values among them; only those of several reach Python rows."""
+    r = random.Random(3)
+    one = lambda: (r.choice(["K", "L", "M", None]), [r.choice("abc") for _ in range(r.randrange(4))], r.choice([None, "s", "t"]), r.choice([None, "m", "n"]), r.choice([None, 1, 2]))
+    wanted = [(i, i % 90, *one()) for i in range(100)] + [(i, i % 90, *one()) for i in range(0, 100, 9)]
+    events = [(1000 - i, r.randrange(80), *one()) for i in range(200)]
+    fields = "span int, kind string, ports array<string>, scope string, method string, quantity int"
+    issues = [(s, s, r.choice([None, "parser_gap", "interpretive_ambiguity", "x"])) for s in range(90)]
+    o, e = spark.createDataFrame(wanted, "obligation int, " + fields), spark.createDataFrame(events, "event int, " + fields)
+    names = ("kind", "ports", "scope", "method", "quantity")
+    supported, why, asked = ["K", "L"], {s: c for _, s, c in issues}, {}
+    for i, span, *x in wanted:
+        asked.setdefault((i, span), []).append(dict(zip(names, x)))
+    out = compare.obligation_scoring(o, e, supported, spark.createDataFrame(issues, "issue int, span int, cause string"))
+    got = {x.obligation: x for x in out.collect()}
+    some = set()
+    for (i, span), w in asked.items():
+        if len(w) == 1:
+            want = compare.score_obligation(w, [dict(zip(("event", *names), (x[0], *x[2:]))) for x in events if x[1] == span], supported, why[span])
+            some.add(want["status"])
+            assert got[i].status == want["status"] and all(tuple(got[i][f"{layer}_{x}"] for x in ("tp", "fp", "fn")) == want[layer] for layer in compare.LAYERS), (i, want, got[i])
+    assert len(got) == 100 and len(some) >= 5
+    assert "size(wanted" in plan_of(out)  # obligations are told apart before any row goes to Python
