@@ -202,3 +202,31 @@ def test_single_predicates_are_scored_without_python(spark):
             assert got[i].status == want["status"] and all(tuple(got[i][f"{layer}_{x}"] for x in ("tp", "fp", "fn")) == want[layer] for layer in compare.LAYERS), (i, want, got[i])
     assert len(got) == 100 and len(some) >= 5
     assert "size(wanted" in plan_of(out)  # obligations are told apart before any row goes to Python
+
+
+def test_combinations_of_frequent_tokens_lose_no_pair(spark, monkeypatch):
+    """Short items meet on combinations that reach the least weight and not on each frequent token; wide ones still meet all."""
+    r = random.Random(4)
+    items = {i: {t: r.choice([.1, .15, .2]) for t in r.sample(range(12), r.randrange(2, 7) if i % 9 else 12)} for i in range(120)}
+    sides, meet = [], compare._met_pairs
+    monkeypatch.setattr(compare, "_met_pairs", lambda a, b, least: (sides.append((a, b)), meet(a, b, least))[1])
+    df = spark.createDataFrame([(i, t, w) for i, x in items.items() for t, w in x.items()], "id int, token long, weight double")
+    got = sorted((x.a, x.b) for x in compare.weighted_pairs(df, .42, widest=8).collect())
+    met = lambda a, b: sum(w for t, w in items[a].items() if t in items[b]) >= .42
+    assert got == [(a, b) for a in range(120) for b in range(a + 1, 120) if met(a, b) and met(b, a)] and len(sides) == 4
+    keys = [set(x["keys"]) for x in sides[0][0].collect()]
+    assert sum(len(x & y) > 0 for x in keys for y in keys) < len(keys) ** 2 / 2
+
+
+def test_equal_items_are_compared_once(spark, monkeypatch):
+    seen, find = [], compare.candidate_pairs
+    monkeypatch.setattr(compare, "candidate_pairs", lambda f: (seen.append(f.count()), find(f))[1])
+    row = lambda i, k: (i, [f"w{k % 2}", f"v{k % 3}"], [k % 4], [f"b{k % 3}"], [f"t{k % 5}"], [f"y{k % 2}"], [f"w{k % 2}", f"v{k % 3}"])
+    schema = "id int, ops array<string>, channels array<int>, roles array<string>, targets array<string>, wording array<string>, terms array<string>"
+    compared = lambda n, **how: {(x.a, x.b): tuple(x)[2:] for x in compare.compare_items(spark.createDataFrame([row(i, i * 7 % n % 20) for i in range(60)], schema), **how).collect()}
+    kind = lambda i: i * 7 % 60 % 20
+    got = compared(60, block=2)
+    assert seen == [20] and all((a, b) in got for a in range(60) for b in range(a + 1, 60) if kind(a) == kind(b))
+    apart = {(x.a, x.b): tuple(x)[2:] for x in compare.compare_items(spark.createDataFrame([row(k, k) for k in range(20)], schema)).collect()}
+    want = {(a, b): apart[tuple(sorted((kind(a), kind(b))))] for a in range(60) for b in range(a + 1, 60) if kind(a) != kind(b) and tuple(sorted((kind(a), kind(b)))) in apart}
+    assert {k: v for k, v in got.items() if kind(k[0]) != kind(k[1])} == want and want
