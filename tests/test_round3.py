@@ -230,3 +230,34 @@ def test_equal_items_are_compared_once(spark, monkeypatch):
     apart = {(x.a, x.b): tuple(x)[2:] for x in compare.compare_items(spark.createDataFrame([row(k, k) for k in range(20)], schema)).collect()}
     want = {(a, b): apart[tuple(sorted((kind(a), kind(b))))] for a in range(60) for b in range(a + 1, 60) if kind(a) != kind(b) and tuple(sorted((kind(a), kind(b)))) in apart}
     assert {k: v for k, v in got.items() if kind(k[0]) != kind(k[1])} == want and want
+
+
+def test_diagnostics_and_lifted_ones_shuffle_no_pairs(spark):
+    """Diagnostics equal those of all pairs, each once, and neither they nor those that anchors lift pass through an exchange."""
+    r = random.Random(6)
+    some = lambda x, n, k: [r.choice([None, *(f"{x}{i}" for i in range(n))]) for _ in range(r.randrange(k))]
+    row = lambda i: (i, r.choice(["s0", "s1", None]), r.choice([None, "p", "q"]), some("t", 6, 5), [r.choice([None, 1, 2, 3]) for _ in range(r.randrange(4))], ["d"] if r.random() < .3 else [])
+    spans, claims = [row(i) for i in range(60)], [row(i) + (r.random() < .3, r.choice([None, "", "add", "cut"]), r.choice([True, False, None])) for i in range(60)]
+    same = "system string, family string, terms array<string>, `values` array<int>, distinctive array<string>"
+    s, c = spark.createDataFrame(spans, "span_id int, " + same), spark.createDataFrame(claims, "claim_id int, " + same + ", titled boolean, op string, strong boolean")
+    d = banks.claim_diagnostics(s, c, ["t0", "t1"], ["add"])
+    known = lambda x, y: {v for v in set(x) & set(y) if v is not None}
+    want = sorted((x[0], y[0]) for x in spans for y in claims if x[1] and x[1] == y[1] and (known(x[3], y[3]) or (y[8] and known(x[4], y[4]))))
+    got = d.collect()
+    assert sorted((x.span_id, x.claim_id) for x in got) == want
+    anchors = spark.createDataFrame([(i, j, (i + j) % 2 == 0) for i in range(60) for j in range(0, 60, 3)] + [(1, 3, False)], "span_id int, claim_id int, fits boolean")
+    linked = {(x.span_id, x.claim_id): x for x in banks.anchor_linked(d, anchors).collect()}
+    assert len(linked) == len(want)
+    lifted = 0
+    for x in got:
+        y = linked[x.span_id, x.claim_id]
+        if not x.compatible and x.claim_id % 3 == 0 and (x.span_id + x.claim_id) % 2 == 0:
+            weak = x.strength == "weak"
+            assert (y.compatible, y.strength, y.quality, y.warnings) == (True, "medium" if weak else x.strength, "plausible" if weak else "noisy", [w for w in x.warnings if w != "family_mismatch"])
+            lifted += 1
+        else:
+            assert x == y
+    assert lifted > 10
+    for name in ("c9_claim_diagnostics", "c9_anchor_linked"):
+        top = plan_of(catalog.QUERIES[name](spark, "/root/testdata/sf0.001")).split("Join")[0]
+        assert "Exchange" not in top and "/diagnostics-" not in plan_of(catalog.QUERIES[name](spark, "/root/testdata/sf0.001"))
