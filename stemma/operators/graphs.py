@@ -5,14 +5,16 @@ round adds nothing."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stemma.operators.intervals import overlapping
-from stemma.sources.tables import drop, materialize
+from stemma.sources.tables import materialize
 
 #: Hops that one round of a propagation takes.
-HOPS = 4
+HOPS = 2
 
 
 def closure(edges: DataFrame) -> DataFrame:
@@ -35,8 +37,10 @@ def on_cycles(edges: DataFrame) -> DataFrame:
     among their neighbours by a hash are taken out and bridged, round by round: long chains and cycles
     shrink by a constant share each time. What is left falls into strong components by colours. A node
     taken out lies on a cycle exactly if its bridge does. A round writes the edges that are left and the
-    nodes that it took out."""
+    nodes that it took out. Every cycle leads up and down in the order of nodes: edges of one direction have none."""
     e = materialize(edges.select("child", "parent").where("child IS NOT NULL AND parent IS NOT NULL").distinct(), "edges")
+    if e.where("child <= parent").isEmpty() or e.where("child >= parent").isEmpty():
+        return e.where("false").select(F.col("child").alias("node"))
     within = [e.where("child = parent")]
     e = e.where("child != parent")
     taken, n, salt = [], e.count(), 0
@@ -106,26 +110,32 @@ def propagate_inactive(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Nodes (id, active) and edges (child, parent): active nodes below an inactive one need review,
     and so do those with a parent that does not exist.
 
-    The frontier holds only nodes that fell in the last round, and a round takes HOPS steps; it goes
-    on until a round adds nothing, however long the chains are."""
-    inner = materialize(edges.select("child", "parent").where("child IS NOT NULL AND parent IS NOT NULL").distinct(), "dependencies")
+    The frontier holds only nodes that fell in the last round, and a round takes HOPS steps along edges of
+    nodes that are still open, until a round adds nothing. Open nodes with a single open parent fall exactly if
+    that does, so edges to them lead on to it: chains halve each round. Edges to nodes that can't fall go."""
     known = materialize(nodes.select("id", "active"), "nodes")
-    bad = materialize(known.where("NOT active").select("id"), "inactive")
+    inner = materialize(edges.select("child", "parent").where("child IS NOT NULL AND parent IS NOT NULL").distinct().join(known.where("active").select(F.col("id").alias("child")), "child", "left_semi"), "dependencies")
     lost = inner.join(known.select(F.col("id").alias("parent")), "parent", "left_anti").select(F.col("child").alias("id")).distinct()
-    frontier = materialize(lost.join(known.where("active"), "id", "left_semi"), "fallen")
-    seen = frontier
-    frontier = frontier.union(bad)
+    hit = materialize(lost, "fallen")
+    found, frontier = [hit], hit.union(known.where("NOT active").select("id"))
+    open_ = inner
     while True:
-        reach = frontier
+        open_ = open_.join(hit.withColumnRenamed("id", "child"), "child", "left_anti")
+        reach = below = frontier
         for _ in range(HOPS):
-            below = inner.join(reach.withColumnRenamed("id", "parent"), "parent", "left_semi").select(F.col("child").alias("id"))
-            reach = reach.union(below).distinct()
-        new = reach.join(bad, "id", "left_anti").join(seen, "id", "left_anti").join(known, "id", "left_semi")
-        frontier = materialize(new, "fallen")
-        if frontier.isEmpty():
+            below = open_.join(below.withColumnRenamed("id", "parent"), "parent", "left_semi").select(F.col("child").alias("id")).distinct()
+            reach = below if reach is frontier else reach.union(below)
+        hit = frontier = materialize(reach.distinct(), "fallen")
+        if hit.isEmpty():
             break
-        old, seen = seen, materialize(seen.union(frontier), "seen")
-        drop(old)
+        found.append(hit)
+        if len(found) > 16:
+            found = [materialize(reduce(DataFrame.union, found), "seen")]
+        left = open_.join(hit.withColumnRenamed("id", "child"), "child", "left_anti")
+        left = left.join(left.select(F.col("child").alias("parent")).union(hit), "parent", "left_semi").select("child", "parent")
+        ahead = left.groupBy("child").agg(F.count("*").alias("n"), F.min("parent").alias("next")).where("n = 1").select(F.col("child").alias("parent"), "next")
+        open_ = materialize(left.join(ahead, "parent", "left").select("child", F.coalesce("next", "parent").alias("parent")).distinct(), "dependencies")
+    seen = reduce(DataFrame.union, found).distinct()
     f = seen.select(F.col("id").alias("fallen_id"))
     status = F.when(~F.col("active"), "inactive").when(F.col("fallen_id").isNotNull(), "needs_revalidation").otherwise("active")
     return known.join(f, F.col("id") == F.col("fallen_id"), "left").select("id", status.alias("status"))

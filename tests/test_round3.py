@@ -3,7 +3,7 @@
 import random
 import re
 
-from stemma.operators import banks, compare, extraction, intervals, joins
+from stemma.operators import banks, compare, extraction, graphs, intervals, joins
 from stemma.plans import catalog
 
 
@@ -261,3 +261,22 @@ def test_diagnostics_and_lifted_ones_shuffle_no_pairs(spark):
     for name in ("c9_claim_diagnostics", "c9_anchor_linked"):
         top = plan_of(catalog.QUERIES[name](spark, "/root/testdata/sf0.001")).split("Join")[0]
         assert "Exchange" not in top and "/diagnostics-" not in plan_of(catalog.QUERIES[name](spark, "/root/testdata/sf0.001"))
+
+
+def test_chains_fall_in_few_rounds_and_edges_of_one_direction_have_no_cycles(spark, monkeypatch):
+    """A chain of 2000 below an inactive node settles in rounds that halve it, in a graph with joins, cycles and lost parents as by a plain walk."""
+    wrote = []
+    monkeypatch.setattr(graphs, "materialize", lambda df, name, real=graphs.materialize: wrote.append(name) or real(df, name))
+    r = random.Random(2)
+    edges = [(i, i - 1) for i in range(1, 2000)] + [(3000 + i, 3000 + r.randrange(i)) for i in range(1, 200) for _ in range(r.randrange(3))] + [(5001, 5000), (5000, 5001), (5002, 9999), (5003, 5002)]
+    ids = [*range(2000), *range(3000, 3200), 5000, 5001, 5002, 5003]
+    idle = {0, *(3000 + r.randrange(1, 200) for _ in range(4))}
+    bad = idle | {5002}
+    while more := {c for c, p in edges if p in bad and c not in bad}:
+        bad |= more
+    nodes = spark.createDataFrame([(i, i not in idle) for i in ids], "id int, active boolean")
+    got = {x.id: x.status for x in graphs.propagate_inactive(nodes, spark.createDataFrame(edges, "child int, parent int")).collect()}
+    assert got == {i: "inactive" if i in idle else "needs_revalidation" if i in bad else "active" for i in ids}
+    assert wrote.count("fallen") < 14
+    wrote.clear()
+    assert graphs.on_cycles(spark.createDataFrame([(i, i - 1) for i in range(1, 2000)], "child int, parent int")).isEmpty() and wrote == ["edges"]
