@@ -280,3 +280,26 @@ def test_chains_fall_in_few_rounds_and_edges_of_one_direction_have_no_cycles(spa
     assert wrote.count("fallen") < 14
     wrote.clear()
     assert graphs.on_cycles(spark.createDataFrame([(i, i - 1) for i in range(1, 2000)], "child int, parent int")).isEmpty() and wrote == ["edges"]
+
+
+def test_legacy_comparison_meets_blocks_and_loses_no_pair(spark, monkeypatch):
+    """Tiles of small blocks give the pairs of brute force, null and absent values among them, without a join on values."""
+    monkeypatch.setattr(compare, "TILE", 12)
+    r = random.Random(4)
+    names = list(compare.FAMILIES)
+    items = [(i, [r.choice("ab") for _ in range(2)], *[None if r.random() < .05 else [r.choice([None, "0", "1", "2", "3"]) for _ in range(r.randrange(4))] for _ in names]) for i in range(70)]
+    df = spark.createDataFrame(items, "id int, ops array<string>, " + ", ".join(f"{c} array<string>" for c in names))
+    want = {}
+    for x in items:
+        for y in items:
+            if x[0] < y[0] and None not in x[2:] and None not in y[2:]:
+                n = [len(set(p) & set(q) - {None}) for p, q in zip(x[2:], y[2:], strict=True)]
+                s = (.14 if x[1] == y[1] else 0) + sum(min(most, k * one) for k, (one, most) in zip(n, compare.FAMILIES.values(), strict=True))
+                if sum(k > 0 for k in n) >= 2 and round(s, 3) >= .3:
+                    want[x[0], y[0]] = round(s, 3)
+    full = df.where(" AND ".join(f"{c} IS NOT NULL AND NOT array_contains(coalesce(transform({c}, v -> v IS NULL), array()), true)" for c in names))
+    ids = {x.id for x in full.collect()}
+    out = compare.compare_items_legacy(full)
+    got = {(x.a, x.b): round(x.score, 3) for x in out.collect()}
+    assert got == {k: v for k, v in want.items() if set(k) <= ids} and len(got) > 3
+    assert "FlatMapGroupsInPandas" in plan_of(out)
